@@ -132,7 +132,7 @@ def term_counts(terms: Column) -> Column:
 
     Everything happens inside the row, so per-document counts need no shuffle.
     """
-    ordered = F.array_sort(terms)
+    ordered = F.sort_array(terms)
     opened = F.transform(
         ordered,
         lambda t, i: F.struct(

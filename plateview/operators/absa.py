@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, functions as F
 
 from plateview.functions import text as tx
-from plateview.operators.aspects import extract_aspects
+from plateview.operators.aspects import each_aspect, extract_aspects
 from plateview.operators.metrics import confusion, headline, report
 from plateview.operators.ratings import text_key
 from plateview.schemas import NO_ASPECTS_MESSAGE, NOT_DETECTED
@@ -17,7 +17,7 @@ KEYS = ["review_id", "ord", "aspect"]
 def _evidence(detected: DataFrame, word_boundary: bool) -> DataFrame:
     """A row per review and aspect with its evidence: the sentences that mention it, or all of them if none does."""
     mentioning = tx.sentences_mentioning(F.col("sentences"), F.col("forms"), word_boundary)
-    return (detected.select("review_id", "cleaned", "sentences", F.inline("detected"))
+    return (each_aspect(detected, "review_id", "cleaned", "sentences")
             .withColumn("_matched", mentioning)
             .withColumn("evidence", F.when(F.size("_matched") > 0, F.col("_matched")).otherwise(F.col("sentences")))
             .drop("_matched"))
@@ -26,8 +26,8 @@ def _evidence(detected: DataFrame, word_boundary: bool) -> DataFrame:
 def contexts(detected: DataFrame, context_mode: str = SENTENCE, word_boundary: bool = False) -> DataFrame:
     """``(review_id, ord, aspect, forms, evidence, context)``."""
     if context_mode == FULL_REVIEW:
-        return detected.select("review_id", F.inline("detected"), F.col("sentences").alias("evidence"),
-                               F.col("cleaned").alias("context"))
+        return (each_aspect(detected, "review_id", "cleaned", "sentences")
+                .select(*KEYS, "forms", F.col("sentences").alias("evidence"), F.col("cleaned").alias("context")))
     if context_mode != SENTENCE:
         raise ValueError(f"unknown context mode {context_mode!r}")
     return _evidence(detected, word_boundary).select(*KEYS, "forms", "evidence", F.array_join("evidence", " ").alias("context"))
@@ -62,7 +62,7 @@ def format_results(results: DataFrame, reviews: DataFrame) -> DataFrame:
     """``(review_id, report)``: a line per aspect, names padded to the widest; a message if there is none."""
     lines = results.groupBy("review_id").agg(
         F.max(F.length("aspect")).alias("width"),
-        F.array_sort(F.collect_list(F.struct("ord", "aspect", "label", "confidence"))).alias("rows"))
+        F.sort_array(F.collect_list(F.struct("ord", "aspect", "label", "confidence"))).alias("rows"))
 
     def line(r):
         shown = F.rpad(tx.capitalize(r["aspect"]), F.col("width"), F.lit(" "))

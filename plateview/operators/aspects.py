@@ -39,8 +39,8 @@ def _one_owner(lexicon: DataFrame) -> DataFrame:
 def lexicon_value(lexicon: DataFrame, max_terms: int = MAX_INROW_TERMS) -> Column:
     """The lexicon as one value that every row can use: an array of ``(ord, aspect, terms)``."""
     grouped = (_one_owner(bounded(lexicon, max_terms, "in-row lexicon")).groupBy("ord", "aspect")
-               .agg(F.array_sort(F.collect_set("term")).alias("terms")))
-    return grouped.agg(F.array_sort(F.collect_list(F.struct("ord", "aspect", "terms")))).scalar()
+               .agg(F.sort_array(F.collect_set("term")).alias("terms")))
+    return grouped.agg(F.sort_array(F.collect_list(F.struct("ord", "aspect", "terms")))).scalar()
 
 
 def detect_in_row(prepared: DataFrame, lexicon: DataFrame) -> DataFrame:
@@ -48,16 +48,23 @@ def detect_in_row(prepared: DataFrame, lexicon: DataFrame) -> DataFrame:
     terms = F.col("terms")
 
     def hits(entry: Column) -> Column:
-        forms = F.array_sort(F.array_intersect(terms, entry["terms"]))
+        forms = F.sort_array(F.array_intersect(terms, entry["terms"]))
         return F.struct(entry["ord"].alias("ord"), entry["aspect"].alias("aspect"), forms.alias("forms"))
 
     found = F.filter(F.transform(F.col("_lexicon"), hits), lambda d: F.size(d["forms"]) > 0)
     # The size test refers to the terms a second time: an expression used once would be
     # merged into the lambda and computed anew for every aspect.
-    detected = F.when(F.size(terms) > 0, found).otherwise(F.filter(found, lambda d: F.lit(False)))
     return (prepared.withColumn("_lexicon", lexicon_value(lexicon))
-            .select("review_id", "cleaned", "sentences", detected.alias("detected"))
-            .filter(F.size("detected") > 0))
+            .select("review_id", "cleaned", "sentences", F.when(F.size(terms) > 0, found).alias("detected")))
+
+
+def each_aspect(detected: DataFrame, *columns: str) -> DataFrame:
+    """A row per review and detected aspect: ``columns``, then ``ord, aspect, forms``.
+
+    The test for "none" comes after the explode, where it cannot be pushed down and
+    make the extraction run twice.
+    """
+    return detected.select(*columns, F.inline_outer("detected")).filter(F.col("aspect").isNotNull())
 
 
 def phrase_vectors(terms: DataFrame, vectors: DataFrame, term: str = "term") -> DataFrame:
@@ -79,7 +86,7 @@ def phrase_vectors(terms: DataFrame, vectors: DataFrame, term: str = "term") ->
 def aspect_vectors_value(aspects: DataFrame) -> Column:
     """``(aspect, ord, vec, norm)`` rows as one array value, in aspect order."""
     small = bounded(aspects.select("ord", "aspect", "vec", "norm"), MAX_ASPECTS, "aspect vectors")
-    return small.agg(F.array_sort(F.collect_list(F.struct("ord", "aspect", "vec", "norm")))).scalar()
+    return small.agg(F.sort_array(F.collect_list(F.struct("ord", "aspect", "vec", "norm")))).scalar()
 
 
 def nearest_aspect(scored_rows: DataFrame, aspects: DataFrame) -> DataFrame:
@@ -139,7 +146,7 @@ def group_into_aspects(mentions: DataFrame, dictionary: DataFrame) -> DataFrame:
     stored_dictionary = stored(dictionary.select(F.col("raw").alias("term"), F.col("term").alias("lemma"), "ord", "aspect"),
                                "dictionary")
     hits = lookup_join(mentions, stored_dictionary, ["term"], F.col("review_id"))
-    both = F.array_sort(F.array_distinct(F.flatten(F.collect_set(F.array("term", "lemma")))))
+    both = F.sort_array(F.array_distinct(F.flatten(F.collect_set(F.array("term", "lemma")))))
     return hits.groupBy("review_id", "ord", "aspect").agg(both.alias("forms"))
 
 
@@ -150,7 +157,7 @@ def extract_aspects(reviews: DataFrame, lexicon: DataFrame, text: str = "text",
                     normalize_quotes: bool = False) -> DataFrame:
     """``(review_id, cleaned, sentences, detected)``; ``detected`` is an array of ``(ord, aspect, forms)``.
 
-    Reviews in which no aspect is found are absent. With a lexicon alone this is one pass
+    Where no aspect is found ``detected`` is empty, NULL or the review absent. With a lexicon alone this is one pass
     without a shuffle; vectors, lemmas or nouns add a vocabulary pass, and the
     text then moves once, to meet its aspects.
     """
@@ -161,13 +168,13 @@ def extract_aspects(reviews: DataFrame, lexicon: DataFrame, text: str = "text",
     dictionary = term_dictionary(mentions, lexicon, vectors, lemmas, nouns, names, threshold)
     grouped = group_into_aspects(mentions, dictionary)
     per_review = grouped.groupBy("review_id").agg(
-        F.array_sort(F.collect_list(F.struct("ord", "aspect", "forms"))).alias("detected"))
+        F.sort_array(F.collect_list(F.struct("ord", "aspect", "forms"))).alias("detected"))
     return prepared.drop("terms").join(per_review, "review_id").select("review_id", "cleaned", "sentences", "detected")
 
 
 def surface_forms(detected: DataFrame) -> DataFrame:
     """``(review_id, ord, aspect, forms)`` in long form."""
-    return detected.select("review_id", F.inline("detected"))
+    return each_aspect(detected, "review_id")
 
 
 def threshold_sweep(scored: DataFrame, thresholds: list[float]) -> DataFrame:

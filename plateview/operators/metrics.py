@@ -63,7 +63,7 @@ def class_scores(counts: DataFrame, labels: list | None = None) -> DataFrame:
 
 def confusion(counts: DataFrame, labels: list | None = None) -> DataFrame:
     """Dense matrix in long form ``(y_true, y_pred, n)``, zeros included."""
-    spine = _spine(counts, labels).agg(F.array_sort(F.collect_set("label")).alias("labels"))
+    spine = _spine(counts, labels).agg(F.sort_array(F.collect_set("label")).alias("labels"))
     cells = (spine.select(F.explode("labels").alias("y_true"), "labels")
              .select("y_true", F.explode("labels").alias("y_pred")))
     return cells.join(counts, ["y_true", "y_pred"], "left").na.fill(0, ["n"])

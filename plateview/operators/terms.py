@@ -12,13 +12,16 @@ PHRASES, NOUNS = "phrases", "nouns"
 
 def prepare(reviews: DataFrame, text: str = "text", mode: str = PHRASES,
             stop_words: list[str] | None = None, normalize_quotes: bool = False) -> DataFrame:
-    """``(review_id, cleaned, sentences, terms)``, all inside the row; reviews without a sentence drop out."""
+    """``(review_id, cleaned, sentences, terms)``, all inside the row.
+
+    Blank reviews keep empty arrays and drop out where these are exploded. A filter here would
+    be pushed below the cleaning and compute it a second time.
+    """
     if mode not in (PHRASES, NOUNS):
         raise ValueError(f"unknown candidate mode {mode!r}")
     masked = F.col("_masked")
     terms = tx.phrase_terms(masked) if mode == PHRASES else tx.single_terms(masked)
     return (reviews.select("review_id", tx.light_clean(F.col(text), normalize_quotes).alias("cleaned"))
-            .filter(F.col("cleaned") != "")
             .select("review_id", "cleaned", tx.split_sentences(F.col("cleaned")).alias("sentences"),
                     tx.content_words(F.col("cleaned"), stop_words).alias("_masked"))
             .select("review_id", "cleaned", "sentences", terms.alias("terms")))
@@ -55,7 +58,7 @@ def lemmatize_terms(terms: DataFrame, lemmas: DataFrame) -> DataFrame:
     """``(term, lemma)``: every word of each distinct term replaced by its lemma, if it has one."""
     word = terms.select("term", F.posexplode(F.split("term", " ")).alias("pos", "token"))
     found = lookup_join(word, lemmas, ["token"], F.col("term"), "left")
-    joined = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", F.coalesce("lemma", "token").alias("w")))),
+    joined = F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("pos", F.coalesce("lemma", "token").alias("w")))),
                                       lambda x: x["w"]), " ")
     return found.groupBy("term").agg(joined.alias("lemma"))
 

@@ -174,7 +174,7 @@ def _centroids(embeddings: DataFrame) -> DataFrame:
     """``(ord, aspect, vec, norm)``: the mean vector of each label, dimension by dimension."""
     parts = (embeddings.select("label", F.posexplode(vx.as_double(F.col("embedding"))).alias("d", "x"))
              .groupBy("label", "d").agg(F.avg("x").alias("x")))
-    whole = parts.groupBy("label").agg(F.transform(F.array_sort(F.collect_list(F.struct("d", "x"))), lambda s: s["x"]).alias("vec"))
+    whole = parts.groupBy("label").agg(F.transform(F.sort_array(F.collect_list(F.struct("d", "x"))), lambda s: s["x"]).alias("vec"))
     return whole.select(F.col("label").alias("ord"), F.col("label").cast("string").alias("aspect"), "vec", vx.norm(F.col("vec")).alias("norm"))
 
 
