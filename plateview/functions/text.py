@@ -83,6 +83,7 @@ def ngrams(tokens: Column, n: int) -> Column:
 
 
 def unigrams_and_bigrams(tokens: Column) -> Column:
+    """Pass a column that holds the tokens, not the expression that makes them: it is referred to several times."""
     return F.concat(tokens, ngrams(tokens, 2))
 
 
@@ -127,24 +128,19 @@ def capitalize(text: Column) -> Column:
     return F.concat(F.upper(F.left(text, F.lit(1))), F.lower(F.substr(text, F.lit(2))))
 
 
-def term_counts(terms: Column) -> Column:
-    """Array of ``(term, tf)`` for an array column, by sorting it and measuring the runs.
+# The next two work on named columns: they refer to an array several times, and an expression
+# in its place would be computed as often. Select the array under the name first.
 
-    Everything happens inside the row, so per-document counts need no shuffle.
-    """
-    ordered = F.sort_array(terms)
-    opened = F.transform(
-        ordered,
-        lambda t, i: F.struct(
-            t.alias("term"), i.alias("at"), (i == 0).alias("first"),
-        ),
-    )
-    # Pair each entry with its predecessor; an entry that differs opens a run.
-    shifted = F.concat(F.array(F.lit(None).cast("string")), ordered)
-    starts = F.filter(
-        F.zip_with(opened, F.slice(shifted, 1, F.size(ordered)),
-                   lambda e, prev: F.when(e["first"] | (e["term"] != prev), F.struct(e["term"].alias("term"), e["at"].alias("at")))),
-        lambda e: e.isNotNull(),
-    )
-    ends = F.concat(_tail(F.transform(starts, lambda s: s["at"]), 2), F.array(F.size(ordered)))
-    return F.zip_with(starts, ends, lambda s, e: F.struct(s["term"].alias("term"), (e - s["at"]).alias("tf")))
+def run_starts(ordered: str) -> Column:
+    """Positions in a sorted array where a new value begins."""
+    values = F.col(ordered)
+    return F.when(F.size(values) > 0, F.filter(
+        F.sequence(F.lit(0), F.size(values) - 1),
+        lambda i: (i == 0) | (F.get(values, i) != F.get(values, i - 1))))
+
+
+def run_counts(ordered: str, starts: str) -> Column:
+    """Array of ``(term, tf)``: each distinct value of a sorted array with the length of its run."""
+    values, at = F.col(ordered), F.col(starts)
+    return F.transform(at, lambda s, k: F.struct(
+        F.get(values, s).alias("term"), (F.coalesce(F.get(at, k + 1), F.size(values)) - s).alias("tf")))

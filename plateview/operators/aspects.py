@@ -10,6 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from plateview.functions import vectors as vx
+from plateview.functions.rows import each, settled
 from plateview.operators import terms as tm
 from plateview.operators.joins import bounded, lookup_join
 from plateview.schemas import (DEFAULT_ASPECTS, DEFAULT_SYNONYMS, LEXICON, MAX_ASPECTS, MAX_INROW_TERMS,
@@ -73,13 +74,13 @@ def phrase_vectors(terms: DataFrame, vectors: DataFrame, term: str = "term") ->
     Phrases without a single known word, or with a zero vector, drop out.
     """
     n_words = F.size(F.split(F.col(term), " "))
-    word = terms.select(F.col(term), n_words.alias("_n"), F.explode(F.split(F.col(term), " ")).alias("token"))
+    word = each(terms, [F.col(term), n_words.alias("_n")], F.split(F.col(term), " "), "token")
     known = lookup_join(word, vectors.select("token", vx.as_double(F.col("vec")).alias("vec")), ["token"], F.col(term))
     listed = known.groupBy(term).agg(F.first("_n").alias("_n"), F.collect_list("vec").alias("_vecs"))
     summed = F.aggregate(F.slice("_vecs", 2, F.greatest(F.size("_vecs") - 1, F.lit(0))), F.get("_vecs", F.lit(0)),
                          lambda acc, v: F.zip_with(acc, v, lambda a, b: a + b))
-    return (listed.select(term, "_n", summed.alias("_sum"))
-            .select(term, F.transform("_sum", lambda x: x / F.col("_n")).alias("vec"))
+    mean = F.transform(summed, lambda x: x / F.col("_n"))
+    return (each(listed, [term], F.array(mean), "vec")
             .withColumn("norm", vx.norm(F.col("vec"))).filter(F.col("norm") > 0))
 
 
@@ -100,10 +101,9 @@ def nearest_aspect(scored_rows: DataFrame, aspects: DataFrame) -> DataFrame:
     compared = F.transform(F.col("_aspects"), lambda a: F.struct(
         F.round(vx.dot(vec, a["vec"]) / (length * a["norm"]), 9).alias("score"),
         (-a["ord"]).alias("neg"), a["aspect"].alias("aspect")))
-    return (scored_rows.withColumn("_aspects", aspect_vectors_value(aspects))
-            .withColumn("_best", F.array_max(compared))
-            .withColumn("ord", -F.col("_best.neg")).withColumn("aspect", F.col("_best.aspect"))
-            .withColumn("score", F.col("_best.score")).drop("_aspects", "_best"))
+    keep = scored_rows.columns
+    best = settled(scored_rows.withColumn("_aspects", aspect_vectors_value(aspects)), keep, F.array_max(compared))
+    return best.select(*keep, (-F.col("neg")).alias("ord"), "aspect", "score")
 
 
 def score_terms(terms: DataFrame, names: DataFrame, vectors: DataFrame) -> DataFrame:
@@ -179,6 +179,6 @@ def surface_forms(detected: DataFrame) -> DataFrame:
 
 def threshold_sweep(scored: DataFrame, thresholds: list[float]) -> DataFrame:
     """``(threshold, aspect, n_terms)``: coverage at every threshold, from one pass over the scored terms."""
-    passed = F.explode(F.filter(F.array(*[F.lit(float(t)) for t in thresholds]), lambda t: F.col("score") >= t))
-    return (scored.select("aspect", passed.alias("threshold")).groupBy("threshold", "aspect")
+    passed = F.filter(F.array(*[F.lit(float(t)) for t in thresholds]), lambda t: F.col("score") >= t)
+    return (each(scored, ["aspect"], passed, "threshold").groupBy("threshold", "aspect")
             .agg(F.count(F.lit(1)).alias("n_terms")))

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window, functions as F
 
 from plateview.functions import text as tx
+from plateview.functions.rows import each
 from plateview.operators.joins import lookup_join
 from plateview.schemas import MAX_FEATURES
 
@@ -15,8 +16,11 @@ def top_terms(counts: DataFrame, k: int) -> DataFrame:
 
 
 def term_frequencies(texts: DataFrame, id_col: str, text: str) -> DataFrame:
-    """``(id, term, tf)``: counts per text, made inside the row."""
-    return (texts.select(id_col, F.explode(tx.term_counts(tx.unigrams_and_bigrams(tx.words(F.col(text))))).alias("t"))
+    """``(id, term, tf)``: counts per text, made inside the row by sorting its n-grams, without a shuffle."""
+    return (texts.select(id_col, tx.words(F.col(text)).alias("_tokens"))
+            .select(id_col, F.sort_array(tx.unigrams_and_bigrams(F.col("_tokens"))).alias("_sorted"))
+            .select(id_col, "_sorted", tx.run_starts("_sorted").alias("_starts"))
+            .transform(each, [id_col], tx.run_counts("_sorted", "_starts"), "t")
             .select(id_col, "t.term", "t.tf"))
 
 

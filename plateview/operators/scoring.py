@@ -17,6 +17,7 @@ from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from plateview.functions import text as tx
 from plateview.functions import vectors as vx
+from plateview.functions.rows import each
 from plateview.operators.features import top_terms
 from plateview.operators.joins import lookup_join, salted_join
 from plateview.operators.ratings import text_key
@@ -37,11 +38,10 @@ def most_probable(scores: Column) -> tuple[Column, Column]:
 
 def bayes_weights(texts: DataFrame, text: str, label: str, classes: list[int], vocab_size: int = MAX_FEATURES) -> DataFrame:
     """``(term, tf, lw_<class>...)``: Laplace-smoothed log weights of the most frequent uni- and bigrams."""
-    terms = texts.select(F.col(label).alias("_c"), F.explode(
-        tx.term_counts(tx.unigrams_and_bigrams(tx.words(tx.light_clean(F.col(text)))))).alias("t"))
-    counts = terms.groupBy(F.col("t.term").alias("term")).agg(
-        F.sum("t.tf").alias("tf"),
-        *[F.sum(F.when(F.col("_c") == c, F.col("t.tf")).otherwise(0)).alias(f"n_{c}") for c in classes])
+    tokens = texts.select(F.col(label).alias("_c"), tx.words(tx.light_clean(F.col(text))).alias("_tokens"))
+    terms = each(tokens, ["_c"], tx.unigrams_and_bigrams(F.col("_tokens")), "term")
+    counts = terms.groupBy("term").agg(
+        F.count(F.lit(1)).alias("tf"), *[F.count(F.when(F.col("_c") == c, 1)).alias(f"n_{c}") for c in classes])
     vocabulary = top_terms(counts, vocab_size)
     totals = vocabulary.agg(F.struct(F.count(F.lit(1)).alias("v"), *[F.sum(f"n_{c}").alias(f"n_{c}") for c in classes])).scalar()
     return (vocabulary.withColumn("_all", totals)

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, functions as F
 
 from plateview.functions import text as tx
+from plateview.functions.rows import each, each_placed
 from plateview.operators.joins import lookup_join
 
 PHRASES, NOUNS = "phrases", "nouns"
@@ -29,7 +30,7 @@ def prepare(reviews: DataFrame, text: str = "text", mode: str = PHRASES,
 
 def term_mentions(prepared: DataFrame) -> DataFrame:
     """``(review_id, term)``, each pair once."""
-    return prepared.select("review_id", F.explode("terms").alias("term"))
+    return each(prepared, ["review_id"], F.col("terms"), "term")
 
 
 def vocabulary(mentions: DataFrame) -> DataFrame:
@@ -48,7 +49,7 @@ def plural_lemmas(tokens: DataFrame) -> DataFrame:
         F.when(token.rlike("(s|x|z|ch|sh|o)es$"), F.struct(F.lit(2).alias("cut"), F.regexp_replace(token, "es$", "").alias("lemma"))),
         F.when(token.rlike("[^su]s$"), F.struct(F.lit(1).alias("cut"), F.regexp_replace(token, "s$", "").alias("lemma"))),
     )
-    tried = (tokens.select("token", F.explode(F.filter(cut, lambda c: c.isNotNull())).alias("c"))
+    tried = (each(tokens, ["token"], cut, "c")
              .select("token", "c.cut", "c.lemma").filter(F.length("lemma") >= 3))
     attested = tried.join(tokens.select(F.col("token").alias("lemma")), "lemma", "left_semi")
     return attested.groupBy("token").agg(F.max(F.struct("cut", "lemma")).alias("best")).select("token", "best.lemma")
@@ -56,7 +57,7 @@ def plural_lemmas(tokens: DataFrame) -> DataFrame:
 
 def lemmatize_terms(terms: DataFrame, lemmas: DataFrame) -> DataFrame:
     """``(term, lemma)``: every word of each distinct term replaced by its lemma, if it has one."""
-    word = terms.select("term", F.posexplode(F.split("term", " ")).alias("pos", "token"))
+    word = each_placed(terms, ["term"], F.split("term", " "), "pos", "token")
     found = lookup_join(word, lemmas, ["token"], F.col("term"), "left")
     joined = F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("pos", F.coalesce("lemma", "token").alias("w")))),
                                       lambda x: x["w"]), " ")

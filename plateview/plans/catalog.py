@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from plateview.functions import text as tx
 from plateview.functions import vectors as vx
+from plateview.functions.rows import each, each_placed
 from plateview.operators import absa, aspects, classify, features, metrics, ratings, scoring, splits, stems
 from plateview.operators import terms as tm
 from plateview.plans import inputs
@@ -43,13 +44,13 @@ def clean_classical_stemmed(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def stem_vocabulary(spark: SparkSession, folder: str) -> DataFrame:
-    words = inputs.document_reviews(spark, folder).select(F.explode(tx.letter_tokens(F.col("text"))).alias("word")).distinct()
+    words = each(inputs.document_reviews(spark, folder), [], tx.letter_tokens(F.col("text")), "word").distinct()
     return stems.stem_words(words)
 
 
 def sentences(spark: SparkSession, folder: str) -> DataFrame:
-    split = inputs.document_reviews(spark, folder).select(
-        "review_id", F.posexplode(tx.split_sentences(tx.light_clean(F.col("text")))).alias("sent_idx", "sentence"))
+    split = each_placed(inputs.document_reviews(spark, folder), ["review_id"],
+                        tx.split_sentences(tx.light_clean(F.col("text"))), "sent_idx", "sentence")
     return split.select("review_id", F.col("sent_idx").cast("bigint").alias("sent_idx"), F.md5("sentence").alias("sentence_md5"))
 
 
@@ -172,7 +173,7 @@ def aspects_full(spark: SparkSession, folder: str) -> DataFrame:
 
 def _centroids(embeddings: DataFrame) -> DataFrame:
     """``(ord, aspect, vec, norm)``: the mean vector of each label, dimension by dimension."""
-    parts = (embeddings.select("label", F.posexplode(vx.as_double(F.col("embedding"))).alias("d", "x"))
+    parts = (each_placed(embeddings, ["label"], vx.as_double(F.col("embedding")), "d", "x")
              .groupBy("label", "d").agg(F.avg("x").alias("x")))
     whole = parts.groupBy("label").agg(F.transform(F.sort_array(F.collect_list(F.struct("d", "x"))), lambda s: s["x"]).alias("vec"))
     return whole.select(F.col("label").alias("ord"), F.col("label").cast("string").alias("aspect"), "vec", vx.norm(F.col("vec")).alias("norm"))

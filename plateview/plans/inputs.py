@@ -14,7 +14,7 @@ from plateview.operators import terms as tm
 from plateview.operators.splits import split_two_way
 from plateview.operators.ratings import clean_ratings
 from plateview.schemas import DEFAULT_ASPECTS
-from plateview.sources.scratch import stored
+from plateview.sources.scratch import spread, stored
 
 # Fixed values of the derived inputs.
 LEXICON_SIZE = 21
@@ -50,7 +50,7 @@ def read(spark: SparkSession, folder: str, table: str) -> DataFrame:
 
 
 def document_reviews(spark: SparkSession, folder: str) -> DataFrame:
-    return read(spark, folder, "documents").select(F.col("doc_id").alias("review_id"), "text")
+    return spread(read(spark, folder, "documents").select(F.col("doc_id").alias("review_id"), "text"), "review_id")
 
 
 def document_ratings(spark: SparkSession, folder: str) -> DataFrame:
@@ -81,7 +81,8 @@ def _choose(column: Column, choices: dict) -> Column:
 
 def order_reviews(spark: SparkSession, folder: str) -> DataFrame:
     """``(review_id, text, Rating)``: a review rendered from each order's status, priority, price and date."""
-    return rendered_orders(read(spark, folder, "orders"))
+    columns = ["o_orderkey", "o_custkey", "o_orderstatus", "o_totalprice", "o_orderdate", "o_orderpriority"]
+    return rendered_orders(spread(read(spark, folder, "orders").select(*columns), "o_orderkey"))
 
 
 def rendered_orders(orders: DataFrame) -> DataFrame:

@@ -33,3 +33,13 @@ def stored(table: DataFrame, name: str) -> DataFrame:
     path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
     table.write.parquet(path)
     return spark.read.schema(table.schema).parquet(path)
+
+
+def spread(table: DataFrame, key: str) -> DataFrame:
+    """Give a table that sits in few files a partition per core; a table in many files stays as it is.
+
+    Large tables already have far more partitions than cores, so this moves only data that is
+    small for the cluster. Hashing a unique key makes the partitions even, and the same on every attempt.
+    """
+    cores = table.sparkSession.sparkContext.defaultParallelism
+    return table.repartition(cores, key) if table.rdd.getNumPartitions() < cores else table
