@@ -117,7 +117,7 @@ def sentences_mentioning(sentences: Column, forms: Column, word_boundary: bool =
     """Sentences that contain any of the forms, ignoring case, in order."""
     if word_boundary:
         def found(sentence, form):
-            return sentence.rlike(F.concat(F.lit(r"(?i)\b"), form, F.lit(r"\b")))
+            return F.regexp_like(sentence, F.concat(F.lit(r"(?i)\b\Q"), form, F.lit(r"\E\b")))
     else:
         def found(sentence, form):
             return F.contains(F.lower(sentence), form)

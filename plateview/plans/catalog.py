@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import numpy as np
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from plateview.functions import text as tx
@@ -370,17 +369,24 @@ def logreg_sweep(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def _length_model():
-    """A stand-in for a user's model: logits from simple counts, computed a batch at a time."""
-    def predict(contexts: np.ndarray, names: np.ndarray) -> np.ndarray:
-        calm = np.array([c.count(".") for c in contexts], dtype=np.float32)
-        loud = np.array([c.count("!") for c in contexts], dtype=np.float32)
-        length = np.array([len(n) for n in names], dtype=np.float32)
-        return np.stack([loud, length / 8, calm], axis=1)
-    return predict
+    """A stand-in for a user's model: logits from simple counts, computed a batch at a time.
+
+    Nested functions travel to the workers by value, so these need not have this package.
+    """
+    def make_predict():
+        import numpy as np
+
+        def predict(contexts, names):
+            calm = np.array([c.count(".") for c in contexts], dtype=np.float32)
+            loud = np.array([c.count("!") for c in contexts], dtype=np.float32)
+            length = np.array([len(n) for n in names], dtype=np.float32)
+            return np.stack([loud, length / 8, calm], axis=1)
+        return predict
+    return make_predict
 
 
 def batch_scoring(spark: SparkSession, folder: str) -> DataFrame:
-    scorer = scoring.BatchScorer(_length_model, CLASS_NAMES)
+    scorer = scoring.BatchScorer(_length_model(), CLASS_NAMES)
     return _order_batch(spark, folder, scorer)
 
 
