@@ -55,7 +55,7 @@ def document_reviews(spark: SparkSession, folder: str) -> DataFrame:
 
 def document_ratings(spark: SparkSession, folder: str) -> DataFrame:
     """``(review_id, Review, Rating)``: each document with the stars that its quality and toxicity labels suggest."""
-    documents = read(spark, folder, "documents").select("doc_id", "text", "lang", "n_chars")
+    documents = spread(read(spark, folder, "documents").select("doc_id", "text", "lang", "n_chars"), "doc_id")
     labels = read(spark, folder, "labels").select("doc_id", "quality", "toxic")
     stars = (F.when(F.col("quality").isNull(), F.when(F.col("lang") == "en", "Like"))
              .when((F.col("quality") == 0) & (F.col("toxic") == 1), "1")
@@ -163,4 +163,4 @@ def plain_texts(spark: SparkSession, folder: str) -> DataFrame:
     pages = read(spark, folder, "pages").select(F.lit("pages").alias("src"), F.col("page_id").cast("string").alias("id"), F.col("html").alias("text"))
     turns = read(spark, folder, "conversations").select(
         F.lit("conversations").alias("src"), F.concat_ws(":", "conv_id", "turn").alias("id"), "text")
-    return documents.unionByName(pages).unionByName(turns)
+    return spread(documents.unionByName(pages).unionByName(turns), "id")
