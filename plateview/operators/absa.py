@@ -36,10 +36,12 @@ def contexts(detected: DataFrame, context_mode: str = SENTENCE, word_boundary: b
 def score_contexts(table: DataFrame, scorer, with_evidence: bool = True) -> DataFrame:
     """``(review_id, ord, aspect, label, confidence, n_evidence[, evidence])``."""
     counted = table.withColumn("n_evidence", F.size("evidence"))
-    scored = scorer.score(counted, KEYS, ["n_evidence"]).select(*KEYS, "label", "confidence", "n_evidence")
-    if not with_evidence:
-        return scored
-    return scored.join(table.select(*KEYS, "evidence"), KEYS)
+    travels = with_evidence and scorer.in_row
+    carry = ["n_evidence", "evidence"] if travels else ["n_evidence"]
+    scored = scorer.score(counted, KEYS, carry).select(*KEYS, "label", "confidence", *carry)
+    if with_evidence and not travels:
+        return scored.join(table.select(*KEYS, "evidence"), KEYS)
+    return scored
 
 
 def analyze_reviews(reviews: DataFrame, lexicon: DataFrame, scorer, context_mode: str = SENTENCE,

@@ -17,11 +17,11 @@ from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from plateview.functions import text as tx
 from plateview.functions import vectors as vx
-from plateview.functions.rows import each
+from plateview.functions.rows import each, settled
 from plateview.operators.features import top_terms
 from plateview.operators.joins import lookup_join, salted_join
 from plateview.operators.ratings import text_key
-from plateview.schemas import LABEL_NAMES, MAX_FEATURES, SCORING_BATCH
+from plateview.schemas import LABEL_NAMES, MAX_FEATURES, MAX_INROW_WEIGHTS, SCORING_BATCH
 from plateview.sources.scratch import stored
 
 
@@ -94,7 +94,7 @@ def weighted_grams(context: Column, forms: Column) -> list[tuple[str, Column]]:
 
 @dataclass
 class BayesScorer:
-    """Distance-weighted naive Bayes over a weights table that fits a broadcast by construction."""
+    """Distance-weighted naive Bayes over a weights table of at most ``vocab_size`` rows."""
 
     weights: DataFrame
     priors: DataFrame
@@ -114,13 +114,60 @@ class BayesScorer:
         """The same scorer with its two small tables stored, so that scoring does not learn them again."""
         return replace(self, weights=stored(self.weights, "weights"), priors=stored(self.priors, "priors"))
 
+    @property
+    def in_row(self) -> bool:
+        """Whether the weights are few enough to be looked up inside the row."""
+        return self.vocab_size <= MAX_INROW_WEIGHTS
+
     def score(self, contexts: DataFrame, keys: list[str], carry: list[str] | None = None) -> DataFrame:
-        """Adds ``class_id, label, confidence`` per key; ``carry`` names numeric columns to take along.
+        """Adds ``class_id, label, confidence`` per key; ``carry`` names columns to take along.
 
-        The terms of a context sit in one partition and are summed there before the shuffle,
-        which moves one narrow row per context.
+        With a vocabulary of the usual size everything happens inside the row. Beyond
+        that the terms are joined to the weights, and ``carry`` must be numeric.
         """
         carry = carry or []
+        sums = self._summed_in_row(contexts, keys, carry) if self.in_row else self._summed_by_join(contexts, keys, carry)
+        prior = self.priors.select(F.struct(*self.priors.columns)).scalar()
+        # The prior counts as one more term of weight 1; rounding makes ties exact.
+        scores = F.array(*[F.round((F.col(f"_prior.prior_{c}") + F.col(f"_s_{c}")) / (1.0 + F.col("_total")), 9)
+                           for c in self.classes])
+        best, confidence = most_probable(F.col("_scores"))
+        judged = settled(sums.withColumn("_prior", prior).withColumn("_scores", scores), [*keys, *carry],
+                         F.struct(best.alias("class_id"), confidence.alias("confidence")))
+        return judged.withColumn("label", named(F.col("class_id"), self.names))
+
+    def _weights_value(self, slots: int) -> Column:
+        """The weights as one value: an array of small maps from term to class weights, by hash of the term."""
+        entry = F.struct("term", F.array(*[f"lw_{c}" for c in self.classes]).alias("lw"))
+        filled = (self.weights.groupBy(F.pmod(F.xxhash64("term"), F.lit(slots)).alias("slot"))
+                  .agg(F.collect_list(entry).alias("entries")))
+        every = self.weights.sparkSession.range(slots).withColumnRenamed("id", "slot")
+        none = F.array().cast(filled.schema["entries"].dataType)
+        table = every.join(filled, "slot", "left").withColumn("entries", F.coalesce("entries", none))
+        return table.agg(F.transform(F.sort_array(F.collect_list(F.struct("slot", "entries"))),
+                                     lambda s: F.map_from_entries(s["entries"]))).scalar()
+
+    def _summed_in_row(self, contexts: DataFrame, keys: list[str], carry: list[str]) -> DataFrame:
+        slots = max(1, self.vocab_size // 4)
+
+        def weight_of(g: Column) -> Column:
+            slot = F.get(F.col("_weights"), F.pmod(F.xxhash64(g["term"]), F.lit(slots)).cast("int"))
+            return F.struct(g["w"].alias("w"), F.try_element_at(slot, g["term"]).alias("lw"))
+
+        known = F.filter(F.transform("_grams", weight_of), lambda x: x["lw"].isNotNull())
+
+        def total(of) -> Column:
+            return F.coalesce(F.aggregate("_known", F.lit(0.0), lambda acc, x: acc + of(x)), F.lit(0.0))
+
+        steps = contexts.select(*keys, *carry, "context", "forms")
+        for name, column in [*weighted_grams(F.col("context"), F.col("forms")), ("_weights", self._weights_value(slots)), ("_known", known)]:
+            steps = steps.withColumn(name, column)
+        return steps.select(*keys, *carry, total(lambda x: x["w"]).alias("_total"),
+                            *[total(lambda x, i=i: x["w"] * F.get(x["lw"], F.lit(i))).alias(f"_s_{c}") for i, c in enumerate(self.classes)])
+
+    def _summed_by_join(self, contexts: DataFrame, keys: list[str], carry: list[str]) -> DataFrame:
+        """The terms of a context sit in one partition and are summed there before the shuffle,
+        which moves one narrow row per context."""
         steps = contexts
         for name, column in weighted_grams(F.col("context"), F.col("forms")):
             steps = steps.withColumn(name, column)
@@ -128,18 +175,10 @@ class BayesScorer:
                  .select(*keys, *carry, F.col("_g.term").alias("term"), F.col("_g.w").alias("_w")))
         weighed = lookup_join(terms, self.weights.drop("tf"), ["term"], F.xxhash64(*keys, "term"), "left", known_rows=self.vocab_size)
         known = F.when(F.col(f"lw_{self.classes[0]}").isNotNull(), F.col("_w")).otherwise(0.0)
-        sums = weighed.groupBy(*keys).agg(
+        return weighed.groupBy(*keys).agg(
             F.sum(known).alias("_total"),
             *[F.sum(F.coalesce(F.col("_w") * F.col(f"lw_{c}"), F.lit(0.0))).alias(f"_s_{c}") for c in self.classes],
             *[F.max(c).alias(c) for c in carry])
-        prior = self.priors.select(F.struct(*self.priors.columns)).scalar()
-        # The prior counts as one more term of weight 1; rounding makes ties exact.
-        scores = F.array(*[F.round((F.col(f"_prior.prior_{c}") + F.col(f"_s_{c}")) / (1.0 + F.col("_total")), 9)
-                           for c in self.classes])
-        best, confidence = most_probable(F.col("_scores"))
-        return (sums.withColumn("_prior", prior).withColumn("_scores", scores)
-                .select(*keys, *carry, best.alias("class_id"), confidence.alias("confidence"))
-                .withColumn("label", named(F.col("class_id"), self.names)))
 
 
 # --- any batch model ------------------------------------------------------------------
@@ -155,6 +194,10 @@ class BatchScorer:
     distinct_pairs: bool = True
     salts: int = 16
 
+    @property
+    def in_row(self) -> bool:
+        return not self.distinct_pairs
+
     def _logits(self, context: Column, aspect: Column) -> Column:
         predict = predict_batch_udf(self.make_predict, return_type=T.ArrayType(T.FloatType()), batch_size=self.batch_size)
         return vx.as_double(predict(context, aspect))

@@ -163,4 +163,4 @@ def plain_texts(spark: SparkSession, folder: str) -> DataFrame:
     pages = read(spark, folder, "pages").select(F.lit("pages").alias("src"), F.col("page_id").cast("string").alias("id"), F.col("html").alias("text"))
     turns = read(spark, folder, "conversations").select(
         F.lit("conversations").alias("src"), F.concat_ws(":", "conv_id", "turn").alias("id"), "text")
-    return spread(documents.unionByName(pages).unionByName(turns), "id")
+    return spread(documents, "id").unionByName(spread(pages, "id")).unionByName(spread(turns, "id"))

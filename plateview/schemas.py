@@ -63,6 +63,7 @@ STOP_WORDS = (
 MAX_CLASSES = 1_000          # labels of one classification task
 MAX_ASPECTS = 1_000          # aspects of one lexicon
 MAX_INROW_TERMS = 5_000      # lexicon terms matched inside the row
+MAX_INROW_WEIGHTS = 50_000   # terms of a scorer that are looked up inside the row
 MAX_LOOKUP_ROWS = 500_000    # rows of a broadcast lookup table
 
 # ---------------------------------------------------------------------------

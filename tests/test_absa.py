@@ -48,6 +48,13 @@ def test_context_modes(spark, reviews, lexicon):
         absa.contexts(detected, "paragraph")
 
 
+def test_weights_looked_up_or_joined_give_the_same(reviews, lexicon, scorer, results, monkeypatch):
+    monkeypatch.setattr(scoring, "MAX_INROW_WEIGHTS", 0)
+    joined = absa.analyze_reviews(reviews, lexicon, scorer)
+    assert not scorer.in_row
+    assert sorted(map(repr, joined.select(results.columns).collect())) == sorted(map(repr, results.collect()))
+
+
 def test_no_sentence_mentions_the_form_falls_back_to_all(spark):
     detected = spark.createDataFrame([(1, "One. Two.", ["One.", "Two."], [(0, "food", ["pasta"])])],
                                      "review_id long, cleaned string, sentences array<string>, detected array<struct<ord:int,aspect:string,forms:array<string>>>")
