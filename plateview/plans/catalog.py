@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from plateview.functions import text as tx
@@ -422,7 +424,6 @@ def stream_absa(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def _streamed(spark: SparkSession, start, schema) -> DataFrame:
-    import uuid
     base = f"{shared_folder(spark)}/stream-{uuid.uuid4().hex}"
     start(f"{base}/out", f"{base}/mark").awaitTermination()
     return spark.read.schema(schema).option("recursiveFileLookup", True).parquet(f"{base}/out")
