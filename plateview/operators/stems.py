@@ -6,8 +6,6 @@ get their stems by a join with the stemmed vocabulary.
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame, functions as F
 
 from plateview.functions import text as tx

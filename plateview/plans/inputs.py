@@ -9,7 +9,6 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
-from plateview.functions import text as tx
 from plateview.operators import terms as tm
 from plateview.operators.splits import split_two_way
 from plateview.operators.ratings import clean_ratings
