@@ -9,7 +9,7 @@ WITH RECURSIVE words AS (
   SELECT doc_id, regexp_extract_all(coalesce({_LOWER}, ''), '[^\\x20\\x09-\\x0D]+') AS w FROM documents),
 shingles AS (
   SELECT DISTINCT doc_id, s FROM (SELECT doc_id, unnest(CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 5 THEN [array_to_string(w, ' ')]
-    ELSE list_transform(range(1, len(w) - 3), i -> array_to_string(w[i:i+4], ' ')) END) AS s FROM words)),
+    ELSE [array_to_string(w[i:i+4], ' ') for i in range(1, len(w) - 3)] END) AS s FROM words)),
 sizes AS (SELECT doc_id, count(*) AS n FROM shingles GROUP BY doc_id),
 met AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS shared FROM shingles a JOIN shingles b ON a.s = b.s AND a.doc_id <> b.doc_id GROUP BY 1, 2),
 links AS (SELECT a, b FROM met JOIN sizes x ON x.doc_id = a JOIN sizes y ON y.doc_id = b WHERE 100 * shared >= 75 * (x.n + y.n - shared)),
@@ -40,6 +40,15 @@ SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit,
 FROM doc d LEFT JOIN hits h ON h.doc_id = d.doc_id LEFT JOIN items t ON t.doc_id = d.doc_id
 """
 
+OP7 = """
+WITH p AS (SELECT page_id, octet_length(encode(coalesce(html, ''))) AS payload_bytes, sha1(coalesce(html, '')) AS payload_digest FROM pages),
+last AS (SELECT payload_bytes, payload_digest, max(page_id) AS last_id FROM p WHERE payload_bytes >= 1000 GROUP BY ALL)
+SELECT page_id, CAST(p.payload_bytes AS BIGINT) AS payload_bytes, p.payload_digest,
+       CASE WHEN last_id <> page_id THEN 'revisit' ELSE 'response' END AS record_type,
+       CASE WHEN last_id <> page_id THEN last_id END AS refers_to
+FROM p LEFT JOIN last USING (payload_bytes, payload_digest)
+"""
+
 OP8 = """
 WITH raw AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS line_no FROM documents),
 lines AS (SELECT doc_id, line, line_no, row_number() OVER (PARTITION BY doc_id ORDER BY line_no) AS pos FROM raw WHERE regexp_matches(line, '\\S')),
@@ -60,4 +69,4 @@ LEFT JOIN (SELECT doc_id, count(*) AS n FROM lines GROUP BY 1) n ON n.doc_id = d
 LEFT JOIN (SELECT doc_id, count(*) AS n FROM gone GROUP BY 1) g ON g.doc_id = d.doc_id
 """
 
-CHECKS = {"op4_minhash_dedup": OP4, "op6_decontamination": OP6, "op8_line_dedup": OP8}
+CHECKS = {"op4_minhash_dedup": OP4, "op6_decontamination": OP6, "op7_warc_packages": OP7, "op8_line_dedup": OP8}

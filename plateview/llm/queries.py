@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from plateview.llm import decontaminate, langid, line_runs, minhash, mixing
+from plateview.llm import decontaminate, langid, line_runs, minhash, mixing, secrets, warczip
 
 
 def _table(spark: SparkSession, folder: str, name: str, *columns: str) -> DataFrame:
@@ -41,9 +41,20 @@ def op6_decontamination(spark: SparkSession, folder: str) -> DataFrame:
         (F.col("n_hit") > 0).alias("contaminated"))
 
 
+def op7_warc_packages(spark: SparkSession, folder: str) -> DataFrame:
+    records = warczip.round_trip(_table(spark, folder, "pages", "page_id", "url", "html"))
+    return records.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
 def op8_line_dedup(spark: SparkSession, folder: str) -> DataFrame:
     documents = _table(spark, folder, "documents", "doc_id", "text")
     return line_runs.without_repeats(documents).select("doc_id", "n_lines", "n_removed", F.sha2("text", 256).alias("kept_sha256"))
 
 
-QUERIES = {f.__name__: f for f in (op1_source_mix, op3_language_id, op4_minhash_dedup, op6_decontamination, op8_line_dedup)}
+def op10_secret_scan(spark: SparkSession, folder: str) -> DataFrame:
+    documents = _table(spark, folder, "documents", "doc_id", "text")
+    found = secrets.scan(documents, secrets.fit(documents), ["doc_id"])
+    return found.select("doc_id", "n_assign", "n_access", "n_hex", F.sha2("base", 256).alias("base_sha256"), "spans")
+
+
+QUERIES = {f.__name__: f for f in (op1_source_mix, op3_language_id, op4_minhash_dedup, op6_decontamination, op7_warc_packages, op8_line_dedup, op10_secret_scan)}
