@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, functions as F
 
 from plateview.sources.scratch import stored
@@ -34,3 +36,75 @@ def components(links: DataFrame) -> DataFrame:
         now = stored(small.unionByName(nearest.select("hi", F.col("least").alias("lo"))).distinct(), "links")
     tops = now.groupBy("hi").agg(F.min("lo").alias("component")).withColumnRenamed("hi", "id")
     return tops.unionByName(now.select(F.col("lo").alias("id"), F.col("lo").alias("component")).distinct())
+
+
+FEW = 64    # members outside a bucket's least component that are compared with the whole bucket at once
+
+
+def _renamed(members: DataFrame, parts: DataFrame | None) -> DataFrame:
+    """Members with their present component, the least id linked to them so far."""
+    plain = members.drop("component", "least", "n", "others")
+    if parts is None:
+        return plain.withColumn("component", F.col("id"))
+    return plain.join(parts, "id", "left").withColumn("component", F.coalesce("component", "id"))
+
+
+def _open(members: DataFrame) -> DataFrame:
+    """Members of buckets that hold more than one component; ``others`` counts those outside the least one."""
+    spread = members.groupBy("bucket").agg(F.min("component").alias("_a"), F.max("component").alias("_b"))
+    open_ = members.join(spread.filter(F.col("_a") != F.col("_b")).select("bucket", F.col("_a").alias("least")), "bucket").distinct()
+    sizes = open_.groupBy("bucket").agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("component") != F.col("least")).alias("others"))
+    return open_.join(sizes, "bucket")
+
+
+def _linked(members: DataFrame, centres: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Links ``(a, b)`` between centres and members of their buckets in other components, confirmed on whole sets."""
+    hub = centres.select("bucket", F.col("id").alias("a"), F.col("size").alias("_size"), F.col("component").alias("_component"))
+    pairs = (members.join(hub, "bucket").filter(F.col("component") != F.col("_component"))
+             .filter(100 * F.least("size", "_size") >= percent * F.greatest("size", "_size"))
+             .select(F.least("a", "id").alias("a"), F.greatest("a", "id").alias("b")).distinct())
+    met = (pairs.join(sets.select(F.col("id").alias("b"), F.col("shingles").alias("right")), "b")
+           .join(sets.select(F.col("id").alias("a"), F.col("shingles").alias("left")), "a")
+           .select("a", "b", F.size(F.array_intersect("left", "right")).alias("both"), (F.size("left") + F.size("right")).alias("total")))
+    return stored(met.filter(100 * F.col("both") >= percent * (F.col("total") - F.col("both"))).select("a", "b"), "near")
+
+
+def star_components(members: DataFrame, sets: DataFrame, percent: int, refine: Callable[[DataFrame, int], DataFrame] | None = None) -> DataFrame:
+    """``(id, component)`` of what is linked among ``members(bucket, id, size)`` by sets ``(id, shingles)`` of ``percent`` similarity.
+
+    Every bucket is first a star: all members against the least one, so a bucket of n gives n - 1 pairs. What then
+    still lies outside the bucket's least component is compared with the whole bucket if it is few, 64 * n pairs at most; if it
+    is more, ``refine`` splits the bucket into narrower ones (without it, sqrt(n) members become centres). A centre has met all its
+    bucket and leaves; the loop ends when no bucket holds two components.
+    """
+    now, links, parts, depth = stored(_open(_renamed(members, None)), "members"), None, None, 0
+    while not now.isEmpty():
+        centres = now.filter(F.col("id") == F.col("least")) if depth == 0 else now.groupBy("bucket").agg(
+            F.min(F.struct("component", "id", "size")).alias("c")).select("bucket", "c.*")
+        new = _linked(now, centres, sets, percent)
+        links = new if links is None else links.unionByName(new)
+        parts = components(links)
+        rest = now.join(centres.select("bucket", "id"), ["bucket", "id"], "left_anti")
+        now = stored(_open(_renamed(rest, parts)), "members")
+        if now.isEmpty():
+            break
+        split = refine is not None and depth < 3
+        outside = now.filter(F.col("component") != F.col("least"))
+        centres = outside.filter(F.col("others") <= FEW)
+        if not split:
+            slot = F.pmod(F.xxhash64("id"), F.ceil(F.sqrt("n"))).alias("_slot")
+            many = (outside.filter(F.col("others") > FEW).groupBy("bucket", slot).agg(F.max(F.struct("component", "id", "size")).alias("c"))
+                    .select("bucket", "c.*"))
+            centres = centres.select("bucket", "component", "id", "size").unionByName(many)
+        centres = stored(centres.select("bucket", "component", "id", "size"), "centres")
+        links = links.unionByName(_linked(now, centres, sets, percent))
+        parts = components(links)
+        rest = now.filter(F.col("others") > FEW).join(centres.select("bucket", "id"), ["bucket", "id"], "left_anti")
+        large = _open(_renamed(rest, parts))
+        if split:
+            large = stored(large, "members")
+            if large.isEmpty():
+                break
+            large = _open(_renamed(refine(large, depth), parts))
+        now, depth = stored(large, "members"), depth + 1
+    return parts if parts is not None else members.limit(0).select("id", F.col("id").alias("component"))

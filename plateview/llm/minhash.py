@@ -2,9 +2,9 @@
 
 A text's 5-word shingles are hashed once; the hash range is cut into bins, the smallest value of a
 bin is its sketch, and an empty bin borrows from the first filled one on its own random route over the bins.
-Bins in bands of six make buckets. In a bucket members are compared with a few centres only, a star,
-and a centre leaves once it is compared with all; buckets go on until their members are one component.
-Every candidate link is confirmed on full shingle sets.
+Bins in bands of six make buckets, and a bucket's candidate edges form a star around one member. What a star
+leaves apart is compared further, crowded buckets by narrower ones, until a bucket is one component; no
+bucket emits all its pairs. Every candidate link is confirmed on full shingle sets.
 """
 
 from __future__ import annotations
@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from plateview.llm.buffers import NOT_SPACE, U64, Words, byte_column, chunks, mix, odd_powers
-from plateview.llm.components import components
+from plateview.llm.components import star_components
 from plateview.sources.scratch import stored
 
 SHINGLE = 5
@@ -104,22 +104,6 @@ def sketches(documents: DataFrame, doc_id: str = "doc_id", text: str = "text") -
     return rows.mapInArrow(_sketches, "doc_id long, n_shingles long, k1 long, k2 long, bands array<long>")
 
 
-def _open(members: DataFrame) -> DataFrame:
-    """Members of buckets that still hold more than one component, with the bucket's size and least component."""
-    spread = members.groupBy("bucket").agg(F.min("component").alias("least"), F.max("component").alias("_most"), F.count(F.lit(1)).alias("n"))
-    return members.select("bucket", "id", "size", "component").join(
-        spread.filter(F.col("least") != F.col("_most")).drop("_most"), "bucket")
-
-
-def _star(members: DataFrame, first: bool) -> DataFrame:
-    """Centres of every bucket: at first its smallest id; later up to sqrt(n) members outside its least component."""
-    if first:
-        return members.filter(F.col("id") == F.col("least")).select("bucket", "id", "size", "component").distinct()
-    slot = F.pmod(F.xxhash64("id"), F.ceil(F.sqrt("n"))).alias("_slot")
-    return (members.filter(F.col("component") != F.col("least")).groupBy("bucket", slot)
-            .agg(F.max(F.struct("component", "id", "size")).alias("c")).select("bucket", "c.id", "c.size", "c.component"))
-
-
 def near_duplicates(documents: DataFrame, doc_id: str = "doc_id", text: str = "text", percent: int = 75) -> DataFrame:
     """``(doc_id, n_shingles, component_id)`` of every row.
 
@@ -133,31 +117,23 @@ def near_duplicates(documents: DataFrame, doc_id: str = "doc_id", text: str = "t
     classes = stored(usable.groupBy("k1", "k2").agg(F.min("doc_id").alias("id"), F.first("n_shingles").alias("size")), "classes")
     own = usable.join(classes.withColumnRenamed("id", "doc_id").select("k1", "k2", "doc_id", "size"), ["k1", "k2", "doc_id"])
     rows = own.select(F.col("doc_id").alias("id"), "size", F.explode("bands").alias("bucket"))
-    counted = rows.withColumn("component", F.col("id"))
-    members = stored(_open(counted).distinct(), "members")
     # Rows that repeat an id with another text put two sets under one node; any of them may give a link.
+    shared = rows.groupBy("bucket").agg(F.min("id").alias("_a"), F.max("id").alias("_b")).filter(F.col("_a") != F.col("_b")).select("bucket")
+    members = stored(rows.join(shared, "bucket"), "buckets")
     ids = stored(members.select("id").distinct(), "ids")
     texts = documents.select(F.col(f"`{doc_id}`").cast("long").alias("id"), F.col(f"`{text}`").alias("text"))
     sets = stored(texts.join(ids, "id", "left_semi").mapInArrow(_sets, "id long, shingles array<long>"), "sets")
-    links, first = None, True
-    while True:
-        centres = stored(_star(members, first), "centres")
-        hub = centres.select("bucket", F.col("id").alias("a"), F.col("size").alias("a_size"), F.col("component").alias("a_component"))
-        pairs = (members.join(hub, "bucket").filter(F.col("component") != F.col("a_component"))
-                 .filter(100 * F.least("size", "a_size") >= percent * F.greatest("size", "a_size"))
-                 .select(F.least("a", "id").alias("a"), F.greatest("a", "id").alias("b")).distinct())
-        met = (pairs.join(sets.select(F.col("id").alias("b"), F.col("shingles").alias("right")), "b")
-               .join(sets.select(F.col("id").alias("a"), F.col("shingles").alias("left")), "a")
-               .select("a", "b", F.size(F.array_intersect("left", "right")).alias("both"), (F.size("left") + F.size("right")).alias("total")))
-        new = stored(met.filter(100 * F.col("both") >= percent * (F.col("total") - F.col("both"))).select("a", "b"), "near")
-        links = new if links is None else links.unionByName(new)
-        parts = components(links)
-        rest = members.join(centres.select("bucket", "id"), ["bucket", "id"], "left_anti").select("bucket", "id", "size")
-        named = rest.join(parts, "id", "left").withColumn("component", F.coalesce("component", "id"))
-        members = stored(_open(named), "members")
-        first = False
-        if members.isEmpty():
-            break
+    bands = own.select(F.col("doc_id").alias("id"), "bands")
+
+    def refine(large: DataFrame, depth: int) -> DataFrame:
+        """A crowded bucket becomes one for each further band, so that similar texts meet again and others mostly do not."""
+        used = F.array("bucket") if depth == 0 else F.col("used")
+        further = large.select("id", "size", used.alias("used")).join(bands, "id").select(
+            "id", "size", "used", F.explode(F.array_except("bands", "used")).alias("band"))
+        step = further.select("id", "size", F.array_sort(F.concat("used", F.array("band"))).alias("used")).distinct()
+        return step.select(F.xxhash64("used").alias("bucket"), "id", "size", "used")
+
+    parts = star_components(members, sets, percent, refine)
     whole = classes.join(parts, "id", "left").select("k1", "k2", F.coalesce("component", "id").alias("_c"))
     return (table.select("doc_id", "n_shingles", "k1", "k2").join(whole, ["k1", "k2"], "left")
             .select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull() & (F.col("n_shingles") > 0), F.col("_c"))

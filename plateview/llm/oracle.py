@@ -69,4 +69,21 @@ LEFT JOIN (SELECT doc_id, count(*) AS n FROM lines GROUP BY 1) n ON n.doc_id = d
 LEFT JOIN (SELECT doc_id, count(*) AS n FROM gone GROUP BY 1) g ON g.doc_id = d.doc_id
 """
 
-CHECKS = {"op4_minhash_dedup": OP4, "op6_decontamination": OP6, "op7_warc_packages": OP7, "op8_line_dedup": OP8}
+OP9 = """
+WITH d AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
+w AS (SELECT doc_id, i, substr(h, 2 * i + 1, 100) AS s FROM (SELECT doc_id, h, unnest(range(0, len(h) // 2 - 49)) AS i FROM d)),
+f AS (SELECT s, min(doc_id) AS first_doc FROM w GROUP BY s),
+c AS (SELECT w.doc_id, i, lag(i) OVER (PARTITION BY w.doc_id ORDER BY i) AS p FROM w JOIN f ON f.s = w.s WHERE first_doc < w.doc_id),
+n AS (SELECT doc_id, sum(CASE WHEN p IS NULL THEN 50 ELSE least(50, i - p) END) AS n_removed,
+             count(*) FILTER (p IS NULL OR i > p + 50) AS n_spans FROM c GROUP BY doc_id),
+gone AS (SELECT DISTINCT doc_id, unnest(range(i, i + 50)) AS k FROM c),
+bytes AS (SELECT d.doc_id, h, unnest(range(0, len(h) // 2)) AS k FROM d SEMI JOIN n ON n.doc_id = d.doc_id),
+kept AS (SELECT b.doc_id, string_agg(substr(h, 2 * b.k + 1, 2), '' ORDER BY b.k) AS h FROM bytes b
+         LEFT JOIN gone g ON g.doc_id = b.doc_id AND g.k = b.k WHERE g.k IS NULL GROUP BY b.doc_id)
+SELECT d.doc_id, CAST(len(d.h) // 2 AS BIGINT) AS n_bytes, CAST(coalesce(n_removed, 0) AS BIGINT) AS n_removed, coalesce(n_spans, 0) AS n_spans,
+       sha256(unhex(CASE WHEN n.doc_id IS NULL THEN d.h ELSE coalesce(kept.h, '') END)) AS kept_sha256
+FROM d LEFT JOIN n ON n.doc_id = d.doc_id LEFT JOIN kept ON kept.doc_id = d.doc_id
+"""
+
+CHECKS = {"op4_minhash_dedup": OP4, "op6_decontamination": OP6, "op7_warc_packages": OP7, "op8_line_dedup": OP8,
+          "op9_substring_dedup": OP9}

@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from plateview.llm import decontaminate, langid, line_runs, minhash, mixing, secrets, warczip
+from plateview.functions.rows import settled
+from plateview.llm import decontaminate, langid, line_runs, maintext, minhash, mixing, secrets, spotsigs, substrings, warczip
 
 
 def _table(spark: SparkSession, folder: str, name: str, *columns: str) -> DataFrame:
@@ -20,6 +21,20 @@ def op1_source_mix(spark: SparkSession, folder: str) -> DataFrame:
             .select("doc_id", "size", "source_size", "target", "taken"))
 
 
+def op2_spot_signatures(spark: SparkSession, folder: str) -> DataFrame:
+    documents = _table(spark, folder, "documents", "doc_id", "text").withColumn("text", F.coalesce("text", F.lit("")))
+    beside = spotsigs.with_next(documents)
+    third = F.floor(F.length("text") / 3).cast("int")
+    edited = F.concat(F.substring("text", F.lit(1), F.length("text") - third), F.substring("next_text", F.lit(1), third))
+    keep = ["doc_id", "n_chars", "sigs", "next_sigs", "edited"]
+    step = settled(beside, ["doc_id", "sigs", "next_sigs"], F.struct(F.length("text").cast("long").alias("n_chars"), edited.alias("edited")))
+    found = spotsigs.signatures(step, keep, F.col("edited"), "edited_sigs")
+    return found.select("doc_id", "n_chars", F.sha2("edited", 256).alias("edited_sha256"), spotsigs.printed(F.col("sigs")).alias("fingerprint"),
+                        spotsigs.printed(F.col("edited_sigs")).alias("edited_fingerprint"),
+                        spotsigs.likeness(F.col("sigs"), F.col("edited_sigs")).alias("near_edited"),
+                        spotsigs.likeness(F.col("sigs"), F.col("next_sigs")).alias("near_next"))
+
+
 def op3_language_id(spark: SparkSession, folder: str) -> DataFrame:
     documents = _table(spark, folder, "documents", "doc_id", "text", "lang")
     model = langid.fit(documents.filter(~langid.held_out(F.col("doc_id"))))
@@ -33,6 +48,12 @@ def op4_minhash_dedup(spark: SparkSession, folder: str) -> DataFrame:
         "doc_id", "n_shingles", "component_id", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)).alias("kept"))
 
 
+def op5_main_text(spark: SparkSession, folder: str) -> DataFrame:
+    pages = _table(spark, folder, "pages", "page_id", "url", "html")
+    found = maintext.extract(pages, maintext.fit(pages), ["page_id", "url"])
+    return found.select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))
+
+
 def op6_decontamination(spark: SparkSession, folder: str) -> DataFrame:
     documents = _table(spark, folder, "documents", "doc_id", "text")
     benchmark = _table(spark, folder, "benchmark", "item_id", "text")
@@ -51,10 +72,19 @@ def op8_line_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return line_runs.without_repeats(documents).select("doc_id", "n_lines", "n_removed", F.sha2("text", 256).alias("kept_sha256"))
 
 
+def op9_substring_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    cut = substrings.without_repeats(_table(spark, folder, "documents", "doc_id", "text"))
+    removed = F.aggregate("spans", F.lit(0).cast("long"), lambda s, x: s + x["end"] - x["start"])
+    return cut.select("doc_id", "n_bytes", removed.alias("n_removed"), F.size("spans").cast("long").alias("n_spans"),
+                      F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op10_secret_scan(spark: SparkSession, folder: str) -> DataFrame:
     documents = _table(spark, folder, "documents", "doc_id", "text")
     found = secrets.scan(documents, secrets.fit(documents), ["doc_id"])
     return found.select("doc_id", "n_assign", "n_access", "n_hex", F.sha2("base", 256).alias("base_sha256"), "spans")
 
 
-QUERIES = {f.__name__: f for f in (op1_source_mix, op3_language_id, op4_minhash_dedup, op6_decontamination, op7_warc_packages, op8_line_dedup, op10_secret_scan)}
+QUERIES = {f.__name__: f for f in (
+    op1_source_mix, op2_spot_signatures, op3_language_id, op4_minhash_dedup, op5_main_text, op6_decontamination,
+    op7_warc_packages, op8_line_dedup, op9_substring_dedup, op10_secret_scan)}
