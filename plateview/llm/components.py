@@ -69,42 +69,49 @@ def _linked(members: DataFrame, centres: DataFrame, sets: DataFrame, percent: in
     return stored(met.filter(100 * F.col("both") >= percent * (F.col("total") - F.col("both"))).select("a", "b"), "near")
 
 
-def star_components(members: DataFrame, sets: DataFrame, percent: int, refine: Callable[[DataFrame, int], DataFrame] | None = None) -> DataFrame:
+def merged(parts: DataFrame | None, links: DataFrame) -> DataFrame:
+    """``parts(id, component)`` after further links: these join components, so only the components' ids take part."""
+    if parts is None:
+        return stored(components(links), "parts")
+    at, to = parts.withColumnsRenamed({"id": "a", "component": "_a"}), parts.withColumnsRenamed({"id": "b", "component": "_b"})
+    between = links.join(at, "a", "left").join(to, "b", "left").select(F.coalesce("_a", "a").alias("a"), F.coalesce("_b", "b").alias("b"))
+    joined = components(between).select(F.col("id").alias("component"), F.col("component").alias("_to"))
+    old = parts.join(joined, "component", "left").select("id", F.coalesce("_to", "component").alias("component"))
+    new = joined.select(F.col("component").alias("id"), F.col("_to").alias("component")).join(parts.select("id"), "id", "left_anti")
+    return stored(old.unionByName(new), "parts")
+
+
+def star_components(members: DataFrame, sets: DataFrame, percent: int, refine: Callable[[DataFrame, int], DataFrame] | None = None,
+                    parts: DataFrame | None = None) -> DataFrame:
     """``(id, component)`` of what is linked among ``members(bucket, id, size)`` by sets ``(id, shingles)`` of ``percent`` similarity.
 
-    Every bucket is first a star: all members against the least one, so a bucket of n gives n - 1 pairs. What then
-    still lies outside the bucket's least component is compared with the whole bucket if it is few, 64 * n pairs at most; if it
-    is more, ``refine`` splits the bucket into narrower ones (without it, sqrt(n) members become centres). A centre has met all its
-    bucket and leaves; the loop ends when no bucket holds two components.
+    ``parts`` are components found before; ids that nothing is linked to have no row. Every bucket is first a star: all
+    members against one of its least component, so a bucket of n gives n - 1 pairs. What then still lies outside the
+    bucket's least component is compared with the whole bucket if it is few, 64 * n pairs at most; if it is more, ``refine`` splits the
+    bucket into narrower ones (without it, sqrt(n) members become centres). A centre has met all its bucket and
+    leaves; the loop ends when no bucket holds two components.
     """
-    now, links, parts, depth = stored(_open(_renamed(members, None)), "members"), None, None, 0
+    now, depth = stored(_open(_renamed(members, parts)), "members"), 0
     while not now.isEmpty():
-        centres = now.filter(F.col("id") == F.col("least")) if depth == 0 else now.groupBy("bucket").agg(
-            F.min(F.struct("component", "id", "size")).alias("c")).select("bucket", "c.*")
-        new = _linked(now, centres, sets, percent)
-        links = new if links is None else links.unionByName(new)
-        parts = components(links)
-        rest = now.join(centres.select("bucket", "id"), ["bucket", "id"], "left_anti")
+        hub = now.groupBy("bucket").agg(F.min(F.struct("component", "id", "size")).alias("c")).select("bucket", "c.*")
+        parts = merged(parts, _linked(now, hub, sets, percent))
+        rest = now.join(hub.select("bucket", "id"), ["bucket", "id"], "left_anti")
         now = stored(_open(_renamed(rest, parts)), "members")
         if now.isEmpty():
             break
         split = refine is not None and depth < 3
         outside = now.filter(F.col("component") != F.col("least"))
-        centres = outside.filter(F.col("others") <= FEW)
+        centres = outside.filter(F.col("others") <= FEW).select("bucket", "component", "id", "size")
         if not split:
             slot = F.pmod(F.xxhash64("id"), F.ceil(F.sqrt("n"))).alias("_slot")
             many = (outside.filter(F.col("others") > FEW).groupBy("bucket", slot).agg(F.max(F.struct("component", "id", "size")).alias("c"))
                     .select("bucket", "c.*"))
-            centres = centres.select("bucket", "component", "id", "size").unionByName(many)
-        centres = stored(centres.select("bucket", "component", "id", "size"), "centres")
-        links = links.unionByName(_linked(now, centres, sets, percent))
-        parts = components(links)
+            centres = centres.unionByName(many)
+        centres = stored(centres, "centres")
+        parts = merged(parts, _linked(now, centres, sets, percent))
         rest = now.filter(F.col("others") > FEW).join(centres.select("bucket", "id"), ["bucket", "id"], "left_anti")
-        large = _open(_renamed(rest, parts))
-        if split:
-            large = stored(large, "members")
-            if large.isEmpty():
-                break
-            large = _open(_renamed(refine(large, depth), parts))
-        now, depth = stored(large, "members"), depth + 1
+        now = stored(_open(_renamed(rest, parts)), "members")
+        if split and not now.isEmpty():
+            now = stored(_open(_renamed(refine(now, depth), parts)), "members")
+        depth += 1
     return parts if parts is not None else members.limit(0).select("id", F.col("id").alias("component"))

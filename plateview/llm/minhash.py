@@ -22,6 +22,7 @@ from plateview.sources.scratch import stored
 SHINGLE = 5
 BANDS, ROWS = 64, 6          # a link at similarity 0.75 shares no band once in 280,000 times
 BINS = BANDS * ROWS
+STEPS = (0, 3, 16, BANDS)    # bands that are worked off together
 CHUNK_BYTES = 2 << 20
 
 _routes: list[np.ndarray] = []
@@ -116,7 +117,7 @@ def near_duplicates(documents: DataFrame, doc_id: str = "doc_id", text: str = "t
     usable = table.filter(F.col("doc_id").isNotNull() & (F.col("n_shingles") > 0))
     classes = stored(usable.groupBy("k1", "k2").agg(F.min("doc_id").alias("id"), F.first("n_shingles").alias("size")), "classes")
     own = usable.join(classes.withColumnRenamed("id", "doc_id").select("k1", "k2", "doc_id", "size"), ["k1", "k2", "doc_id"])
-    rows = own.select(F.col("doc_id").alias("id"), "size", F.explode("bands").alias("bucket"))
+    rows = own.select(F.col("doc_id").alias("id"), "size", F.posexplode("bands").alias("band", "bucket"))
     # Rows that repeat an id with another text put two sets under one node; any of them may give a link.
     shared = rows.groupBy("bucket").agg(F.min("id").alias("_a"), F.max("id").alias("_b")).filter(F.col("_a") != F.col("_b")).select("bucket")
     members = stored(rows.join(shared, "bucket"), "buckets")
@@ -133,7 +134,11 @@ def near_duplicates(documents: DataFrame, doc_id: str = "doc_id", text: str = "t
         step = further.select("id", "size", F.array_sort(F.concat("used", F.array("band"))).alias("used")).distinct()
         return step.select(F.xxhash64("used").alias("bucket"), "id", "size", "used")
 
-    parts = star_components(members, sets, percent, refine)
+    # A few bands join most of a large group of copies; the later ones then find their buckets closed.
+    parts = None
+    for low, high in zip(STEPS[:-1], STEPS[1:]):
+        some = members.filter((F.col("band") >= low) & (F.col("band") < high)).drop("band")
+        parts = star_components(some, sets, percent, refine, parts)
     whole = classes.join(parts, "id", "left").select("k1", "k2", F.coalesce("component", "id").alias("_c"))
     return (table.select("doc_id", "n_shingles", "k1", "k2").join(whole, ["k1", "k2"], "left")
             .select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull() & (F.col("n_shingles") > 0), F.col("_c"))
