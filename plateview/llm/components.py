@@ -2,28 +2,51 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from plateview.sources.scratch import stored
 
+FEW_LINKS = 500_000     # links that one task joins; counted before
+
 
 def _fingerprint(links: DataFrame) -> tuple:
     row = links.agg(F.count(F.lit(1)), F.sum(F.xxhash64("hi", "lo") % F.lit(1 << 40))).first()
     return tuple(row)
 
 
-def components(links: DataFrame) -> DataFrame:
+def _joined_here(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Union-find over links of a measured, small number."""
+    up: dict[int, int] = {}
+
+    def top(x: int) -> int:
+        while up.setdefault(x, x) != x:
+            up[x] = x = up[up[x]]
+        return x
+
+    for batch in batches:
+        for a, b in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+            a, b = top(a), top(b)
+            up[max(a, b)] = min(a, b)
+    ids = sorted(up)
+    yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array([top(x) for x in ids], pa.int64())], names=["id", "component"])
+
+
+def components(links: DataFrame, few_links: int = FEW_LINKS) -> DataFrame:
     """``(id, component)`` for every id in ``links(a, b)``: the smallest id that can be reached.
 
-    Large-star and small-star steps alternate until the links stop changing. Every step groups by
-    node with map-side minima, and the join back on a hot node is an equi-join that can be split.
-    Rows with a NULL end are no links; repeated links count once; no links give no rows.
+    Counted links of at most ``few_links`` are joined by one task. More go through large-star and small-star steps
+    until nothing changes: every step groups by node with map-side minima, and the join back on a hot node is an equi-join that
+    can be split. Both give the same rows. Rows with a NULL end are no links; repeated links count once; no links
+    give no rows.
     """
     now = stored(links.filter(F.col("a") != F.col("b"))
-                 .select(F.greatest("a", "b").alias("hi"), F.least("a", "b").alias("lo")).distinct(), "links")
-    before = None
+                 .select(F.greatest("a", "b").alias("hi"), F.least("a", "b").alias("lo")), "links")
+    if now.count() <= few_links:
+        return stored(now.coalesce(1).mapInArrow(_joined_here, "id long, component long"), "parts")
+    now, before = stored(now.distinct(), "links"), None
     while (state := _fingerprint(now)) != before:
         before = state
         both = now.unionByName(now.select(F.col("lo").alias("hi"), F.col("hi").alias("lo")))
@@ -35,29 +58,29 @@ def components(links: DataFrame) -> DataFrame:
                  .select(F.col("lo").alias("hi"), F.col("least").alias("lo")))
         now = stored(small.unionByName(nearest.select("hi", F.col("least").alias("lo"))).distinct(), "links")
     tops = now.groupBy("hi").agg(F.min("lo").alias("component")).withColumnRenamed("hi", "id")
-    return tops.unionByName(now.select(F.col("lo").alias("id"), F.col("lo").alias("component")).distinct())
+    return stored(tops.unionByName(now.select(F.col("lo").alias("id"), F.col("lo").alias("component")).distinct()), "parts")
 
 
-FEW = 64    # members outside a bucket's least component that are compared with the whole bucket at once
+FEW = 64    # members outside a bucket's least component, or components of a bucket, that are compared at once
 
 
-def _renamed(members: DataFrame, parts: DataFrame | None) -> DataFrame:
+def renamed(members: DataFrame, parts: DataFrame | None) -> DataFrame:
     """Members with their present component, the least id linked to them so far."""
-    plain = members.drop("component", "least", "n", "others")
+    plain = members.drop("component", "least", "n", "others", "k")
     if parts is None:
         return plain.withColumn("component", F.col("id"))
     return plain.join(parts, "id", "left").withColumn("component", F.coalesce("component", "id"))
 
 
-def _open(members: DataFrame) -> DataFrame:
-    """Members of buckets that hold more than one component; ``others`` counts those outside the least one."""
-    spread = members.groupBy("bucket").agg(F.min("component").alias("_a"), F.max("component").alias("_b"))
-    open_ = members.join(spread.filter(F.col("_a") != F.col("_b")).select("bucket", F.col("_a").alias("least")), "bucket").distinct()
-    sizes = open_.groupBy("bucket").agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("component") != F.col("least")).alias("others"))
-    return open_.join(sizes, "bucket")
+def open_buckets(members: DataFrame) -> DataFrame:
+    """Members of buckets that hold more than one component, with the ``least`` one, ``n`` members, ``others`` outside the least, ``k`` components."""
+    each = members.groupBy("bucket", "component").agg(F.count(F.lit(1)).alias("c"))
+    whole = each.groupBy("bucket").agg(F.min(F.struct("component", "c")).alias("m"), F.sum("c").alias("n"), F.count(F.lit(1)).alias("k"))
+    return members.join(whole.filter(F.col("k") > 1).select(
+        "bucket", F.col("m.component").alias("least"), "n", (F.col("n") - F.col("m.c")).alias("others"), "k"), "bucket")
 
 
-def _linked(members: DataFrame, centres: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+def linked(members: DataFrame, centres: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """Links ``(a, b)`` between centres and members of their buckets in other components, confirmed on whole sets."""
     hub = centres.select("bucket", F.col("id").alias("a"), F.col("size").alias("_size"), F.col("component").alias("_component"))
     pairs = (members.join(hub, "bucket").filter(F.col("component") != F.col("_component"))
@@ -66,52 +89,44 @@ def _linked(members: DataFrame, centres: DataFrame, sets: DataFrame, percent: in
     met = (pairs.join(sets.select(F.col("id").alias("b"), F.col("shingles").alias("right")), "b")
            .join(sets.select(F.col("id").alias("a"), F.col("shingles").alias("left")), "a")
            .select("a", "b", F.size(F.array_intersect("left", "right")).alias("both"), (F.size("left") + F.size("right")).alias("total")))
-    return stored(met.filter(100 * F.col("both") >= percent * (F.col("total") - F.col("both"))).select("a", "b"), "near")
+    return met.filter(100 * F.col("both") >= percent * (F.col("total") - F.col("both"))).select("a", "b")
 
 
 def merged(parts: DataFrame | None, links: DataFrame) -> DataFrame:
-    """``parts(id, component)`` after further links: these join components, so only the components' ids take part."""
-    if parts is None:
-        return stored(components(links), "parts")
-    at, to = parts.withColumnsRenamed({"id": "a", "component": "_a"}), parts.withColumnsRenamed({"id": "b", "component": "_b"})
-    between = links.join(at, "a", "left").join(to, "b", "left").select(F.coalesce("_a", "a").alias("a"), F.coalesce("_b", "b").alias("b"))
-    joined = components(between).select(F.col("id").alias("component"), F.col("component").alias("_to"))
-    old = parts.join(joined, "component", "left").select("id", F.coalesce("_to", "component").alias("component"))
-    new = joined.select(F.col("component").alias("id"), F.col("_to").alias("component")).join(parts.select("id"), "id", "left_anti")
-    return stored(old.unionByName(new), "parts")
+    """``parts(id, component)`` after further links: a component so far is a star of links to its least id."""
+    return components(links if parts is None else links.unionByName(parts.select(F.col("id").alias("a"), F.col("component").alias("b"))))
+
+
+def hubs(now: DataFrame) -> DataFrame:
+    """The least member of the least component of each bucket."""
+    return (now.filter(F.col("component") == F.col("least")).groupBy("bucket")
+            .agg(F.min(F.struct("id", "size", "component")).alias("c")).select("bucket", "c.*"))
+
+
+def centres(now: DataFrame) -> DataFrame:
+    """About sqrt(n) members outside the least component of each bucket, by a hash of their id."""
+    slot = F.pmod(F.xxhash64("id"), F.ceil(F.sqrt("n"))).alias("_slot")
+    return (now.filter(F.col("component") != F.col("least")).groupBy("bucket", slot)
+            .agg(F.max(F.struct("component", "id", "size")).alias("c")).select("bucket", "c.*"))
 
 
-def star_components(members: DataFrame, sets: DataFrame, percent: int, refine: Callable[[DataFrame, int], DataFrame] | None = None,
-                    parts: DataFrame | None = None) -> DataFrame:
+def star_components(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """``(id, component)`` of what is linked among ``members(bucket, id, size)`` by sets ``(id, shingles)`` of ``percent`` similarity.
 
-    ``parts`` are components found before; ids that nothing is linked to have no row. Every bucket is first a star: all
-    members against one of its least component, so a bucket of n gives n - 1 pairs. What then still lies outside the
-    bucket's least component is compared with the whole bucket if it is few, 64 * n pairs at most; if it is more, ``refine`` splits the
-    bucket into narrower ones (without it, sqrt(n) members become centres). A centre has met all its bucket and
-    leaves; the loop ends when no bucket holds two components.
+    Ids that nothing is linked to have no row. Every bucket is first a star: one member of its least component against
+    all others, so a bucket of n gives n - 1 pairs. Of what then still lies outside the bucket's least component, up to 64 members, or
+    else sqrt(n), are compared with the whole bucket. A centre has met all its bucket and leaves; the loop ends
+    when no bucket holds two components, so no link inside a bucket is lost.
     """
-    now, depth = stored(_open(_renamed(members, parts)), "members"), 0
+    now, parts = stored(open_buckets(renamed(members, None).distinct()), "members"), None
     while not now.isEmpty():
-        hub = now.groupBy("bucket").agg(F.min(F.struct("component", "id", "size")).alias("c")).select("bucket", "c.*")
-        parts = merged(parts, _linked(now, hub, sets, percent))
-        rest = now.join(hub.select("bucket", "id"), ["bucket", "id"], "left_anti")
-        now = stored(_open(_renamed(rest, parts)), "members")
+        parts = merged(parts, linked(now.filter(F.col("component") != F.col("least")), hubs(now), sets, percent))
+        now = stored(open_buckets(renamed(now, parts)), "members")
         if now.isEmpty():
             break
-        split = refine is not None and depth < 3
-        outside = now.filter(F.col("component") != F.col("least"))
-        centres = outside.filter(F.col("others") <= FEW).select("bucket", "component", "id", "size")
-        if not split:
-            slot = F.pmod(F.xxhash64("id"), F.ceil(F.sqrt("n"))).alias("_slot")
-            many = (outside.filter(F.col("others") > FEW).groupBy("bucket", slot).agg(F.max(F.struct("component", "id", "size")).alias("c"))
-                    .select("bucket", "c.*"))
-            centres = centres.unionByName(many)
-        centres = stored(centres, "centres")
-        parts = merged(parts, _linked(now, centres, sets, percent))
-        rest = now.filter(F.col("others") > FEW).join(centres.select("bucket", "id"), ["bucket", "id"], "left_anti")
-        now = stored(_open(_renamed(rest, parts)), "members")
-        if split and not now.isEmpty():
-            now = stored(_open(_renamed(refine(now, depth), parts)), "members")
-        depth += 1
+        few = now.filter((F.col("component") != F.col("least")) & (F.col("others") <= FEW)).select("bucket", "component", "id", "size")
+        chosen = stored(few.unionByName(centres(now.filter(F.col("others") > FEW))), "centres")
+        parts = merged(parts, linked(now, chosen, sets, percent))
+        rest = now.filter(F.col("others") > FEW).join(chosen.select("bucket", "id"), ["bucket", "id"], "left_anti")
+        now = stored(open_buckets(renamed(rest, parts)), "members")
     return parts if parts is not None else members.limit(0).select("id", F.col("id").alias("component"))

@@ -2,9 +2,9 @@
 
 A text's 5-word shingles are hashed once; the hash range is cut into bins, the smallest value of a
 bin is its sketch, and an empty bin borrows from the first filled one on its own random route over the bins.
-Bins in bands of six make buckets, and a bucket's candidate edges form a star around one member. What a star
-leaves apart is compared further, crowded buckets by narrower ones, until a bucket is one component; no
-bucket emits all its pairs. Every candidate link is confirmed on full shingle sets.
+Bins in bands of six make buckets, and a bucket's candidate edges form a star around one member. The components
+that a star leaves apart meet through a few members each, crowded buckets by narrower ones; no bucket emits all
+its pairs. Every candidate link is confirmed on full shingle sets.
 """
 
 from __future__ import annotations
@@ -16,13 +16,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from plateview.llm.buffers import NOT_SPACE, U64, Words, byte_column, chunks, mix, odd_powers
-from plateview.llm.components import star_components
+from plateview.llm.components import FEW, centres, hubs, linked, merged, open_buckets, renamed
 from plateview.sources.scratch import stored
 
 SHINGLE = 5
 BANDS, ROWS = 64, 6          # a link at similarity 0.75 shares no band once in 280,000 times
 BINS = BANDS * ROWS
-STEPS = (0, 3, 16, BANDS)    # bands that are worked off together
+STEPS = (0, 3, BANDS)        # bands that are worked off together
+SLOTS = 16                   # members of a component that a bucket compares
 CHUNK_BYTES = 2 << 20
 
 _routes: list[np.ndarray] = []
@@ -105,6 +106,52 @@ def sketches(documents: DataFrame, doc_id: str = "doc_id", text: str = "text") -
     return rows.mapInArrow(_sketches, "doc_id long, n_shingles long, k1 long, k2 long, bands array<long>")
 
 
+def _sampled(members: DataFrame) -> DataFrame:
+    """At most ``SLOTS`` members of each component in each bucket, others in every bucket."""
+    slot = F.pmod(F.xxhash64("id", "bucket"), F.lit(SLOTS)).alias("_slot")
+    rest = [c for c in members.columns if c not in ("bucket", "component", "id")]
+    return (members.groupBy("bucket", "component", slot).agg(F.min(F.struct("id", *rest)).alias("c"))
+            .select("bucket", "component", "c.*"))
+
+
+def _between(now: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Links between the members of different components of a bucket."""
+    other = now.select("bucket", "id", "size", "component")
+    return linked(now, other, sets, percent)
+
+
+def _narrower(crowded: DataFrame, bands: DataFrame, depth: int) -> DataFrame:
+    """A crowded bucket becomes one for each further band, so that similar texts meet again and others mostly do not."""
+    used = F.array("bucket") if depth == 0 else F.col("used")
+    further = crowded.select("id", "size", used.alias("used")).join(bands, "id").select(
+        "id", "size", "used", F.explode(F.array_except("bands", "used")).alias("band"))
+    step = further.select("id", "size", F.array_sort(F.concat("used", F.array("band"))).alias("used")).distinct()
+    return step.select(F.xxhash64("used").alias("bucket"), "id", "size", "used")
+
+
+def joined_buckets(members: DataFrame, sets: DataFrame, bands: DataFrame, percent: int, parts: DataFrame | None, depth: int = 0) -> DataFrame | None:
+    """``parts(id, component)`` after the links found in buckets ``members(bucket, id, size)``.
+
+    A star first joins most of a bucket. What remains are a few components, which meet through up to ``SLOTS`` members each:
+    small ones whole, large ones through others in each of the up to 64 buckets that similar texts share. A bucket of more than
+    ``FEW`` components holds texts that agree in a common passage only; it is split by further bands.
+    """
+    now = stored(open_buckets(_sampled(renamed(members, parts))), "members")
+    if now.isEmpty():
+        return parts
+    parts = merged(parts, linked(now.filter(F.col("component") != F.col("least")), hubs(now), sets, percent))
+    now = stored(open_buckets(_sampled(renamed(now, parts))), "members")
+    if now.isEmpty():
+        return parts
+    parts = merged(parts, _between(now.filter(F.col("k") <= FEW), sets, percent))
+    crowded = now.filter(F.col("k") > FEW)
+    if crowded.isEmpty():
+        return parts
+    if depth < 3:
+        return joined_buckets(_narrower(crowded, bands, depth), sets, bands, percent, parts, depth + 1)
+    return merged(parts, linked(crowded, centres(crowded), sets, percent))
+
+
 def near_duplicates(documents: DataFrame, doc_id: str = "doc_id", text: str = "text", percent: int = 75) -> DataFrame:
     """``(doc_id, n_shingles, component_id)`` of every row.
 
@@ -120,25 +167,18 @@ def near_duplicates(documents: DataFrame, doc_id: str = "doc_id", text: str = "t
     rows = own.select(F.col("doc_id").alias("id"), "size", F.posexplode("bands").alias("band", "bucket"))
     # Rows that repeat an id with another text put two sets under one node; any of them may give a link.
     shared = rows.groupBy("bucket").agg(F.min("id").alias("_a"), F.max("id").alias("_b")).filter(F.col("_a") != F.col("_b")).select("bucket")
-    members = stored(rows.join(shared, "bucket"), "buckets")
+    members = stored(rows.join(shared, "bucket").distinct(), "buckets")
     ids = stored(members.select("id").distinct(), "ids")
     texts = documents.select(F.col(f"`{doc_id}`").cast("long").alias("id"), F.col(f"`{text}`").alias("text"))
     sets = stored(texts.join(ids, "id", "left_semi").mapInArrow(_sets, "id long, shingles array<long>"), "sets")
     bands = own.select(F.col("doc_id").alias("id"), "bands")
-
-    def refine(large: DataFrame, depth: int) -> DataFrame:
-        """A crowded bucket becomes one for each further band, so that similar texts meet again and others mostly do not."""
-        used = F.array("bucket") if depth == 0 else F.col("used")
-        further = large.select("id", "size", used.alias("used")).join(bands, "id").select(
-            "id", "size", "used", F.explode(F.array_except("bands", "used")).alias("band"))
-        step = further.select("id", "size", F.array_sort(F.concat("used", F.array("band"))).alias("used")).distinct()
-        return step.select(F.xxhash64("used").alias("bucket"), "id", "size", "used")
-
-    # A few bands join most of a large group of copies; the later ones then find their buckets closed.
+    # A few bands join most of a large group of copies; the other ones then find their buckets closed or small.
     parts = None
     for low, high in zip(STEPS[:-1], STEPS[1:]):
         some = members.filter((F.col("band") >= low) & (F.col("band") < high)).drop("band")
-        parts = star_components(some, sets, percent, refine, parts)
+        parts = joined_buckets(some, sets, bands, percent, parts)
+    if parts is None:
+        parts = classes.limit(0).select("id", F.col("id").alias("component"))
     whole = classes.join(parts, "id", "left").select("k1", "k2", F.coalesce("component", "id").alias("_c"))
     return (table.select("doc_id", "n_shingles", "k1", "k2").join(whole, ["k1", "k2"], "left")
             .select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull() & (F.col("n_shingles") > 0), F.col("_c"))

@@ -3,7 +3,8 @@
 Documents are aggregated by membership pattern, the set of sources they belong to. A pattern can be
 used several times; each further use costs more, so repeats spread over the patterns before any is repeated
 more often. The flow from patterns to source quotas is solved on the driver over the aggregated network;
-documents are then chosen in a seeded order, by a histogram of hash buckets and not by a global sort.
+documents are then chosen in a seeded order, by a histogram of hash buckets and not by a global sort, and a
+few of them exchanged until each pattern meets its flow.
 """
 
 from __future__ import annotations
@@ -117,40 +118,66 @@ def _plan_table(spark: SparkSession, rows: list[tuple]) -> DataFrame:
     return spark.createDataFrame(rows, schema)
 
 
-def mixed(table: DataFrame, patterns: list[tuple[tuple, int]], quotas: dict, repeats: int = REPEATS) -> DataFrame:
+def _seeded(table: DataFrame, plan: DataFrame) -> DataFrame:
+    """Rows with ``passes``, ``rest`` and ``on``: the first documents of each pattern in the seeded order that fit into the rest.
+
+    A histogram over hash buckets finds the bucket in which the rest ends; only its documents are ranked.
+    """
+    sums = table.groupBy("_p", "bucket").agg(F.sum("size").alias("_s"))
+    upto = sums.withColumn("_to", F.sum("_s").over(Window.partitionBy("_p").orderBy("bucket"))).join(plan, "_p")
+    cuts = stored(upto.filter((F.col("_to") > F.col("rest")) & (F.col("_to") - F.col("_s") <= F.col("rest")))
+                  .select("_p", F.col("bucket").alias("cut"), (F.col("rest") - F.col("_to") + F.col("_s")).alias("room")), "cuts")
+    at_cut = table.join(F.broadcast(cuts), "_p").filter(F.col("bucket") == F.col("cut"))
+    order = Window.partitionBy("_p").orderBy("draw", "doc_id", "size", "row").rowsBetween(Window.unboundedPreceding, 0)
+    first = at_cut.withColumn("_to", F.sum("size").over(order)).filter(F.col("_to") <= F.col("room")).select("row", F.lit(True).alias("_in"))
+    return (table.join(plan, "_p").join(F.broadcast(cuts.select("_p", "cut")), "_p", "left").join(first, "row", "left")
+            .withColumn("on", (F.col("size") > 0) & F.coalesce((F.col("bucket") < F.col("cut")) | F.col("_in"), F.lit(False))).drop("cut", "_in"))
+
+
+def mixed(table: DataFrame, patterns: list[tuple[tuple, int]], quotas: dict, repeats: int = REPEATS, rounds: int = 6) -> DataFrame:
     """``sized`` rows with ``copies`` and ``taken`` (words, repeats counted).
 
     All documents of a pattern are taken as often as whole passes fit into its flow. The rest is filled in the
-    seeded order up to the first document that does not fit, and then by the one document whose size comes nearest
-    to what is missing. Documents without words, sources or flow are taken 0 times; none more than
-    ``repeats`` times. Equal rows are rows of their own. The order depends on seed, id and text alone.
+    seeded order up to the first document that does not fit. Then one document at a time is added or left out, the one
+    that brings the pattern nearest to its flow, for at most ``rounds`` rounds or until 0.1 % is met. Documents without
+    words, sources or flow are taken 0 times; none more than ``repeats`` times. Equal rows are rows of
+    their own. The order depends on seed, id and text alone.
     """
     spark = table.sparkSession
     flows: dict = {}
     for (pattern, _), words in routed(patterns, quotas, repeats).items():
         flows[pattern] = flows.get(pattern, 0) + words
     plan = _plan_table(spark, [(list(p), flows.get(p, 0) // size if size else 0, flows.get(p, 0) % size if size else 0) for p, size in patterns])
-    hashed = table.withColumn("_p", F.xxhash64("pattern"))
-    plan = F.broadcast(plan.withColumn("_p", F.xxhash64("pattern")).select("_p", "passes", "rest"))   # at most MAX_PATTERNS rows
-    sums = hashed.groupBy("_p", "bucket").agg(F.sum("size").alias("_s"))
-    upto = sums.withColumn("_to", F.sum("_s").over(Window.partitionBy("_p").orderBy("bucket"))).join(plan, "_p")
-    cuts = stored(upto.filter((F.col("_to") > F.col("rest")) & (F.col("_to") - F.col("_s") <= F.col("rest")))
-                  .select("_p", F.col("bucket").alias("cut"), (F.col("rest") - F.col("_to") + F.col("_s")).alias("room")), "cuts")
-    at_cut = hashed.join(F.broadcast(cuts), "_p").filter(F.col("bucket") == F.col("cut"))
-    order = Window.partitionBy("_p").orderBy("draw", "doc_id", "size", "row").rowsBetween(Window.unboundedPreceding, 0)
-    ranked = at_cut.withColumn("_to", F.sum("size").over(order))
-    first = stored(ranked.filter(F.col("_to") <= F.col("room")).select("row", "_p", "size"), "first")
-    gaps = (cuts.join(first.groupBy("_p").agg(F.sum("size").alias("_used")), "_p", "left")
-            .select("_p", "cut", (F.col("room") - F.coalesce("_used", F.lit(0))).alias("gap")))
-    left = (hashed.join(F.broadcast(gaps), "_p").filter((F.col("bucket") >= F.col("cut")) & (F.col("size") > 0))
-            .join(first.select("row"), "row", "left_anti"))
-    nearest = left.groupBy("_p", "gap").agg(F.min(F.struct(F.abs(F.col("size") - F.col("gap")).alias("off"), "draw", "doc_id", "row")).alias("best"))
-    closing = nearest.filter(F.col("best.off") < F.col("gap")).select(F.col("best.row").alias("row"))
-    chosen = first.select("row").unionByName(closing).withColumn("_chosen", F.lit(1))
-    extra = F.when(F.col("bucket") < F.col("cut"), 1).otherwise(F.coalesce("_chosen", F.lit(0)))
-    copies = F.when(F.col("size") > 0, F.coalesce("passes", F.lit(0)) + F.coalesce(extra, F.lit(0))).otherwise(0).cast("long")
-    return (hashed.join(plan, "_p", "left").join(F.broadcast(cuts.select("_p", "cut")), "_p", "left").join(chosen, "row", "left")
-            .select(*table.columns, copies.alias("copies"), (copies * F.col("size")).alias("taken")))
+    # At most MAX_PATTERNS rows, here and in the tables made of them below.
+    plan = F.broadcast(plan.withColumn("_p", F.xxhash64("pattern")).select("_p", "passes", "rest"))
+    state = stored(_seeded(table.withColumn("_p", F.xxhash64("pattern")), plan), "seeded")
+    used = state.groupBy("_p", "rest").agg(F.sum(F.when(F.col("on"), F.col("size")).otherwise(0)).alias("used"), F.sum("size").alias("size")).collect()
+    gaps, slack = {r["_p"]: r["rest"] - r["used"] for r in used}, {r["_p"]: r["size"] // 1000 for r in used}
+    flips: list[int] = []
+    for _ in range(rounds):
+        open_ = [(p, g) for p, g in gaps.items() if abs(g) > slack[p]]
+        if not open_:
+            break
+        gap = F.broadcast(spark.createDataFrame(open_, "_p long, gap long"))
+        now = F.col("on") != F.coalesce(F.col("_flip"), F.lit(False))
+        tried = (_flipped(state, flips).join(gap, "_p").filter(F.col("size") > 0)
+                 .withColumn("left", F.col("gap") + F.when(now, F.col("size")).otherwise(-F.col("size")))
+                 .filter(F.abs("left") < F.abs("gap")))
+        best = tried.groupBy("_p").agg(F.min(F.struct(F.abs("left").alias("off"), "draw", "doc_id", "row", "left")).alias("b")).collect()
+        if not best:
+            break
+        for r in best:
+            gaps[r["_p"]] = r.b.left
+            flips = [x for x in flips if x != r.b.row] if r.b.row in flips else [*flips, r.b.row]
+    extra = (F.col("on") != F.coalesce(F.col("_flip"), F.lit(False))).cast("int")
+    copies = F.when(F.col("size") > 0, F.col("passes") + extra).otherwise(0).cast("long")
+    return _flipped(state, flips).select(*table.columns, copies.alias("copies"), (copies * F.col("size")).alias("taken"))
+
+
+def _flipped(state: DataFrame, rows: list[int]) -> DataFrame:
+    """Marks the rows whose choice was turned round: a few per pattern."""
+    flips = state.sparkSession.createDataFrame([(r, True) for r in rows], "row long, _flip boolean")
+    return state.join(F.broadcast(flips), "row", "left")
 
 
 def mix_by_weight(documents: DataFrame, sources, cycle: tuple[float, ...] = (1.0, 2.0, 3.0), text: str = "text",

@@ -54,14 +54,14 @@ def test_star_compares_members_that_the_centre_does_not_reach(spark):
     assert dict(star_components(members, bodies, 75).collect()) == {1: 1, 2: 1, 3: 1, 4: 1}
 
 
-def test_crowded_bucket_without_refinement_ends(spark):
+def test_large_bucket_of_unlinked_members_ends(spark):
     rng = random.Random(3)
-    sets = {i: sorted(rng.sample(range(100_000), 6)) for i in range(150)}
-    sets[149] = sets[148][:5] + [999_999]
+    sets = {i: sorted(rng.sample(range(100_000), 6)) for i in range(90)}
+    sets[89] = sets[88][:5] + [999_999]
     members = spark.createDataFrame([(0, i, 6) for i in sets], "bucket long, id long, size long")
     bodies = spark.createDataFrame([(i, s) for i, s in sets.items()], "id long, shingles array<long>")
     found = {k: v for k, v in star_components(members, bodies, 70).collect() if k != v}
-    assert found == {149: 148}
+    assert found == {89: 88}
 
 
 def test_crowded_buckets_are_split(spark, monkeypatch):
@@ -75,16 +75,17 @@ def test_crowded_buckets_are_split(spark, monkeypatch):
         own = docs[i - 140][1].split()
         own[-20] = "changed"
         docs.append((i, " ".join(own)))
-    from plateview.llm import components as c
-    monkeypatch.setattr(c, "FEW", 2)
+    monkeypatch.setattr(minhash, "FEW", 2)
     found = {r.doc_id: r.component_id for r in minhash.near_duplicates(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
     assert found == near_components(docs)
 
 
 def test_components_of_a_long_path(spark):
-    links = spark.createDataFrame([(i, i + 1) for i in range(40)] + [(100, 101), (7, 7), (None, 3)], "a long, b long")
-    found = dict(components(links).collect())
-    assert found == {**{i: 0 for i in range(41)}, 100: 100, 101: 100}
+    """The same by one task and by rounds of joins."""
+    links = spark.createDataFrame([(i, i + 1) for i in range(20)] + [(100, 101), (7, 7), (None, 3), (100, 101)], "a long, b long")
+    for few in (1000, 0):
+        assert dict(components(links, few).collect()) == {**{i: 0 for i in range(21)}, 100: 100, 101: 100}
+    assert components(links.limit(0), 0).collect() == []
 
 
 def test_sketch_agreement_estimates_similarity():
