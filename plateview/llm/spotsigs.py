@@ -51,7 +51,7 @@ def signatures(table: DataFrame, keep: list[str], text: Column, name: str, ancho
     step = settled(table, keep, F.struct(normalised(text).alias("_n"), body.alias("_raw")))
     # "^" stands in for the anchor at the beginning.
     parts = F.split(F.concat(F.lit("^"), F.rtrim(F.col("_n")), F.lit(" ")), anchor_pattern(anchors))
-    step = settled(step, [*keep, "_raw"], F.struct(F.transform(parts, F.trim).alias("_p"), F.col("_n").alias("_n")))
+    step = settled(step, [*keep, "_raw"], F.struct(F.transform(parts, lambda p: F.trim(p)).alias("_p"), F.col("_n").alias("_n")))
     words = F.split(F.trim("_n"), " ")
     alone = F.transform(words, lambda w, i: F.array_join(F.slice(words, i + 1, chain), " "))
     step = settled(step, [*keep, "_raw", "_n", "_p"], F.struct(F.filter("_p", lambda p: F.instr(p, " ") > 0).alias("_f")))

@@ -56,7 +56,8 @@ def directory(source) -> dict[str, tuple[int, int]]:
     tail_size = min(total, 22 + 0xFFFF)
     tail = read_range(source, total - tail_size, tail_size)
     at = tail.rfind(b"PK\x05\x06")
-    while at >= 0 and at + 22 + struct.unpack_from("<H", tail, at + 20)[0] != len(tail):
+    # The mark may also stand in the comment; at the real one the comment ends with the file.
+    while at >= 0 and (at + 22 > len(tail) or at + 22 + struct.unpack_from("<H", tail, at + 20)[0] != len(tail)):
         at = tail.rfind(b"PK\x05\x06", 0, at)
     if at < 0:
         raise ValueError("no end of central directory: not a ZIP package")
@@ -237,7 +238,9 @@ def read_packages(paths: DataFrame, range_records: int = RANGE_RECORDS) -> DataF
                         yield _rows(rows)
 
     ranges = stored(paths.select("path").mapInArrow(list_ranges, "path string, offsets array<long>, lengths array<long>"), "ranges")
-    return ranges.repartition(F.col("path"), F.col("offsets")[0]).mapInArrow(
+    # An explicit number, so that the few rows that stand for much reading are not put into one task.
+    tasks = int(paths.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return ranges.repartition(tasks, F.col("path"), F.col("offsets")[0]).mapInArrow(
         fetch, "page_id long, url string, payload_bytes long, payload_digest string, record_type string, refers_to long, payload binary")
 
 
