@@ -23,7 +23,7 @@ SHINGLE = 5
 BANDS, ROWS = 64, 6          # a link at similarity 0.75 shares no band once in 280,000 times
 BINS = BANDS * ROWS
 STEPS = (0, 3, BANDS)        # bands that are worked off together
-SLOTS = 16                   # members of a component that a bucket compares
+SLOTS = 8                    # members of a component that a bucket compares
 CHUNK_BYTES = 2 << 20
 
 _routes: list[np.ndarray] = []
