@@ -6,10 +6,10 @@ the smallest hash among the grams in it, a function of its content, so equal win
 windows under the same gram form a run, and the bytes of a run are its context.
 
 1. Runs are grouped by gram. A context that an earlier document has, too, is covered whole; most repeats end here.
-2. Grams with several contexts send each context once, from its first document. There the windows are suffixes: a merge
-   sort orders them, two being compared by binary search for their common extension over prefix hashes, and
-   neighbours that agree on ``LEAST`` bytes are verified byte by byte.
-3. Each document marks what the verdicts cover, and keeps the rest.
+2. Grams with several contexts send each context from its first document. There the windows are suffixes: those whose hash
+   occurs again are ordered by their first bytes and then by a merge sort, two being compared by binary search for their
+   common extension over prefix hashes; neighbours that agree on ``LEAST`` bytes are verified byte by byte.
+3. Each document marks what both steps cover, and keeps the rest.
 
 Texts are shuffled once, into batches of bounded size; all three steps read that shuffle. Within a batch equal contexts
 are one record, so a passage in a third of all documents sends one record per batch. Grams that are frequent in a
@@ -35,6 +35,7 @@ CHUNK_BYTES = 1 << 18        # text that is hashed at once
 SAMPLE_ROWS = 20_000         # documents in which frequent grams are looked for, at most
 FREQUENT = 0.002             # share of the sample that makes a gram frequent
 _BASE = 0x9E3779B97F4A7C15
+KEPT_BITS, CONTEXT_BITS = U64((1 << 56) - 1), U64((1 << 40) - 1)     # of a gram's and a context's hash, 96 bits together
 _powers: list[np.ndarray] = []
 
 
@@ -105,8 +106,9 @@ class Runs:
             hint = np.zeros(1 << 16, bool)
             hint[(frequent & U64(0xFFFF)).astype(np.int64)] = True
             maybe = np.flatnonzero(hint[(grams & U64(0xFFFF)).astype(np.int64)])
-            at = np.minimum(np.searchsorted(frequent, grams[maybe]), len(frequent) - 1)
-            grams[maybe[frequent[at] == grams[maybe]]] |= U64(1 << 63)
+            low = grams[maybe] & KEPT_BITS
+            at = np.minimum(np.searchsorted(frequent, low), len(frequent) - 1)
+            grams[maybe[frequent[at] == low]] |= U64(1 << 63)
         least = _least_of(grams, LEAST - GRAM + 1)
         doc = np.repeat(np.arange(len(bounds) - 1), np.diff(bounds))
         inside = doc[:windows] == doc[LEAST - 1:]
@@ -115,25 +117,34 @@ class Runs:
         last = np.ones(windows, bool)
         last[:-1] = new[1:] | ~inside[1:]
         self.low, self.high = np.flatnonzero(new & inside), np.flatnonzero(last & inside)
-        self.gram, self.doc = least[self.low], doc[self.low]
+        self.gram, self.doc = least[self.low] & KEPT_BITS, doc[self.low]
         size = self.high - self.low + LEAST
-        self.context = mix(self.hashes.of(self.low, size) + size.astype(U64) * U64(0xD6E8FEB86659FD93))
+        self.context = mix(self.hashes.of(self.low, size) + size.astype(U64) * U64(0xD6E8FEB86659FD93)) & CONTEXT_BITS
 
 
-def _pack(*arrays: np.ndarray) -> bytes:
-    return b"".join(np.ascontiguousarray(a).tobytes() for a in arrays)
+# Columns of a message by type and bytes of a value; planes of equal bytes lie together, so that high bytes of small numbers compress away.
+GRAMS, HASHES, NUMBERS, FLAGS = (U64, 7), (U64, 5), (np.int64, 8), (bool, 1)
 
 
-def _unpack(blob: bytes, *types) -> list[np.ndarray]:
-    """Columns of equal length, one after another."""
-    sizes = [np.dtype(t).itemsize for t in types]
-    n, at, out = len(blob) // sum(sizes), 0, []
-    for t, size in zip(types, sizes):
-        out.append(np.frombuffer(blob, t, n, at))
-        at += n * size
+def _pack(columns: list[np.ndarray], kinds: list[tuple]) -> bytes:
+    return b"".join(np.ascontiguousarray(c).astype(t, copy=False).view(np.uint8).reshape(len(c), np.dtype(t).itemsize)[:, :k].T.tobytes() for c, (t, k) in zip(columns, kinds))
+
+
+def _unpack(blob: bytes, kinds: list[tuple]) -> list[np.ndarray]:
+    n, at, out = len(blob) // sum(k for _, k in kinds), 0, []
+    for t, k in kinds:
+        whole = np.zeros((n, np.dtype(t).itemsize), np.uint8)
+        whole[:, :k] = np.frombuffer(blob, np.uint8, n * k, at).reshape(k, n).T
+        out.append(whole.view(t).ravel())
+        at += n * k
     return out
 
 
+def _together(blobs: list[bytes], kinds: list[tuple]) -> list[np.ndarray]:
+    parts = [_unpack(b, kinds) for b in blobs] or [_unpack(b"", kinds)]
+    return [np.concatenate([p[i] for p in parts]) for i in range(len(kinds))]
+
+
 def _edges(*columns: np.ndarray) -> np.ndarray:
     """Where a row differs from the one before, in sorted columns."""
     new = np.ones(len(columns[0]), bool)
@@ -143,29 +154,33 @@ def _edges(*columns: np.ndarray) -> np.ndarray:
 
 _SENT = "part long, batch long, kind int, blob binary"
 _SENT_SCHEMA = pa.schema([("part", pa.int64()), ("batch", pa.int64()), ("kind", pa.int32()), ("blob", pa.binary())])
-RUNS, VERDICT, CONTEXTS, WINDOWS = 0, 1, 2, 3
+RUNS, VERDICT, CONTEXTS, SPANS = 0, 1, 2, 3
+_RUN, _FOUND = [GRAMS, HASHES, NUMBERS, FLAGS], [GRAMS, HASHES, NUMBERS, FLAGS]
+_CONTEXT, _SPAN = [GRAMS, NUMBERS, NUMBERS, NUMBERS], [NUMBERS, NUMBERS]
 
 
 def _sent(rows: list[tuple]) -> pa.Table:
     return pa.table([pa.array(c, t) for c, t in zip(zip(*rows), _SENT_SCHEMA.types)], schema=_SENT_SCHEMA) if rows else _SENT_SCHEMA.empty_table()
 
 
-def _batch(table: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    column = table.column("text")
-    data, ends = byte_column(column.combine_chunks() if column.num_chunks != 1 else column.chunk(0))
-    return data, ends, np.array(table.column("_id"))
+def _batch(table: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray, pa.Table]:
+    """Bytes, bounds and ids of a batch's texts, in an order that does not depend on how the rows arrived."""
+    table = table.take(pa.array(np.lexsort((np.array(table.column("_v")), np.array(table.column("_id"))))))
+    data, ends = byte_column(table.column("text").combine_chunks())
+    return data, ends, np.array(table.column("_id")), table
 
 
-def _by_part(batch: int, kind: int, gram: np.ndarray, parts: int, columns: list[np.ndarray]) -> list[tuple]:
+def _by_part(batch: int, gram: np.ndarray, parts: int) -> Iterator[tuple[int, np.ndarray]]:
+    """Rows that go to each part."""
     part = (mix(gram) % U64(parts)).astype(np.int64)
     order = np.argsort(part, kind="stable")
-    cuts = np.concatenate([np.flatnonzero(_edges(part[order])), [len(order)]])
-    return [(int(part[order[a]]), batch, kind, _pack(*(c[order[a:b]] for c in columns))) for a, b in zip(cuts[:-1], cuts[1:])]
+    for own in np.split(order, np.flatnonzero(np.diff(part[order])) + 1) if len(order) else ():
+        yield int(part[own[0]]), own
 
 
 def _send_runs(table: pa.Table, frequent: np.ndarray, parts: int) -> pa.Table:
     """A batch's distinct contexts, with the first document that has each and whether another has it, too."""
-    data, ends, ids = _batch(table)
+    data, ends, ids, _ = _batch(table)
     gram, context, doc = [], [], []
     for first, offset, bounds in _pieces(ends):
         runs = Runs(data[offset: offset + bounds[-1]], bounds, frequent)
@@ -179,13 +194,20 @@ def _send_runs(table: pa.Table, frequent: np.ndarray, parts: int) -> pa.Table:
     gram, context, doc = gram[order], context[order], doc[order]
     at = np.flatnonzero(_edges(gram, context))
     several = doc[np.append(at[1:], len(doc)) - 1] != doc[at]
-    return _sent(_by_part(table.column("batch")[0].as_py(), RUNS, gram[at], parts, [gram[at], context[at], doc[at], several]))
+    columns = [gram[at], context[at], doc[at], several]
+    batch = table.column("batch")[0].as_py()
+    return _sent([(part, batch, RUNS, _pack([c[own] for c in columns], _RUN)) for part, own in _by_part(batch, gram[at], parts)])
+
+
+def _by_source(source: np.ndarray) -> Iterator[np.ndarray]:
+    order = np.argsort(source, kind="stable")
+    yield from np.split(order, np.flatnonzero(np.diff(source[order])) + 1) if len(order) else ()
 
 
 def _judge_runs(table: pa.Table) -> pa.Table:
     """For every context that an earlier document or another context of its gram touches: its first document, and whether to compare."""
     batches = table.column("batch").to_pylist()
-    columns = [_unpack(blob, U64, U64, np.int64, bool) for blob in table.column("blob").to_pylist()]
+    columns = [_unpack(blob, _RUN) for blob in table.column("blob").to_pylist()]
     source = np.repeat(np.arange(len(batches)), [len(c[0]) for c in columns])
     gram, context, doc, several = (np.concatenate([c[i] for c in columns]) for i in range(4))
     order = np.lexsort((doc, context, gram))
@@ -199,26 +221,18 @@ def _judge_runs(table: pa.Table) -> pa.Table:
     which = np.cumsum(new) - 1
     first, compare = first[which], compare[which]
     useful = np.flatnonzero((first < doc) | several | (compare & (first == doc)))
-    useful = useful[np.argsort(source[useful], kind="stable")]
-    cuts = np.concatenate([np.flatnonzero(_edges(source[useful])), [len(useful)]]) if len(useful) else np.zeros(1, np.int64)
-    return _sent([(0, batches[source[useful[a]]], VERDICT, _pack(*(c[useful[a:b]] for c in (gram, context, first, compare))))
-                  for a, b in zip(cuts[:-1], cuts[1:])])
+    found = [c[useful] for c in (gram, context, first, compare)]
+    return _sent([(0, batches[source[useful[own[0]]]], VERDICT, _pack([c[own] for c in found], _FOUND)) for own in _by_source(source[useful])])
 
 
 class Verdicts:
-    """What steps 1 and 2 found for the contexts of a batch."""
+    """What step 1 found for the contexts of a batch."""
 
-    def __init__(self, table: pa.Table):
-        kinds, blobs = table.column("kind").to_pylist(), table.column("blob").to_pylist()
-        columns = [_unpack(b, U64, U64, np.int64, bool) for k, b in zip(kinds, blobs) if k == VERDICT] or [_unpack(b"", U64, U64, np.int64, bool)]
-        gram, context, first, compare = (np.concatenate([c[i] for c in columns]) for i in range(4))
+    def __init__(self, blobs: list[bytes]):
+        gram, context, first, compare = _together(blobs, _FOUND)
         order = np.argsort(self._key(gram, context))
         self.gram, self.context, self.first, self.compare = gram[order], context[order], first[order], compare[order]
         self.key = self._key(self.gram, self.context)
-        columns = [_unpack(b, U64, U64, np.int64) for k, b in zip(kinds, blobs) if k == WINDOWS] or [_unpack(b"", U64, U64, np.int64)]
-        gram, context, window = (np.concatenate([c[i] for c in columns]) for i in range(3))
-        order = np.argsort(self._key(gram, context), kind="stable")
-        self.window_key, self.window = self._key(gram, context)[order], window[order]
 
     @staticmethod
     def _key(gram: np.ndarray, context: np.ndarray) -> np.ndarray:
@@ -233,58 +247,70 @@ class Verdicts:
         return known, at[known]
 
 
+def _covered(starts: np.ndarray, ends: np.ndarray, size: int) -> np.ndarray:
+    """Which of ``size`` bytes lie in a span."""
+    change = np.bincount(starts, minlength=size + 1) - np.bincount(ends, minlength=size + 1)
+    return np.cumsum(change[:-1]) > 0
+
+
+def _spans(marked: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    step = np.diff(np.concatenate([[False], marked, [False]]).astype(np.int8))
+    return np.flatnonzero(step == 1), np.flatnonzero(step == -1)
+
+
 def _send_contexts(table: pa.Table, verdicts: pa.Table, frequent: np.ndarray, parts: int) -> pa.Table:
-    """The contexts to compare, each from its first document; the batch's verdicts travel along under a part of their own."""
+    """What whole contexts cover, for the batch itself, and the contexts to compare, each from its first document with its place."""
     if not len(table):
         return _sent([])
-    data, ends, ids = _batch(table)
-    batch, held = table.column("batch")[0].as_py(), Verdicts(verdicts)
-    gram, context, doc, size, body = [], [], [], [], []
+    data, ends, ids, _ = _batch(table)
+    batch, held = table.column("batch")[0].as_py(), Verdicts(verdicts.column("blob").to_pylist())
+    low, high, gram, doc, size, place, body = [], [], [], [], [], [], []
     for first, offset, bounds in _pieces(ends):
         runs = Runs(data[offset: offset + bounds[-1]], bounds, frequent)
         known, at = held.find(runs)
-        wanted = held.compare[at] & (held.first[at] == ids[first + runs.doc[known]])
+        own = ids[first + runs.doc[known]]
+        whole = held.first[at] < own
+        low.append(runs.low[known[whole]] + offset)
+        high.append(runs.high[known[whole]] + offset + LEAST)
+        wanted = held.compare[at] & (held.first[at] == own)
         known = known[wanted]
         gram.append(runs.gram[known])
-        context.append(runs.context[known])
-        doc.append(ids[first + runs.doc[known]])
+        doc.append(own[wanted])
         size.append(runs.high[known] - runs.low[known] + LEAST)
-        body += [data[offset + a: offset + b + LEAST].tobytes() for a, b in zip(runs.low[known].tolist(), runs.high[known].tolist())]
-    gram, context, doc, size = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in (gram, context, doc, size))
-    rows = [(-1 - batch, batch, VERDICT, b) for b in verdicts.column("blob").to_pylist()]
-    if len(gram):
-        order = np.lexsort((context, gram))
-        order = order[_edges(gram[order], context[order])]
-        part = (mix(gram[order]) % U64(parts)).astype(np.int64)
-        order, part = order[np.argsort(part, kind="stable")], np.sort(part)
-        cuts = np.concatenate([np.flatnonzero(_edges(part)), [len(order)]])
-        for a, b in zip(cuts[:-1], cuts[1:]):
-            own = order[a:b]
-            head = _pack(np.array([len(own)], np.int64), gram[own], context[own], doc[own], size[own])
-            rows.append((int(part[a]), batch, CONTEXTS, head + b"".join(body[i] for i in own)))
+        place.append(runs.low[known] + offset)
+        body += [data[a: a + n].tobytes() for a, n in zip(place[-1].tolist(), size[-1].tolist())]
+    rows = [(-1 - batch, batch, SPANS, _pack(list(_spans(_covered(np.concatenate(low), np.concatenate(high), len(data)))), _SPAN))]
+    columns = [np.concatenate(x) for x in (gram, doc, size, place)]
+    for part, own in _by_part(batch, columns[0], parts):
+        head = _pack([c[own] for c in columns], _CONTEXT)
+        rows.append((part, batch, CONTEXTS, len(own).to_bytes(8, "little") + head + b"".join(body[i] for i in own)))
     return _sent(rows)
 
 
-def merge_sorted(hashes: Hashes, places: np.ndarray, groups: np.ndarray, depth: int = LEAST) -> np.ndarray:
-    """``places`` ordered within each group (consecutive equal numbers) by the ``depth`` bytes that follow.
+def merge_sorted(hashes: Hashes, items: np.ndarray, groups: np.ndarray, at: np.ndarray, depth: int = LEAST) -> np.ndarray:
+    """``items`` ordered within each group (consecutive equal numbers) by the ``depth`` bytes that follow ``at[item]``.
 
     Bottom-up merge sort of all groups at once: an element's place in a merged pair of runs is its place in its own run
-    and the number of elements of the other run before it, found by binary search. Two suffixes are compared
-    at the byte after their common extension. Ties keep their order.
+    and the number of elements of the other run before it, found by binary search. Two suffixes whose hashes differ are
+    compared at the byte after their common extension. Ties keep their order.
     """
-    places = places.copy()
-    n = len(places)
+    items = items.copy()
+    n = len(items)
     start = np.flatnonzero(_edges(groups)) if n else np.zeros(0, np.int64)
     size = np.diff(np.append(start, n))
     base, total = np.repeat(start, size), np.repeat(size, size)
     inside = np.arange(n) - base
 
+    whole = hashes.of(at, depth)
+
     def before(a, b, or_equal):
-        """Whether suffix a stands before b."""
-        same = hashes.common(a, b, depth)
-        full = same >= depth
-        at = np.minimum(same, depth - 1)
-        return np.where(full, or_equal, hashes.data[a + at] < hashes.data[b + at])
+        """Whether the suffix of item a stands before that of item b."""
+        out = or_equal.copy()
+        i = np.flatnonzero(whole[a] != whole[b])
+        x, y = at[a[i]], at[b[i]]
+        step = np.minimum(hashes.common(x, y, depth), depth - 1)
+        out[i] = hashes.data[x + step] < hashes.data[y + step]
+        return out
 
     width = 1
     while n and width < size.max():
@@ -294,34 +320,42 @@ def merge_sorted(hashes: Hashes, places: np.ndarray, groups: np.ndarray, depth:
         left = own - pair < width
         low = base[active] + np.where(left, np.minimum(pair + width, total[active]), pair)
         high = base[active] + np.where(left, np.minimum(pair + 2 * width, total[active]), np.minimum(pair + width, total[active]))
-        other, me, a, b = low.copy(), places[active], low, high
+        other, me, a, b = low.copy(), items[active], low, high
         while (open_ := a < b).any():
             i = np.flatnonzero(open_)
             middle = (a[i] + b[i]) // 2
             # From the left run count smaller ones on the right; from the right run also equal ones on the left.
-            right = before(places[middle], me[i], ~left[i])
+            right = before(items[middle], me[i], ~left[i])
             a[i], b[i] = np.where(right, middle + 1, a[i]), np.where(right, b[i], middle)
         target = base[active] + pair + np.where(left, own - pair, own - pair - width) + (a - other)
-        merged = places.copy()
+        merged = items.copy()
         merged[target] = me
-        places, width = merged, 2 * width
-    return places
+        items, width = merged, 2 * width
+    return items
+
+
+def _prefixes(data: np.ndarray, places: np.ndarray) -> np.ndarray:
+    """The first eight bytes at each place as a number of the same order."""
+    out = np.zeros(len(places), U64)
+    for i in range(8):
+        out = out << U64(8) | data[places + i].astype(U64)
+    return out
 
 
 def _judge_contexts(table: pa.Table) -> pa.Table:
-    """The windows of each context that an earlier document's context of the same gram holds, too."""
+    """The windows of each context that an earlier document's context of the same gram holds, too, as spans of their batch."""
     kinds, batches, blobs = (table.column(c).to_pylist() for c in ("kind", "batch", "blob"))
-    rows = [(0, batch, kind, blob) for kind, batch, blob in zip(kinds, batches, blobs) if kind == VERDICT]
-    heads, bodies, source = [], [], []
+    rows = [(0, batch, kind, blob) for kind, batch, blob in zip(kinds, batches, blobs) if kind == SPANS]
+    heads, bodies, source, width = [], [], [], sum(k for _, k in _CONTEXT)
     for i, (kind, blob) in enumerate(zip(kinds, blobs)):
         if kind == CONTEXTS:
-            n = int(np.frombuffer(blob, np.int64, 1)[0])
-            heads.append(_unpack(blob[8: 8 + 32 * n], U64, U64, np.int64, np.int64))
-            bodies.append(np.frombuffer(blob, np.uint8, offset=8 + 32 * n))
+            n = int.from_bytes(blob[:8], "little")
+            heads.append(_unpack(blob[8: 8 + width * n], _CONTEXT))
+            bodies.append(np.frombuffer(blob, np.uint8, offset=8 + width * n))
             source.append(np.full(n, i))
     if not heads:
         return _sent(rows)
-    gram, context, doc, size = (np.concatenate([h[i] for h in heads]) for i in range(4))
+    gram, doc, size, origin = (np.concatenate([h[i] for h in heads]) for i in range(4))
     data, source = np.concatenate(bodies), np.concatenate(source)
     hashes = Hashes(data)
     start = np.cumsum(size) - size
@@ -329,20 +363,22 @@ def _judge_contexts(table: pa.Table) -> pa.Table:
     owner = np.repeat(np.arange(len(size)), count)
     window = np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
     place = start[owner] + window
+    # A window whose hash is alone here has no equal; the others are sorted.
+    _, which, times = np.unique(hashes.of(place, LEAST), return_inverse=True, return_counts=True)
+    keep = times[which] > 1
+    owner, window, place = owner[keep], window[keep], place[keep]
+    if not len(place):
+        return _sent(rows)
     # Where in the window its gram first stands: equal windows agree in that.
-    plain = gram & ~U64(1 << 63)
-    held = np.repeat(np.arange(len(size)), size)[: max(len(data) - GRAM + 1, 0)]
-    occurs = np.flatnonzero(hashes.grams() == plain[held])
+    held = np.repeat(np.arange(len(size)), size)[: len(data) - GRAM + 1]
+    occurs = np.flatnonzero(hashes.grams() & KEPT_BITS == gram[held])
     offset = occurs[np.minimum(np.searchsorted(occurs, place), len(occurs) - 1)] - place
-    order = np.lexsort((doc[owner], offset, gram[owner]))
-    group = np.cumsum(_edges(gram[owner][order], offset[order])) - 1
-    lonely = np.bincount(group)[group] == 1
-    order, group = order[~lonely], group[~lonely]
-    if not len(order):
-        return _sent(rows)
-    by_place = np.argsort(place)
-    placed = merge_sorted(hashes, place[order], group)
-    order = by_place[np.searchsorted(place[by_place], placed)]
+    lead = _prefixes(data, place)
+    order = np.lexsort((doc[owner], lead, offset, gram[owner]))
+    group = np.cumsum(_edges(gram[owner][order], offset[order], lead[order])) - 1
+    owner, window, place = owner[order], window[order], place[order]
+    ranked = merge_sorted(hashes, np.arange(len(place)), group, place)
+    owner, window, placed = owner[ranked], window[ranked], place[ranked]
     # Neighbours that agree by hash are verified by their bytes.
     alike = np.flatnonzero((group[1:] == group[:-1]) & (hashes.of(placed[1:], LEAST) == hashes.of(placed[:-1], LEAST)))
     same = np.zeros(len(placed), bool)
@@ -351,58 +387,37 @@ def _judge_contexts(table: pa.Table) -> pa.Table:
         span = np.arange(LEAST)
         same[i + 1] = (data[placed[i + 1][:, None] + span] == data[placed[i][:, None] + span]).all(axis=1)
     block = np.flatnonzero(~same)
-    owner = owner[order]
     first = np.minimum.reduceat(doc[owner], block)[np.cumsum(~same) - 1]
     gone = np.flatnonzero(first < doc[owner])
-    gone = gone[np.argsort(source[owner[gone]], kind="stable")]
-    if len(gone):
-        cuts = np.concatenate([np.flatnonzero(_edges(source[owner[gone]])), [len(gone)]])
-        for a, b in zip(cuts[:-1], cuts[1:]):
-            own = gone[a:b]
-            rows.append((0, batches[source[owner[own[0]]]], WINDOWS, _pack(gram[owner[own]], context[owner[own]], window[order[own]])))
+    spot = origin[owner[gone]] + window[gone]
+    for own in _by_source(source[owner[gone]]):
+        at = np.unique(spot[own])
+        new = np.concatenate([[True], np.diff(at) > 1])
+        last = np.concatenate([at[:-1][new[1:]], at[-1:]])
+        rows.append((0, batches[source[owner[gone[own[0]]]]], SPANS, _pack([at[new], last + LEAST], _SPAN)))
     return _sent(rows)
 
 
 _KEPT = pa.schema([("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("spans", pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))), ("kept", pa.binary())])
 
 
-def _cut(table: pa.Table, verdicts: pa.Table, frequent: np.ndarray) -> pa.Table:
-    """Every document without what the verdicts cover."""
+def _cut(table: pa.Table, spans: pa.Table) -> pa.Table:
+    """Every document without what the spans cover."""
     if not len(table):
         return _KEPT.empty_table()
-    data, ends, ids = _batch(table)
-    held = Verdicts(verdicts)
-    change = np.zeros(len(data) + 1, np.int32)
-    for first, offset, bounds in _pieces(ends):
-        runs = Runs(data[offset: offset + bounds[-1]], bounds, frequent)
-        known, at = held.find(runs)
-        doc = ids[first + runs.doc[known]]
-        whole = held.first[at] < doc
-        low, high = [runs.low[known[whole]]], [runs.high[known[whole]]]
-        some = (held.first[at] == doc) & held.compare[at]
-        if some.any() and len(held.window_key):
-            run, key = known[some], held.key[at[some]]
-            a, b = np.searchsorted(held.window_key, key, "left"), np.searchsorted(held.window_key, key, "right")
-            each = np.repeat(np.arange(len(run)), b - a)
-            window = held.window[np.arange((b - a).sum()) - np.repeat(np.cumsum(b - a) - (b - a), b - a) + np.repeat(a, b - a)]
-            low.append(runs.low[run][each] + window)
-            high.append(low[-1])
-        low, high = np.concatenate(low) + offset, np.concatenate(high) + offset + LEAST
-        if len(low):
-            piece = slice(offset, offset + int(bounds[-1]) + 1)
-            change[piece] += (np.bincount(low - offset, minlength=bounds[-1] + 1) - np.bincount(high - offset, minlength=bounds[-1] + 1)).astype(np.int32)
-    gone = np.cumsum(change[:-1]) > 0
-    spans, kept = [], []
+    data, ends, _, table = _batch(table)
+    gone = _covered(*_together(spans.column("blob").to_pylist(), _SPAN), len(data))
+    removed, kept = [], []
     for a, b in zip(ends[:-1], ends[1:]):
         own = gone[a:b]
         if own.any():
-            step = np.diff(np.concatenate([[False], own, [False]]).astype(np.int8))
-            spans.append([{"start": int(x), "end": int(y)} for x, y in zip(np.flatnonzero(step == 1), np.flatnonzero(step == -1))])
+            removed.append([{"start": int(x), "end": int(y)} for x, y in zip(*_spans(own))])
             kept.append(data[a:b][~own].tobytes())
         else:
-            spans.append([])
+            removed.append([])
             kept.append(data[a:b].tobytes())
-    return pa.table([table.column("doc_id").combine_chunks(), pa.array(np.diff(ends)), pa.array(spans, _KEPT.field("spans").type), pa.array(kept, pa.binary())], schema=_KEPT)
+    ids = table.column("doc_id").combine_chunks()
+    return pa.table([ids, pa.array(np.diff(ends)), pa.array(removed, _KEPT.field("spans").type), pa.array(kept, pa.binary())], schema=_KEPT)
 
 
 def frequent_grams(documents: DataFrame, rows: int = SAMPLE_ROWS, share: float = FREQUENT) -> np.ndarray:
@@ -438,10 +453,10 @@ def without_repeats(documents: DataFrame, doc_id: str = "doc_id", text: str = "t
     parts, batches = total // PART_BYTES + 1, total // BATCH_BYTES + 1
     frequent = frequent_grams(base)
     keyed = base.withColumn("_id", F.coalesce("doc_id", F.lit((1 << 63) - 1))).withColumn(
-        "batch", F.pmod(F.xxhash64("doc_id", "text"), F.lit(batches))).select("batch", "doc_id", "_id", "text")
+        "batch", F.pmod(F.xxhash64("doc_id", "text"), F.lit(batches))).withColumn("_v", F.xxhash64("text")).select("batch", "doc_id", "_id", "_v", "text")
     runs = keyed.groupBy("batch").applyInArrow(lambda t: _send_runs(t, frequent, parts), _SENT)
     verdicts = runs.groupBy("part").applyInArrow(_judge_runs, _SENT)
     contexts = keyed.groupBy("batch").cogroup(verdicts.groupBy("batch")).applyInArrow(lambda t, v: _send_contexts(t, v, frequent, parts), _SENT)
     judged = contexts.groupBy("part").applyInArrow(_judge_contexts, _SENT)
     return keyed.groupBy("batch").cogroup(judged.groupBy("batch")).applyInArrow(
-        lambda t, v: _cut(t, v, frequent), "doc_id long, n_bytes long, spans array<struct<start:long,end:long>>, kept binary")
+        _cut, "doc_id long, n_bytes long, spans array<struct<start:long,end:long>>, kept binary")
