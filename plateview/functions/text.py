@@ -98,9 +98,18 @@ def content_words(cleaned: Column, stop_words: list[str] | None = None) -> Colum
     crosses a sentence.
     """
     stop = STOP_WORDS if stop_words is None else stop_words
+    return F.transform(term_tokens(cleaned), lambda t: F.when(t.rlike("^[a-z]+$") & ~t.isin(stop), t))
+
+
+def term_tokens(cleaned: Column) -> Column:
+    """Words, numbers and punctuation marks in order, in lower case and without possessive endings."""
     plain = F.regexp_replace(F.lower(cleaned), r"'s\b", " ")
-    tokens = F.regexp_extract_all(plain, F.lit(TERM_TOKEN), 0)
-    return F.transform(tokens, lambda t: F.when(t.rlike("^[a-z]+$") & ~t.isin(stop), t))
+    return F.regexp_extract_all(plain, F.lit(TERM_TOKEN), 0)
+
+
+def plain_words(tokens: Column) -> Column:
+    """``term_tokens`` with NULL at punctuation only: what lexicon phrases are matched on."""
+    return F.transform(tokens, lambda t: F.when(t.rlike("^[a-z0-9]"), t))
 
 
 def phrase_terms(masked: Column, max_words: int = 3) -> Column:
@@ -113,15 +122,25 @@ def single_terms(masked: Column) -> Column:
     return F.array_distinct(F.filter(masked, lambda t: t.isNotNull()))
 
 
-def sentences_mentioning(sentences: Column, forms: Column, word_boundary: bool = False) -> Column:
-    """Sentences that contain any of the forms, ignoring case, in order."""
+def mentions(lowered: Column, forms: Column, word_boundary: bool = False) -> Column:
+    """For each sentence, given in lower case, whether it contains any of the forms."""
     if word_boundary:
         def found(sentence, form):
             return F.regexp_like(sentence, F.concat(F.lit(r"(?i)\b\Q"), form, F.lit(r"\E\b")))
     else:
+        found = F.contains
+    return F.transform(lowered, lambda s: F.exists(forms, lambda f: found(s, f)))
+
+
+def sentences_mentioning(sentences: Column, forms: Column, word_boundary: bool = False) -> Column:
+    """Sentences that contain any of the forms, ignoring case, in order. Each is put into lower case once."""
+    both = F.transform(sentences, lambda s: F.struct(s.alias("s"), F.lower(s).alias("low")))
+    if word_boundary:
         def found(sentence, form):
-            return F.contains(F.lower(sentence), form)
-    return F.filter(sentences, lambda s: F.exists(forms, lambda f: found(s, f)))
+            return F.regexp_like(sentence, F.concat(F.lit(r"(?i)\b\Q"), form, F.lit(r"\E\b")))
+    else:
+        found = F.contains
+    return F.transform(F.filter(both, lambda x: F.exists(forms, lambda f: found(x["low"], f))), lambda x: x["s"])
 
 
 def capitalize(text: Column) -> Column:

@@ -21,17 +21,6 @@ def norm(vector: Column) -> Column:
     return F.sqrt(total(F.transform(vector, lambda x: x * x)))
 
 
-def unit(vector: Column) -> Column:
-    """The vector scaled to length one; NULL for a zero vector."""
-    length = norm(vector)
-    return F.when(length > 0, F.transform(vector, lambda x: x / length))
-
-
-def cosine(left: Column, right: Column) -> Column:
-    """Cosine similarity; NULL if either vector is zero."""
-    return F.try_divide(dot(left, right), norm(left) * norm(right))
-
-
 def softmax(scores: Column) -> Column:
     """Probabilities; shifted by the maximum so that no exponential overflows."""
     shifted = F.transform(scores, lambda z: F.exp(z - F.array_max(scores)))

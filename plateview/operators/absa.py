@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, functions as F
 
 from plateview.functions import text as tx
+from plateview.functions.rows import settled
 from plateview.operators.aspects import each_aspect, extract_aspects
 from plateview.operators.metrics import confusion, headline, report
 from plateview.operators.ratings import text_key
@@ -36,12 +37,46 @@ def contexts(detected: DataFrame, context_mode: str = SENTENCE, word_boundary: b
 def score_contexts(table: DataFrame, scorer, with_evidence: bool = True) -> DataFrame:
     """``(review_id, ord, aspect, label, confidence, n_evidence[, evidence])``."""
     counted = table.withColumn("n_evidence", F.size("evidence"))
-    travels = with_evidence and scorer.in_row
-    carry = ["n_evidence", "evidence"] if travels else ["n_evidence"]
-    scored = scorer.score(counted, KEYS, carry).select(*KEYS, "label", "confidence", *carry)
-    if with_evidence and not travels:
-        return scored.join(table.select(*KEYS, "evidence"), KEYS)
-    return scored
+    carry = ["n_evidence", "evidence"] if with_evidence else ["n_evidence"]
+    return scorer.score(counted, KEYS, carry).select(*KEYS, "label", "confidence", *carry)
+
+
+def score_detected(detected: DataFrame, scorer, context_modes: list[str], with_evidence: bool = True, word_boundary: bool = False) -> DataFrame:
+    """``(review_id, ord, aspect, mode, class_id, label, confidence, n_evidence[, evidence])`` by a scorer that answers several asks about a text.
+
+    A review is tokenised and its terms are looked up once; aspects and context modes only name the sentences they are about.
+    """
+    if not set(context_modes) <= {SENTENCE, FULL_REVIEW}:
+        raise ValueError(f"unknown context mode in {context_modes!r}")
+    reviews = settled(detected.select("review_id", "sentences", "detected"), ["review_id", "sentences", "detected"], F.struct(
+        F.transform("sentences", F.lower).alias("_low"), F.transform("sentences", lambda s: tx.words(s)).alias("_lists")))
+
+    def marked(d):
+        return F.struct(d["ord"].alias("ord"), d["aspect"].alias("aspect"), d["forms"].alias("forms"),
+                        tx.mentions(F.col("_low"), d["forms"], word_boundary).alias("marks"))
+
+    def asks(d):
+        # Without a sentence that mentions the aspect the whole review is its context.
+        some = F.when(F.exists(d["marks"], lambda m: m), d["marks"])
+        chosen = {SENTENCE: some, FULL_REVIEW: F.lit(None).cast("array<boolean>")}
+        return F.array(*[F.struct(d["ord"].alias("ord"), d["aspect"].alias("aspect"), d["forms"].alias("forms"), F.lit(mode).alias("mode"),
+                                  chosen[mode].alias("which"), F.coalesce(F.size(F.filter(chosen[mode], lambda m: m)), F.lit(-1)).alias("n"))
+                         for mode in context_modes])
+
+    rows = settled(reviews, ["review_id", "sentences", "_lists"], F.struct(F.flatten(F.transform(F.transform("detected", marked), asks)).alias("_asks")))
+    rows = rows.withColumn("_n", F.size("sentences"))
+    fields, carry = ["ord", "aspect", "mode", "n"], ["_n"]
+    if with_evidence:
+        rows = rows.withColumn("_asks", F.transform("_asks", lambda a: F.struct(
+            *[a[f].alias(f) for f in ["ord", "aspect", "forms", "mode", "which", "n"]], a["which"].alias("marks"))))
+        fields, carry = [*fields, "marks"], [*carry, "sentences"]
+    scored = scorer.score_asks(rows, ["review_id"], fields, carry)
+    scored = scored.withColumn("n_evidence", F.when(F.col("n") < 0, F.col("_n")).otherwise(F.col("n")))
+    columns = [*KEYS, "mode", "class_id", "label", "confidence", "n_evidence"]
+    if not with_evidence:
+        return scored.select(*columns)
+    chosen = F.filter("sentences", lambda s, i: F.get("marks", i))
+    return scored.select(*columns, F.when(F.col("marks").isNull(), F.col("sentences")).otherwise(chosen).alias("evidence"))
 
 
 def analyze_reviews(reviews: DataFrame, lexicon: DataFrame, scorer, context_mode: str = SENTENCE,
@@ -51,13 +86,18 @@ def analyze_reviews(reviews: DataFrame, lexicon: DataFrame, scorer, context_mode
     Aspects that are not mentioned are absent, never defaulted. ``extraction`` goes to ``extract_aspects``.
     """
     detected = extract_aspects(reviews, lexicon, **extraction)
+    if hasattr(scorer, "score_asks"):
+        return score_detected(detected, scorer, [context_mode], with_evidence, word_boundary).drop("mode", "class_id")
     return score_contexts(contexts(detected, context_mode, word_boundary), scorer, with_evidence)
 
 
-def qualitative(results: DataFrame) -> DataFrame:
-    """Results for reading: evidence sentences joined to one string."""
-    return results.select("review_id", "aspect", F.col("label").alias("predicted_label"), "confidence",
-                          F.array_join("evidence", " | ").alias("evidence"))
+def qualitative(results: DataFrame, reviews: DataFrame | None = None, text: str = "text") -> DataFrame:
+    """Results for reading: evidence sentences joined to one string; with ``reviews`` their text as ``review``, too."""
+    shown = results.select("review_id", "aspect", F.col("label").alias("predicted_label"), "confidence",
+                           F.array_join("evidence", " | ").alias("evidence"))
+    if reviews is None:
+        return shown
+    return shown.join(reviews.select("review_id", F.col(text).alias("review")), "review_id", "left")
 
 
 def format_results(results: DataFrame, reviews: DataFrame) -> DataFrame:
@@ -86,40 +126,46 @@ def compare_results(left: DataFrame, right: DataFrame, left_name: str, right_nam
 
 
 def compare_context_modes(reviews: DataFrame, lexicon: DataFrame, scorer, word_boundary: bool = False,
-                          **extraction) -> DataFrame:
-    """Full-review against sentence context, per review and aspect.
+                          with_review: bool = False, text: str = "text", **extraction) -> DataFrame:
+    """Full-review against sentence context, per review and aspect; ``with_review`` adds the text as ``review``.
 
-    Both contexts are scored in one pass over one extraction. They detect the same aspects, so
+    Both contexts are asked about in one pass over one extraction. They detect the same aspects, so
     pairing them is a grouping of narrow rows, not a join of two analyses.
     """
-    detected = extract_aspects(reviews, lexicon, **extraction)
-    found = _evidence(detected, word_boundary)
-    modes = F.explode(F.array(
-        F.struct(F.lit(0).alias("mode"), F.array_join("evidence", " ").alias("context")),
-        F.struct(F.lit(1).alias("mode"), F.col("cleaned").alias("context"))))
-    table = found.select(*KEYS, "forms", modes.alias("_m")).select(*KEYS, "forms", "_m.mode", "_m.context")
-    scored = scorer.score(table, [*KEYS, "mode"])
-
-    def of(mode: int, column: str):
+    detected = extract_aspects(reviews, lexicon, text, **extraction)
+    if hasattr(scorer, "score_asks"):
+        scored = score_detected(detected, scorer, [SENTENCE, FULL_REVIEW], False, word_boundary)
+    else:
+        found = _evidence(detected, word_boundary)
+        modes = F.explode(F.array(
+            F.struct(F.lit(SENTENCE).alias("mode"), F.array_join("evidence", " ").alias("context")),
+            F.struct(F.lit(FULL_REVIEW).alias("mode"), F.col("cleaned").alias("context"))))
+        table = found.select(*KEYS, "forms", modes.alias("_m")).select(*KEYS, "forms", "_m.mode", "_m.context")
+        scored = scorer.score(table, [*KEYS, "mode"])
+
+    def of(mode: str, column: str):
         return F.max(F.when(F.col("mode") == mode, F.col(column)))
 
     paired = scored.groupBy(*KEYS).agg(
-        of(1, "class_id").alias("_full"), of(1, "confidence").alias("full_review_conf"),
-        of(0, "class_id").alias("_sent"), of(0, "confidence").alias("sentence_conf"))
+        of(FULL_REVIEW, "class_id").alias("_full"), of(FULL_REVIEW, "confidence").alias("full_review_conf"),
+        of(SENTENCE, "class_id").alias("_sent"), of(SENTENCE, "confidence").alias("sentence_conf"))
     names = F.array(*[F.lit(n) for n in scorer.names])
-    return paired.select(
+    shown = paired.select(
         "review_id", "aspect",
         tx.capitalize(F.get(names, F.col("_full"))).alias("full_review_label"), "full_review_conf",
         tx.capitalize(F.get(names, F.col("_sent"))).alias("sentence_label"), "sentence_conf",
         (F.col("_full") == F.col("_sent")).alias("agree"))
+    return shown.join(reviews.select("review_id", F.col(text).alias("review")), "review_id", "left") if with_review else shown
 
 
 # --- agreement with hand-made labels ---------------------------------------------------
 
 def gold_reviews(gold: DataFrame) -> DataFrame:
-    """``(review_id, text)``: each distinct review once, identified by its text."""
-    return (gold.select(text_key(F.col("review")).alias("review_id"), F.col("review").alias("text"))
-            .dropDuplicates(["review_id"]))
+    """``(review_id, text)``: each distinct review once, identified by its text.
+
+    Hash and text are both keys of the grouping, which is then hashed and combined before the shuffle.
+    """
+    return gold.select(text_key(F.col("review")).alias("review_id"), F.col("review").alias("text")).distinct()
 
 
 def gold_counts(gold: DataFrame, results: DataFrame) -> DataFrame:

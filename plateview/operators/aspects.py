@@ -13,7 +13,7 @@ from plateview.functions import vectors as vx
 from plateview.functions.rows import each, settled
 from plateview.operators import terms as tm
 from plateview.operators.joins import bounded, lookup_join
-from plateview.schemas import (DEFAULT_ASPECTS, DEFAULT_SYNONYMS, LEXICON, MAX_ASPECTS, MAX_INROW_TERMS,
+from plateview.schemas import (DEFAULT_ASPECTS, DEFAULT_SYNONYMS, LEXICON, MAX_ASPECTS, MAX_INROW_LEXICON,
                                SIMILARITY_THRESHOLD)
 from plateview.sources.scratch import stored
 
@@ -37,16 +37,22 @@ def _one_owner(lexicon: DataFrame) -> DataFrame:
             .select("term", "o.aspect", "o.ord"))
 
 
-def lexicon_value(lexicon: DataFrame, max_terms: int = MAX_INROW_TERMS) -> Column:
-    """The lexicon as one value that every row can use: an array of ``(ord, aspect, terms)``."""
-    grouped = (_one_owner(bounded(lexicon, max_terms, "in-row lexicon")).groupBy("ord", "aspect")
+def lexicon_size(lexicon: DataFrame) -> tuple[int, int]:
+    """Characters of all terms, and the words of the longest; one small job."""
+    row = lexicon.agg(F.sum(F.length("term")), F.max(F.size(F.split("term", " ")))).first()
+    return int(row[0] or 0), int(row[1] or 1)
+
+
+def lexicon_value(lexicon: DataFrame) -> Column:
+    """The lexicon as one value that every row can use: an array of ``(ord, aspect, terms)``. For lexicons of a measured, small size."""
+    grouped = (_one_owner(lexicon).groupBy("ord", "aspect")
                .agg(F.sort_array(F.collect_set("term")).alias("terms")))
     return grouped.agg(F.sort_array(F.collect_list(F.struct("ord", "aspect", "terms")))).scalar()
 
 
 def detect_in_row(prepared: DataFrame, lexicon: DataFrame) -> DataFrame:
     """``(review_id, cleaned, sentences, detected)`` by lexicon only; no shuffle of the reviews."""
-    terms = F.col("terms")
+    terms = F.col("phrases")
 
     def hits(entry: Column) -> Column:
         forms = F.sort_array(F.array_intersect(terms, entry["terms"]))
@@ -75,7 +81,7 @@ def phrase_vectors(terms: DataFrame, vectors: DataFrame, term: str = "term") ->
     """
     n_words = F.size(F.split(F.col(term), " "))
     word = each(terms, [F.col(term), n_words.alias("_n")], F.split(F.col(term), " "), "token")
-    known = lookup_join(word, vectors.select("token", vx.as_double(F.col("vec")).alias("vec")), ["token"], F.col(term))
+    known = lookup_join(word, vectors.select("token", vx.as_double(F.col("vec")).alias("vec")), ["token"])
     listed = known.groupBy(term).agg(F.first("_n").alias("_n"), F.collect_list("vec").alias("_vecs"))
     summed = F.aggregate(F.slice("_vecs", 2, F.greatest(F.size("_vecs") - 1, F.lit(0))), F.get("_vecs", F.lit(0)),
                          lambda acc, v: F.zip_with(acc, v, lambda a, b: a + b))
@@ -84,13 +90,13 @@ def phrase_vectors(terms: DataFrame, vectors: DataFrame, term: str = "term") ->
             .withColumn("norm", vx.norm(F.col("vec"))).filter(F.col("norm") > 0))
 
 
-def aspect_vectors_value(aspects: DataFrame) -> Column:
+def aspect_vectors_value(aspects: DataFrame, max_aspects: int = MAX_ASPECTS) -> Column:
     """``(aspect, ord, vec, norm)`` rows as one array value, in aspect order."""
-    small = bounded(aspects.select("ord", "aspect", "vec", "norm"), MAX_ASPECTS, "aspect vectors")
+    small = bounded(aspects.select("ord", "aspect", "vec", "norm"), max_aspects, "aspect vectors")
     return small.agg(F.sort_array(F.collect_list(F.struct("ord", "aspect", "vec", "norm")))).scalar()
 
 
-def nearest_aspect(scored_rows: DataFrame, aspects: DataFrame) -> DataFrame:
+def nearest_aspect(scored_rows: DataFrame, aspects: DataFrame, max_aspects: int = MAX_ASPECTS) -> DataFrame:
     """Adds ``ord, aspect, score``: the aspect with the highest cosine, the earlier one on a tie.
 
     ``scored_rows`` has ``vec`` and ``norm``. All aspects are compared inside the row, so the
@@ -102,27 +108,27 @@ def nearest_aspect(scored_rows: DataFrame, aspects: DataFrame) -> DataFrame:
         F.round(vx.dot(vec, a["vec"]) / (length * a["norm"]), 9).alias("score"),
         (-a["ord"]).alias("neg"), a["aspect"].alias("aspect")))
     keep = scored_rows.columns
-    best = settled(scored_rows.withColumn("_aspects", aspect_vectors_value(aspects)), keep, F.array_max(compared))
+    best = settled(scored_rows.withColumn("_aspects", aspect_vectors_value(aspects, max_aspects)), keep, F.array_max(compared))
     return best.select(*keep, (-F.col("neg")).alias("ord"), "aspect", "score")
 
 
-def score_terms(terms: DataFrame, names: DataFrame, vectors: DataFrame) -> DataFrame:
+def score_terms(terms: DataFrame, names: DataFrame, vectors: DataFrame, max_aspects: int = MAX_ASPECTS) -> DataFrame:
     """``(term, ord, aspect, score)``: the nearest aspect of every distinct term that has a vector."""
     aspects = phrase_vectors(names.select(F.col("aspect").alias("term")), vectors).withColumnRenamed("term", "aspect")
-    located = names.join(F.broadcast(bounded(aspects, MAX_ASPECTS, "aspect vectors")), "aspect")
-    return nearest_aspect(phrase_vectors(terms, vectors), located).select("term", "ord", "aspect", "score")
+    located = names.join(F.broadcast(bounded(aspects, max_aspects, "aspect vectors")), "aspect")
+    return nearest_aspect(phrase_vectors(terms, vectors), located, max_aspects).select("term", "ord", "aspect", "score")
 
 
 def match_terms(terms: DataFrame, lexicon: DataFrame, vectors: DataFrame | None = None,
                 names: DataFrame | None = None, threshold: float = SIMILARITY_THRESHOLD) -> DataFrame:
     """``(term, ord, aspect, score)`` for distinct terms: synonym hits score 1, the rest by vectors."""
     owned = _one_owner(lexicon)
-    exact = lookup_join(terms.select("term"), owned, ["term"], F.col("term")).select(
+    exact = lookup_join(terms.select("term"), owned, ["term"]).select(
         "term", "ord", "aspect", F.lit(1.0).alias("score"))
     if vectors is None:
         return exact
     names = aspect_names(lexicon) if names is None else names
-    rest = lookup_join(terms.select("term"), owned.select("term"), ["term"], F.col("term"), "left_anti")
+    rest = lookup_join(terms.select("term"), owned.select("term"), ["term"], "left_anti")
     return exact.unionByName(score_terms(rest, names, vectors).filter(F.col("score") >= threshold))
 
 
@@ -145,7 +151,7 @@ def group_into_aspects(mentions: DataFrame, dictionary: DataFrame) -> DataFrame:
     """``(review_id, ord, aspect, forms)``: the set of matched terms, and of their raw forms, per aspect."""
     stored_dictionary = stored(dictionary.select(F.col("raw").alias("term"), F.col("term").alias("lemma"), "ord", "aspect"),
                                "dictionary")
-    hits = lookup_join(mentions, stored_dictionary, ["term"], F.col("review_id"))
+    hits = lookup_join(mentions, stored_dictionary, ["term"])
     both = F.sort_array(F.array_distinct(F.flatten(F.collect_set(F.array("term", "lemma")))))
     return hits.groupBy("review_id", "ord", "aspect").agg(both.alias("forms"))
 
@@ -154,18 +160,26 @@ def extract_aspects(reviews: DataFrame, lexicon: DataFrame, text: str = "text",
                     vectors: DataFrame | None = None, lemmas: DataFrame | None = None,
                     nouns: DataFrame | None = None, names: DataFrame | None = None,
                     threshold: float = SIMILARITY_THRESHOLD, stop_words: list[str] | None = None,
-                    normalize_quotes: bool = False) -> DataFrame:
+                    normalize_quotes: bool = False, max_words: int = 3, candidates: DataFrame | None = None) -> DataFrame:
     """``(review_id, cleaned, sentences, detected)``; ``detected`` is an array of ``(ord, aspect, forms)``.
 
-    Where no aspect is found ``detected`` is empty, NULL or the review absent. With a lexicon alone this is one pass
-    without a shuffle; vectors, lemmas or nouns add a vocabulary pass, and the
-    text then moves once, to meet its aspects.
+    Where no aspect is found ``detected`` is empty, NULL or the review absent. Terms of the lexicon match at any length and with any
+    words in them (in the mode of single words: single words). A lexicon alone, if it is small, is one pass without a shuffle; a large
+    one, vectors, lemmas or nouns add a vocabulary pass, and the text then moves once, to meet its aspects.
+    ``candidates`` are own candidate terms ``(review_id, term)`` in place of the n-grams of up to ``max_words`` content words.
     """
-    prepared = tm.prepare(reviews, text, mode, stop_words, normalize_quotes)
-    if vectors is None and lemmas is None and nouns is None:
-        return detect_in_row(prepared, lexicon)
-    mentions = tm.term_mentions(prepared)
-    dictionary = term_dictionary(mentions, lexicon, vectors, lemmas, nouns, names, threshold)
+    size, longest = lexicon_size(lexicon)
+    prepared = tm.prepare(reviews, text, mode, stop_words, normalize_quotes, max_words, longest if mode == tm.PHRASES else 1)
+    if vectors is None and lemmas is None and nouns is None and candidates is None:
+        if size <= MAX_INROW_LEXICON:
+            return detect_in_row(prepared, lexicon)
+        mentions = each(prepared, ["review_id"], F.col("phrases"), "term")
+        dictionary = _one_owner(lexicon).select(F.col("term").alias("raw"), "term", "ord", "aspect")
+    else:
+        mentions = tm.term_mentions(prepared) if candidates is None else candidates.select("review_id", "term")
+        if nouns is None:
+            mentions = mentions.unionByName(tm.phrase_mentions(prepared, lexicon))
+        dictionary = term_dictionary(mentions, lexicon, vectors, lemmas, nouns, names, threshold)
     grouped = group_into_aspects(mentions, dictionary)
     per_review = grouped.groupBy("review_id").agg(
         F.sort_array(F.collect_list(F.struct("ord", "aspect", "forms"))).alias("detected"))

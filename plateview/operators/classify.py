@@ -13,18 +13,18 @@ from pyspark.sql import DataFrame, functions as F
 from plateview.functions.text import WORD
 from plateview.operators import features, metrics, splits
 from plateview.operators.ratings import clean_ratings
-from plateview.schemas import LABEL_NAMES, MAX_FEATURES, MAX_ITERATIONS, SPLIT_SEED, TEST_SHARE
-from plateview.sources.scratch import stored
+from plateview.schemas import BLOCK_BYTES, LABEL_NAMES, MAX_FEATURES, MAX_ITERATIONS, SPLIT_SEED, TEST_SHARE
+from plateview.sources.scratch import measured_bytes, stored
 
 FEATURE_COLUMNS = ["_tokens", "_bigrams", "_terms", "_counts", "_weighted", "_features"]
 
 
-def feature_stages(vocab_idf: DataFrame, n_rows: int, text: str, max_features: int = MAX_FEATURES) -> list:
+def feature_stages(vocab_idf: DataFrame, n_rows: int, text: str) -> list:
     """Fitted stages from text to unit-length TF-IDF vectors.
 
-    The vocabulary is fitted as a relation and has at most ``max_features`` rows; only those reach the driver.
+    The vocabulary is the caller's top-k; all of it, and nothing else, reaches the driver.
     """
-    fitted = vocab_idf.select("term", "df").orderBy("term").limit(max_features).collect()
+    fitted = vocab_idf.select("term", "df").orderBy("term").collect()
     idf = [math.log((1.0 + n_rows) / (1.0 + row["df"])) + 1.0 for row in fitted]
     pattern = WORD.replace("\\", "\\\\")
     return [
@@ -37,20 +37,36 @@ def feature_stages(vocab_idf: DataFrame, n_rows: int, text: str, max_features: i
     ]
 
 
-def fit_classifier(train: DataFrame, text: str = "Review", label: str = "label", id_col: str = "review_id",
-                   max_features: int = MAX_FEATURES, max_iter: int = MAX_ITERATIONS, strength: float = 1.0) -> PipelineModel:
-    """Features and classifier fitted on the training rows alone, as one model.
+def fit_stages(train: DataFrame, text: str = "Review", id_col: str = "review_id", max_features: int = MAX_FEATURES) -> list:
+    """``feature_stages`` fitted on the training rows alone."""
+    fitted = stored(features.vocabulary(train, id_col, text, max_features), "vocabulary")
+    return feature_stages(fitted, train.count(), text)
+
+
+def vectors_of(stages: list, rows: DataFrame, label: str = "label") -> DataFrame:
+    """``(label, _features)``, stored, so that no iteration of a fit makes them again."""
+    made = PipelineModel(stages).transform(rows).select(F.col(label).cast("double").alias("label"), "_features")
+    return stored(made, "features")
+
+
+def fit_learner(vectors: DataFrame, max_iter: int = MAX_ITERATIONS, strength: float = 1.0):
+    """Multinomial logistic regression on stored vectors.
 
     ``strength`` is the inverse weight of the penalty against the *sum* of losses; Spark minimises their mean.
-    The tolerance leaves a largest gradient entry below 1e-4 of the mean loss on texts of this kind.
+    The tolerance leaves a largest gradient entry below 1e-4 of the mean loss on texts of this kind. Partitions hold
+    ``BLOCK_BYTES`` of the stored vectors, for every iteration is a job with a task per partition.
     """
-    n = train.count()
-    stages = feature_stages(features.vocabulary(train, id_col, text, max_features), n, text, max_features)
-    vectors = PipelineModel(stages).transform(train).select(F.col(label).cast("double").alias("label"), "_features")
     learner = LogisticRegression(featuresCol="_features", labelCol="label", family="multinomial", maxIter=max_iter, tol=1e-6,
-                                 regParam=1.0 / (strength * n), elasticNetParam=0.0, standardization=False,
+                                 regParam=1.0 / (strength * vectors.count()), elasticNetParam=0.0, standardization=False,
                                  predictionCol="_prediction", probabilityCol="_probability", rawPredictionCol="_raw")
-    return PipelineModel([*stages, learner.fit(vectors)])
+    return learner.fit(vectors.coalesce(max(1, measured_bytes(vectors) // BLOCK_BYTES)))
+
+
+def fit_classifier(train: DataFrame, text: str = "Review", label: str = "label", id_col: str = "review_id",
+                   max_features: int = MAX_FEATURES, max_iter: int = MAX_ITERATIONS, strength: float = 1.0) -> PipelineModel:
+    """Features and classifier fitted on the training rows alone, as one model."""
+    stages = fit_stages(train, text, id_col, max_features)
+    return PipelineModel([*stages, fit_learner(vectors_of(stages, train, label), max_iter, strength)])
 
 
 def predict(model: PipelineModel, texts: DataFrame) -> DataFrame:
@@ -91,16 +107,21 @@ def evaluation_report(raw: DataFrame, test_size: float = TEST_SHARE, **fitting)
     return {name: table for name, table in result.items() if name != "model"}
 
 
-def sweep(train: DataFrame, validation: DataFrame, strengths: list[float], **fitting) -> DataFrame:
-    """One headline row per penalty strength, scored on the validation rows."""
-    rows = []
+def sweep(train: DataFrame, validation: DataFrame, strengths: list[float], text: str = "Review", label: str = "label",
+          id_col: str = "review_id", max_features: int = MAX_FEATURES, max_iter: int = MAX_ITERATIONS) -> DataFrame:
+    """One headline row per penalty strength, scored on the validation rows.
+
+    Features are fitted once and the vectors of both parts stored once; only the learner is fitted per strength.
+    """
+    stages = fit_stages(train, text, id_col, max_features)
+    learned, judged = vectors_of(stages, train, label), vectors_of(stages, validation, label)
+    tried = None
     for strength in strengths:
-        judged = predict(fit_classifier(train, strength=strength, **fitting), validation)
-        rows.append(metrics.headline(metrics.pair_counts(judged, "label", "y_pred")).select(
-            F.lit(float(strength)).alias("strength"), "accuracy", "macro_f1", "weighted_f1"))
-    tried = rows[0]
-    for row in rows[1:]:
-        tried = tried.unionByName(row)
+        predicted = fit_learner(learned, max_iter, strength).transform(judged).select(
+            F.col("label").cast("int").alias("label"), F.col("_prediction").cast("int").alias("y_pred"))
+        counts = stored(metrics.pair_counts(predicted, "label", "y_pred"), "pairs")
+        row = metrics.headline(counts).select(F.lit(float(strength)).alias("strength"), "accuracy", "macro_f1", "weighted_f1")
+        tried = row if tried is None else tried.unionByName(row)
     return tried
 
 

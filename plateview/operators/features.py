@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import DataFrame, functions as F
 
 from plateview.functions import text as tx
-from plateview.functions.rows import each
-from plateview.operators.joins import lookup_join
+from plateview.functions.rows import each, settled
+from plateview.operators.joins import looked_up, lookup_value
 from plateview.schemas import MAX_FEATURES
 
 
@@ -15,12 +15,16 @@ def top_terms(counts: DataFrame, k: int) -> DataFrame:
     return counts.orderBy(F.col("tf").desc(), "term").limit(k)
 
 
-def term_frequencies(texts: DataFrame, id_col: str, text: str) -> DataFrame:
-    """``(id, term, tf)``: counts per text, made inside the row by sorting its n-grams, without a shuffle."""
+def _counted(texts: DataFrame, id_col: str, text: str) -> DataFrame:
+    """``(id, _sorted, _starts)``: the n-grams of a text in order, and where a new one begins."""
     return (texts.select(id_col, tx.words(F.col(text)).alias("_tokens"))
             .select(id_col, F.sort_array(tx.unigrams_and_bigrams(F.col("_tokens"))).alias("_sorted"))
-            .select(id_col, "_sorted", tx.run_starts("_sorted").alias("_starts"))
-            .transform(each, [id_col], tx.run_counts("_sorted", "_starts"), "t")
+            .select(id_col, "_sorted", tx.run_starts("_sorted").alias("_starts")))
+
+
+def term_frequencies(texts: DataFrame, id_col: str, text: str) -> DataFrame:
+    """``(id, term, tf)``: counts per text, made inside the row by sorting its n-grams, without a shuffle."""
+    return (_counted(texts, id_col, text).transform(each, [id_col], tx.run_counts("_sorted", "_starts"), "t")
             .select(id_col, "t.term", "t.tf"))
 
 
@@ -38,9 +42,15 @@ def with_idf(vocab: DataFrame, fitted_on: DataFrame) -> DataFrame:
 
 
 def tfidf(texts: DataFrame, id_col: str, text: str, vocab_idf: DataFrame, max_features: int = MAX_FEATURES) -> DataFrame:
-    """``(id, term, weight)`` with unit length per text. The vocabulary has at most ``max_features`` rows."""
-    known = lookup_join(term_frequencies(texts, id_col, text), vocab_idf.select("term", "idf"), ["term"], F.xxhash64(id_col, "term"),
-                        known_rows=max_features)
-    raw = known.withColumn("_raw", F.col("tf") * F.col("idf"))
-    length = F.sqrt(F.sum(F.col("_raw") * F.col("_raw")).over(Window.partitionBy(id_col)))
-    return raw.select(id_col, "term", (F.col("_raw") / length).alias("weight"))
+    """``(id, term, weight)`` with unit length per text. The vocabulary is a top-k of about ``max_features`` rows.
+
+    It is looked up inside the row, where the length is taken, too, so nothing is shuffled.
+    """
+    slots = max(1, max_features // 4)
+    table = _counted(texts, id_col, text).withColumn("_idf", lookup_value(vocab_idf, "term", F.col("idf"), slots))
+    weighed = F.filter(F.transform(tx.run_counts("_sorted", "_starts"), lambda t: F.struct(
+        t["term"].alias("term"), (t["tf"] * looked_up(F.col("_idf"), t["term"], slots)).alias("raw"))), lambda t: t["raw"].isNotNull())
+    table = settled(table, [id_col], F.struct(weighed.alias("_raw")))
+    length = F.sqrt(F.aggregate("_raw", F.lit(0.0), lambda s, t: s + t["raw"] * t["raw"]))
+    table = settled(table, [id_col, "_raw"], F.struct(length.alias("_length")))
+    return each(table, [id_col, "_length"], F.col("_raw"), "t").select(id_col, "t.term", (F.col("t.raw") / F.col("_length")).alias("weight"))

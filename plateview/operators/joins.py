@@ -1,46 +1,45 @@
-"""Join helpers for lookups whose size decides the strategy, and for hot keys."""
+"""Joins with lookup tables, and tables whose size is proven."""
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from plateview.schemas import MAX_LOOKUP_ROWS
-
 
 def bounded(table: DataFrame, max_rows: int, what: str) -> DataFrame:
     """The table, proven to have at most ``max_rows`` rows: the job fails if it has more.
 
     The limit stops one row past the bound, so neither the check nor a broadcast of the
-    result can grow with the data; nothing is dropped, because one row too many raises.
+    result can grow with the data. The check is a filter on the count, which stays whatever columns
+    are read, so nothing is ever cut in silence.
     """
     counted = table.limit(max_rows + 1).withColumn("_rows", F.count(F.lit(1)).over(Window.partitionBy()))
-    too_many = F.raise_error(F.lit(f"{what}: more than {max_rows} rows"))
-    first = table.columns[0]
-    kept = F.when(F.col("_rows") <= max_rows, F.col(first)).otherwise(too_many.cast(table.schema[first].dataType))
-    return counted.withColumn(first, kept).drop("_rows")
+    too_many = F.raise_error(F.lit(f"{what}: more than {max_rows} rows")).cast("boolean")
+    return counted.filter(F.when(F.col("_rows") <= max_rows, F.lit(True)).otherwise(too_many)).drop("_rows")
 
 
-def salted_join(facts: DataFrame, lookup: DataFrame, keys: list[str], spread_on: Column,
-                how: str = "inner", salts: int = 16) -> DataFrame:
-    """Shuffle join that spreads every key of ``facts`` over ``salts`` tasks.
+def lookup_join(facts: DataFrame, lookup: DataFrame, keys: list[str], how: str = "inner") -> DataFrame:
+    """Join ``facts`` to a table with few rows per key; the strategy follows from measured bytes.
 
-    The lookup has few rows per key and is repeated once per salt, so a key that holds a
-    third of all facts costs no task more than a fraction 1/(3 * salts) of them.
+    A stored lookup has its true size, a computed one is measured when its shuffle is done. Below the broadcast
+    threshold of the session it is broadcast; above it both sides are shuffled, and the adaptive join splits
+    keys that hold too many facts into as many tasks as their bytes need.
     """
-    left = facts.withColumn("_salt", F.pmod(F.xxhash64(spread_on), F.lit(salts)).cast("int"))
-    right = lookup.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-    return left.join(right, [*keys, "_salt"], how).drop("_salt")
+    return facts.join(lookup, keys, how)
 
 
-def lookup_join(facts: DataFrame, lookup: DataFrame, keys: list[str], spread_on: Column, how: str = "inner",
-                known_rows: int | None = None, max_rows: int = MAX_LOOKUP_ROWS, salts: int = 16) -> DataFrame:
-    """Join ``facts`` to a lookup: broadcast if it is small enough, salted shuffle if not.
+# --- a small table as one value that every row can look things up in ----------------------
 
-    ``known_rows`` is a bound that holds by construction (a top-k, a list). Without one the
-    rows are counted, up to the limit; pass a stored table then, not a long computation.
-    """
-    if known_rows is None:
-        known_rows = lookup.limit(max_rows + 1).count()
-    if known_rows <= max_rows:
-        return facts.join(F.broadcast(lookup), keys, how)
-    return salted_join(facts, lookup, keys, spread_on, how, salts)
+def lookup_value(table: DataFrame, key: str, value: Column, slots: int) -> Column:
+    """An array of ``slots`` small maps from key to value, by hash of the key. Only for tables of a known, small size."""
+    entry = F.struct(F.col(key).alias("key"), value.alias("value"))
+    filled = table.groupBy(F.pmod(F.xxhash64(key), F.lit(slots)).alias("slot")).agg(F.collect_list(entry).alias("entries"))
+    none = F.array().cast(filled.schema["entries"].dataType)
+    every = table.sparkSession.range(slots).withColumnRenamed("id", "slot")
+    whole = every.join(filled, "slot", "left").withColumn("entries", F.coalesce("entries", none))
+    return whole.agg(F.transform(F.sort_array(F.collect_list(F.struct("slot", "entries"))),
+                                 lambda s: F.map_from_entries(s["entries"]))).scalar()
+
+
+def looked_up(held: Column, key: Column, slots: int) -> Column:
+    """The value of a key in a ``lookup_value``; NULL if it is not there."""
+    return F.try_element_at(F.get(held, F.pmod(F.xxhash64(key), F.lit(slots)).cast("int")), key)

@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from plateview.operators.joins import bounded
 from plateview.schemas import LABEL_NAMES, MAX_CLASSES
@@ -76,7 +76,10 @@ def confusion_wide(predictions: DataFrame, labels: list, truth: str = "y_true",
 
 
 def report(counts: DataFrame, labels: list | None = None, names: dict | None = None) -> DataFrame:
-    """``(class, precision, recall, f1, support)``: a row per class, then accuracy, macro and weighted averages."""
+    """``(ord, class, precision, recall, f1, support)``: a row per class in the order of its label, then accuracy, macro and weighted averages.
+
+    The number of classes is bounded, so ordering them in one task is, too.
+    """
     scores = class_scores(counts, labels)
     if names:
         mapping = F.create_map(*[F.lit(x) for pair in names.items() for x in pair])
@@ -84,7 +87,7 @@ def report(counts: DataFrame, labels: list | None = None, names: dict | None = N
     else:
         title = F.col("label").cast("string")
     measures = ["precision", "recall", "f1"]
-    rows = scores.select(title.alias("class"), *measures, "support")
+    rows = scores.select((F.row_number().over(Window.orderBy("label")) - 1).cast("bigint").alias("ord"), title.alias("class"), *measures, "support")
     support = F.sum("support").alias("support")
 
     def weighted(m: str) -> Column:
@@ -92,10 +95,10 @@ def report(counts: DataFrame, labels: list | None = None, names: dict | None = N
 
     nothing = F.lit(None).cast("double")
     extra = [
-        scores.agg(F.lit("accuracy").alias("class"), nothing.alias("precision"), nothing.alias("recall"),
+        scores.agg(F.count(F.lit(1)).alias("ord"), F.lit("accuracy").alias("class"), nothing.alias("precision"), nothing.alias("recall"),
                    F.coalesce(F.try_divide(F.sum("hits"), F.sum("support")), F.lit(0.0)).alias("f1"), support),
-        scores.agg(F.lit("macro avg").alias("class"), *[F.avg(m).alias(m) for m in measures], support),
-        scores.agg(F.lit("weighted avg").alias("class"), *[weighted(m) for m in measures], support),
+        scores.agg((F.count(F.lit(1)) + 1).alias("ord"), F.lit("macro avg").alias("class"), *[F.avg(m).alias(m) for m in measures], support),
+        scores.agg((F.count(F.lit(1)) + 2).alias("ord"), F.lit("weighted avg").alias("class"), *[weighted(m) for m in measures], support),
     ]
     return reduce(DataFrame.unionByName, extra, rows)
 

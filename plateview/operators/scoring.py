@@ -1,8 +1,8 @@
 """Sentiment of (context, aspect) pairs.
 
-Two scorers share one shape. ``BayesScorer`` is relational: class weights per term,
-learned from labelled texts, averaged over the context with more weight near the aspect's
-mentions. ``BatchScorer`` calls any user-supplied model in batches.
+Two scorers. ``BayesScorer`` is relational: class weights per term, learned from labelled texts, averaged over
+the context with more weight near the aspect's mentions. It looks a text's terms up once, whatever
+the number of aspects and contexts asked about. ``BatchScorer`` calls any user-supplied model in batches.
 A scorer's ``score`` takes a table of contexts and key columns and returns the keys, the
 class id and the confidence.
 """
@@ -19,10 +19,10 @@ from plateview.functions import text as tx
 from plateview.functions import vectors as vx
 from plateview.functions.rows import each, settled
 from plateview.operators.features import top_terms
-from plateview.operators.joins import lookup_join, salted_join
+from plateview.operators.joins import lookup_join, lookup_value, looked_up
 from plateview.operators.ratings import text_key
-from plateview.schemas import LABEL_NAMES, MAX_FEATURES, MAX_INROW_WEIGHTS, SCORING_BATCH
-from plateview.sources.scratch import stored
+from plateview.schemas import LABEL_NAMES, MAX_INROW_BYTES, SCORING_BATCH
+from plateview.sources.scratch import measured_bytes, stored
 
 
 def named(class_id: Column, names: list[str]) -> Column:
@@ -36,15 +36,18 @@ def most_probable(scores: Column) -> tuple[Column, Column]:
 
 # --- naive Bayes ----------------------------------------------------------------------
 
-def bayes_weights(texts: DataFrame, text: str, label: str, classes: list[int], vocab_size: int = MAX_FEATURES) -> DataFrame:
-    """``(term, tf, lw_<class>...)``: Laplace-smoothed log weights of the most frequent uni- and bigrams."""
+def bayes_weights(texts: DataFrame, text: str, label: str, classes: list[int], vocab_size: int | None = None) -> DataFrame:
+    """``(term, tf, lw_<class>...)``: Laplace-smoothed log weights of the uni- and bigrams; of the most frequent ones if a size is given.
+
+    The counts are stored, so the texts are tokenised once for the rows and the totals together.
+    """
     tokens = texts.select(F.col(label).alias("_c"), tx.words(tx.light_clean(F.col(text))).alias("_tokens"))
     terms = each(tokens, ["_c"], tx.unigrams_and_bigrams(F.col("_tokens")), "term")
     counts = terms.groupBy("term").agg(
         F.count(F.lit(1)).alias("tf"), *[F.count(F.when(F.col("_c") == c, 1)).alias(f"n_{c}") for c in classes])
-    vocabulary = top_terms(counts, vocab_size)
-    totals = vocabulary.agg(F.struct(F.count(F.lit(1)).alias("v"), *[F.sum(f"n_{c}").alias(f"n_{c}") for c in classes])).scalar()
-    return (vocabulary.withColumn("_all", totals)
+    kept = stored(counts if vocab_size is None else top_terms(counts, vocab_size), "counts")
+    totals = kept.agg(F.struct(F.count(F.lit(1)).alias("v"), *[F.sum(f"n_{c}").alias(f"n_{c}") for c in classes])).scalar()
+    return (kept.withColumn("_all", totals)
             .select("term", "tf", *[F.log((F.col(f"n_{c}") + F.lit(1.0)) / (F.col(f"_all.n_{c}") + F.col("_all.v"))).alias(f"lw_{c}")
                                     for c in classes]))
 
@@ -55,131 +58,178 @@ def bayes_priors(texts: DataFrame, label: str, classes: list[int]) -> DataFrame:
                              / (F.count(F.lit(1)) + F.lit(len(classes)))).alias(f"prior_{c}") for c in classes])
 
 
-def weighted_grams(context: Column, forms: Column) -> list[tuple[str, Column]]:
-    """Steps, as named columns, to the array ``_grams`` of ``(term, w)`` of a context.
+def _upto(last: Column) -> Column:
+    """0, 1, ... last; empty if last is negative."""
+    return F.when(last >= 0, F.sequence(F.lit(0), last)).otherwise(F.array().cast("array<int>"))
 
-    A term at distance d from the nearest mention of the aspect has weight 1 / (1 + d); without a
-    mention all weights are 1. Each mention owns the stretch of text nearer to it than to
-    its neighbours, so the work is linear in the length of the text.
-    """
-    tokens, form_words, at = F.col("_tokens"), F.col("_form_words"), F.col("_at")
-    size, n_at = F.size(tokens), F.size(at)
-
-    def stretch(m: Column, i: Column) -> Column:
-        first = F.when(i == 0, F.lit(1)).otherwise(F.floor((F.get(at, i - 1) + m) / 2).cast("int") + 1)
-        last = F.when(i == n_at - 1, size).otherwise(F.floor((m + F.get(at, i + 1)) / 2).cast("int"))
-        return F.struct(m.alias("m"), first.alias("first"), last.alias("last"))
-
-    whole = F.array(F.struct(F.lit(None).cast("int").alias("m"), F.lit(1).alias("first"), size.alias("last")))
-
-    def grams(s: Column) -> Column:
-        def at_position(p: Column) -> Column:
-            w = F.coalesce(1.0 / (1.0 + F.abs(p - s["m"])), F.lit(1.0))
-            word, following = F.get(tokens, p - 1), F.get(tokens, p)
-            return F.array(F.struct(word.alias("term"), w.alias("w")),
-                           F.struct(F.concat(word, F.lit(" "), following).alias("term"), w.alias("w")))
-        return F.flatten(F.transform(F.sequence(s["first"], s["last"]), at_position))
-
-    mentioned = F.filter(F.transform(tokens, lambda t, i: F.when(F.array_contains(form_words, t), i + 1)),
-                         lambda p: p.isNotNull())
-    return [
-        ("_tokens", tx.words(context)),
-        ("_form_words", F.array_distinct(F.split(F.array_join(forms, " "), " "))),
-        # Two references each, so that neither column is merged into a lambda.
-        ("_at", F.when(F.size(form_words) > 0, mentioned)),
-        ("_stretches", F.when(n_at > 0, F.transform(at, stretch)).otherwise(whole)),
-        ("_grams", F.when(size > 0, F.flatten(F.transform(F.col("_stretches"), grams)))),
-    ]
+
+def _located(rows: DataFrame, keep: list[str], fields: list[str]) -> DataFrame:
+    """Adds ``_flat``, the tokens of all lists, and to every ask the places of its context's tokens and its bigrams across a gap."""
+    lists = F.transform("_lists", lambda part: F.coalesce(part, F.array().cast("array<string>")))
+    flat = F.flatten(F.transform(lists, lambda part, i: F.transform(part, lambda t: F.struct(i.alias("s"), t.alias("t")))))
+    base = settled(rows, [*keep, "_asks"], F.struct(F.coalesce(flat, F.array().cast("array<struct<s:int,t:string>>")).alias("_flat")))
+    base = settled(base, [*keep, "_asks", "_flat"], F.struct(_upto(F.size("_flat") - 1).alias("_every")))
+    whole, tokens = F.col("_every"), F.col("_flat")
+
+    def kept(a: Column) -> list[Column]:
+        return [a[f].alias(f) for f in [*fields, "forms"]]
+
+    def places(a: Column) -> Column:
+        chosen = F.filter(whole, lambda p: F.get(a["which"], F.get(tokens, p)["s"]))
+        return F.struct(*kept(a), F.when(a["which"].isNull(), whole).otherwise(chosen).alias("at"))
+
+    def gaps(a: Column) -> Column:
+        jumps = F.filter(_upto(F.size(a["at"]) - 2), lambda c: F.get(a["at"], c + 1) != F.get(a["at"], c) + 1)
+        return F.struct(*kept(a), a["at"].alias("at"), jumps.alias("jumps"))
+
+    def bridged(a: Column) -> Column:
+        across = F.transform(a["jumps"], lambda c: F.concat(
+            F.get(tokens, F.get(a["at"], c))["t"], F.lit(" "), F.get(tokens, F.get(a["at"], c + 1))["t"]))
+        return F.struct(*kept(a), a["at"].alias("at"), a["jumps"].alias("jumps"), across.alias("across"))
+
+    asks = F.transform(F.transform(F.transform("_asks", places), gaps), bridged)
+    return settled(base, [*keep, "_flat"], F.struct(asks.alias("_asks")))
 
 
 @dataclass
 class BayesScorer:
-    """Distance-weighted naive Bayes over a weights table of at most ``vocab_size`` rows."""
+    """Distance-weighted naive Bayes over a table of term weights of any size."""
 
     weights: DataFrame
     priors: DataFrame
     classes: list[int]
     names: list[str]
-    vocab_size: int
 
     @classmethod
     def fit(cls, texts: DataFrame, text: str, label: str, names: dict[int, str] | None = None,
-            vocab_size: int = MAX_FEATURES) -> BayesScorer:
+            vocab_size: int | None = None) -> BayesScorer:
+        """Learn from all terms, or from the ``vocab_size`` most frequent ones."""
         names = LABEL_NAMES if names is None else names
         classes = sorted(names)
         return cls(bayes_weights(texts, text, label, classes, vocab_size), bayes_priors(texts, label, classes),
-                   classes, [names[c] for c in classes], vocab_size)
+                   classes, [names[c] for c in classes])
 
     def materialised(self) -> BayesScorer:
-        """The same scorer with its two small tables stored, so that scoring does not learn them again."""
+        """The same scorer with its two tables stored, so that scoring does not learn them again."""
         return replace(self, weights=stored(self.weights, "weights"), priors=stored(self.priors, "priors"))
 
-    @property
-    def in_row(self) -> bool:
-        """Whether the weights are few enough to be looked up inside the row."""
-        return self.vocab_size <= MAX_INROW_WEIGHTS
-
     def score(self, contexts: DataFrame, keys: list[str], carry: list[str] | None = None) -> DataFrame:
-        """Adds ``class_id, label, confidence`` per key; ``carry`` names columns to take along.
+        """``keys``, ``carry``, ``class_id, confidence, label`` of contexts ``(keys, context, forms)``; ``carry`` may be of any type."""
+        carry = carry or []
+        ask = F.struct("forms", F.lit(None).cast("array<boolean>").alias("which"))
+        rows = contexts.select(*keys, *carry, F.array(tx.words(F.col("context"))).alias("_lists"), F.array(ask).alias("_asks"))
+        return self.score_asks(rows, keys, [], carry)
+
+    def score_asks(self, rows: DataFrame, keys: list[str], fields: list[str], carry: list[str]) -> DataFrame:
+        """A row per element of ``_asks``: ``keys``, ``carry``, its ``fields``, ``class_id, confidence, label``.
 
-        With a vocabulary of the usual size everything happens inside the row. Beyond
-        that the terms are joined to the weights, and ``carry`` must be numeric.
+        ``_lists`` are the tokens of a text in parts. An ask names the ``forms`` of an aspect and, in ``which``, the parts that make up its context
+        (NULL: all). The text's uni- and bigrams are looked up once for all asks: inside the row if the weights are a small
+        table by measured bytes, otherwise by a join, in which the text itself does not take part. Both give the same rows.
         """
-        carry = carry or []
-        sums = self._summed_in_row(contexts, keys, carry) if self.in_row else self._summed_by_join(contexts, keys, carry)
+        located = _located(rows.select(*keys, *carry, "_lists", "_asks"), [*keys, *carry], fields)
+        small = measured_bytes(self.weights) <= MAX_INROW_BYTES
+        known = self._looked_up_in_row(located, [*keys, *carry], fields) if small else self._looked_up_by_join(located, keys, carry, fields)
+        sums = self._summed(known, [*keys, *carry], fields)
         prior = self.priors.select(F.struct(*self.priors.columns)).scalar()
         # The prior counts as one more term of weight 1; rounding makes ties exact.
         scores = F.array(*[F.round((F.col(f"_prior.prior_{c}") + F.col(f"_s_{c}")) / (1.0 + F.col("_total")), 9)
                            for c in self.classes])
         best, confidence = most_probable(F.col("_scores"))
-        judged = settled(sums.withColumn("_prior", prior).withColumn("_scores", scores), [*keys, *carry],
+        judged = settled(sums.withColumn("_prior", prior).withColumn("_scores", scores), [*keys, *carry, *fields],
                          F.struct(best.alias("class_id"), confidence.alias("confidence")))
         return judged.withColumn("label", named(F.col("class_id"), self.names))
 
-    def _weights_value(self, slots: int) -> Column:
-        """The weights as one value: an array of small maps from term to class weights, by hash of the term."""
-        entry = F.struct("term", F.array(*[f"lw_{c}" for c in self.classes]).alias("lw"))
-        filled = (self.weights.groupBy(F.pmod(F.xxhash64("term"), F.lit(slots)).alias("slot"))
-                  .agg(F.collect_list(entry).alias("entries")))
-        every = self.weights.sparkSession.range(slots).withColumnRenamed("id", "slot")
-        none = F.array().cast(filled.schema["entries"].dataType)
-        table = every.join(filled, "slot", "left").withColumn("entries", F.coalesce("entries", none))
-        return table.agg(F.transform(F.sort_array(F.collect_list(F.struct("slot", "entries"))),
-                                     lambda s: F.map_from_entries(s["entries"]))).scalar()
-
-    def _summed_in_row(self, contexts: DataFrame, keys: list[str], carry: list[str]) -> DataFrame:
-        slots = max(1, self.vocab_size // 4)
-
-        def weight_of(g: Column) -> Column:
-            slot = F.get(F.col("_weights"), F.pmod(F.xxhash64(g["term"]), F.lit(slots)).cast("int"))
-            return F.struct(g["w"].alias("w"), F.try_element_at(slot, g["term"]).alias("lw"))
-
-        known = F.filter(F.transform("_grams", weight_of), lambda x: x["lw"].isNotNull())
+    def _weight(self) -> Column:
+        return F.array(*[f"lw_{c}" for c in self.classes])
+
+    @staticmethod
+    def _answered(fields: list[str], across) -> Callable[[Column, Column], Column]:
+        return lambda a, k: F.struct(*[a[f].alias(f) for f in fields], *[a[f].alias(f"_{f}") for f in ("forms", "at", "jumps")], across(a, k).alias("_across"))
+
+    def _looked_up_in_row(self, located: DataFrame, keep: list[str], fields: list[str]) -> DataFrame:
+        slots = max(1, self.weights.count() // 4)
+
+        def weight(term: Column) -> Column:
+            return looked_up(F.col("_weights"), term, slots)
+
+        following = lambda i: F.get(F.col("_flat"), i + 1)["t"]
+        found = F.struct(
+            F.transform("_flat", lambda x: weight(x["t"])).alias("_one"),
+            F.transform("_flat", lambda x, i: weight(F.concat(x["t"], F.lit(" "), following(i)))).alias("_two"),
+            F.transform("_asks", self._answered(fields, lambda a, k: F.transform(a["across"], weight))).alias("_asked"))
+        return settled(located.withColumn("_weights", lookup_value(self.weights, "term", self._weight(), slots)), [*keep, "_flat"], found)
+
+    def _looked_up_by_join(self, located: DataFrame, keys: list[str], carry: list[str], fields: list[str]) -> DataFrame:
+        """Terms go to the weights by term, and back to their text by key as one row of weights."""
+        located = stored(located, "located")
+        weights = stored(self.weights.select("term", self._weight().alias("lw")), "weights")
+        following = lambda i: F.get(F.col("_flat"), i + 1)["t"]
+        nothing = F.lit(None).cast("string")
+        inside = F.transform("_flat", lambda x, i: F.struct(
+            F.lit(-1).alias("a"), i.alias("p"), x["t"].alias("one"), F.concat(x["t"], F.lit(" "), following(i)).alias("two")))
+        between = F.flatten(F.transform("_asks", lambda a, k: F.transform(a["across"], lambda t, j: F.struct(
+            k.alias("a"), j.alias("p"), nothing.alias("one"), t.alias("two")))))
+        units = each(located, keys, F.concat(inside, between), "u").select(*keys, "u.*")
+        one = weights.select(F.col("term").alias("one"), F.col("lw").alias("l1"))
+        two = weights.select(F.col("term").alias("two"), F.col("lw").alias("l2"))
+        met = lookup_join(lookup_join(units, one, ["one"], "left"), two, ["two"], "left")
+        back = met.groupBy(*keys).agg(F.collect_list(F.struct("a", "p", "l1", "l2")).alias("_met"))
+        joined = located.join(back, keys, "left").withColumn("_sorted", F.sort_array("_met"))
+        base = settled(joined, [*keys, *carry, "_flat", "_asks"], F.struct(F.coalesce(
+            F.col("_sorted"), F.array().cast(joined.schema["_sorted"].dataType)).alias("_all")))
+
+        def of(place: Column, name: str) -> Column:
+            return F.transform(F.filter("_all", lambda x: x["a"] == place), lambda x: x[name])
+
+        found = F.struct(of(F.lit(-1), "l1").alias("_one"), of(F.lit(-1), "l2").alias("_two"),
+                         F.transform("_asks", self._answered(fields, lambda a, k: of(k, "l2"))).alias("_asked"))
+        return settled(base, [*keys, *carry, "_flat"], found)
+
+    def _summed(self, known: DataFrame, keep: list[str], fields: list[str]) -> DataFrame:
+        """Weighted sums of the class weights of each ask.
+
+        A term at distance d from the nearest mention of the aspect, in its context, has weight 1 / (1 + d); without a
+        mention all weights are 1. Each mention owns the stretch of the context nearer to it than to
+        its neighbours, so the work is linear in the length of the context.
+        """
+        asked = [*keep, *fields, "_one", "_two", "_at", "_jumps", "_across"]
+        table = known.select(*keep, "_flat", "_one", "_two", F.inline_outer("_asked")).filter(F.col("_at").isNotNull())
+        at, tokens = F.col("_at"), F.col("_flat")
+        words = F.array_distinct(F.split(F.array_join("_forms", " "), " "))
+        table = settled(table, [*asked, "_flat"], F.struct(words.alias("_words")))
+        mentioned = F.filter(F.transform(at, lambda p, c: F.when(F.array_contains("_words", F.get(tokens, p)["t"]), c)), lambda c: c.isNotNull())
+        table = settled(table, asked, F.struct(mentioned.alias("_here")))
+        here, size = F.col("_here"), F.size(at)
+
+        def stretch(m: Column, i: Column) -> Column:
+            first = F.when(i == 0, F.lit(0)).otherwise(F.floor((F.get(here, i - 1) + m) / 2).cast("int") + 1)
+            last = F.when(i == F.size(here) - 1, size - 1).otherwise(F.floor((m + F.get(here, i + 1)) / 2).cast("int"))
+            return F.struct(m.alias("m"), first.alias("first"), last.alias("last"))
+
+        def grams(s: Column) -> Column:
+            def at_place(c: Column) -> Column:
+                w = F.coalesce(1.0 / (1.0 + F.abs(c - s["m"])), F.lit(1.0))
+                p, following = F.get(at, c), F.get(at, c + 1)
+                return F.array(F.struct(w.alias("w"), F.get("_one", p).alias("lw")),
+                               F.struct(w.alias("w"), F.when(following == p + 1, F.get("_two", p)).alias("lw")))
+            return F.flatten(F.transform(F.sequence(s["first"], s["last"]), at_place))
+
+        def bridge(c: Column, k: Column) -> Column:
+            near = F.array_min(F.transform(here, lambda m: F.abs(c - m)))
+            return F.struct(F.coalesce(1.0 / (1.0 + near), F.lit(1.0)).alias("w"), F.get("_across", k).alias("lw"))
+
+        whole = F.array(F.struct(F.lit(None).cast("int").alias("m"), F.lit(0).alias("first"), (size - 1).alias("last")))
+        stretches = F.when(F.size(here) > 0, F.transform(here, stretch)).otherwise(whole)
+        every = F.when(size > 0, F.concat(F.flatten(F.transform(stretches, grams)), F.transform(F.col("_jumps"), bridge)))
+        table = settled(table, [*keep, *fields], F.struct(F.filter(every, lambda x: x["lw"].isNotNull()).alias("_known")))
 
         def total(of) -> Column:
             return F.coalesce(F.aggregate("_known", F.lit(0.0), lambda acc, x: acc + of(x)), F.lit(0.0))
 
-        steps = contexts.select(*keys, *carry, "context", "forms")
-        for name, column in [*weighted_grams(F.col("context"), F.col("forms")), ("_weights", self._weights_value(slots)), ("_known", known)]:
-            steps = steps.withColumn(name, column)
-        return steps.select(*keys, *carry, total(lambda x: x["w"]).alias("_total"),
+        return table.select(*keep, *fields, total(lambda x: x["w"]).alias("_total"),
                             *[total(lambda x, i=i: x["w"] * F.get(x["lw"], F.lit(i))).alias(f"_s_{c}") for i, c in enumerate(self.classes)])
 
-    def _summed_by_join(self, contexts: DataFrame, keys: list[str], carry: list[str]) -> DataFrame:
-        """The terms of a context sit in one partition and are summed there before the shuffle,
-        which moves one narrow row per context."""
-        steps = contexts
-        for name, column in weighted_grams(F.col("context"), F.col("forms")):
-            steps = steps.withColumn(name, column)
-        terms = (steps.select(*keys, *carry, F.explode_outer("_grams").alias("_g"))
-                 .select(*keys, *carry, F.col("_g.term").alias("term"), F.col("_g.w").alias("_w")))
-        weighed = lookup_join(terms, self.weights.drop("tf"), ["term"], F.xxhash64(*keys, "term"), "left", known_rows=self.vocab_size)
-        known = F.when(F.col(f"lw_{self.classes[0]}").isNotNull(), F.col("_w")).otherwise(0.0)
-        return weighed.groupBy(*keys).agg(
-            F.sum(known).alias("_total"),
-            *[F.sum(F.coalesce(F.col("_w") * F.col(f"lw_{c}"), F.lit(0.0))).alias(f"_s_{c}") for c in self.classes],
-            *[F.max(c).alias(c) for c in carry])
-
 
 # --- any batch model ------------------------------------------------------------------
 
@@ -191,12 +241,7 @@ class BatchScorer:
     make_predict: Callable
     names: list[str]
     batch_size: int = SCORING_BATCH
-    distinct_pairs: bool = True
-    salts: int = 16
-
-    @property
-    def in_row(self) -> bool:
-        return not self.distinct_pairs
+    distinct_pairs: bool = False
 
     def _logits(self, context: Column, aspect: Column) -> Column:
         predict = predict_batch_udf(self.make_predict, return_type=T.ArrayType(T.FloatType()), batch_size=self.batch_size)
@@ -208,18 +253,19 @@ class BatchScorer:
                 .withColumn("label", named(F.col("class_id"), self.names)).drop("_logits"))
 
     def score(self, contexts: DataFrame, keys: list[str], carry: list[str] | None = None) -> DataFrame:
-        """Adds ``class_id, label, confidence`` per key. Equal pairs are sent to the model once.
+        """Adds ``class_id, confidence, label`` per key.
 
-        A pair copied into a third of all rows is combined before the shuffle, and the way
-        back is salted, so it is no hot spot on either side.
+        Contexts are scored where they are. With ``distinct_pairs``, for models so dear that this pays, equal pairs are sent to the model
+        once: the contexts are stored, a hash and the least key stand for them in the grouping, and only the chosen rows' texts move.
         """
         carry = carry or []
         aspect, context = F.col("aspect"), F.col("context")
         if not self.distinct_pairs:
             return self._decided(contexts.withColumn("_logits", self._logits(context, aspect))).select(
                 *keys, *carry, "class_id", "confidence", "label")
-        keyed = contexts.withColumn("_pair", text_key(F.concat_ws("\x01", aspect, context)))
-        pairs = keyed.groupBy("_pair").agg(F.first("context").alias("context"), F.first("aspect").alias("aspect"))
-        scored = self._decided(pairs.withColumn("_logits", self._logits(context, aspect))).drop("context", "aspect")
-        return salted_join(keyed.select(*keys, *carry, "_pair"), scored, ["_pair"], F.xxhash64(*keys), salts=self.salts).select(
-            *keys, *carry, "class_id", "confidence", "label")
+        keyed = stored(contexts.withColumn("_pair", text_key(F.concat_ws("\x01", aspect, context))), "pairs")
+        least = keyed.groupBy("_pair").agg(F.min(F.struct(*keys)).alias("_k")).select("_pair", "_k.*")
+        chosen = keyed.select("_pair", *keys, "context", "aspect").join(least, ["_pair", *keys], "left_semi") if "aspect" not in keys else \
+            keyed.select("_pair", *keys, "context").join(least, ["_pair", *keys], "left_semi")
+        scored = self._decided(chosen.withColumn("_logits", self._logits(context, aspect))).select("_pair", "class_id", "confidence", "label")
+        return lookup_join(keyed.select(*keys, *carry, "_pair"), scored, ["_pair"]).select(*keys, *carry, "class_id", "confidence", "label")

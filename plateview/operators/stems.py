@@ -151,6 +151,6 @@ def stemmed_clean(texts: DataFrame, id_col: str, text: str, stop_words: list[str
     """``(id, cleaned)``: classical cleaning with stems. Distinct words are stemmed once."""
     tokens = texts.select(id_col, F.posexplode_outer(tx.letter_tokens(F.col(text), stop_words)).alias("pos", "word"))
     stems = stored(stem_words(tokens.select("word").filter(F.col("word").isNotNull()).distinct()), "stems")
-    joined = lookup_join(tokens, stems, ["word"], F.xxhash64(id_col, "pos"), "left")
+    joined = lookup_join(tokens, stems, ["word"], "left")
     placed = F.sort_array(F.collect_list(F.when(F.col("stem").isNotNull(), F.struct("pos", "stem"))))
     return joined.groupBy(id_col).agg(F.array_join(F.transform(placed, lambda x: x["stem"]), " ").alias("cleaned"))

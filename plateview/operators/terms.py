@@ -11,21 +11,24 @@ from plateview.operators.joins import lookup_join
 PHRASES, NOUNS = "phrases", "nouns"
 
 
-def prepare(reviews: DataFrame, text: str = "text", mode: str = PHRASES,
-            stop_words: list[str] | None = None, normalize_quotes: bool = False) -> DataFrame:
-    """``(review_id, cleaned, sentences, terms)``, all inside the row.
+def prepare(reviews: DataFrame, text: str = "text", mode: str = PHRASES, stop_words: list[str] | None = None,
+            normalize_quotes: bool = False, max_words: int = 3, longest: int = 1) -> DataFrame:
+    """``(review_id, cleaned, sentences, terms, phrases)``, all inside the row.
 
-    Blank reviews keep empty arrays and drop out where these are exploded. A filter here would
+    ``terms`` are candidates of up to ``max_words`` content words. ``phrases`` are all runs of up to ``longest`` words, stop words
+    and numbers included, for a lexicon to be looked up in; what a caller does not read is not computed. Blank reviews keep empty arrays and drop out where these are exploded. A filter here would
     be pushed below the cleaning and compute it a second time.
     """
     if mode not in (PHRASES, NOUNS):
         raise ValueError(f"unknown candidate mode {mode!r}")
     masked = F.col("_masked")
-    terms = tx.phrase_terms(masked) if mode == PHRASES else tx.single_terms(masked)
+    terms = tx.phrase_terms(masked, max_words) if mode == PHRASES else tx.single_terms(masked)
+    phrases = tx.phrase_terms(F.col("_plain"), longest) if longest > 1 else tx.single_terms(F.col("_plain"))
     return (reviews.select("review_id", tx.light_clean(F.col(text), normalize_quotes).alias("cleaned"))
             .select("review_id", "cleaned", tx.split_sentences(F.col("cleaned")).alias("sentences"),
-                    tx.content_words(F.col("cleaned"), stop_words).alias("_masked"))
-            .select("review_id", "cleaned", "sentences", terms.alias("terms")))
+                    tx.content_words(F.col("cleaned"), stop_words).alias("_masked"),
+                    tx.plain_words(tx.term_tokens(F.col("cleaned"))).alias("_plain"))
+            .select("review_id", "cleaned", "sentences", terms.alias("terms"), phrases.alias("phrases")))
 
 
 def term_mentions(prepared: DataFrame) -> DataFrame:
@@ -33,6 +36,11 @@ def term_mentions(prepared: DataFrame) -> DataFrame:
     return each(prepared, ["review_id"], F.col("terms"), "term")
 
 
+def phrase_mentions(prepared: DataFrame, lexicon: DataFrame) -> DataFrame:
+    """``(review_id, term)`` for the phrases that the lexicon lists, whatever words they consist of."""
+    return lookup_join(each(prepared, ["review_id"], F.col("phrases"), "term"), lexicon.select("term").distinct(), ["term"], "left_semi")
+
+
 def vocabulary(mentions: DataFrame) -> DataFrame:
     """``(term, n_reviews)`` over the whole corpus."""
     return mentions.groupBy("term").agg(F.count(F.lit(1)).alias("n_reviews"))
@@ -58,7 +66,7 @@ def plural_lemmas(tokens: DataFrame) -> DataFrame:
 def lemmatize_terms(terms: DataFrame, lemmas: DataFrame) -> DataFrame:
     """``(term, lemma)``: every word of each distinct term replaced by its lemma, if it has one."""
     word = each_placed(terms, ["term"], F.split("term", " "), "pos", "token")
-    found = lookup_join(word, lemmas, ["token"], F.col("term"), "left")
+    found = lookup_join(word, lemmas, ["token"], "left")
     joined = F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("pos", F.coalesce("lemma", "token").alias("w")))),
                                       lambda x: x["w"]), " ")
     return found.groupBy("term").agg(joined.alias("lemma"))
@@ -67,4 +75,4 @@ def lemmatize_terms(terms: DataFrame, lemmas: DataFrame) -> DataFrame:
 def keep_nouns(terms: DataFrame, nouns: DataFrame, term: str = "term") -> DataFrame:
     """Terms whose head, the last word, is in the noun table ``(token)``."""
     headed = terms.withColumn("token", F.element_at(F.split(F.col(term), " "), -1))
-    return lookup_join(headed, nouns.select("token").distinct(), ["token"], F.col(term), "inner").drop("token")
+    return lookup_join(headed, nouns.select("token").distinct(), ["token"]).drop("token")

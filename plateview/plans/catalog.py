@@ -13,6 +13,7 @@ from plateview.operators import absa, aspects, classify, features, metrics, rati
 from plateview.operators import terms as tm
 from plateview.plans import inputs
 from plateview.schemas import LABEL_NAMES, MAX_TOKENS, STOP_WORDS
+from plateview.sources import files, models
 from plateview.sources.files import nonblank
 from plateview.sources.scratch import shared_folder, stored
 from plateview.streaming import scoring as streaming
@@ -124,8 +125,8 @@ def terms_phrases(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def terms_nouns(spark: SparkSession, folder: str) -> DataFrame:
-    words = inputs.single_word_counts(inputs.document_reviews(spark, folder))
-    lemmas = tm.lemmatize_terms(words.select("term"), inputs.document_lemmas(spark, folder))
+    words = inputs.document_words(spark, folder)
+    lemmas = tm.lemmatize_terms(words.select("term"), inputs.document_lemmas(words))
     nouns = tm.keep_nouns(lemmas, stored(inputs.benchmark_words(spark, folder), "nouns"), "lemma")
     return words.join(nouns, "term").groupBy("lemma").agg(F.count(F.lit(1)).alias("n_forms"), F.sum("n_reviews").alias("n_mentions"))
 
@@ -145,9 +146,9 @@ def aspects_default(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def _scored_words(spark: SparkSession, folder: str) -> DataFrame:
-    words = inputs.single_word_counts(inputs.document_reviews(spark, folder)).select("term")
-    names = inputs.aspect_words(inputs.corpus_lexicon(spark, folder))
-    return aspects.score_terms(words, names, inputs.document_vectors(spark, folder))
+    words = inputs.document_words(spark, folder)
+    names = inputs.aspect_words(inputs.corpus_lexicon(spark, folder, words))
+    return aspects.score_terms(words.select("term"), names, inputs.document_vectors(spark, folder, words))
 
 
 def aspects_vector(spark: SparkSession, folder: str) -> DataFrame:
@@ -160,9 +161,10 @@ def threshold_sweep(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def _full_extraction(spark: SparkSession, folder: str) -> dict:
-    lexicon = inputs.corpus_lexicon(spark, folder)
-    return {"lexicon": lexicon, "lemmas": inputs.document_lemmas(spark, folder),
-            "vectors": inputs.document_vectors(spark, folder),
+    words = inputs.document_words(spark, folder)
+    lexicon = inputs.corpus_lexicon(spark, folder, words)
+    return {"lexicon": lexicon, "lemmas": inputs.document_lemmas(words),
+            "vectors": inputs.document_vectors(spark, folder, words),
             "names": inputs.aspect_words(lexicon), "mode": tm.NOUNS}
 
 
@@ -359,7 +361,7 @@ def tfidf_weights(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def logreg_report(spark: SparkSession, folder: str) -> DataFrame:
-    return classify.train_and_evaluate(inputs.document_ratings(spark, folder))["report"]
+    return classify.evaluation_report(inputs.document_ratings(spark, folder))["report"]
 
 
 def logreg_sweep(spark: SparkSession, folder: str) -> DataFrame:
@@ -370,6 +372,44 @@ def logreg_sweep(spark: SparkSession, folder: str) -> DataFrame:
     return classify.best_by_macro_f1(classify.sweep(part["train"], part["validation"], [0.3, 1.0, 3.0]))
 
 
+def model_saved(spark: SparkSession, folder: str) -> DataFrame:
+    """``(review_id, same)``: whether a model that was saved and loaded again judges every test row as before."""
+    divided = stored(inputs.document_split(spark, folder), "split")
+    model = classify.fit_classifier(divided.filter(F.col("split") == "train"), max_iter=30)
+    path = f"{shared_folder(spark)}/model-{uuid.uuid4().hex}"
+    models.save_model(model, path)
+    test = classify.predict(model, divided.filter(F.col("split") == "test").select("review_id", "Review"))
+    again = classify.predict(models.load_model(path), test.withColumnRenamed("y_pred", "before"))
+    return again.select("review_id", (F.col("before") == F.col("y_pred")).alias("same"))
+
+
+# --- files ----------------------------------------------------------------------------
+
+def _path(spark: SparkSession, name: str) -> str:
+    return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+
+
+def ratings_csv(spark: SparkSession, folder: str) -> DataFrame:
+    """The documents' ratings, written as CSV and read back."""
+    path = _path(spark, "ratings-csv")
+    files.write_csv(inputs.document_ratings(spark, folder).withColumn("extra", F.lit("x")), path)
+    return files.read_ratings_csv(spark, path).select("review_id", F.md5("Review").alias("text_md5"), "Rating")
+
+
+def gold_csv(spark: SparkSession, folder: str) -> DataFrame:
+    """Gold labels of the orders, written as CSV with a further column and read back."""
+    path = _path(spark, "gold-csv")
+    files.write_csv(inputs.order_gold(spark, folder).withColumn("extra", F.lit("x")), path)
+    return files.read_gold_csv(spark, path).select(F.md5("review").alias("review_md5"), "aspect", "true_label")
+
+
+def results_json(spark: SparkSession, folder: str) -> DataFrame:
+    """``aspects_default``, written as JSON and read back."""
+    path, found = _path(spark, "results-json"), aspects_default(spark, folder)
+    files.write_json(found, path)
+    return files.read_json(spark, path, found.schema)
+
+
 def _length_model():
     """A stand-in for a user's model: logits from simple counts, computed a batch at a time.
 
@@ -402,7 +442,8 @@ def _order_batch(spark: SparkSession, folder: str, scorer: scoring.BatchScorer)
 def stream_aspects(spark: SparkSession, folder: str) -> DataFrame:
     """The synonym extraction over the documents as a stream of files, in append mode."""
     schema = inputs.read(spark, folder, "documents").schema
-    stream = streaming.table_stream(spark, folder, schema, "documents.parquet").select(F.col("doc_id").alias("review_id"), "text")
+    tasks = spark.sparkContext.defaultParallelism
+    stream = streaming.table_stream(spark, folder, schema, "documents.parquet", tasks=tasks).select(F.col("doc_id").alias("review_id"), "text")
     found = streaming.aspect_contexts(stream, inputs.corpus_lexicon(spark, folder)).select(
         "review_id", "aspect", F.size("evidence").cast("bigint").alias("n_evidence"), F.md5("context").alias("context_md5"))
     return _streamed(spark, lambda path, mark: streaming.run_to_parquet(found, path, mark), found.schema)
@@ -413,7 +454,7 @@ def stream_absa(spark: SparkSession, folder: str) -> DataFrame:
     schema = inputs.read(spark, folder, "orders").schema
     scorer = _order_scorer(spark, folder)
     lexicon = aspects.lexicon_table(spark)
-    stream = streaming.table_stream(spark, folder, schema, "orders.parquet")
+    stream = streaming.table_stream(spark, folder, schema, "orders.parquet", tasks=spark.sparkContext.defaultParallelism)
 
     def analyze(orders: DataFrame) -> DataFrame:
         results = absa.analyze_reviews(inputs.rendered_orders(orders), lexicon, scorer, with_evidence=False)
@@ -423,6 +464,14 @@ def stream_absa(spark: SparkSession, folder: str) -> DataFrame:
                      "review_id bigint, aspect string, label string, confidence double")
 
 
+def stream_distinct(spark: SparkSession, folder: str) -> DataFrame:
+    """The distinct texts of a stream of documents; the delay spans them all."""
+    schema = inputs.read(spark, folder, "documents").schema
+    stream = streaming.table_stream(spark, folder, schema, "documents.parquet").select("text", F.timestamp_seconds("doc_id").alias("at"))
+    kept = streaming.distinct_reviews(stream, "text", "at", "36500 days").select(F.md5("text").alias("text_md5"))
+    return _streamed(spark, lambda path, mark: streaming.run_to_parquet(kept, path, mark), kept.schema)
+
+
 def _streamed(spark: SparkSession, start, schema) -> DataFrame:
     base = f"{shared_folder(spark)}/stream-{uuid.uuid4().hex}"
     start(f"{base}/out", f"{base}/mark").awaitTermination()
@@ -437,5 +486,6 @@ QUERIES = {f.__name__: f for f in [
     embedding_softmax, phrase_vector_mean, evidence_sentence, context_full, absa_flagship, absa_qualitative, absa_orders,
     absa_formatted, absa_full, context_compare, extraction_compare, gold_score, gold_report, gold_confusion,
     confusion_dense, confusion_wide, class_report, f1_present_labels, vocab_topk, tfidf_weights, nb_weights, nb_scores,
-    logreg_report, logreg_sweep, batch_scoring, stream_aspects, stream_absa,
+    logreg_report, logreg_sweep, model_saved, ratings_csv, gold_csv, results_json, batch_scoring, stream_aspects, stream_absa,
+    stream_distinct,
 ]}

@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from plateview.operators import stems
 from plateview.plans import inputs
-from plateview.schemas import (DEFAULT_ASPECTS, DEFAULT_SYNONYMS, LABEL_NAMES, MAX_FEATURES, MAX_TOKENS,
+from plateview.schemas import (DEFAULT_ASPECTS, DEFAULT_SYNONYMS, LABEL_NAMES, MAX_FEATURES, MAX_TOKENS, MISSING_MARKERS,
                                NO_ASPECTS_MESSAGE, NOT_DETECTED, SIMILARITY_THRESHOLD, STOP_WORDS)
 
 # --- building blocks ------------------------------------------------------------------
@@ -191,7 +191,7 @@ nb_tokens AS (SELECT review_id, label, unnest(ts) AS t, generate_subscripts(ts,
 nb_pairs AS (SELECT label, t, lead(t) OVER (PARTITION BY review_id ORDER BY pos) AS nx FROM nb_tokens),
 nb_terms AS (SELECT label, t AS term FROM nb_pairs UNION ALL SELECT label, t || ' ' || nx FROM nb_pairs WHERE nx IS NOT NULL),
 nb_counts AS (SELECT term, count(*) AS tf, count(*) FILTER (label = 0) AS n0, count(*) FILTER (label = 1) AS n1, count(*) FILTER (label = 2) AS n2
-  FROM nb_terms GROUP BY term ORDER BY tf DESC, term LIMIT {MAX_FEATURES}),
+  FROM nb_terms GROUP BY term),
 nb_sums AS (SELECT CAST(count(*) AS DOUBLE) AS v, CAST(sum(n0) AS DOUBLE) AS s0, CAST(sum(n1) AS DOUBLE) AS s1, CAST(sum(n2) AS DOUBLE) AS s2 FROM nb_counts),
 w AS (SELECT term, tf, ln(CAST(n0 + 1 AS DOUBLE) / (s0 + v)) AS lw0, ln(CAST(n1 + 1 AS DOUBLE) / (s1 + v)) AS lw1, ln(CAST(n2 + 1 AS DOUBLE) / (s2 + v)) AS lw2
   FROM nb_counts, nb_sums),
@@ -296,10 +296,10 @@ _HEADLINE = """SELECT round(sum(hits) / sum(support), 6) AS accuracy, round(avg(
 
 
 def _report(title: str) -> str:
-    return f"""SELECT {title} AS class, round(precision, 6) AS precision, round(recall, 6) AS recall, round(f1, 6) AS f1, CAST(support AS BIGINT) AS support FROM m
-UNION ALL SELECT 'accuracy', NULL, NULL, round(sum(hits) / sum(support), 6), CAST(sum(support) AS BIGINT) FROM m
-UNION ALL SELECT 'macro avg', round(avg(precision), 6), round(avg(recall), 6), round(avg(f1), 6), CAST(sum(support) AS BIGINT) FROM m
-UNION ALL SELECT 'weighted avg', round(sum(precision * support) / sum(support), 6), round(sum(recall * support) / sum(support), 6), round(sum(f1 * support) / sum(support), 6),
+    return f"""SELECT row_number() OVER (ORDER BY label) - 1 AS ord, {title} AS class, round(precision, 6) AS precision, round(recall, 6) AS recall, round(f1, 6) AS f1, CAST(support AS BIGINT) AS support FROM m
+UNION ALL SELECT count(*), 'accuracy', NULL, NULL, round(sum(hits) / sum(support), 6), CAST(sum(support) AS BIGINT) FROM m
+UNION ALL SELECT count(*) + 1, 'macro avg', round(avg(precision), 6), round(avg(recall), 6), round(avg(f1), 6), CAST(sum(support) AS BIGINT) FROM m
+UNION ALL SELECT count(*) + 2, 'weighted avg', round(sum(precision * support) / sum(support), 6), round(sum(recall * support) / sum(support), 6), round(sum(f1 * support) / sum(support), 6),
   CAST(sum(support) AS BIGINT) FROM m"""
 
 
@@ -471,6 +471,11 @@ logits AS (SELECT review_id, aspect, CAST(length(context) - length(replace(conte
   CAST(length(context) - length(replace(context, '.', '')) AS DOUBLE) AS z2 FROM contexts)""",
                            final=f"""SELECT review_id, aspect, {_class_name('CASE WHEN z0 >= z1 AND z0 >= z2 THEN 0 WHEN z1 >= z2 THEN 1 ELSE 2 END')} AS label,
   round(1 / (exp(z0 - greatest(z0, z1, z2)) + exp(z1 - greatest(z0, z1, z2)) + exp(z2 - greatest(z0, z1, z2))), 4) AS confidence FROM logits"""),
+    "model_saved": _with(DOC_RAW, RATINGS, TWO_WAY, final="SELECT review_id, TRUE AS same FROM divided WHERE split = 'test'"),
+    "ratings_csv": _with(DOC_RAW, final=f"""SELECT review_id, md5(CASE WHEN review NOT IN ({', '.join(map(_q, MISSING_MARKERS))}) THEN review END) AS text_md5, stars AS "Rating" FROM raw"""),
+    "gold_csv": _with(ORDER_ROWS, final=f"SELECT md5(text) AS review_md5, list_extract({_list(DEFAULT_ASPECTS)}, CAST(review_id % 7 AS INTEGER) + 1) AS aspect, {_GOLD_LABEL} AS true_label FROM order_rows"),
+    "results_json": _with(*ORDER_FOUND, final=_FORMS_OUT),
+    "stream_distinct": "SELECT DISTINCT md5(text) AS text_md5 FROM documents",
     "stream_aspects": _with(*DOC_FOUND, _contexts(), final=_CONTEXT_OUT),
     "stream_absa": _with(*ORDER_SCORED, final=f"SELECT review_id, aspect, {_class_name('class_id')} AS label, confidence FROM scored"),
 }

@@ -113,12 +113,18 @@ def single_word_counts(reviews: DataFrame) -> DataFrame:
     return tm.vocabulary(tm.term_mentions(tm.prepare(reviews, mode=tm.NOUNS)))
 
 
-def corpus_lexicon(spark: SparkSession, folder: str) -> DataFrame:
+def document_words(spark: SparkSession, folder: str) -> DataFrame:
+    """``(term, n_reviews)`` of the documents' content words, stored once for all that is derived from them."""
+    return stored(single_word_counts(document_reviews(spark, folder)), "words")
+
+
+def corpus_lexicon(spark: SparkSession, folder: str, words: DataFrame | None = None) -> DataFrame:
     """``(term, aspect, ord)``: the most widespread longer words of the documents, dealt out to the default aspects.
 
     A top-k: ``LEXICON_SIZE`` rows whatever the size of the corpus. Stored, because several steps use it.
     """
-    counts = single_word_counts(document_reviews(spark, folder)).filter(F.length("term") >= LEXICON_MIN_LENGTH)
+    words = single_word_counts(document_reviews(spark, folder)) if words is None else words
+    counts = words.filter(F.length("term") >= LEXICON_MIN_LENGTH)
     order = [F.col("n_reviews").desc(), F.col("term")]
     ranked = counts.orderBy(*order).limit(LEXICON_SIZE).withColumn("_rank", F.row_number().over(Window.orderBy(*order)))
     ord_ = ((F.col("_rank") - 1) % len(DEFAULT_ASPECTS)).cast("int")
@@ -140,14 +146,12 @@ def token_vectors(spark: SparkSession, folder: str, tokens: DataFrame) -> DataFr
     return stored(hashed.join(embeddings, "vec_id").select("token", "vec"), "vectors")
 
 
-def document_vectors(spark: SparkSession, folder: str) -> DataFrame:
-    words = single_word_counts(document_reviews(spark, folder)).select(F.col("term").alias("token"))
-    return token_vectors(spark, folder, words)
+def document_vectors(spark: SparkSession, folder: str, words: DataFrame) -> DataFrame:
+    return token_vectors(spark, folder, words.select(F.col("term").alias("token")))
 
 
-def document_lemmas(spark: SparkSession, folder: str) -> DataFrame:
-    words = single_word_counts(document_reviews(spark, folder)).select(F.col("term").alias("token"))
-    return stored(tm.plural_lemmas(words), "lemmas")
+def document_lemmas(words: DataFrame) -> DataFrame:
+    return stored(tm.plural_lemmas(words.select(F.col("term").alias("token"))), "lemmas")
 
 
 def benchmark_words(spark: SparkSession, folder: str) -> DataFrame:

@@ -57,14 +57,15 @@ STOP_WORDS = (
 ).split()
 
 # ---------------------------------------------------------------------------
-# Size bounds. A table is broadcast, or handed to every row, only within these.
+# Sizes. The first two are proven where a table is broadcast or handed to every row, and are
+# parameters of the public functions; the others choose between plans that give the same rows.
 # ---------------------------------------------------------------------------
 
-MAX_CLASSES = 1_000          # labels of one classification task
-MAX_ASPECTS = 1_000          # aspects of one lexicon
-MAX_INROW_TERMS = 5_000      # lexicon terms matched inside the row
-MAX_INROW_WEIGHTS = 50_000   # terms of a scorer that are looked up inside the row
-MAX_LOOKUP_ROWS = 500_000    # rows of a broadcast lookup table
+MAX_CLASSES = 1_000              # labels of one classification task
+MAX_ASPECTS = 1_000              # aspects of one lexicon
+MAX_INROW_LEXICON = 100_000      # characters of a lexicon that is matched inside the row
+MAX_INROW_BYTES = 2 << 20        # bytes of a stored table of weights that is looked up inside the row
+BLOCK_BYTES = 32 << 20           # bytes of training vectors in a partition
 
 # ---------------------------------------------------------------------------
 # Schemas
@@ -82,23 +83,8 @@ GOLD_FILE = T.StructType([
     T.StructField("true_label", T.StringType()),
 ])
 
-REVIEWS = T.StructType([
-    T.StructField("review_id", T.LongType()),
-    T.StructField("text", T.StringType()),
-])
-
 LEXICON = T.StructType([
     T.StructField("term", T.StringType()),
     T.StructField("aspect", T.StringType()),
     T.StructField("ord", T.IntegerType()),
 ])
-
-VECTORS = T.StructType([
-    T.StructField("token", T.StringType()),
-    T.StructField("vec", T.ArrayType(T.FloatType())),
-])
-
-SENTIMENT = T.StructType([
-    T.StructField("label", T.StringType()),
-    T.StructField("confidence", T.DoubleType()),
-])

@@ -62,6 +62,12 @@ def read_review_lines(spark: SparkSession, path: str) -> DataFrame:
     return nonblank(spark.read.text(path).select(F.col("value").alias("text")))
 
 
+def write_csv(table: DataFrame, path: str) -> None:
+    """CSV with a header that ``read_ratings_csv`` and ``read_gold_csv`` read back: quotes doubled, line breaks and blanks kept."""
+    (table.write.mode("overwrite").option("header", True).option("quote", '"').option("escape", '"')
+     .option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False).csv(path))
+
+
 def write_json(table: DataFrame, path: str) -> None:
     table.write.mode("overwrite").json(path)
 

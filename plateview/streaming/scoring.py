@@ -19,10 +19,11 @@ def review_line_stream(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def table_stream(spark: SparkSession, folder: str, schema: T.StructType, glob: str = "*.parquet",
-                 files_per_batch: int = 1000) -> DataFrame:
-    """Parquet files that arrive in a folder."""
-    return (spark.readStream.schema(schema).option("pathGlobFilter", glob)
-            .option("maxFilesPerTrigger", files_per_batch).parquet(folder))
+                 files_per_batch: int = 1000, tasks: int | None = None) -> DataFrame:
+    """Parquet files that arrive in a folder; ``tasks`` deals the rows of a batch out, for a batch of few files would keep few cores busy."""
+    stream = (spark.readStream.schema(schema).option("pathGlobFilter", glob)
+              .option("maxFilesPerTrigger", files_per_batch).parquet(folder))
+    return stream if tasks is None else stream.repartition(tasks)
 
 
 def distinct_reviews(stream: DataFrame, text: str, event_time: str, delay: str) -> DataFrame:

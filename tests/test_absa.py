@@ -1,3 +1,6 @@
+import math
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -49,12 +52,25 @@ def test_context_modes(spark, reviews, lexicon):
 
 
 def test_weights_looked_up_or_joined_give_the_same(reviews, lexicon, scorer, results, monkeypatch):
-    monkeypatch.setattr(scoring, "MAX_INROW_WEIGHTS", 0)
+    monkeypatch.setattr(scoring, "MAX_INROW_BYTES", -1)
     joined = absa.analyze_reviews(reviews, lexicon, scorer)
-    assert not scorer.in_row
     assert sorted(map(repr, joined.select(results.columns).collect())) == sorted(map(repr, results.collect()))
 
 
+@pytest.mark.parametrize("limit", [1 << 30, -1])
+@pytest.mark.parametrize("mode", [absa.SENTENCE, absa.FULL_REVIEW])
+def test_one_lookup_per_review_equals_a_lookup_per_context(spark, lexicon, scorer, mode, limit, monkeypatch):
+    """Contexts of sentences that are not neighbours hold bigrams that the review does not."""
+    monkeypatch.setattr(scoring, "MAX_INROW_BYTES", limit)
+    texts = ["Great food. We sat outside. Delicious food was slow. Rude! The food", "The service was slow. A. Terribly. Slow service. staff great",
+             "food", "Service. . Food? great staff and tasty food! lovely. cold", "", None]
+    reviews = spark.createDataFrame(list(enumerate(texts)), "review_id long, text string")
+    detected = aspects.extract_aspects(reviews, lexicon)
+    each = absa.score_contexts(absa.contexts(detected, mode), scorer)
+    once = absa.score_detected(detected, scorer, [mode]).select(each.columns)
+    assert sorted(map(repr, once.collect())) == sorted(map(repr, each.collect()))
+
+
 def test_no_sentence_mentions_the_form_falls_back_to_all(spark):
     detected = spark.createDataFrame([(1, "One. Two.", ["One.", "Two."], [(0, "food", ["pasta"])])],
                                      "review_id long, cleaned string, sentences array<string>, detected array<struct<ord:int,aspect:string,forms:array<string>>>")
@@ -121,19 +137,50 @@ def brute_grams(tokens, form_words):
     return sorted(singles + pairs)
 
 
-@pytest.mark.parametrize("context, forms", [
+CASES = [
     ("the food here and the food there with slow service at the end food", ["food"]),
     ("good wait time and more time to wait", ["wait time"]),
-    ("nothing of that kind", ["food"]), ("food", ["food"]), ("", ["food"]), ("aa bb cc dd", []),
-])
-def test_distance_weights_against_brute_force(spark, context, forms):
-    table = spark.createDataFrame([(context, forms)], "context string, forms array<string>")
-    for name, column in scoring.weighted_grams(F.col("context"), F.col("forms")):
-        table = table.withColumn(name, column)
-    got = [(g["term"], g["w"]) for g in (table.first()["_grams"] or []) if g["term"] is not None]
-    tokens = [t for t in context.split() if len(t) > 1]
-    expected = brute_grams(tokens, {w for f in forms for w in f.split()})
-    assert sorted(got) == [(t, pytest.approx(w)) for t, w in expected]
+    ("nothing of that kind", ["food"]), ("food", ["food"]), ("", ["food"]), ("aa bb cc dd", []), (None, ["food"]),
+]
+
+
+@pytest.mark.parametrize("limit", [1 << 30, -1])
+def test_distance_weights_against_brute_force(spark, limit, monkeypatch):
+    monkeypatch.setattr(scoring, "MAX_INROW_BYTES", limit)
+    rng = random.Random(1)
+    words = sorted({w for c, _ in CASES for w in (c or "").split()})
+    terms = words[::2] + [f"{a} {b}" for a, b in zip(words, words[1:])] + ["the food", "food there", "aa bb", "wait time"]
+    lw = {t: (-rng.random() * 5, -rng.random() * 5) for t in terms}
+    weights = spark.createDataFrame([(t, 1, *v) for t, v in lw.items()], "term string, tf long, lw_0 double, lw_1 double")
+    priors = spark.createDataFrame([(-0.3, -1.3)], "prior_0 double, prior_1 double")
+    scorer = scoring.BayesScorer(weights, priors, [0, 1], ["bad", "good"]).materialised()
+    table = spark.createDataFrame([(i, c, f, [{"k": str(i)}]) for i, (c, f) in enumerate(CASES)],
+                                  "id long, context string, forms array<string>, taken array<map<string,string>>")
+    got = {r["id"]: r for r in scorer.score(table, ["id"], ["taken"]).collect()}
+    for i, (context, forms) in enumerate(CASES):
+        tokens = [t for t in (context or "").split() if len(t) > 1]
+        known = [(lw[t], w) for t, w in brute_grams(tokens, {w for f in forms for w in f.split()}) if t in lw]
+        total = 1 + sum(w for _, w in known)
+        z = [(p + sum(w * v[k] for v, w in known)) / total for k, p in enumerate((-0.3, -1.3))]
+        assert got[i]["class_id"] == z.index(max(z)) and got[i]["taken"] == [{"k": str(i)}]
+        assert got[i]["confidence"] == pytest.approx(1 / (1 + math.exp(min(z) - max(z))), abs=1e-4)
+
+
+def test_scorer_of_many_terms_carries_anything(spark):
+    """60,000 weights and an array to take along."""
+    weights = spark.range(60_000).select(F.concat(F.lit("w"), F.col("id").cast("string")).alias("term"), F.lit(1).alias("tf"),
+                                         F.when(F.col("id") % 2 == 0, -1.0).otherwise(-3.0).alias("lw_0"), F.lit(-2.0).alias("lw_1"))
+    priors = spark.createDataFrame([(-0.7, -0.7)], "prior_0 double, prior_1 double")
+    scorer = scoring.BayesScorer(weights, priors, [0, 1], ["even", "odd"]).materialised()
+    table = spark.createDataFrame([(0, "w59998 w2", ["x"]), (1, "w59999 w3", ["y", "z"])], "id long, context string, evidence array<string>")
+    rows = scorer.score(table.withColumn("forms", F.array().cast("array<string>")), ["id"], ["evidence"]).orderBy("id").collect()
+    assert [(r["label"], r["evidence"]) for r in rows] == [("Even", ["x"]), ("Odd", ["y", "z"])]
+
+
+def test_all_terms_have_weights_unless_a_size_is_given(spark):
+    texts = spark.createDataFrame([(1, "aa bb", 0), (2, "aa cc", 1)], "review_id long, Review string, label int")
+    assert {r["term"] for r in scoring.bayes_weights(texts, "Review", "label", [0, 1]).collect()} == {"aa", "bb", "cc", "aa bb", "aa cc"}
+    assert {r["term"] for r in scoring.bayes_weights(texts, "Review", "label", [0, 1], 1).collect()} == {"aa"}
 
 
 def keyword_model():
@@ -157,12 +204,18 @@ def test_batch_model(spark, reviews, lexicon, distinct):
     assert got[3, "service"] == "Negative"
 
 
-def test_timing(reviews, lexicon, scorer):
-    def analyze(table):
-        return absa.analyze_reviews(table, lexicon, scorer, with_evidence=False)
-    took = timing.measure_inference_time(reviews, analyze, 2)
-    assert took["total_reviews_processed"] == 10 and took["avg_seconds_per_review"] > 0
-    assert timing.measure_inference_time(reviews.limit(0), analyze)["avg_seconds_per_review"] is None
+def test_timed_runs(spark, reviews, lexicon, scorer):
+    jobs = {"analyze": lambda: absa.analyze_reviews(reviews, lexicon, scorer, with_evidence=False), "read": lambda: reviews}
+    rows = timing.timed_runs(spark, jobs, [reviews], repeats=2).collect()
+    assert [(r["job"], r["run"], r["rows"]) for r in rows] == [("analyze", 0, 6), ("analyze", 1, 6), ("read", 0, 5), ("read", 1, 5)]
+    assert all(r["seconds"] > 0 and r["rows_per_second"] == pytest.approx(r["rows"] / r["seconds"]) for r in rows)
+
+
+def test_reviews_beside_results(spark, reviews, lexicon, scorer, results):
+    shown = {r["review_id"]: r["review"] for r in absa.qualitative(results, reviews).collect()}
+    assert shown == {i: TEXTS[i] for i in (0, 2, 3)}
+    compared = absa.compare_context_modes(reviews, lexicon, scorer, with_review=True)
+    assert {r["review_id"]: r["review"] for r in compared.collect()} == shown
 
 
 def test_metrics_of_logits(spark):

@@ -1,7 +1,7 @@
 import pytest
 from pyspark.errors import PySparkException
 
-from plateview.operators import aspects
+from plateview.operators import aspects, word_vectors
 from plateview.operators import terms as tm
 from plateview.operators.joins import bounded, lookup_join
 from plateview.schemas import DEFAULT_ASPECTS, DEFAULT_SYNONYMS
@@ -24,8 +24,8 @@ def forms(detected):
     return {(r["review_id"], r["aspect"]): r["forms"] for r in aspects.surface_forms(detected).collect()}
 
 
-def test_default_aspects_fit_restaurants():
-    assert not {"room", "location", "bedroom", "bathroom"} & set(DEFAULT_ASPECTS)
+def test_every_default_aspect_is_its_own_synonym():
+    assert len(set(DEFAULT_ASPECTS)) == len(DEFAULT_ASPECTS)
     assert all(a in DEFAULT_SYNONYMS[a] for a in DEFAULT_ASPECTS) and set(DEFAULT_SYNONYMS) == set(DEFAULT_ASPECTS)
 
 
@@ -47,7 +47,7 @@ def test_a_term_listed_twice_goes_to_the_later_aspect(spark):
 
 def test_vector_path_end_to_end(spark, vectors):
     lexicon = aspects.lexicon_table(spark, ["food", "service"])
-    table = reviews(spark, "The pasta was amazing but the waiter took forever.")
+    table = reviews(spark, "Our waiter spilled soup; still, we liked the pasta.")
     found = forms(aspects.extract_aspects(table, lexicon, vectors=vectors))
     assert found[0, "service"] == ["waiter"] and "pasta" in found[0, "food"]
 
@@ -89,15 +89,57 @@ def test_unknown_mode_is_refused(spark):
 
 
 def test_bounded_tables(spark):
-    assert bounded(spark.range(5), 5, "ids").count() == 5
-    with pytest.raises(PySparkException, match="more than 4 rows"):
-        bounded(spark.range(5), 4, "ids").collect()
+    table = spark.range(5).withColumn("other", F.col("id") * 2)
+    assert bounded(table, 5, "ids").count() == 5
+    for few in (bounded(table, 4, "ids"), bounded(table, 4, "ids").select("other"), bounded(table, 4, "ids").groupBy().count()):
+        with pytest.raises(PySparkException, match="more than 4 rows"):
+            few.collect()
+
+
+def test_lexicon_phrases_of_any_length_and_words(spark):
+    lexicon = aspects.lexicon_table(spark, ["price", "food", "seat"], {
+        "price": ["value for money", "2 for 1"], "food": ["slow cooked wild boar", "pasta"], "seat": ["table 9"]})
+    table = reviews(spark, "Good value for money, and the slow cooked wild boar!", "Table 9, pasta. 2 for 1 today", "value. for money", "table 9")
+    expected = {(0, "price"): ["value for money"], (0, "food"): ["slow cooked wild boar"], (1, "seat"): ["table 9"],
+                (1, "food"): ["pasta"], (1, "price"): ["2 for 1"], (3, "seat"): ["table 9"]}
+    assert forms(aspects.extract_aspects(table, lexicon)) == expected
+    lemmas = spark.createDataFrame([("boars", "boar")], "token string, lemma string")
+    assert forms(aspects.extract_aspects(table, lexicon, lemmas=lemmas)) == expected
+
+
+def test_a_large_lexicon_matches_like_a_small_one(spark, monkeypatch):
+    owned = {"a": [f"word{i}" for i in range(3000)] + ["two words"], "b": [f"other{i}" for i in range(3000)] + ["and"]}
+    words = ["word7", "nothing", "other2999", "two words and", "word2999"]
+    # Letters and digits stand together in one token.
+    lexicon = aspects.lexicon_table(spark, ["a", "b"], owned)
+    table = reviews(spark, *words, None)
+    small = forms(aspects.extract_aspects(table, lexicon))
+    monkeypatch.setattr(aspects, "MAX_INROW_LEXICON", 10)
+    large = forms(aspects.extract_aspects(table, lexicon))
+    assert small == large == {(0, "a"): ["word7"], (2, "b"): ["other2999"], (3, "a"): ["two words"], (3, "b"): ["and"], (4, "a"): ["word2999"]}
+
+
+def test_own_candidates(spark, vectors):
+    own = spark.createDataFrame([(0, "pasta"), (0, "far")], "review_id long, term string")
+    lexicon = aspects.lexicon_table(spark, ["food", "service"])
+    found = forms(aspects.extract_aspects(reviews(spark, "The spaghetti"), lexicon, vectors=vectors, candidates=own))
+    assert found == {(0, "food"): ["pasta"]}
+
+
+def test_vectors_from_the_corpus(spark):
+    good = ["the soup tasted warm and rich", "the stew tasted warm and rich", "the broth tasted warm and rich"] * 30
+    other = ["our guide walked up north quickly", "our driver walked up north quickly"] * 30
+    learned = word_vectors.corpus_vectors(reviews(spark, *good, *other, " ", None), size=8, min_count=3, epochs=3)
+    assert {"soup", "stew", "driver"} <= {r["token"] for r in learned.collect()} and len(learned.first()["vec"]) == 8
+    lexicon = aspects.lexicon_table(spark, ["soup"], {"soup": ["soup"]})
+    found = forms(aspects.extract_aspects(reviews(spark, "soup and stew"), lexicon, vectors=learned, threshold=-1.0, mode="nouns"))
+    assert set(found[0, "soup"]) >= {"soup", "stew"}
 
 
 @pytest.mark.parametrize("how", ["inner", "left", "left_anti"])
-def test_salted_and_broadcast_lookups_agree(spark, how):
+def test_broadcast_and_shuffled_lookups_agree(spark, how):
     facts = spark.range(3000).select("id", F.when(F.col("id") % 3 == 0, "hot").otherwise(F.concat(F.lit("k"), (F.col("id") % 40).cast("string"))).alias("k"))
     lookup = spark.createDataFrame([("hot", 1), ("k1", 2), ("k7", 3)], "k string, v int")
-    small = lookup_join(facts, lookup, ["k"], F.col("id"), how)
-    large = lookup_join(facts, lookup, ["k"], F.col("id"), how, max_rows=1)
+    small = lookup_join(facts, F.broadcast(lookup), ["k"], how)
+    large = lookup_join(facts, lookup.hint("merge"), ["k"], how)
     assert sorted(map(repr, small.collect())) == sorted(map(repr, large.collect()))

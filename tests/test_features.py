@@ -75,6 +75,19 @@ def test_classifier_minimises_the_summed_loss_with_unit_penalty(spark, ratings):
     assert np.linalg.norm(x, axis=1) == pytest.approx(np.ones(len(x)))
 
 
+def test_sweep_fits_one_learner_per_strength(ratings):
+    labelled = ratings.withColumn("label", F.when(F.col("Rating") == "5", 2).when(F.col("Rating") == "1", 0).otherwise(1))
+    tried = classify.sweep(labelled.filter("review_id < 60"), labelled.filter("review_id >= 60"), [0.5, 2.0], max_iter=30).collect()
+    assert [r["strength"] for r in tried] == [0.5, 2.0] and all(r["accuracy"] == 1.0 for r in tried)
+
+
+def test_report_keeps_the_order_of_labels(spark):
+    from plateview.operators import metrics
+    counts = spark.createDataFrame([(2, 2, 3), (0, 1, 1), (1, 1, 2)], "y_true int, y_pred int, n long")
+    rows = metrics.report(counts, [0, 1, 2], {0: "Z", 1: "Y", 2: "X"}).orderBy("ord").collect()
+    assert [r["class"] for r in rows] == ["Z", "Y", "X", "accuracy", "macro avg", "weighted avg"]
+
+
 def test_sweep_takes_the_best_macro_f1(spark):
     tried = spark.createDataFrame([(0.3, 0.8, 0.5, 0.7), (1.0, 0.7, 0.6, 0.7), (3.0, 0.9, 0.6, 0.9)],
                                   "strength double, accuracy double, macro_f1 double, weighted_f1 double")

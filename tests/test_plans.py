@@ -4,8 +4,9 @@ import re
 
 from pyspark.sql import functions as F
 
-from plateview.operators import absa, aspects, features, ratings, splits
+from plateview.operators import absa, aspects, features, ratings, scoring, splits
 from plateview.operators import terms as tm
+from plateview.sources.scratch import stored
 
 
 def main_plan(table):
@@ -35,6 +36,32 @@ def test_analysis_by_lexicon_is_one_pass_without_a_shuffle(spark, tmp_path, scor
     assert plan.count("FileScan") == 1 and "unused" not in plan
 
 
+def test_tfidf_weights_need_no_shuffle(spark, tmp_path):
+    table = stored_reviews(spark, tmp_path)
+    fitted = stored(features.with_idf(features.vocabulary(table, "review_id", "text"), table), "vocabulary")
+    plan = main_plan(features.tfidf(table, "review_id", "text", fitted))
+    assert "Exchange" not in plan and "Join" not in plan and plan.count("FileScan") == 1
+
+
+def test_scorer_counts_its_texts_once(spark, tmp_path):
+    texts = stored_reviews(spark, tmp_path).withColumn("label", F.lit(0))
+    plan = scoring.bayes_weights(texts, "text", "label", [0])._jdf.queryExecution().executedPlan().toString()
+    assert "regexp_extract_all" not in plan and "rangepartitioning" not in plan
+
+
+def test_batch_model_reads_its_contexts_once(spark, tmp_path):
+    from test_absa import keyword_model
+    scorer = scoring.BatchScorer(keyword_model(), ["negative", "neutral", "positive"])
+    plan = main_plan(absa.analyze_reviews(stored_reviews(spark, tmp_path), aspects.lexicon_table(spark), scorer))
+    assert plan.count("FileScan") == 1 and "Exchange" not in plan and "SortAggregate" not in plan
+
+
+def test_distinct_gold_reviews_are_hashed(spark, tmp_path):
+    gold = stored_reviews(spark, tmp_path).select(F.col("text").alias("review"))
+    plan = main_plan(absa.gold_reviews(gold))
+    assert "SortAggregate" not in plan and plan.count("HashAggregate") == 2
+
+
 def test_texts_are_cleaned_once(spark, tmp_path):
     plan = main_plan(tm.vocabulary(tm.term_mentions(tm.prepare(stored_reviews(spark, tmp_path)))))
     assert plan.count("<[^>]+>") == 1

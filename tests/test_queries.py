@@ -4,9 +4,10 @@ import pytest
 
 import __spark_entry__ as entry
 from compare import compare, database
+from plateview.plans.catalog import QUERIES
+from plateview.plans.check_sql import CHECKS
 
 FOLDER = "/root/testdata/sf0.001"
-CHECKS, QUERIES = entry.oracle_sql(), entry.queries()
 pytestmark = pytest.mark.skipif(not os.path.isdir(FOLDER), reason="the given tables are not here")
 
 
@@ -15,6 +16,10 @@ def db():
     return database(FOLDER)
 
 
+def test_all_queries_are_registered():
+    assert set(QUERIES) <= set(entry.queries()) and set(CHECKS) <= set(entry.oracle_sql()) and set(entry.oracle_sql()) <= set(entry.queries())
+
+
 def test_every_check_belongs_to_a_query():
     assert set(CHECKS) <= set(QUERIES)
     assert set(QUERIES) - set(CHECKS) == {"logreg_report", "logreg_sweep"}
