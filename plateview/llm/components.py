@@ -80,10 +80,14 @@ def open_buckets(members: DataFrame) -> DataFrame:
         "bucket", F.col("m.component").alias("least"), "n", (F.col("n") - F.col("m.c")).alias("others"), "k"), "bucket")
 
 
-def linked(members: DataFrame, centres: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Links ``(a, b)`` between centres and members of their buckets in other components, confirmed on whole sets."""
+def linked(members: DataFrame, centres: DataFrame, sets: DataFrame, percent: int, mutual: bool = False) -> DataFrame:
+    """Links ``(a, b)`` between centres and members of their buckets in other components, confirmed on whole sets.
+
+    ``mutual``: the centres are the members themselves, so each pair is taken from one side only.
+    """
     hub = centres.select("bucket", F.col("id").alias("a"), F.col("size").alias("_size"), F.col("component").alias("_component"))
-    pairs = (members.join(hub, "bucket").filter(F.col("component") != F.col("_component"))
+    met = members.join(hub, "bucket").filter(F.col("component") != F.col("_component"))
+    pairs = ((met.filter(F.col("id") < F.col("a")) if mutual else met)
              .filter(100 * F.least("size", "_size") >= percent * F.greatest("size", "_size"))
              .select(F.least("a", "id").alias("a"), F.greatest("a", "id").alias("b")).distinct())
     met = (pairs.join(sets.select(F.col("id").alias("b"), F.col("shingles").alias("right")), "b")

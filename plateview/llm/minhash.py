@@ -16,14 +16,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from plateview.llm.buffers import NOT_SPACE, U64, Words, byte_column, chunks, mix, odd_powers
-from plateview.llm.components import FEW, centres, hubs, linked, merged, open_buckets, renamed
+from plateview.llm.components import FEW, centres, linked, merged, open_buckets, renamed
 from plateview.sources.scratch import stored
 
 SHINGLE = 5
 BANDS, ROWS = 64, 6          # a link at similarity 0.75 shares no band once in 280,000 times
 BINS = BANDS * ROWS
-STEPS = (0, 3, BANDS)        # bands that are worked off together
-SLOTS = 8                    # members of a component that a bucket compares
+SLOTS = 16                   # members of a component that a bucket compares
+NARROWER = 1                 # times that crowded buckets are split; what is crowded still is met by stars
 CHUNK_BYTES = 2 << 20
 
 _routes: list[np.ndarray] = []
@@ -107,47 +107,50 @@ def sketches(documents: DataFrame, doc_id: str = "doc_id", text: str = "text") -
 
 
 def _sampled(members: DataFrame) -> DataFrame:
-    """At most ``SLOTS`` members of each component in each bucket, others in every bucket."""
+    """At most ``SLOTS`` members of each component in each bucket, the most central of those that share a slot."""
     slot = F.pmod(F.xxhash64("id", "bucket"), F.lit(SLOTS)).alias("_slot")
-    rest = [c for c in members.columns if c not in ("bucket", "component", "id")]
-    return (members.groupBy("bucket", "component", slot).agg(F.min(F.struct("id", *rest)).alias("c"))
-            .select("bucket", "component", "c.*"))
+    rest = [c for c in members.columns if c not in ("bucket", "component", "central", "id")]
+    return (members.groupBy("bucket", "component", slot).agg(F.max(F.struct("central", F.negative("id").alias("_i"), "id", *rest)).alias("c"))
+            .select("bucket", "component", "c.*").drop("_i"))
 
 
-def _between(now: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Links between the members of different components of a bucket."""
-    other = now.select("bucket", "id", "size", "component")
-    return linked(now, other, sets, percent)
+def _hubs(now: DataFrame) -> DataFrame:
+    """The most central member of each bucket; the least id on a tie."""
+    return (now.groupBy("bucket").agg(F.max(F.struct("central", F.negative("id").alias("_i"), "id", "size", "component")).alias("c"))
+            .select("bucket", "c.id", "c.size", "c.component"))
 
 
 def _narrower(crowded: DataFrame, bands: DataFrame, depth: int) -> DataFrame:
     """A crowded bucket becomes one for each further band, so that similar texts meet again and others mostly do not."""
     used = F.array("bucket") if depth == 0 else F.col("used")
-    further = crowded.select("id", "size", used.alias("used")).join(bands, "id").select(
-        "id", "size", "used", F.explode(F.array_except("bands", "used")).alias("band"))
-    step = further.select("id", "size", F.array_sort(F.concat("used", F.array("band"))).alias("used")).distinct()
-    return step.select(F.xxhash64("used").alias("bucket"), "id", "size", "used")
+    further = crowded.select("id", "size", "central", used.alias("used")).join(bands, "id").select(
+        "id", "size", "central", "used", F.explode(F.array_except("bands", "used")).alias("band"))
+    step = further.select("id", "size", "central", F.array_sort(F.concat("used", F.array("band"))).alias("used")).distinct()
+    return step.select(F.xxhash64("used").alias("bucket"), "id", "size", "central", "used")
 
 
-def joined_buckets(members: DataFrame, sets: DataFrame, bands: DataFrame, percent: int, parts: DataFrame | None, depth: int = 0) -> DataFrame | None:
-    """``parts(id, component)`` after the links found in buckets ``members(bucket, id, size)``.
+def joined_buckets(members: DataFrame, sets: DataFrame, bands: DataFrame, percent: int, parts: DataFrame | None = None, depth: int = 0) -> DataFrame | None:
+    """``parts(id, component)`` after the links found in buckets ``members(bucket, id, size, central)``.
 
-    A star first joins most of a bucket. What remains are a few components, which meet through up to ``SLOTS`` members each:
-    small ones whole, large ones through others in each of the up to 64 buckets that similar texts share. A bucket of more than
-    ``FEW`` components holds texts that agree in a common passage only; it is split by further bands.
+    A star around the most central member, the one that shares its buckets with the most others, joins most of a bucket: of a
+    group of near-copies it is the text that they derive from, or next to it. What remains are a few components, which meet through
+    up to ``SLOTS`` members each, the most central ones: small components whole, large ones through others in each of the up to 64
+    buckets that similar texts share. A bucket of more than ``FEW`` components holds texts that agree in a common passage
+    only; it is split by further bands.
     """
     now = stored(open_buckets(_sampled(renamed(members, parts))), "members")
     if now.isEmpty():
         return parts
-    parts = merged(parts, linked(now.filter(F.col("component") != F.col("least")), hubs(now), sets, percent))
+    parts = merged(parts, linked(now, _hubs(now), sets, percent))
     now = stored(open_buckets(_sampled(renamed(now, parts))), "members")
     if now.isEmpty():
         return parts
-    parts = merged(parts, _between(now.filter(F.col("k") <= FEW), sets, percent))
+    few = now.filter(F.col("k") <= FEW)
+    parts = merged(parts, linked(few, few.select("bucket", "id", "size", "component"), sets, percent, mutual=True))
     crowded = now.filter(F.col("k") > FEW)
     if crowded.isEmpty():
         return parts
-    if depth < 3:
+    if depth < NARROWER:
         return joined_buckets(_narrower(crowded, bands, depth), sets, bands, percent, parts, depth + 1)
     return merged(parts, linked(crowded, centres(crowded), sets, percent))
 
@@ -164,19 +167,15 @@ def near_duplicates(documents: DataFrame, doc_id: str = "doc_id", text: str = "t
     usable = table.filter(F.col("doc_id").isNotNull() & (F.col("n_shingles") > 0))
     classes = stored(usable.groupBy("k1", "k2").agg(F.min("doc_id").alias("id"), F.first("n_shingles").alias("size")), "classes")
     own = usable.join(classes.withColumnRenamed("id", "doc_id").select("k1", "k2", "doc_id", "size"), ["k1", "k2", "doc_id"])
-    rows = own.select(F.col("doc_id").alias("id"), "size", F.posexplode("bands").alias("band", "bucket"))
+    rows = own.select(F.col("doc_id").alias("id"), "size", F.explode("bands").alias("bucket"))
     # Rows that repeat an id with another text put two sets under one node; any of them may give a link.
-    shared = rows.groupBy("bucket").agg(F.min("id").alias("_a"), F.max("id").alias("_b")).filter(F.col("_a") != F.col("_b")).select("bucket")
-    members = stored(rows.join(shared, "bucket").distinct(), "buckets")
-    ids = stored(members.select("id").distinct(), "ids")
+    shared = rows.groupBy("bucket").agg(F.min("id").alias("_a"), F.max("id").alias("_b"), F.count(F.lit(1)).alias("n"))
+    members = stored(rows.join(shared.filter(F.col("_a") != F.col("_b")).select("bucket", "n"), "bucket"), "buckets")
+    ids = stored(members.groupBy("id").agg(F.sum("n").alias("central")), "ids")
     texts = documents.select(F.col(f"`{doc_id}`").cast("long").alias("id"), F.col(f"`{text}`").alias("text"))
     sets = stored(texts.join(ids, "id", "left_semi").mapInArrow(_sets, "id long, shingles array<long>"), "sets")
     bands = own.select(F.col("doc_id").alias("id"), "bands")
-    # A few bands join most of a large group of copies; the other ones then find their buckets closed or small.
-    parts = None
-    for low, high in zip(STEPS[:-1], STEPS[1:]):
-        some = members.filter((F.col("band") >= low) & (F.col("band") < high)).drop("band")
-        parts = joined_buckets(some, sets, bands, percent, parts)
+    parts = joined_buckets(members.drop("n").join(ids, "id"), sets, bands, percent)
     if parts is None:
         parts = classes.limit(0).select("id", F.col("id").alias("component"))
     whole = classes.join(parts, "id", "left").select("k1", "k2", F.coalesce("component", "id").alias("_c"))
