@@ -94,7 +94,8 @@ def without_repeats(documents: DataFrame, doc_id: str = "doc_id", text: str = "t
     gone = stored(removed_lines(documents, doc_id, text, min_lines), "gone").withColumnsRenamed({"doc": "_doc", "version": "_version"})
     kept = [c for c in documents.columns if c not in ("n_lines", "n_removed")]
     body = F.col(f"`{text}`")
-    table = _identified(documents.select(*[F.col(f"`{c}`") for c in kept]), doc_id, text).join(gone, ["_doc", "_version"], "left")
+    # Texts meet their cuts by a sort-merge join at every size; a broadcast of the cuts would grow with the repeats.
+    table = _identified(documents.select(*[F.col(f"`{c}`") for c in kept]), doc_id, text).join(gone.hint("merge"), ["_doc", "_version"], "left")
     rest = F.filter(F.split(body, "\n"), lambda line, i: ~F.exists("gone", lambda g: (i >= g["from"]) & (i <= g["to"])))
     removed = F.coalesce(F.aggregate("gone", F.lit(0).cast("long"), lambda s, g: s + g["to"] - g["from"] + 1), F.lit(0).cast("long"))
     lines = F.when(body.isNull(), F.lit(0)).otherwise(F.size(F.filter(F.split(body, "\n"), lambda x: x.rlike(r"\S")))).cast("long")
