@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from plateview.sources.scratch import stored
 
@@ -80,16 +80,21 @@ def open_buckets(members: DataFrame) -> DataFrame:
         "bucket", F.col("m.component").alias("least"), "n", (F.col("n") - F.col("m.c")).alias("others"), "k"), "bucket")
 
 
-def linked(members: DataFrame, centres: DataFrame, sets: DataFrame, percent: int, mutual: bool = False) -> DataFrame:
-    """Links ``(a, b)`` between centres and members of their buckets in other components, confirmed on whole sets.
-
-    ``mutual``: the centres are the members themselves, so each pair is taken from one side only.
-    """
+def linked(members: DataFrame, centres: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Links ``(a, b)`` between centres and members of their buckets in other components, confirmed on whole sets."""
     hub = centres.select("bucket", F.col("id").alias("a"), F.col("size").alias("_size"), F.col("component").alias("_component"))
-    met = members.join(hub, "bucket").filter(F.col("component") != F.col("_component"))
-    pairs = ((met.filter(F.col("id") < F.col("a")) if mutual else met)
-             .filter(100 * F.least("size", "_size") >= percent * F.greatest("size", "_size"))
+    pairs = (members.join(hub, "bucket").filter((F.col("component") != F.col("_component")) & sizes_allow("size", "_size", percent))
              .select(F.least("a", "id").alias("a"), F.greatest("a", "id").alias("b")).distinct())
+    return confirmed(pairs, sets, percent)
+
+
+def sizes_allow(one: str, other: str, percent: int) -> Column:
+    """Whether sets of these sizes can be similar; an unknown size rules nothing out."""
+    return F.coalesce(100 * F.least(one, other) >= percent * F.greatest(one, other), F.lit(True))
+
+
+def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """The pairs ``(a, b)`` whose whole sets are similar enough."""
     met = (pairs.join(sets.select(F.col("id").alias("b"), F.col("shingles").alias("right")), "b")
            .join(sets.select(F.col("id").alias("a"), F.col("shingles").alias("left")), "a")
            .select("a", "b", F.size(F.array_intersect("left", "right")).alias("both"), (F.size("left") + F.size("right")).alias("total")))

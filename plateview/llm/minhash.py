@@ -16,13 +16,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from plateview.llm.buffers import NOT_SPACE, U64, Words, byte_column, chunks, mix, odd_powers
-from plateview.llm.components import FEW, centres, linked, merged, open_buckets, renamed
+from plateview.llm.components import FEW, centres, confirmed, linked, merged, open_buckets, renamed, sizes_allow
 from plateview.sources.scratch import stored
 
 SHINGLE = 5
 BANDS, ROWS = 64, 6          # a link at similarity 0.75 shares no band once in 280,000 times
 BINS = BANDS * ROWS
 SLOTS = 16                   # members of a component that a bucket compares
+LARGE = 64                   # texts of a component beyond which it sends a quarter of them to meet others as large
 NARROWER = 1                 # times that crowded buckets are split; what is crowded still is met by stars
 CHUNK_BYTES = 2 << 20
 
@@ -106,12 +107,33 @@ def sketches(documents: DataFrame, doc_id: str = "doc_id", text: str = "text") -
     return rows.mapInArrow(_sketches, "doc_id long, n_shingles long, k1 long, k2 long, bands array<long>")
 
 
-def _sampled(members: DataFrame) -> DataFrame:
-    """At most ``SLOTS`` members of each component in each bucket, the most central of those that share a slot."""
-    slot = F.pmod(F.xxhash64("id", "bucket"), F.lit(SLOTS)).alias("_slot")
-    rest = [c for c in members.columns if c not in ("bucket", "component", "central", "id")]
-    return (members.groupBy("bucket", "component", slot).agg(F.max(F.struct("central", F.negative("id").alias("_i"), "id", *rest)).alias("c"))
-            .select("bucket", "component", "c.*").drop("_i"))
+def _sampled(members: DataFrame, parts: DataFrame | None) -> DataFrame:
+    """At most ``SLOTS`` members of each component in each bucket, the most central of those that share a slot.
+
+    ``apart`` marks members of components of more than ``LARGE`` texts that do not meet other large components in this bucket:
+    all but a quarter, for such components share many buckets.
+    """
+    members = members.drop("apart", "_large", "least", "n", "others", "k")
+    if parts is not None:
+        large = parts.groupBy("component").agg(F.count(F.lit(1)).alias("_c")).filter(F.col("_c") > LARGE)
+        members = members.join(large, "component", "left")
+    else:
+        members = members.withColumn("_c", F.lit(None).cast("long"))
+    slot = F.pmod(F.xxhash64("id", "bucket"), F.lit(SLOTS))
+    rest = [c for c in members.columns if c not in ("bucket", "component", "central", "id", "_c")]
+    return (members.groupBy("bucket", "component", F.col("_c").isNotNull().alias("_large"), slot.alias("slot"))
+            .agg(F.max(F.struct("central", F.negative("id").alias("_i"), "id", *rest)).alias("c"))
+            .select("bucket", "component", (F.col("_large") & (F.col("slot") >= SLOTS // 4)).alias("apart"), "_large", "c.*").drop("_i"))
+
+
+def _mutual(now: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Links between members of different components of a bucket."""
+    other = now.select("bucket", F.col("id").alias("a"), F.col("size").alias("_size"), F.col("component").alias("_component"),
+                       F.col("_large").alias("_other_large"), F.col("apart").alias("_other_apart"))
+    meet = ~((F.col("apart") & F.col("_other_large")) | (F.col("_other_apart") & F.col("_large")))
+    pairs = now.join(other, "bucket").filter((F.col("a") < F.col("id")) & (F.col("component") != F.col("_component")) & meet
+                                             & sizes_allow("size", "_size", percent))
+    return confirmed(pairs.select("a", F.col("id").alias("b")).distinct(), sets, percent)
 
 
 def _hubs(now: DataFrame) -> DataFrame:
@@ -134,19 +156,19 @@ def joined_buckets(members: DataFrame, sets: DataFrame, bands: DataFrame, percen
 
     A star around the most central member, the one that shares its buckets with the most others, joins most of a bucket: of a
     group of near-copies it is the text that they derive from, or next to it. What remains are a few components, which meet through
-    up to ``SLOTS`` members each, the most central ones: small components whole, large ones through others in each of the up to 64
+    up to ``SLOTS`` members each, the most central ones: small components whole, large ones through others in each of the many
     buckets that similar texts share. A bucket of more than ``FEW`` components holds texts that agree in a common passage
     only; it is split by further bands.
     """
-    now = stored(open_buckets(_sampled(renamed(members, parts))), "members")
+    now = stored(open_buckets(_sampled(renamed(members, parts), parts)), "members")
     if now.isEmpty():
         return parts
     parts = merged(parts, linked(now, _hubs(now), sets, percent))
-    now = stored(open_buckets(_sampled(renamed(now, parts))), "members")
+    now = stored(open_buckets(_sampled(renamed(now, parts), parts)), "members")
     if now.isEmpty():
         return parts
     few = now.filter(F.col("k") <= FEW)
-    parts = merged(parts, linked(few, few.select("bucket", "id", "size", "component"), sets, percent, mutual=True))
+    parts = merged(parts, _mutual(few, sets, percent))
     crowded = now.filter(F.col("k") > FEW)
     if crowded.isEmpty():
         return parts
@@ -167,13 +189,16 @@ def near_duplicates(documents: DataFrame, doc_id: str = "doc_id", text: str = "t
     usable = table.filter(F.col("doc_id").isNotNull() & (F.col("n_shingles") > 0))
     classes = stored(usable.groupBy("k1", "k2").agg(F.min("doc_id").alias("id"), F.first("n_shingles").alias("size")), "classes")
     own = usable.join(classes.withColumnRenamed("id", "doc_id").select("k1", "k2", "doc_id", "size"), ["k1", "k2", "doc_id"])
-    rows = own.select(F.col("doc_id").alias("id"), "size", F.explode("bands").alias("bucket"))
+    rows = own.select(F.col("doc_id").alias("id"), F.explode("bands").alias("bucket"))
     # Rows that repeat an id with another text put two sets under one node; any of them may give a link.
     shared = rows.groupBy("bucket").agg(F.min("id").alias("_a"), F.max("id").alias("_b"), F.count(F.lit(1)).alias("n"))
     members = stored(rows.join(shared.filter(F.col("_a") != F.col("_b")).select("bucket", "n"), "bucket"), "buckets")
-    ids = stored(members.groupBy("id").agg(F.sum("n").alias("central")), "ids")
+    # A node of several sets has no one size to be ruled out by.
+    sizes = classes.groupBy("id").agg(F.when(F.min("size") == F.max("size"), F.min("size")).alias("size"))
+    ids = stored(members.groupBy("id").agg(F.sum("n").alias("central")).join(sizes, "id"), "ids")
     texts = documents.select(F.col(f"`{doc_id}`").cast("long").alias("id"), F.col(f"`{text}`").alias("text"))
-    sets = stored(texts.join(ids, "id", "left_semi").mapInArrow(_sets, "id long, shingles array<long>"), "sets")
+    # By a sort-merge join at every size; beyond some size the optimizer filters the texts by a Bloom filter of the ids first.
+    sets = stored(texts.join(ids.hint("merge"), "id", "left_semi").mapInArrow(_sets, "id long, shingles array<long>"), "sets")
     bands = own.select(F.col("doc_id").alias("id"), "bands")
     parts = joined_buckets(members.drop("n").join(ids, "id"), sets, bands, percent)
     if parts is None:

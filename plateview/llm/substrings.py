@@ -29,8 +29,8 @@ from plateview.llm.buffers import U64, byte_column, chunks, mix, odd_powers
 
 LEAST = 50
 GRAM = 20
-BATCH_BYTES = 8 << 20        # text of a batch
-PART_BYTES = 16 << 20        # text whose runs meet in a task, about
+BATCH_BYTES = 4 << 20        # text of a batch
+PART_BYTES = 8 << 20         # text whose runs meet in a task, about
 CHUNK_BYTES = 1 << 18        # text that is hashed at once
 SAMPLE_ROWS = 20_000         # documents in which frequent grams are looked for, at most
 FREQUENT = 0.002             # share of the sample that makes a gram frequent
