@@ -465,9 +465,9 @@ def stream_absa(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def stream_distinct(spark: SparkSession, folder: str) -> DataFrame:
-    """The distinct texts of a stream of documents; the delay spans them all."""
+    """The distinct texts of a stream of documents; the delay spans them all, and none is as old as the first watermark."""
     schema = inputs.read(spark, folder, "documents").schema
-    stream = streaming.table_stream(spark, folder, schema, "documents.parquet").select("text", F.timestamp_seconds("doc_id").alias("at"))
+    stream = streaming.table_stream(spark, folder, schema, "documents.parquet").select("text", F.timestamp_seconds(F.col("doc_id") + 86_400).alias("at"))
     kept = streaming.distinct_reviews(stream, "text", "at", "36500 days").select(F.md5("text").alias("text_md5"))
     return _streamed(spark, lambda path, mark: streaming.run_to_parquet(kept, path, mark), kept.schema)
 
