@@ -51,6 +51,12 @@ def chunks(ends: np.ndarray, most: int) -> Iterator[tuple[int, int]]:
         low = high
 
 
+def values(column: pa.Array, rows: int = 256) -> Iterator:
+    """The values of a column one by one; only ``rows`` of them are Python objects at a time."""
+    for low in range(0, len(column), rows):
+        yield from column.slice(low, rows).to_pylist()
+
+
 class Words:
     """Words of several texts: first and last byte, the text each belongs to, and a 64-bit hash.
 

@@ -19,7 +19,7 @@ from plateview.llm.buffers import ALNUM, Words, byte_column, chunks
 from plateview.sources.scratch import stored
 
 WINDOW = 10                 # words of a window; an item of fewer words is one window
-SHARD_BYTES = 4 << 20       # text whose words share a suffix array
+SHARD_BYTES = 1 << 20       # text whose words share a suffix array
 BLOCK_BYTES = 32 << 20      # benchmark text that a task holds at once
 
 

@@ -16,7 +16,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from plateview.llm.buffers import U64, mix
+from plateview.llm.buffers import U64, mix, values
 
 FEATURES = 1 << 15
 FIT_ROWS = 6_000            # labelled documents that the weights are fitted on, at most, divided over the languages
@@ -130,7 +130,7 @@ def document_frequencies(texts: DataFrame, text: str = "text") -> tuple[np.ndarr
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen = np.zeros(FEATURES + 1, np.int64)
         for batch in batches:
-            for value in batch.column(0).to_pylist():
+            for value in values(batch.column(0)):
                 found, _ = features(value)
                 seen[found] += 1
                 seen[FEATURES] += len(found) > 0
@@ -200,7 +200,7 @@ def identify(documents: DataFrame, model: LanguageModel, keep: list[str] | None
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             column = {name: batch.column(i) for i, name in enumerate(batch.schema.names)}
-            answers = [model.predict(value) for value in column[text].to_pylist()]
+            answers = [model.predict(value) for value in values(column[text])]
             found = [pa.array([a for a, _ in answers], pa.string()), pa.array([b for _, b in answers], pa.float64())]
             yield pa.RecordBatch.from_arrays([*(column[c] for c in keep), *found], names=[*keep, "lang_pred", "score"])
 

@@ -25,7 +25,7 @@ BINS = BANDS * ROWS
 SLOTS = 16                   # members of a component that a bucket compares
 LARGE = 64                   # texts of a component beyond which it sends a quarter of them to meet others as large
 NARROWER = 1                 # times that crowded buckets are split; what is crowded still is met by stars
-CHUNK_BYTES = 2 << 20
+CHUNK_BYTES = 1 << 19
 
 _routes: list[np.ndarray] = []
 
