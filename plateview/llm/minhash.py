@@ -2,7 +2,7 @@
 
 A text's 5-word shingles are hashed once; the hash range is cut into bins, the smallest value of a
 bin is its sketch, and an empty bin borrows from the first filled one on its own random route over the bins.
-Bins in bands of six make buckets, and a bucket's candidate edges form a star around one member. The components
+Bins in bands of eight make buckets, and a bucket's candidate edges form a star around one member. The components
 that a star leaves apart meet through a few members each, crowded buckets by narrower ones; no bucket emits all
 its pairs. Every candidate link is confirmed on full shingle sets.
 """
@@ -20,7 +20,7 @@ from plateview.llm.components import FEW, centres, confirmed, linked, merged, op
 from plateview.sources.scratch import stored
 
 SHINGLE = 5
-BANDS, ROWS = 64, 6          # a link at similarity 0.75 shares no band once in 280,000 times
+BANDS, ROWS = 112, 8        # a link at similarity 0.75 shares no band once in 130,000 times
 BINS = BANDS * ROWS
 SLOTS = 16                   # members of a component that a bucket compares
 LARGE = 64                   # texts of a component beyond which it sends a quarter of them to meet others as large
