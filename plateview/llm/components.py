@@ -139,3 +139,30 @@ def star_components(members: DataFrame, sets: DataFrame, percent: int) -> DataFr
         rest = now.filter(F.col("others") > FEW).join(chosen.select("bucket", "id"), ["bucket", "id"], "left_anti")
         now = stored(open_buckets(renamed(rest, parts)), "members")
     return parts if parts is not None else members.limit(0).select("id", F.col("id").alias("component"))
+
+
+def closed(members: DataFrame, sets: DataFrame, percent: int, parts: DataFrame | None) -> DataFrame | None:
+    """``parts(id, component)`` after all links between ``members(bucket, id, size)`` of a common bucket.
+
+    In every bucket, members outside its largest component are centres: all of them if they are up to ``FEW``, otherwise a share
+    of about 1/sqrt(n) by a hash of the id, four times as many in each further round. A centre meets all its bucket and leaves;
+    the loop ends when no bucket holds two components. The hash does not depend on the bucket, so texts that
+    share many buckets mostly meet in one round, where a pair is compared once.
+    """
+    now, reach = members.select("bucket", "id", "size").distinct(), 1
+    while True:
+        now = renamed(now, parts)
+        each = now.groupBy("bucket", "component").agg(F.count(F.lit(1)).alias("c"))
+        whole = each.groupBy("bucket").agg(F.max(F.struct("c", "component")).alias("m"), F.sum("c").alias("n"), F.count(F.lit(1)).alias("k"))
+        found = now.join(whole.filter(F.col("k") > 1), "bucket")
+        drawn = F.pmod(F.xxhash64("id"), F.lit(1 << 20)) < F.lit(reach << 20) / F.sqrt("n")
+        centre = (F.col("component") != F.col("m.component")) & ((F.col("n") - F.col("m.c") <= FEW) | drawn)
+        now = stored(found.select("bucket", "id", "size", "component", centre.alias("centre")), "members")
+        if now.isEmpty():
+            return parts
+        hub = now.filter("centre").select("bucket", F.col("id").alias("a"), F.col("size").alias("_size"), F.col("component").alias("_component"))
+        pairs = now.join(hub, "bucket").filter((F.col("component") != F.col("_component")) & (~F.col("centre") | (F.col("a") < F.col("id")))
+                                               & sizes_allow("size", "_size", percent))
+        links = confirmed(pairs.select(F.least("a", "id").alias("a"), F.greatest("a", "id").alias("b")).distinct(), sets, percent)
+        parts, reach = merged(parts, links), 4 * reach
+        now = now.filter(~F.col("centre")).select("bucket", "id", "size")

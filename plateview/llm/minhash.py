@@ -3,8 +3,8 @@
 A text's 5-word shingles are hashed once; the hash range is cut into bins, the smallest value of a
 bin is its sketch, and an empty bin borrows from the first filled one on its own random route over the bins.
 Bins in bands of eight make buckets, and a bucket's candidate edges form a star around one member. The components
-that a star leaves apart meet through a few members each, crowded buckets by narrower ones; no bucket emits all
-its pairs. Every candidate link is confirmed on full shingle sets.
+that a star leaves apart meet through a few members each, then through all members until no bucket holds two components
+that were not compared; crowded buckets meet by narrower ones. Every candidate link is confirmed on full shingle sets.
 """
 
 from __future__ import annotations
@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from plateview.llm.buffers import NOT_SPACE, U64, Words, byte_column, chunks, mix, odd_powers
-from plateview.llm.components import FEW, centres, confirmed, linked, merged, open_buckets, renamed, sizes_allow
+from plateview.llm.components import FEW, centres, closed, confirmed, linked, merged, open_buckets, renamed, sizes_allow
 from plateview.sources.scratch import stored
 
 SHINGLE = 5
@@ -155,10 +155,10 @@ def joined_buckets(members: DataFrame, sets: DataFrame, bands: DataFrame, percen
     """``parts(id, component)`` after the links found in buckets ``members(bucket, id, size, central)``.
 
     A star around the most central member, the one that shares its buckets with the most others, joins most of a bucket: of a
-    group of near-copies it is the text that they derive from, or next to it. What remains are a few components, which meet through
-    up to ``SLOTS`` members each, the most central ones: small components whole, large ones through others in each of the many
-    buckets that similar texts share. A bucket of more than ``FEW`` components holds texts that agree in a common passage
-    only; it is split by further bands.
+    group of near-copies it is the text that they derive from, or next to it. What remains are a few components, which first meet
+    through up to ``SLOTS`` hashed members each, the most central ones of their slots; then all members of the buckets that still hold
+    several components meet until every bucket is closed. A bucket of more than ``FEW`` components holds texts that
+    agree in a common passage only; it is split by further bands.
     """
     now = stored(open_buckets(_sampled(renamed(members, parts), parts)), "members")
     if now.isEmpty():
@@ -168,7 +168,8 @@ def joined_buckets(members: DataFrame, sets: DataFrame, bands: DataFrame, percen
     if now.isEmpty():
         return parts
     few = now.filter(F.col("k") <= FEW)
-    parts = merged(parts, _mutual(few, sets, percent))
+    # The sampled members joined the bulk; the others of the buckets that are open still meet now.
+    parts = closed(members.join(few.select("bucket").distinct(), "bucket"), sets, percent, merged(parts, _mutual(few, sets, percent)))
     crowded = now.filter(F.col("k") > FEW)
     if crowded.isEmpty():
         return parts

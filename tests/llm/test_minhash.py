@@ -95,3 +95,17 @@ def test_sketch_agreement_estimates_similarity():
     bands = [minhash.bands_of(s) for s in sets]
     assert abs((bands[0] == bands[1]).mean() - shared**minhash.ROWS) < 0.25
     assert (minhash.bands_of(sets[0][:1]) == minhash.bands_of(sets[0][:1])).all()
+
+
+def test_peripheral_member_links_a_text_that_the_centre_does_not_reach(spark):
+    """Text 500 is similar to 400 only, which no slot keeps beside 200 more central members of its component."""
+    core = list(range(100))
+    sets = {i: core[:95] + [1000 * i + j for j in range(5)] for i in range(1, 200)} | {0: core}
+    sets[400] = core[:90] + [400_000 + j for j in range(10)]
+    sets[500] = core[10:90] + [400_000 + j for j in range(10)] + [500_000 + j for j in range(10)]
+    rows = [(b, i, len(x), 1 if i >= 400 else 10_000 if i == 0 else 1000 - i) for i, x in sets.items() for b in (0, 1)]
+    members = spark.createDataFrame(rows, "bucket long, id long, size long, central long")
+    bodies = spark.createDataFrame([(i, s) for i, s in sets.items()], "id long, shingles array<long>")
+    bands = spark.createDataFrame([(i, [0, 1]) for i in sets], "id long, bands array<long>")
+    found = dict(minhash.joined_buckets(members, bodies, bands, 75).collect())
+    assert {i: found.get(i) for i in sets} == {i: 0 for i in sets}
