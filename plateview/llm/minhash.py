@@ -4,7 +4,7 @@ A text's 5-word shingles are hashed once; the hash range is cut into bins, the s
 bin is its sketch, and an empty bin borrows from the first filled one on its own random route over the bins.
 Bins in bands of eight make buckets, and a bucket's candidate edges form a star around one member. The components
 that a star leaves apart meet through a few members each, then through all members until no bucket holds two components
-that were not compared; crowded buckets meet by narrower ones. Every candidate link is confirmed on full shingle sets.
+that were not compared, crowded buckets like others. Every candidate link is confirmed on full shingle sets.
 """
 
 from __future__ import annotations
@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from plateview.llm.buffers import NOT_SPACE, U64, Words, byte_column, chunks, mix, odd_powers
-from plateview.llm.components import FEW, centres, closed, confirmed, linked, merged, open_buckets, renamed, sizes_allow
+from plateview.llm.components import FEW, closed, confirmed, linked, merged, open_buckets, renamed, sizes_allow
 from plateview.sources.scratch import stored
 
 SHINGLE = 5
@@ -24,7 +24,6 @@ BANDS, ROWS = 112, 8        # a link at similarity 0.75 shares no band once in 1
 BINS = BANDS * ROWS
 SLOTS = 16                   # members of a component that a bucket compares
 LARGE = 64                   # texts of a component beyond which it sends a quarter of them to meet others as large
-NARROWER = 1                 # times that crowded buckets are split; what is crowded still is met by stars
 CHUNK_BYTES = 1 << 19
 
 _routes: list[np.ndarray] = []
@@ -142,40 +141,24 @@ def _hubs(now: DataFrame) -> DataFrame:
             .select("bucket", "c.id", "c.size", "c.component"))
 
 
-def _narrower(crowded: DataFrame, bands: DataFrame, depth: int) -> DataFrame:
-    """A crowded bucket becomes one for each further band, so that similar texts meet again and others mostly do not."""
-    used = F.array("bucket") if depth == 0 else F.col("used")
-    further = crowded.select("id", "size", "central", used.alias("used")).join(bands, "id").select(
-        "id", "size", "central", "used", F.explode(F.array_except("bands", "used")).alias("band"))
-    step = further.select("id", "size", "central", F.array_sort(F.concat("used", F.array("band"))).alias("used")).distinct()
-    return step.select(F.xxhash64("used").alias("bucket"), "id", "size", "central", "used")
-
-
-def joined_buckets(members: DataFrame, sets: DataFrame, bands: DataFrame, percent: int, parts: DataFrame | None = None, depth: int = 0) -> DataFrame | None:
+def joined_buckets(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame | None:
     """``parts(id, component)`` after the links found in buckets ``members(bucket, id, size, central)``.
 
     A star around the most central member, the one that shares its buckets with the most others, joins most of a bucket: of a
     group of near-copies it is the text that they derive from, or next to it. What remains are a few components, which first meet
-    through up to ``SLOTS`` hashed members each, the most central ones of their slots; then all members of the buckets that still hold
-    several components meet until every bucket is closed. A bucket of more than ``FEW`` components holds texts that
-    agree in a common passage only; it is split by further bands.
+    through up to ``SLOTS`` hashed members each, the most central ones of their slots. Then all members of the buckets that still
+    hold several components meet until every bucket is closed; so do those of buckets of more than ``FEW`` components, whose
+    texts mostly agree in a common passage only.
     """
-    now = stored(open_buckets(_sampled(renamed(members, parts), parts)), "members")
+    now = stored(open_buckets(_sampled(renamed(members, None), None)), "members")
     if now.isEmpty():
-        return parts
-    parts = merged(parts, linked(now, _hubs(now), sets, percent))
+        return None
+    parts = merged(None, linked(now, _hubs(now), sets, percent))
     now = stored(open_buckets(_sampled(renamed(now, parts), parts)), "members")
     if now.isEmpty():
         return parts
-    few = now.filter(F.col("k") <= FEW)
-    # The sampled members joined the bulk; the others of the buckets that are open still meet now.
-    parts = closed(members.join(few.select("bucket").distinct(), "bucket"), sets, percent, merged(parts, _mutual(few, sets, percent)))
-    crowded = now.filter(F.col("k") > FEW)
-    if crowded.isEmpty():
-        return parts
-    if depth < NARROWER:
-        return joined_buckets(_narrower(crowded, bands, depth), sets, bands, percent, parts, depth + 1)
-    return merged(parts, linked(crowded, centres(crowded), sets, percent))
+    parts = merged(parts, _mutual(now.filter(F.col("k") <= FEW), sets, percent))
+    return closed(members.join(now.select("bucket").distinct(), "bucket"), sets, percent, parts)
 
 
 def near_duplicates(documents: DataFrame, doc_id: str = "doc_id", text: str = "text", percent: int = 75) -> DataFrame:
@@ -200,8 +183,7 @@ def near_duplicates(documents: DataFrame, doc_id: str = "doc_id", text: str = "t
     texts = documents.select(F.col(f"`{doc_id}`").cast("long").alias("id"), F.col(f"`{text}`").alias("text"))
     # By a sort-merge join at every size; beyond some size the optimizer filters the texts by a Bloom filter of the ids first.
     sets = stored(texts.join(ids.hint("merge"), "id", "left_semi").mapInArrow(_sets, "id long, shingles array<long>"), "sets")
-    bands = own.select(F.col("doc_id").alias("id"), "bands")
-    parts = joined_buckets(members.drop("n").join(ids, "id"), sets, bands, percent)
+    parts = joined_buckets(members.drop("n").join(ids, "id"), sets, percent)
     if parts is None:
         parts = classes.limit(0).select("id", F.col("id").alias("component"))
     whole = classes.join(parts, "id", "left").select("k1", "k2", F.coalesce("component", "id").alias("_c"))

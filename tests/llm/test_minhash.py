@@ -106,6 +106,17 @@ def test_peripheral_member_links_a_text_that_the_centre_does_not_reach(spark):
     rows = [(b, i, len(x), 1 if i >= 400 else 10_000 if i == 0 else 1000 - i) for i, x in sets.items() for b in (0, 1)]
     members = spark.createDataFrame(rows, "bucket long, id long, size long, central long")
     bodies = spark.createDataFrame([(i, s) for i, s in sets.items()], "id long, shingles array<long>")
-    bands = spark.createDataFrame([(i, [0, 1]) for i in sets], "id long, bands array<long>")
-    found = dict(minhash.joined_buckets(members, bodies, bands, 75).collect())
+    found = dict(minhash.joined_buckets(members, bodies, 75).collect())
     assert {i: found.get(i) for i in sets} == {i: 0 for i in sets}
+
+
+def test_crowded_bucket_is_closed(spark):
+    """Every text shares 0.7 of one template; the linked pairs share no bucket but the crowded one."""
+    template = list(range(100))
+    sets = {i: template[:82] + [1000 * i + j for j in range(18)] for i in range(150)}
+    for i in range(150, 156):
+        sets[i] = sets[i - 140][:95] + [1000 * i + j for j in range(5)]
+    members = spark.createDataFrame([(0, i, 100, 1) for i in sets], "bucket long, id long, size long, central long")
+    bodies = spark.createDataFrame([(i, s) for i, s in sets.items()], "id long, shingles array<long>")
+    found = dict(minhash.joined_buckets(members, bodies, 75).collect())
+    assert {i: found.get(i, i) for i in sets} == {i: i - 140 if i >= 150 else i for i in sets}
