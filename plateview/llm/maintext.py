@@ -34,6 +34,8 @@ figure footer form frameset h1 h2 h3 h4 h5 h6 header hgroup hr html legend li ma
 summary table tbody td textarea tfoot th thead tr ul""".split())
 HIDDEN = frozenset("script style template noscript iframe object svg math head title textarea select button noembed noframes audio video canvas".split())
 RAW = frozenset("script style textarea title iframe noembed noframes noscript".split())
+# What may stand in a head; anything else ends it, as its end tag may be left out.
+IN_HEAD = frozenset("base basefont bgsound head html link meta noframes noscript script style template title".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 # What a start tag closes, up to the elements that shield it.
 ENDS = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"},
@@ -63,6 +65,8 @@ N_PARTS = 10
 _TOKEN = re.compile(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])")
 _ATTRIBUTE = re.compile(r"""(?:^|\s)(class|id|role|itemprop|data-main)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
 _TAG = re.compile(r"""<(?:(!--)|([!?])|(/?)([a-zA-Z][^\s/>]*)((?:[^>"']|"[^"]*"|'[^']*')*)>|/?[a-zA-Z][^>]*>)""")
+_PAIRED = re.compile(r"""<!--.*?(?:-->|\Z)|<(script|style|textarea|title|iframe|noembed|noframes|noscript)\b.*?(?:</\1|\Z)
+|<(/?)(template|object|svg|math|select|button|audio|video|canvas)(?=[\s/>])((?:[^>"']|"[^"]*"|'[^']*')*)>""".replace("\n", ""), re.I | re.S)
 _MORE_SPACE = re.compile(r"\s+")
 _parts_seen: dict[str, tuple[int, bool]] = {}
 
@@ -87,6 +91,21 @@ def _parts(attributes: str) -> tuple[int, bool]:
     return known
 
 
+def _unclosed(html: str) -> set[int]:
+    """Where the start tags of hidden elements stand that no end tag matches."""
+    open_: dict[str, list[int]] = {}
+    for m in _PAIRED.finditer(html):
+        if not m[3]:
+            continue
+        starts = open_.setdefault(m[3].lower(), [])
+        if not m[2]:
+            if not m[4].endswith("/") or m[3].lower() in BLOCKS:
+                starts.append(m.start())
+        elif starts:
+            starts.pop()
+    return {at for starts in open_.values() for at in starts}
+
+
 class Page:
     """Block elements in page order, and runs of text with the element that holds them."""
 
@@ -101,6 +120,8 @@ class Page:
         stack: list[tuple[str, int]] = [("", 0)]     # open elements and their nodes; inline ones share their block's
         pieces: list[str] = []
         linked, hidden, links, paragraphs, n = 0, 0, 0, 0, len(html)
+        unclosed: set[int] | None = None
+        loose: list[int] = []       # depths of buttons and selects without an end tag; the next block ends them
 
         def flush() -> None:
             nonlocal pieces, linked
@@ -129,6 +150,8 @@ class Page:
 
         def text(low: int, high: int) -> None:
             nonlocal linked
+            if hidden and stack[-1][0] == "head" and html[low:high].strip():
+                close(len(stack) - 1)
             if high > low and not hidden:
                 pieces.append(html[low:high])
                 if links:
@@ -156,6 +179,8 @@ class Page:
             else:
                 closing, name, rest = m[3] == "/", m[4].lower(), m[5]
             block = name in BLOCKS
+            while loose and loose[-1] >= len(stack):
+                loose.pop()
             if closing:
                 if name == "p" and not paragraphs:
                     flush()
@@ -184,6 +209,11 @@ class Page:
                     if block:
                         flush()
                 continue
+            if stack[-1][0] == "head" and name not in IN_HEAD:
+                close(len(stack) - 1)
+            if name in NO_P and loose:
+                close(loose.pop(0))
+                loose.clear()
             if name == "br":
                 if not hidden:
                     pieces.append(" ")
@@ -206,7 +236,12 @@ class Page:
                     flush()
                 at = n if stop < 0 else stop + 1
                 continue
-            if name in VOID:
+            ends = True
+            if name in HIDDEN and name not in RAW and name != "head":
+                if unclosed is None:
+                    unclosed = _unclosed(html)
+                ends = m.start() not in unclosed
+            if name in VOID or not (ends or block):
                 if block:
                     flush()
                 continue
@@ -228,6 +263,8 @@ class Page:
             elif name == "p":
                 paragraphs += 1
             if not rest.endswith("/") or block:
+                if not ends:
+                    loose.append(len(stack))
                 stack.append((name, node))
             elif name in HIDDEN:
                 hidden -= 1

@@ -35,6 +35,19 @@ def test_parsing():
     assert len(deep.tag) == 3001 and deep.run_text == ["x"]
 
 
+def test_omitted_end_tags_hide_no_text():
+    assert [t for t, _ in _texts("<html><head><title>T</title><meta charset=utf-8><body><p>a</p><p>b</p></html>")] == ["a", "b"]
+    assert [t for t, _ in _texts("<head><link href=x><script>s</script><p>a<div>b</div>")] == ["a", "b"]
+    assert [t for t, _ in _texts("<head><base href=x><span>a</span> b")] == ["a b"]
+    assert [t for t, _ in _texts("<head><noscript>x</noscript></head>a")] == ["a"]
+    for name in ("button", "object", "canvas", "svg", "audio", "select"):
+        assert [t for t, _ in _texts(f"<div><{name}><p>a</p>b</div><{name}>no</{name}>c")] == ["a", "b", "c"]
+    assert [t for t, _ in _texts("<div><button>no</div><p>a</p>")] == ["a"]
+    assert [t for t, _ in _texts("<ul><li>x <button>no<ul><li>y</ul>z</ul>")] == ["x", "y", "z"]
+    assert [t for t, _ in _texts("<p>x <canvas id=c>y</p>z")] == ["x y", "z"]
+    assert [t for t, _ in _texts("<button>no<p>no</p>no</button>a<!-- <button> --><p>b")] == ["a", "b"]
+
+
 def test_subtrees_are_closed_intervals():
     for seed in range(30):
         page = Page(maintext.rule_page(seed))
