@@ -35,7 +35,7 @@ CHUNK_BYTES = 1 << 18        # text that is hashed at once
 SAMPLE_ROWS = 20_000         # documents in which frequent grams are looked for, at most
 FREQUENT = 0.002             # share of the sample that makes a gram frequent
 _BASE = 0x9E3779B97F4A7C15
-KEPT_BITS, CONTEXT_BITS = U64((1 << 56) - 1), U64((1 << 40) - 1)     # of a gram's and a context's hash, 96 bits together
+KEPT_BITS = U64((1 << 56) - 1)      # of a gram's hash; contexts of a gram are told apart by 64 bits of their own
 _powers: list[np.ndarray] = []
 
 
@@ -102,6 +102,9 @@ class Runs:
             self.gram = self.context = np.zeros(0, U64)
             return
         grams = self.hashes.grams()
+        # A hash of mixed grams instead of bytes: another function than the one that chose the gram.
+        above = np.zeros(len(grams) + 1, U64)
+        np.cumsum(mix(grams) * _power_tables(len(data) + 1)[0][: len(grams)], dtype=U64, out=above[1:])
         if len(frequent):
             hint = np.zeros(1 << 16, bool)
             hint[(frequent & U64(0xFFFF)).astype(np.int64)] = True
@@ -119,11 +122,12 @@ class Runs:
         self.low, self.high = np.flatnonzero(new & inside), np.flatnonzero(last & inside)
         self.gram, self.doc = least[self.low] & KEPT_BITS, doc[self.low]
         size = self.high - self.low + LEAST
-        self.context = mix(self.hashes.of(self.low, size) + size.astype(U64) * U64(0xD6E8FEB86659FD93)) & CONTEXT_BITS
+        whole = (above[self.high + LEAST - GRAM + 1] - above[self.low]) * self.hashes.inverse[self.low]
+        self.context = mix(whole + size.astype(U64) * U64(0xD6E8FEB86659FD93))
 
 
 # Columns of a message by type and bytes of a value; planes of equal bytes lie together, so that high bytes of small numbers compress away.
-GRAMS, HASHES, NUMBERS, FLAGS = (U64, 7), (U64, 5), (np.int64, 8), (bool, 1)
+GRAMS, HASHES, NUMBERS, FLAGS = (U64, 7), (U64, 8), (np.int64, 8), (bool, 1)
 
 
 def _pack(columns: list[np.ndarray], kinds: list[tuple]) -> bytes:

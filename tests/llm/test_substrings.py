@@ -42,6 +42,20 @@ def test_small_batches_long_texts_and_frequent_grams(spark, monkeypatch):
     assert _rows(substrings.without_repeats(spark.createDataFrame(docs, "doc_id long, text string"))) == substring_dedup(docs)
 
 
+def test_contexts_keep_64_bits_in_messages():
+    """Equal contexts have equal hashes wherever they stand, others differ in all parts of the hash, and a message keeps them."""
+    rng = np.random.default_rng(5)
+    body = rng.integers(97, 123, 3000).astype(np.uint8)
+    data = np.concatenate([body, rng.integers(97, 123, 777).astype(np.uint8), body])
+    runs = substrings.Runs(data, np.array([0, 3000, 3777, 6777]), np.zeros(0, np.uint64))
+    first, last = runs.context[runs.doc == 0], runs.context[runs.doc == 2]
+    assert (first == last).all() and len(np.unique(first)) == len(first)
+    assert all(len(np.unique(first >> np.uint64(s) & np.uint64(0xFF))) > len(first) // 4 for s in (0, 24, 56))
+    flag, doc = np.zeros(len(runs.doc), bool), runs.doc.astype(np.int64)
+    sent = substrings._unpack(substrings._pack([runs.gram, runs.context, doc, flag], substrings._RUN), substrings._RUN)
+    assert (sent[0] == runs.gram).all() and (sent[1] == runs.context).all() and (sent[1] >> np.uint64(40)).any()
+
+
 def test_pieces_cover_every_window_of_long_texts(monkeypatch):
     monkeypatch.setattr(substrings, "CHUNK_BYTES", 300)
     ends = np.array([0, 40, 2000, 2100, 2800])
