@@ -4,7 +4,11 @@ from __future__ import annotations
 
 _LOWER = "translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
-OP4 = f"""
+
+
+def _near(percent: int, more: str = "") -> str:
+    """Components of documents by the similarity of their 5-word shingles."""
+    return f"""
 WITH RECURSIVE words AS (
   SELECT doc_id, regexp_extract_all(coalesce({_LOWER}, ''), '[^\\x20\\x09-\\x0D]+') AS w FROM documents),
 shingles AS (
@@ -12,13 +16,17 @@ shingles AS (
     ELSE [array_to_string(w[i:i+4], ' ') for i in range(1, len(w) - 3)] END) AS s FROM words)),
 sizes AS (SELECT doc_id, count(*) AS n FROM shingles GROUP BY doc_id),
 met AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS shared FROM shingles a JOIN shingles b ON a.s = b.s AND a.doc_id <> b.doc_id GROUP BY 1, 2),
-links AS (SELECT a, b FROM met JOIN sizes x ON x.doc_id = a JOIN sizes y ON y.doc_id = b WHERE 100 * shared >= 75 * (x.n + y.n - shared)),
+links AS (SELECT a, b FROM met JOIN sizes x ON x.doc_id = a JOIN sizes y ON y.doc_id = b WHERE 100 * shared >= {percent} * (x.n + y.n - shared)),
 reach(a, b) AS (SELECT doc_id, doc_id FROM documents UNION SELECT r.a, l.b FROM reach r JOIN links l ON l.a = r.b),
 least AS (SELECT a, min(b) AS component_id FROM reach GROUP BY a)
-SELECT d.doc_id, coalesce(n, 0) AS n_shingles, component_id, d.doc_id = component_id AS kept
+SELECT d.doc_id, coalesce(n, 0) AS n_shingles, component_id{more}
 FROM documents d LEFT JOIN sizes s ON s.doc_id = d.doc_id JOIN least ON least.a = d.doc_id
 """
 
+
+OP4 = _near(75, ", d.doc_id = component_id AS kept")
+OP12 = _near(80)
+
 _TERM = "'[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+'"
 
 OP6 = f"""
@@ -86,4 +94,4 @@ FROM d LEFT JOIN n ON n.doc_id = d.doc_id LEFT JOIN kept ON kept.doc_id = d.doc_
 """
 
 CHECKS = {"op4_minhash_dedup": OP4, "op6_decontamination": OP6, "op7_warc_packages": OP7, "op8_line_dedup": OP8,
-          "op9_substring_dedup": OP9}
+          "op9_substring_dedup": OP9, "op12_parity_join": OP12}
