@@ -80,20 +80,29 @@ def candidates(ranked: DataFrame, percent: int) -> DataFrame:
             .select(F.least("a", "id").alias("a"), F.greatest("a", "id").alias("b")).distinct())
 
 
-def closed(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame | None:
-    """``parts(id, component)`` after all links between ``members(bucket, id)`` of a common bucket; None without members.
+def _with_partner(rows: DataFrame, percent: int) -> DataFrame:
+    """Without outsiders that no other member of the group is near enough to: distances of linked sets to the hub differ by no more than the sets."""
+    near = Window.partitionBy("hub").orderBy("far", "id")
+    gap = F.least(F.col("far") - F.lag("far").over(near), F.lead("far").over(near) - F.col("far"))
+    # The other set has at most 100 / percent as many elements.
+    within = (100 + percent) * percent * gap <= (100 - percent) * (100 + percent) * F.col("size")
+    return rows.withColumn("_within", F.coalesce(within, F.lit(False))).filter(F.col("linked") | F.col("_within")).drop("_within")
 
-    ``sets(id, shingles)`` holds one set of distinct elements per id. Ids that nothing is linked to have no row. Members
-    are compared with their hub, then as the differences demand, so a group of n linked to its hub costs n.
+
+def closed(members: DataFrame, sets: DataFrame, percent: int, links: DataFrame | None = None) -> DataFrame:
+    """``parts(id, component)`` after all links between ``members(bucket, id)`` of a common bucket, and the given ones.
+
+    ``sets(id, shingles)`` holds one set of distinct elements per id; ``links(a, b)`` are already known. Ids that nothing
+    is linked to have no row. Members are compared with their hub, then as the differences demand, so a group of n linked to its
+    hub costs n.
     """
     groups = stored(stars(members), "groups")
-    if groups.isEmpty():
-        return None
     star = stored(distances(groups, sets, percent), "stars")
-    parts = merged(None, star.filter(F.col("linked")).select(F.col("hub").alias("a"), F.col("id").alias("b")))
+    known = star.filter(F.col("linked")).select(F.col("hub").alias("a"), F.col("id").alias("b"))
+    parts = merged(None, known if links is None else known.unionByName(links))
     named = star.join(parts, "id", "left").withColumn("component", F.coalesce("component", "id"))
     apart = named.groupBy("hub").agg(F.min("component").alias("_a"), F.max("component").alias("_b")).filter(F.col("_a") != F.col("_b"))
-    open_rows = stored(named.join(apart.select("hub"), "hub", "left_semi"), "open")
+    open_rows = stored(_with_partner(named.join(apart.select("hub"), "hub", "left_semi"), percent), "open")
     if open_rows.isEmpty():
         return parts
     ranked = stored(_ranked_differences(open_rows, sets), "ranked")

@@ -5,9 +5,10 @@ most as many bits as the sets differ in elements. Size bands fix how much a link
 whose smaller set is in the band. The sketch of a band is cut into p > k blocks, so at least p - k blocks of a linked pair are
 equal. Blocks are wide and nearly empty; they are held as the XOR of 64-bit names of their toggled positions.
 
-The join is exact. Of two sorted lists of p blocks with p - k in common, the first k + 1 of each share one. Blocks are ordered
-by how many sets hold them, rare ones first, all beyond COMMON alike and empty blocks last. A set of which more than k blocks
-are its own is linked with nothing; of others, the blocks among the first k + 1 are buckets, closed by ``closing``.
+The join is exact, with s = p - k. Of a block that few sets hold, all pairs are counted; a linked pair has s common blocks, so
+it shares at least s less the number of common blocks that either of its sets could share besides. A pair that shares none of the
+rare blocks has s common ones among the frequent: of a set's h frequent blocks, the h - s + 1 least frequent are buckets, closed by
+``closing``. Empty blocks count as the most frequent of all.
 """
 
 from __future__ import annotations
@@ -16,16 +17,19 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, functions as F
 
 from plateview.llm.buffers import U64, byte_column, chunks, mix
 from plateview.llm.closing import closed
+from plateview.llm.components import confirmed
 from plateview.llm.minhash import shingle_sets
 from plateview.sources.scratch import stored
 
 PERCENT = 80
-GROWTH = 1.6                # the largest size of a band against its smallest
-COMMON = 64                 # holders beyond which blocks count as equally common
+GROWTH = 1.4                # the largest size of a band against its smallest
+FEW = 8                     # holders of a block up to which their pairs are counted
+COMMON = 64                 # holders beyond which blocks count as equally frequent
 CHUNK_BYTES = 1 << 19
 BATCH_BYTES = 1 << 23       # text whose blocks a task packs together
 PART_CHARS = 1 << 24        # text per part of the blocks
@@ -33,7 +37,9 @@ PENDING = 4_000_000         # blocks that a task holds before it lets the common
 FEW_IDS = 1_000_000         # ids that are sent to the texts; counted before. More meet them in a sort-merge join
 
 _EMPTY, _BAND_BITS = U64(1 << 55), U64(6)
-_COLUMNS = "part int, tokens binary, owners binary, holders binary, doc_id long, n_shingles long, k1 long, k2 long"
+_DOC, _PACKED, _PAIR, _HIGH, _BUCKET = range(5)
+# Rows of documents; packed blocks; (band, shared, name, other name) of pairs; (band, h, name) of sets with frequent blocks; (bucket, -, name).
+_COLUMNS = "kind int, part int, tokens binary, owners binary, holders binary, doc_id long, n_shingles long, k1 long, k2 long"
 
 
 def _edges() -> np.ndarray:
@@ -56,7 +62,7 @@ def allowed(percent: int) -> np.ndarray:
 def blocks(percent: int) -> np.ndarray:
     """By band: blocks of a sketch; none where only equal sets are linked."""
     most = allowed(percent)
-    return np.where(most > 0, most + 2 + most // 8, 0)
+    return np.where(most > 0, most + 2 + most // 4, 0)
 
 
 def bands_of(sizes: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray]:
@@ -106,20 +112,25 @@ def _by_part(part: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
         yield int(part[own[0]]), own
 
 
-def _batch(packed: list[tuple], docs: tuple | None = None) -> pa.RecordBatch:
-    """Rows of packed blocks (part, tokens, owners, holders), and rows of documents (part, id, size, names)."""
-    n, rows = len(packed), list(zip(*packed)) if packed else [(), (), (), ()]
-    part, ids, sizes, one, two = docs if docs is not None else ([], pa.array([], pa.int64()), [], [], [])
-    m = len(sizes)
-    none = pa.nulls(n, pa.int64())
+def _rows(kind: int, part: np.ndarray, *columns) -> pa.RecordBatch:
+    """Rows of up to four numbers."""
+    n = len(part)
+    none = pa.nulls(n, pa.binary())
+    numbers = [c.cast(pa.int64()) if isinstance(c, pa.Array) else pa.array(np.asarray(c, np.int64)) if c is not None else pa.nulls(n, pa.int64())
+               for c in (*columns, None, None, None, None)[:4]]
+    return pa.RecordBatch.from_arrays([pa.array(np.full(n, kind, np.int32)), pa.array(np.asarray(part, np.int32)), none, none, none, *numbers],
+                                      names=[c.split()[0] for c in _COLUMNS.split(", ")])
 
-    def after(values: np.ndarray) -> pa.Array:
-        return pa.concat_arrays([none, pa.array(np.asarray(values, np.int64), pa.int64())])
 
-    return pa.RecordBatch.from_arrays(
-        [pa.array(list(rows[0]) + list(part), pa.int32()), *(pa.array(list(x) + [None] * m, pa.binary()) for x in rows[1:4]),
-         pa.concat_arrays([none, ids.cast(pa.int64())]), after(sizes), after(one), after(two)],
-        names=["part", "tokens", "owners", "holders", "doc_id", "n_shingles", "k1", "k2"])
+def _packed(parts: np.ndarray, token: np.ndarray, owner: np.ndarray, holders: np.ndarray | None = None) -> Iterator[pa.RecordBatch]:
+    """Rows of many blocks, one for each part."""
+    packed = [(p, _seven(token[i]), owner[i].tobytes(), None if holders is None else holders[i].astype(np.uint8).tobytes()) for p, i in _by_part(parts)]
+    for low in range(0, len(packed), 64):
+        some = list(zip(*packed[low: low + 64]))
+        none = pa.nulls(len(some[0]), pa.int64())
+        yield pa.RecordBatch.from_arrays([pa.array([_PACKED] * len(some[0]), pa.int32()), pa.array(some[0], pa.int32()),
+                                          *(pa.array(x, pa.binary()) for x in some[1:]), none, none, none, none],
+                                         names=[c.split()[0] for c in _COLUMNS.split(", ")])
 
 
 def _names(sets: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
@@ -153,19 +164,19 @@ def _sketched(parts: int, percent: int) -> Callable:
                 one, two = (np.concatenate(x).view(np.int64) for x in (one, two))
                 token = np.concatenate(tokens) if tokens else np.zeros(0, U64)
                 owner = np.concatenate(owners) if owners else np.zeros(0, U64)
-                packed = [(p, _seven(token[i]), owner[i].tobytes(), None) for p, i in _by_part((mix(token) % U64(parts)).astype(np.int64))]
-                yield _batch(packed, (np.arange(len(one)) % parts, batch.column(0).slice(low, high - low), sizes, one, two))
+                yield _rows(_DOC, np.arange(len(one)) % parts, batch.column(0).slice(low, high - low), sizes, one, two)
+                yield from _packed((mix(token) % U64(parts)).astype(np.int64), token, owner)
     return run
 
 
-def _answers(token: np.ndarray, owner: np.ndarray, holders: np.ndarray, parts: int) -> Iterator[pa.RecordBatch]:
-    packed = [(p, _seven(token[i]), owner[i].tobytes(), holders[i].astype(np.uint8).tobytes()) for p, i in _by_part((owner % U64(parts)).astype(np.int64))]
-    if packed:
-        yield _batch(packed)
+def _unpacked(batch: pa.RecordBatch) -> Iterator[tuple]:
+    rows = batch.filter(pc.equal(batch.column("kind"), _PACKED))
+    for token, owner, holders in zip(*(rows.column(c) for c in ("tokens", "owners", "holders"))):
+        yield _from_seven(token.as_py()), np.frombuffer(owner.as_py(), U64), np.frombuffer(holders.as_py(), np.uint8) if holders.is_valid else None
 
 
 def _passed(batch: pa.RecordBatch) -> pa.RecordBatch:
-    return batch.filter(batch.column("k1").is_valid())
+    return batch.filter(pc.not_equal(batch.column("kind"), _PACKED))
 
 
 def _distinct(token: np.ndarray, owner: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -179,80 +190,102 @@ def _distinct(token: np.ndarray, owner: np.ndarray) -> tuple[np.ndarray, np.ndar
     return token, owner, begins
 
 
+def _pairs(token: np.ndarray, owner: np.ndarray, begins: np.ndarray, count: np.ndarray) -> tuple[np.ndarray, ...]:
+    """Pairs of holders of each block with few of them, and in how many blocks of which band they meet."""
+    first, second, band = [np.zeros(0, U64)], [np.zeros(0, U64)], [np.zeros(0, np.int64)]
+    for n in range(2, FEW + 1):
+        at = begins[count == n]
+        i, j = np.triu_indices(n, 1)
+        first.append(owner[at[:, None] + i].reshape(-1))
+        second.append(owner[at[:, None] + j].reshape(-1))
+        band.append(np.repeat((token[at] & U64(63)).astype(np.int64), len(i)))
+    first, second, band = map(np.concatenate, (first, second, band))
+    order = np.lexsort((band, second, first))
+    first, second, band = first[order], second[order], band[order]
+    if not len(first):
+        return first, second, band, band
+    new = np.flatnonzero(np.concatenate([[True], (first[1:] != first[:-1]) | (second[1:] != second[:-1]) | (band[1:] != band[:-1])]))
+    return first[new], second[new], band[new], np.diff(np.append(new, len(first)))
+
+
 def _counted(parts: int) -> Callable:
-    """Tells the holders of each shared block how many they are, up to COMMON. A block is common once so many are seen; its
-    further holders pass through, so a task holds COMMON owners of a block at most beyond the last PENDING rows."""
+    """Counts the pairs that share a block of few holders, and tells the holders of other shared blocks how many they are, up to COMMON.
+
+    A block is common once COMMON holders are seen; its further holders pass through, so a task holds COMMON owners of a
+    block at most beyond the last PENDING rows.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tokens, owners, waiting = [np.zeros(0, U64)], [np.zeros(0, U64)], 0
         common, limit = np.zeros(0, U64), PENDING
 
-        def settle(last: bool) -> tuple:
-            token, owner, begins = _distinct(np.concatenate(tokens), np.concatenate(owners))
-            count = np.diff(np.append(begins, len(token)))
-            each = np.repeat(count, count)
-            told = each >= (2 if last else COMMON)
-            tokens[:], owners[:] = [token[~told]], [owner[~told]]
-            return token[begins][count >= COMMON], token[told], owner[told], np.minimum(each[told], COMMON)
+        def told(token: np.ndarray, owner: np.ndarray, holders: np.ndarray) -> Iterator[pa.RecordBatch]:
+            return _packed((owner % U64(parts)).astype(np.int64), token, owner, holders)
 
         for batch in batches:
             yield _passed(batch)
-            for token, owner in zip(batch.column("tokens"), batch.column("owners")):
-                if not token.is_valid:
-                    continue
-                token, owner = _from_seven(token.as_py()), np.frombuffer(owner.as_py(), U64)
+            for token, owner, _ in _unpacked(batch):
                 if len(common):
                     known = common[np.minimum(np.searchsorted(common, token), len(common) - 1)] == token
                     if known.any():
-                        yield from _answers(token[known], owner[known], np.full(int(known.sum()), COMMON), parts)
+                        yield from told(token[known], owner[known], np.full(int(known.sum()), COMMON))
                         token, owner = token[~known], owner[~known]
                 tokens.append(token)
                 owners.append(owner)
                 waiting += len(token)
             if waiting >= limit:
-                found, *told = settle(False)
-                common = np.union1d(common, found)
-                yield from _answers(*told, parts)
-                waiting = sum(map(len, tokens))
+                token, owner, begins = _distinct(np.concatenate(tokens), np.concatenate(owners))
+                count = np.diff(np.append(begins, len(token)))
+                gone = np.repeat(count, count) >= COMMON
+                common = np.union1d(common, token[begins][count >= COMMON])
+                yield from told(token[gone], owner[gone], np.full(int(gone.sum()), COMMON))
+                tokens, owners = [token[~gone]], [owner[~gone]]
+                waiting = len(tokens[0])
                 limit = waiting + PENDING
-        yield from _answers(*settle(True)[1:], parts)
+        token, owner, begins = _distinct(np.concatenate(tokens), np.concatenate(owners))
+        count = np.diff(np.append(begins, len(token)))
+        each = np.repeat(count, count)
+        yield from told(token[each > FEW], owner[each > FEW], np.minimum(each[each > FEW], COMMON))
+        first, second, band, shared = _pairs(token, owner, begins, count)
+        for low in range(0, len(first), 1 << 20):
+            one, two, b, n = (x[low: low + (1 << 20)] for x in (first, second, band, shared))
+            yield _rows(_PAIR, np.arange(len(one)) % parts, b, n, one.view(np.int64), two.view(np.int64))
     return run
 
 
 def _chosen(percent: int) -> Callable:
-    """The buckets of each set: those of its first k + 1 blocks that others hold. Rows of documents pass.
+    """The number of frequent blocks of each set, and the buckets of those that have enough to be linked by them alone.
 
-    Two sets of one 64-bit name would count as one that has fewer blocks of its own, and keep more buckets, none less.
+    Two sets of one 64-bit name would count as one that has more frequent blocks, and keep more buckets, none less.
     """
-    most, width = allowed(percent), blocks(percent)
+    need = blocks(percent) - allowed(percent)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tokens, owners, holders = [np.zeros(0, U64)], [np.zeros(0, U64)], [np.zeros(0, np.uint8)]
         for batch in batches:
-            docs = _passed(batch)
-            yield pa.RecordBatch.from_arrays([pa.nulls(docs.num_rows, pa.int64()), *(docs.column(c) for c in ("doc_id", "n_shingles", "k1", "k2"))],
-                                             names=["bucket", "doc_id", "n_shingles", "k1", "k2"])
-            for t, o, h in zip(batch.column("tokens"), batch.column("owners"), batch.column("holders")):
-                if t.is_valid:
-                    tokens.append(_from_seven(t.as_py()))
-                    owners.append(np.frombuffer(o.as_py(), U64))
-                    holders.append(np.frombuffer(h.as_py(), np.uint8))
+            yield _passed(batch)
+            for token, owner, held in _unpacked(batch):
+                tokens.append(token)
+                owners.append(owner)
+                holders.append(held)
         token, owner, held = map(np.concatenate, (tokens, owners, holders))
         band = (token & U64(63)).astype(np.int64)
         order = np.lexsort((token, held, token >= _EMPTY, band, owner))
         token, owner, band = token[order], owner[order], band[order]
-        if len(token):      # a common block is told again for each further copy of a set
-            fresh = np.concatenate([[True], (token[1:] != token[:-1]) | (owner[1:] != owner[:-1])])
-            token, owner, band = token[fresh], owner[fresh], band[fresh]
-            begins = np.flatnonzero(np.concatenate([[True], (owner[1:] != owner[:-1]) | (band[1:] != band[:-1])]))
-            count = np.diff(np.append(begins, len(token)))
-            place = np.repeat(width[band[begins]] - count - begins, count) + np.arange(len(token))
-            keep = place <= most[band]
-            owner, token = owner[keep].view(np.int64), token[keep].view(np.int64)
+        if not len(token):
+            return
+        # A common block is told again for each further copy of a set.
+        fresh = np.concatenate([[True], (token[1:] != token[:-1]) | (owner[1:] != owner[:-1])])
+        token, owner, band = token[fresh], owner[fresh], band[fresh]
+        begins = np.flatnonzero(np.concatenate([[True], (owner[1:] != owner[:-1]) | (band[1:] != band[:-1])]))
+        count = np.diff(np.append(begins, len(token)))
+        yield _rows(_HIGH, np.zeros(len(begins)), band[begins], count, owner[begins].view(np.int64))
+        place = np.arange(len(token)) - np.repeat(begins, count)
+        keep = place <= np.repeat(count, count) - need[band]
+        token, owner = token[keep].view(np.int64), owner[keep].view(np.int64)
         for low in range(0, len(token), 1 << 20):
-            bucket, name = pa.array(token[low: low + (1 << 20)].astype(np.int64)), pa.array(owner[low: low + (1 << 20)].view(np.int64))
-            none = pa.nulls(len(bucket), pa.int64())
-            yield pa.RecordBatch.from_arrays([bucket, none, none, name, none], names=["bucket", "doc_id", "n_shingles", "k1", "k2"])
+            some = token[low: low + (1 << 20)]
+            yield _rows(_BUCKET, np.zeros(len(some)), some, None, owner[low: low + (1 << 20)])
     return run
 
 
@@ -277,6 +310,20 @@ def _whole_sets(texts: DataFrame, wanted: DataFrame) -> DataFrame:
     return found
 
 
+def _rare_pairs(table: DataFrame, percent: int) -> DataFrame:
+    """Distinct ``(a, b)`` of sets that share a block of few holders, and with the frequent blocks of both enough to be linked."""
+    need = F.array(*[F.lit(int(n)) for n in blocks(percent) - allowed(percent)])
+    high = table.filter(F.col("kind") == _HIGH).select(F.col("doc_id").alias("band"), F.col("n_shingles").alias("h"), "k1")
+    high = stored(high.groupBy("band", "k1").agg(F.max("h").alias("h")), "frequent")
+    pairs = (table.filter(F.col("kind") == _PAIR).groupBy(F.col("doc_id").alias("band"), F.col("k1").alias("a"), F.col("k2").alias("b"))
+             .agg(F.sum("n_shingles").alias("shared")))
+    for side in ("a", "b"):
+        own = high.select("band", F.col("k1").alias(side), F.col("h").alias(f"h_{side}"))
+        pairs = pairs.join(own, ["band", side], "left").withColumn(f"h_{side}", F.coalesce(f"h_{side}", F.lit(0)))
+    enough = F.col("shared") + F.least("h_a", "h_b") >= F.get(need, F.col("band").cast("int"))
+    return pairs.filter(enough).select("a", "b").distinct()
+
+
 def similar_sets(documents: DataFrame, doc_id: str = "doc_id", text: str = "text", percent: int = PERCENT) -> DataFrame:
     """``(doc_id, n_shingles, component_id)`` of every row.
 
@@ -289,18 +336,23 @@ def similar_sets(documents: DataFrame, doc_id: str = "doc_id", text: str = "text
     parts = max(8, -(-int(rows.agg(F.sum(F.length("text"))).first()[0] or 0) // PART_CHARS))
     sent = rows.mapInArrow(_sketched(8 * parts, percent), _COLUMNS).repartition(parts, "part")
     told = sent.mapInArrow(_counted(8 * parts), _COLUMNS).repartition(parts, "part")
-    table = stored(told.mapInArrow(_chosen(percent), "bucket long, doc_id long, n_shingles long, k1 long, k2 long"), "blocks")
-    whole = table.filter(F.col("bucket").isNull()).drop("bucket")
+    table = stored(told.mapInArrow(_chosen(percent), _COLUMNS).drop("part", "tokens", "owners", "holders"), "blocks")
+    whole = table.filter(F.col("kind") == _DOC).drop("kind")
     usable = whole.filter(F.col("doc_id").isNotNull() & (F.col("n_shingles") > 0))
     classes = stored(usable.groupBy("k1", "k2").agg(F.min("doc_id").alias("doc_id"), F.first("k1").alias("id")), "classes")
     twice = classes.groupBy("k1").agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") > 1)
     if not twice.isEmpty():     # two sets of one 64-bit name
         classes = stored(classes.withColumn("id", F.xxhash64("k1", "k2")), "classes")
-    members = stored(table.filter(F.col("bucket").isNotNull()).select("bucket", "k1").join(classes.select("k1", "id"), "k1").select("bucket", "id"), "members")
-    wanted = stored(classes.join(members.select("id").distinct(), "id", "left_semi"), "wanted")
-    found = None if wanted.isEmpty() else closed(members, _whole_sets(rows, wanted), percent)
-    if found is None:
-        found = classes.select("id", F.col("id").alias("component")).limit(0)
+    ids = classes.select("k1", "id")
+    members = stored(table.filter(F.col("kind") == _BUCKET).select(F.col("doc_id").alias("bucket"), "k1").join(ids, "k1").select("bucket", "id"), "members")
+    pairs = _rare_pairs(table, percent)
+    pairs = (pairs.join(ids.select(F.col("k1").alias("a"), F.col("id").alias("_a")), "a").join(ids.select(F.col("k1").alias("b"), F.col("id").alias("_b")), "b")
+             .select(F.least("_a", "_b").alias("a"), F.greatest("_a", "_b").alias("b")).distinct())
+    pairs = stored(pairs, "pairs")
+    wanted = members.select("id").union(pairs.select("a")).union(pairs.select("b")).distinct()
+    wanted = stored(classes.join(wanted, "id", "left_semi"), "wanted")
+    sets = _whole_sets(rows, wanted)
+    found = closed(members, sets, percent, confirmed(pairs, sets, percent))
     named = classes.join(found, "id", "left").withColumn("component", F.coalesce("component", "id"))
     least = named.groupBy("component").agg(F.min("doc_id").alias("component_id"))
     named = named.join(least, "component").select("k1", "k2", "component_id")
