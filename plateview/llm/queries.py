@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from plateview.functions.rows import settled
-from plateview.llm import decontaminate, langid, line_runs, maintext, minhash, mixing, parity, secrets, spotsigs, substrings, warczip
+from plateview.llm import decontaminate, langid, line_runs, maintext, minhash, mixing, parity, secrets, spotsigs, substrings, tokenspans, warczip
 
 
 def _table(spark: SparkSession, folder: str, name: str, *columns: str) -> DataFrame:
@@ -89,6 +89,10 @@ def op12_parity_join(spark: SparkSession, folder: str) -> DataFrame:
     return parity.similar_sets(_table(spark, folder, "documents", "doc_id", "text"))
 
 
+def op13_token_alignment(spark: SparkSession, folder: str) -> DataFrame:
+    return tokenspans.aligned(_table(spark, folder, "documents", "doc_id", "text"))
+
+
 QUERIES = {f.__name__: f for f in (
     op1_source_mix, op2_spot_signatures, op3_language_id, op4_minhash_dedup, op5_main_text, op6_decontamination,
-    op7_warc_packages, op8_line_dedup, op9_substring_dedup, op10_secret_scan, op12_parity_join)}
+    op7_warc_packages, op8_line_dedup, op9_substring_dedup, op10_secret_scan, op12_parity_join, op13_token_alignment)}
