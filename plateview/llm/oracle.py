@@ -93,5 +93,36 @@ SELECT d.doc_id, CAST(len(d.h) // 2 AS BIGINT) AS n_bytes, CAST(coalesce(n_remov
 FROM d LEFT JOIN n ON n.doc_id = d.doc_id LEFT JOIN kept ON kept.doc_id = d.doc_id
 """
 
+# crc32 without a table: each byte enters before its first of eight shifts.
+_CRC = """xor(list_reduce(list_concat([CAST(4294967295 AS BIGINT)], flatten([[CAST(ascii(c) AS BIGINT), 0, 0, 0, 0, 0, 0, 0]
+  for c in string_split(CAST(conv_id AS VARCHAR), '')])), lambda s, b: xor(xor(s, b) >> 1, 3988292384 * (xor(s, b) & 1))), 4294967295)"""
+
+OP11 = f"""
+WITH t AS (
+  SELECT conv_id, coalesce(role, '') AS role, coalesce(text, '') AS text, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST) AS r
+  FROM conversations WHERE conv_id IS NOT NULL),
+c AS (SELECT conv_id, {_CRC} % 4 AS h FROM (SELECT DISTINCT conv_id FROM t)),
+rebuilt AS (
+  SELECT c.conv_id, r, role, text FROM c JOIN t ON t.conv_id = c.conv_id - c.conv_id % 20 AND r <= h
+  UNION ALL SELECT t.conv_id, r, role, text FROM t JOIN c ON c.conv_id = t.conv_id WHERE r > h),
+turns AS (
+  SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY r) AS d, md5(length(role) || ':' || role || text) AS m,
+         len(regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+')) AS words FROM rebuilt),
+begins AS (
+  SELECT conv_id, 0 AS d, '' AS k, 0 AS words FROM c
+  UNION ALL SELECT conv_id, d, string_agg(m, '') OVER (PARTITION BY conv_id ORDER BY d ROWS UNBOUNDED PRECEDING), words FROM turns),
+nodes AS (SELECT d, k, min(conv_id) AS conv_id, count(*) AS n_convs, max(words) AS words FROM begins GROUP BY d, k),
+children AS (SELECT substr(k, 1, 32 * (d - 1)) AS k, count(*) AS n_children FROM nodes WHERE d > 0 GROUP BY 1),
+sums AS (
+  SELECT a.k, count(*) FILTER (x.k IS NULL) AS n_leaves, sum((b.n_convs - 1) * b.words) AS saved_tokens
+  FROM nodes a JOIN nodes b ON starts_with(b.k, a.k) LEFT JOIN children x ON x.k = b.k GROUP BY a.k),
+lasts AS (SELECT conv_id, max_by(k, d) AS k FROM begins GROUP BY conv_id),
+ends AS (SELECT k, string_agg(CAST(conv_id AS VARCHAR), ',' ORDER BY conv_id) AS ids FROM lasts GROUP BY k)
+SELECT n.conv_id, CAST(n.d AS BIGINT) AS depth, p.conv_id AS parent_conv_id, n.n_convs, coalesce(n_children, 0) AS n_children, n_leaves,
+       CAST(saved_tokens AS BIGINT) AS saved_tokens, sha256(coalesce(ids, '')) AS ends_sha256
+FROM nodes n JOIN sums s ON s.k = n.k LEFT JOIN children x ON x.k = n.k LEFT JOIN ends e ON e.k = n.k
+LEFT JOIN nodes p ON n.d > 0 AND p.k = substr(n.k, 1, 32 * (n.d - 1))
+"""
+
 CHECKS = {"op4_minhash_dedup": OP4, "op6_decontamination": OP6, "op7_warc_packages": OP7, "op8_line_dedup": OP8,
-          "op9_substring_dedup": OP9, "op12_parity_join": OP12}
+          "op9_substring_dedup": OP9, "op11_prefix_trie": OP11, "op12_parity_join": OP12}

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from plateview.functions.rows import settled
-from plateview.llm import decontaminate, langid, line_runs, maintext, minhash, mixing, parity, secrets, spotsigs, substrings, tokenspans, warczip
+from plateview.llm import decontaminate, langid, line_runs, maintext, minhash, mixing, parity, prefix_trie, secrets, spotsigs, substrings, tokenspans, warczip
 
 
 def _table(spark: SparkSession, folder: str, name: str, *columns: str) -> DataFrame:
@@ -85,6 +85,11 @@ def op10_secret_scan(spark: SparkSession, folder: str) -> DataFrame:
     return found.select("doc_id", "n_assign", "n_access", "n_hex", F.sha2("base", 256).alias("base_sha256"), "spans")
 
 
+def op11_prefix_trie(spark: SparkSession, folder: str) -> DataFrame:
+    turns = prefix_trie.turn_digests(_table(spark, folder, "conversations", "conv_id", "turn", "role", "text"))
+    return prefix_trie.prefix_trie(*prefix_trie.with_borrowed_heads(turns))
+
+
 def op12_parity_join(spark: SparkSession, folder: str) -> DataFrame:
     return parity.similar_sets(_table(spark, folder, "documents", "doc_id", "text"))
 
@@ -95,4 +100,4 @@ def op13_token_alignment(spark: SparkSession, folder: str) -> DataFrame:
 
 QUERIES = {f.__name__: f for f in (
     op1_source_mix, op2_spot_signatures, op3_language_id, op4_minhash_dedup, op5_main_text, op6_decontamination,
-    op7_warc_packages, op8_line_dedup, op9_substring_dedup, op10_secret_scan, op12_parity_join, op13_token_alignment)}
+    op7_warc_packages, op8_line_dedup, op9_substring_dedup, op10_secret_scan, op11_prefix_trie, op12_parity_join, op13_token_alignment)}
