@@ -10,11 +10,29 @@ the needed overlap gives. Texts filled from one template, which mostly differ fr
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from plateview.llm.components import confirmed, merged
 from plateview.sources.scratch import stored
 
+FEW_IDS = 1_000_000     # ids that are sent to the texts; counted before. More meet them in a sort-merge join
+
+
+def whole_sets(texts: DataFrame, wanted: DataFrame, sets_of: Callable) -> DataFrame:
+    """``(id, shingles)``, one row for each of the wanted classes ``(k1, k2, doc_id, id)`` of equal sets.
+
+    ``texts(doc_id, text)`` are read again, those of the wanted documents only; ``sets_of`` turns batches of texts into (k1, k2, shingles).
+    """
+    few = wanted.count() <= FEW_IDS
+    sent = F.broadcast(wanted) if few else wanted.hint("merge")
+    own = texts.join(sent.select("doc_id"), "doc_id", "left_semi").select("text").mapInArrow(sets_of, "k1 long, k2 long, shingles array<long>")
+    found = stored(own.join(F.broadcast(wanted) if few else wanted, ["k1", "k2"]).select("id", "shingles"), "sets")
+    if found.count() > wanted.count():      # rows that repeat a doc_id
+        found = stored(found.dropDuplicates(["id"]), "sets")
+    return found
+
 
 def _similar(both: Column, total: Column, percent: int) -> Column:
     return 100 * both >= percent * (total - both)

@@ -2,9 +2,8 @@
 
 A text's 5-word shingles are hashed once; the hash range is cut into bins, the smallest value of a
 bin is its sketch, and an empty bin borrows from the first filled one on its own random route over the bins.
-Bins in bands of eight make buckets, and a bucket's candidate edges form a star around one member. The components
-that a star leaves apart meet through a few members each, then through all members until no bucket holds two components
-that were not compared, crowded buckets like others. Every candidate link is confirmed on full shingle sets.
+Bins in bands of eight make buckets, and a bucket's candidate edges form a star around one member. Links that the
+star leaves open are found by what members differ from its centre in (``closing``). Every link is confirmed on full shingle sets.
 """
 
 from __future__ import annotations
@@ -16,14 +15,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from plateview.llm.buffers import NOT_SPACE, U64, Words, byte_column, chunks, mix, odd_powers
-from plateview.llm.components import FEW, closed, confirmed, linked, merged, open_buckets, renamed, sizes_allow
+from plateview.llm.closing import closed, whole_sets
+from plateview.llm.components import FEW  # noqa: F401
 from plateview.sources.scratch import stored
 
 SHINGLE = 5
 BANDS, ROWS = 112, 8        # a link at similarity 0.75 shares no band once in 130,000 times
 BINS = BANDS * ROWS
-SLOTS = 16                   # members of a component that a bucket compares
-LARGE = 64                   # texts of a component beyond which it sends a quarter of them to meet others as large
 CHUNK_BYTES = 1 << 19
 
 _routes: list[np.ndarray] = []
@@ -74,6 +72,10 @@ def bands_of(shingles: np.ndarray) -> np.ndarray:
     return mix(banded + np.arange(BANDS, dtype=U64) * U64(0x9E3779B97F4A7C15))
 
 
+#: Two 64-bit names of a set.
+NAMES = (lambda own: own.sum(dtype=U64), lambda own: (own * (own | U64(1))).sum(dtype=U64))
+
+
 def _sketches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         data, ends = byte_column(batch.column(1))
@@ -81,8 +83,8 @@ def _sketches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for low, high in chunks(ends, CHUNK_BYTES):
             for own in shingle_sets(data[ends[low]: ends[high]], ends[low: high + 1] - ends[low]):
                 sizes.append(len(own))
-                keys.append(own.sum(dtype=U64))
-                other.append((own * (own | U64(1))).sum(dtype=U64) if len(own) else U64(0))
+                keys.append(NAMES[0](own))
+                other.append(NAMES[1](own))
                 bands.append(bands_of(own).view(np.int64) if len(own) else np.zeros(0, np.int64))
         lists = pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, bands)]), pa.int32()),
                                          pa.array(np.concatenate(bands) if bands else np.zeros(0, np.int64)))
@@ -93,11 +95,12 @@ def _sketches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        data, ends = byte_column(batch.column(1))
+        data, ends = byte_column(batch.column(0))
         for low, high in chunks(ends, CHUNK_BYTES):
-            sets = [s.view(np.int64) for s in shingle_sets(data[ends[low]: ends[high]], ends[low: high + 1] - ends[low])]
-            lists = pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, sets)]), pa.int32()), pa.array(np.concatenate(sets)))
-            yield pa.RecordBatch.from_arrays([batch.column(0).slice(low, high - low), lists], names=["id", "shingles"])
+            sets = list(shingle_sets(data[ends[low]: ends[high]], ends[low: high + 1] - ends[low]))
+            k1, k2 = (pa.array(np.array([f(s) for s in sets], U64).view(np.int64)) for f in NAMES)
+            lists = pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, sets)]), pa.int32()), pa.array(np.concatenate(sets).view(np.int64)))
+            yield pa.RecordBatch.from_arrays([k1, k2, lists], names=["k1", "k2", "shingles"])
 
 
 def sketches(documents: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -106,59 +109,9 @@ def sketches(documents: DataFrame, doc_id: str = "doc_id", text: str = "text") -
     return rows.mapInArrow(_sketches, "doc_id long, n_shingles long, k1 long, k2 long, bands array<long>")
 
 
-def _sampled(members: DataFrame, parts: DataFrame | None) -> DataFrame:
-    """At most ``SLOTS`` members of each component in each bucket, the most central of those that share a slot.
-
-    ``apart`` marks members of components of more than ``LARGE`` texts that do not meet other large components in this bucket:
-    all but a quarter, for such components share many buckets.
-    """
-    members = members.drop("apart", "_large", "least", "n", "others", "k")
-    if parts is not None:
-        large = parts.groupBy("component").agg(F.count(F.lit(1)).alias("_c")).filter(F.col("_c") > LARGE)
-        members = members.join(large, "component", "left")
-    else:
-        members = members.withColumn("_c", F.lit(None).cast("long"))
-    slot = F.pmod(F.xxhash64("id", "bucket"), F.lit(SLOTS))
-    rest = [c for c in members.columns if c not in ("bucket", "component", "central", "id", "_c")]
-    return (members.groupBy("bucket", "component", F.col("_c").isNotNull().alias("_large"), slot.alias("slot"))
-            .agg(F.max(F.struct("central", F.negative("id").alias("_i"), "id", *rest)).alias("c"))
-            .select("bucket", "component", (F.col("_large") & (F.col("slot") >= SLOTS // 4)).alias("apart"), "_large", "c.*").drop("_i"))
-
-
-def _mutual(now: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Links between members of different components of a bucket."""
-    other = now.select("bucket", F.col("id").alias("a"), F.col("size").alias("_size"), F.col("component").alias("_component"),
-                       F.col("_large").alias("_other_large"), F.col("apart").alias("_other_apart"))
-    meet = ~((F.col("apart") & F.col("_other_large")) | (F.col("_other_apart") & F.col("_large")))
-    pairs = now.join(other, "bucket").filter((F.col("a") < F.col("id")) & (F.col("component") != F.col("_component")) & meet
-                                             & sizes_allow("size", "_size", percent))
-    return confirmed(pairs.select("a", F.col("id").alias("b")).distinct(), sets, percent)
-
-
-def _hubs(now: DataFrame) -> DataFrame:
-    """The most central member of each bucket; the least id on a tie."""
-    return (now.groupBy("bucket").agg(F.max(F.struct("central", F.negative("id").alias("_i"), "id", "size", "component")).alias("c"))
-            .select("bucket", "c.id", "c.size", "c.component"))
-
-
-def joined_buckets(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame | None:
-    """``parts(id, component)`` after the links found in buckets ``members(bucket, id, size, central)``.
-
-    A star around the most central member, the one that shares its buckets with the most others, joins most of a bucket: of a
-    group of near-copies it is the text that they derive from, or next to it. What remains are a few components, which first meet
-    through up to ``SLOTS`` hashed members each, the most central ones of their slots. Then all members of the buckets that still
-    hold several components meet until every bucket is closed; so do those of buckets of more than ``FEW`` components, whose
-    texts mostly agree in a common passage only.
-    """
-    now = stored(open_buckets(_sampled(renamed(members, None), None)), "members")
-    if now.isEmpty():
-        return None
-    parts = merged(None, linked(now, _hubs(now), sets, percent))
-    now = stored(open_buckets(_sampled(renamed(now, parts), parts)), "members")
-    if now.isEmpty():
-        return parts
-    parts = merged(parts, _mutual(now.filter(F.col("k") <= FEW), sets, percent))
-    return closed(members.join(now.select("bucket").distinct(), "bucket"), sets, percent, parts)
+def joined_buckets(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """``parts(id, component)`` after all links inside buckets ``members(bucket, id)``, however crowded; ``sets`` has one set per id."""
+    return closed(members.select("bucket", "id"), sets, percent)
 
 
 def near_duplicates(documents: DataFrame, doc_id: str = "doc_id", text: str = "text", percent: int = 75) -> DataFrame:
@@ -171,22 +124,23 @@ def near_duplicates(documents: DataFrame, doc_id: str = "doc_id", text: str = "t
     """
     table = stored(sketches(documents, doc_id, text), "sketches")
     usable = table.filter(F.col("doc_id").isNotNull() & (F.col("n_shingles") > 0))
-    classes = stored(usable.groupBy("k1", "k2").agg(F.min("doc_id").alias("id"), F.first("n_shingles").alias("size")), "classes")
-    own = usable.join(classes.withColumnRenamed("id", "doc_id").select("k1", "k2", "doc_id", "size"), ["k1", "k2", "doc_id"])
-    rows = own.select(F.col("doc_id").alias("id"), F.explode("bands").alias("bucket"))
-    # Rows that repeat an id with another text put two sets under one node; any of them may give a link.
-    shared = rows.groupBy("bucket").agg(F.min("id").alias("_a"), F.max("id").alias("_b"), F.count(F.lit(1)).alias("n"))
-    members = stored(rows.join(shared.filter(F.col("_a") != F.col("_b")).select("bucket", "n"), "bucket"), "buckets")
-    # A node of several sets has no one size to be ruled out by.
-    sizes = classes.groupBy("id").agg(F.when(F.min("size") == F.max("size"), F.min("size")).alias("size"))
-    ids = stored(members.groupBy("id").agg(F.sum("n").alias("central")).join(sizes, "id"), "ids")
-    texts = documents.select(F.col(f"`{doc_id}`").cast("long").alias("id"), F.col(f"`{text}`").alias("text"))
-    # By a sort-merge join at every size; beyond some size the optimizer filters the texts by a Bloom filter of the ids first.
-    sets = stored(texts.join(ids.hint("merge"), "id", "left_semi").mapInArrow(_sets, "id long, shingles array<long>"), "sets")
-    parts = joined_buckets(members.drop("n").join(ids, "id"), sets, percent)
-    if parts is None:
-        parts = classes.limit(0).select("id", F.col("id").alias("component"))
-    whole = classes.join(parts, "id", "left").select("k1", "k2", F.coalesce("component", "id").alias("_c"))
+    classes = stored(usable.groupBy("k1", "k2").agg(F.min("doc_id").alias("doc_id"), F.first("k1").alias("id")), "classes")
+    if not classes.groupBy("k1").agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") > 1).isEmpty():     # two sets of one 64-bit name
+        classes = stored(classes.withColumn("id", F.xxhash64("k1", "k2")), "classes")
+    own = usable.join(classes, ["k1", "k2", "doc_id"])
+    rows = own.select("id", F.explode("bands").alias("bucket"))
+    shared = rows.groupBy("bucket").agg(F.min("id").alias("_a"), F.max("id").alias("_b"))
+    members = stored(rows.join(shared.filter(F.col("_a") != F.col("_b")).select("bucket"), "bucket"), "buckets")
+    wanted = stored(classes.join(members.select("id").distinct(), "id", "left_semi"), "ids")
+    texts = documents.select(F.col(f"`{doc_id}`").cast("long").alias("doc_id"), F.col(f"`{text}`").alias("text"))
+    sets = whole_sets(texts, wanted, _sets)
+    # Rows that repeat a doc_id with another text put several sets under one document: its classes are linked.
+    names = usable.select("doc_id", "k1", "k2").distinct().join(classes.select("k1", "k2", "id"), ["k1", "k2"])
+    several = names.groupBy("doc_id").agg(F.min("id").alias("a"), F.max("id").alias("_b")).filter(F.col("a") != F.col("_b"))
+    links = names.join(several.select("doc_id", "a"), "doc_id").select("a", F.col("id").alias("b"))
+    parts = closed(members, sets, percent, links)
+    named = classes.join(parts, "id", "left").withColumn("component", F.coalesce("component", "id"))
+    whole = named.join(named.groupBy("component").agg(F.min("doc_id").alias("_c")), "component").select("k1", "k2", "_c")
     return (table.select("doc_id", "n_shingles", "k1", "k2").join(whole, ["k1", "k2"], "left")
             .select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull() & (F.col("n_shingles") > 0), F.col("_c"))
                     .otherwise(F.col("doc_id")).alias("component_id")))

@@ -21,7 +21,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, functions as F
 
 from plateview.llm.buffers import U64, byte_column, chunks, mix
-from plateview.llm.closing import closed
+from plateview.llm.closing import closed, whole_sets
 from plateview.llm.components import confirmed
 from plateview.llm.minhash import shingle_sets
 from plateview.sources.scratch import stored
@@ -34,7 +34,6 @@ CHUNK_BYTES = 1 << 19
 BATCH_BYTES = 1 << 23       # text whose blocks a task packs together
 PART_CHARS = 1 << 24        # text per part of the blocks
 PENDING = 4_000_000         # blocks that a task holds before it lets the common ones go
-FEW_IDS = 1_000_000         # ids that are sent to the texts; counted before. More meet them in a sort-merge join
 
 _EMPTY, _BAND_BITS = U64(1 << 55), U64(6)
 _DOC, _PACKED, _PAIR, _HIGH, _BUCKET = range(5)
@@ -299,17 +298,6 @@ def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array(one.view(np.int64)), pa.array(two.view(np.int64)), lists], names=["k1", "k2", "shingles"])
 
 
-def _whole_sets(texts: DataFrame, wanted: DataFrame) -> DataFrame:
-    """``(id, shingles)``, one row for each of the wanted classes ``(k1, k2, doc_id, id)``."""
-    few = wanted.count() <= FEW_IDS
-    sent = F.broadcast(wanted) if few else wanted.hint("merge")
-    own = texts.join(sent.select("doc_id"), "doc_id", "left_semi").select("text").mapInArrow(_sets, "k1 long, k2 long, shingles array<long>")
-    found = stored(own.join(F.broadcast(wanted) if few else wanted, ["k1", "k2"]).select("id", "shingles"), "sets")
-    if found.count() > wanted.count():      # rows that repeat a doc_id
-        found = stored(found.dropDuplicates(["id"]), "sets")
-    return found
-
-
 def _rare_pairs(table: DataFrame, percent: int) -> DataFrame:
     """Distinct ``(a, b)`` of sets that share a block of few holders, and with the frequent blocks of both enough to be linked."""
     need = F.array(*[F.lit(int(n)) for n in blocks(percent) - allowed(percent)])
@@ -351,7 +339,7 @@ def similar_sets(documents: DataFrame, doc_id: str = "doc_id", text: str = "text
     pairs = stored(pairs, "pairs")
     wanted = members.select("id").union(pairs.select("a")).union(pairs.select("b")).distinct()
     wanted = stored(classes.join(wanted, "id", "left_semi"), "wanted")
-    sets = _whole_sets(rows, wanted)
+    sets = whole_sets(rows, wanted, _sets)
     found = closed(members, sets, percent, confirmed(pairs, sets, percent))
     named = classes.join(found, "id", "left").withColumn("component", F.coalesce("component", "id"))
     least = named.groupBy("component").agg(F.min("doc_id").alias("component_id"))
