@@ -30,8 +30,9 @@ from plateview.sources.scratch import stored
 
 FOLDER = "/opt/tokenizers"
 BYTE_LEVEL, PIECES = "byte_bpe_50k.json", "piece_bpe_32k.model"
-BLOCK_CHARS = 1 << 24       # text whose id pairs a task counts together
+BLOCK_CHARS = 1 << 23       # text whose id pairs a task counts together
 MOST_ROWS = 50_000
+TOGETHER = 256              # words that are tokenized as one text
 SPACE = "\u2581"            # stands for a space in pieces
 _IDS = 1 << 20              # an id pair is first * _IDS + second; vocabularies are smaller
 
@@ -94,39 +95,47 @@ class Tokenizers:
 
     def align(self, words: list[str]) -> "Alignment":
         """How the tokens of stretches lie. Those that a tokenizer does not give back byte by byte are left out."""
-        one = [self.first.encode(" " + w, add_special_tokens=False) for w in words]
-        two = self.second.encode(words, return_type="offset_mapping", return_bytes=True, num_threads=1)
-        a, b = [e.ids for e in one], [t["ids"] for t in two]
-        raw = [(" " + w).encode() for w in words]
-        right = np.array([_joined(self.first_bytes, x) == _joined(self.second_bytes, y) == r for x, y, r in zip(a, b, raw)])
-        keep = np.flatnonzero(right).tolist()
-        if len(keep) < len(words):
-            one, two, a, b, raw, words = ([x[i] for i in keep] for x in (one, two, a, b, raw, words))
-        if not words:
-            return Alignment(right, np.zeros((0, 4), np.int64), np.zeros(0, np.int64), [])
-        count_a, count_b = np.array([len(x) for x in a]), np.array([len(x) for x in b])
+        plain = [i for i, w in enumerate(words) if w.strip() == w] if self.by_word else []     # these may stand side by side
+        alone = set(range(len(words))) - set(plain)
+        groups = [plain[low: low + TOGETHER] for low in range(0, len(plain), TOGETHER)] + [[i] for i in sorted(alone)]
+        kept = []
+        while groups:
+            texts = [" ".join([words[i] for i in g]) for g in groups]
+            one = [self.first.encode(" " + t, add_special_tokens=False) for t in texts]
+            two = self.second.encode(texts, return_type="offset_mapping", return_bytes=True, num_threads=1)
+            wrong = []
+            for g, t, x, y in zip(groups, texts, one, two):
+                a, b, raw = x.ids, y["ids"], (" " + t).encode()
+                if _joined(self.first_bytes, a) == raw and _joined(self.second_bytes, b) == raw:
+                    kept.append((g, t, a, x.offsets, b, y["offsets"], len(raw)))
+                elif len(g) > 1:
+                    wrong += [[i] for i in g]
+            groups = wrong
+        if not kept:
+            return Alignment([], np.zeros((0, 4), np.int64), np.zeros(0, np.int64), [])
+        order = [i for g, *_ in kept for i in g]
+        stop = np.cumsum([1 + len(words[i].encode()) for i in order])
+        _, texts, a, offsets_a, b, offsets_b, size = zip(*kept)
         ids_a, ids_b = (np.fromiter(chain.from_iterable(x), np.int64) for x in (a, b))
-        size = np.array([len(r) for r in raw])
-        stop = np.cumsum(size)
-        spans = np.fromiter(chain.from_iterable(chain.from_iterable(e.offsets for e in one)), np.int64, 2 * len(ids_a)).reshape(-1, 2)
-        ends_a = self._first_ends(ids_a, spans, count_a, words)
-        inner = np.fromiter((end for t in two for _, end in t["offsets"]), np.int64, len(ids_b))
+        spans = np.fromiter(chain.from_iterable(chain.from_iterable(offsets_a)), np.int64, 2 * len(ids_a)).reshape(-1, 2)
+        ends_a = self._first_ends(ids_a, spans, np.array([len(x) for x in a]), texts)
+        inner = np.fromiter((end for x in offsets_b for _, end in x), np.int64, len(ids_b))
         # The spans of pieces leave out the first space.
-        ends_b = _placed(inner + 1 + np.repeat(stop - size, count_b), ~self.is_byte[ids_b], self.second_length[ids_b])
+        base = np.repeat(np.cumsum(size) - size, [len(x) for x in b])
+        ends_b = _placed(inner + 1 + base, ~self.is_byte[ids_b], self.second_length[ids_b])
         every = np.concatenate([ends_a, ends_b])
         every.sort(kind="stable")       # two sorted runs
         twice = every[1:] == every[:-1]
         shared, every = every[1:][twice], every[np.append(True, ~twice)]
         links = ids_a[np.searchsorted(ends_a, every)] * _IDS + ids_b[np.searchsorted(ends_b, every)]
-        to = np.searchsorted(shared, stop, side="right"), np.searchsorted(every, stop, side="right")
-        numbers = np.stack([count_a, count_b, *(np.diff(x, prepend=0) for x in to)], axis=1)
-        return Alignment(right, numbers, links, self._print(ids_a, ends_a, ids_b, ends_b, shared, stop))
+        numbers = np.stack([np.diff(np.searchsorted(x, stop, side="right"), prepend=0) for x in (ends_a, ends_b, shared, every)], axis=1)
+        return Alignment(order, numbers, links, self._print(ids_a, ends_a, ids_b, ends_b, shared, stop))
 
-    def _first_ends(self, ids: np.ndarray, spans: np.ndarray, count: np.ndarray, words: list[str]) -> np.ndarray:
+    def _first_ends(self, ids: np.ndarray, spans: np.ndarray, count: np.ndarray, texts: tuple[str, ...]) -> np.ndarray:
         """Byte ends from character spans; of tokens that end inside a character, by decoded bytes from the last coarse cut."""
-        points = np.frombuffer("".join([" " + w for w in words]).encode("utf-32-le"), np.uint32)
+        points = np.frombuffer("".join([" " + t for t in texts]).encode("utf-32-le"), np.uint32)
         width = 1 + (points > 0x7F) + (points > 0x7FF).astype(np.int64) + (points > 0xFFFF)
-        base = np.cumsum([0] + [1 + len(w) for w in words])[:-1]
+        base = np.cumsum([0] + [1 + len(t) for t in texts])[:-1]
         spans = spans + np.repeat(base, count)[:, None]
         cut = np.append(spans[1:, 0] >= spans[:-1, 1], True)
         return _placed(np.concatenate([[0], np.cumsum(width)])[spans[:, 1]], cut, self.first_length[ids])
@@ -144,9 +153,9 @@ class Tokenizers:
 
 
 class Alignment(NamedTuple):
-    """Stretches that are right; of those, numbers of tokens of both sides, groups and links, the links' id pairs, the groups as text."""
+    """Places of the stretches that are right; of those, numbers of tokens of both sides, groups and links, the links' id pairs, the groups as text."""
 
-    right: np.ndarray
+    order: list[int]
     numbers: np.ndarray
     links: np.ndarray
     printed: list[str]
@@ -182,20 +191,21 @@ class _Block:
 
     def add(self, ids: list, texts: list) -> None:
         split = [self.tok.words(t) if t else [] for t in texts]
-        fresh = list(dict.fromkeys(w for words in split for w in words if w not in self.place))
-        for low in range(0, len(fresh), 4096):
-            found = self.tok.align(fresh[low: low + 4096])
-            place = np.where(found.right, len(self.printed) + np.cumsum(found.right) - 1, -1)
-            self.place.update(zip(fresh[low: low + 4096], place.tolist()))
+        fresh = list(set(chain.from_iterable(split)).difference(self.place))
+        for low in range(0, len(fresh), 8 * TOGETHER):
+            some = fresh[low: low + 8 * TOGETHER]
+            found = self.tok.align(some)
+            self.place.update(dict.fromkeys(some, -1))
+            self.place.update(zip([some[i] for i in found.order], range(len(self.printed), len(self.printed) + len(found.order))))
             self.links.append(found.links)
-            self.numbers.append(found.numbers)
+            self.numbers.append(found.numbers.astype(np.int32))
             self.printed += found.printed
         for doc_id, words, text in zip(ids, split, texts):
             self.size += len(text or "")
             own = [self.place[w] for w in words]
             whole = bool(own) and min(own) >= 0
             digest = hashlib.sha256("".join([self.printed[i] for i in own])[:-1].encode()).hexdigest() if whole else ""
-            self.rows.append((doc_id, digest, np.array(own if whole else [], np.int64)))
+            self.rows.append((doc_id, digest, np.array(own if whole else [], np.int32)))
 
     def batch(self) -> pa.RecordBatch:
         n, numbers = len(self.rows), np.concatenate([np.zeros((0, 4), np.int64), *self.numbers])
