@@ -16,6 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from plateview.llm.buffers import ALNUM, Words, byte_column, chunks
+from plateview.llm.columns import set_aside
 from plateview.sources.scratch import stored
 
 WINDOW = 10                 # words of a window; an item of fewer words is one window
@@ -209,6 +210,7 @@ def matches(documents: DataFrame, benchmark: DataFrame, keep: list[str] | None =
 
 
 def decontaminated(documents: DataFrame, benchmark: DataFrame, text: str = "text", window: int = WINDOW) -> DataFrame:
-    """The documents, with their own columns, that share no window with the benchmark."""
-    return (matches(documents, benchmark, None, text, window=window).filter(F.col("n_hit") == 0)
-            .select(*[F.col(f"`{c}`") for c in documents.columns if c not in NAMES]))
+    """The documents, with all their own columns, that share no window with the benchmark."""
+    plain, back = set_aside(documents, [n for n in NAMES if n != text])
+    return matches(plain, benchmark, None, text, window=window).filter(F.col("n_hit") == 0).select(
+        *[F.col(f"`{c}`") for c in plain.columns]).withColumnsRenamed(back)

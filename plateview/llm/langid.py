@@ -144,13 +144,14 @@ def document_frequencies(texts: DataFrame, text: str = "text") -> tuple[np.ndarr
 
 
 def _sample(labelled: DataFrame, lang: str, text: str, rows: int) -> DataFrame:
-    """At most ``rows`` texts, about as many of each language, chosen by a hash of the text."""
+    """At most ``rows`` texts, about as many of each language, chosen by a hash of the text; copies count once."""
     counts = labelled.groupBy(F.col(f"`{lang}`").alias("lang")).agg(F.count(F.lit(1)).alias("n"))
     each = F.ceil(F.lit(rows) / F.greatest(F.count(F.lit(1)).over(Window.partitionBy()), F.lit(1)))
     rates = counts.select("lang", (each * 1.3 / F.col("n")).alias("rate"), each.alias("each"))
     draw = F.pmod(F.xxhash64("text", F.lit(11)), F.lit(1 << 30)) / F.lit(float(1 << 30))
     some = (labelled.select(F.col(f"`{lang}`").alias("lang"), F.col(f"`{text}`").alias("text"))
-            .join(F.broadcast(rates), "lang").withColumn("draw", draw).filter(F.col("draw") < F.col("rate")))
+            .join(F.broadcast(rates), "lang").withColumn("draw", draw).filter(F.col("draw") < F.col("rate"))
+            .dropDuplicates(["lang", "text"]))      # copies are drawn together, and teach as one
     ranked = some.withColumn("place", F.row_number().over(Window.partitionBy("lang").orderBy("draw", "text")))
     return ranked.filter(F.col("place") <= F.col("each")).select("lang", "text")
 

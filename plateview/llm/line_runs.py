@@ -11,6 +11,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, Window, functions as F
 
+from plateview.llm.columns import set_aside
 from plateview.sources.scratch import stored
 
 MIN_LINES = 3
@@ -19,8 +20,8 @@ KEY = ["doc", "version"]     # a document's id, and a hash of its text should an
 
 def _identified(documents: DataFrame, doc_id: str, text: str) -> DataFrame:
     last = F.lit((1 << 63) - 1)
-    return documents.withColumn("_doc", F.coalesce(F.col(f"`{doc_id}`").cast("long"), last)).withColumn(
-        "_version", F.xxhash64(F.coalesce(F.col(f"`{text}`"), F.lit(""))))
+    return documents.withColumns({"_doc": F.coalesce(F.col(f"`{doc_id}`").cast("long"), last),
+                                  "_version": F.xxhash64(F.coalesce(F.col(f"`{text}`"), F.lit("")))})
 
 
 def line_ids(documents: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -91,8 +92,11 @@ def without_repeats(documents: DataFrame, doc_id: str = "doc_id", text: str = "t
     text get the same answer; rows with the same id and other texts are ordered by a hash of the text.
     Own columns named like the added ones are replaced.
     """
+    documents, back = set_aside(documents, ["_doc", "_version", "gone"])
+    names = {old: new for new, old in back.items()}
+    doc_id, text = names.get(doc_id, doc_id), names.get(text, text)
     gone = stored(removed_lines(documents, doc_id, text, min_lines), "gone").withColumnsRenamed({"doc": "_doc", "version": "_version"})
-    kept = [c for c in documents.columns if c not in ("n_lines", "n_removed")]
+    kept = [c for c in documents.columns if c.lower() not in ("n_lines", "n_removed")]
     body = F.col(f"`{text}`")
     # Texts meet their cuts by a sort-merge join at every size; a broadcast of the cuts would grow with the repeats.
     table = _identified(documents.select(*[F.col(f"`{c}`") for c in kept]), doc_id, text).join(gone.hint("merge"), ["_doc", "_version"], "left")
@@ -100,4 +104,5 @@ def without_repeats(documents: DataFrame, doc_id: str = "doc_id", text: str = "t
     removed = F.coalesce(F.aggregate("gone", F.lit(0).cast("long"), lambda s, g: s + g["to"] - g["from"] + 1), F.lit(0).cast("long"))
     lines = F.when(body.isNull(), F.lit(0)).otherwise(F.size(F.filter(F.split(body, "\n"), lambda x: x.rlike(r"\S")))).cast("long")
     cut = F.when(F.col("gone").isNull(), body).otherwise(F.array_join(rest, "\n"))
-    return table.select(*[cut.alias(c) if c == text else F.col(f"`{c}`") for c in kept], lines.alias("n_lines"), removed.alias("n_removed"))
+    return (table.select(*[cut.alias(c) if c == text else F.col(f"`{c}`") for c in kept], lines.alias("n_lines"), removed.alias("n_removed"))
+            .withColumnsRenamed(back))

@@ -44,8 +44,8 @@ def normalised(text: Column) -> Column:
 def signatures(table: DataFrame, keep: list[str], text: Column, name: str, anchors: list[str] | None = None, chain: int = CHAIN) -> DataFrame:
     """``keep`` columns and the distinct signatures of the text as a sorted array of 32-bit numbers.
 
-    The text's beginning is an anchor too. A text without any anchor makes every word one, so that it has more than a
-    single signature; one without a word but not empty has itself as its only signature; an empty or NULL text none.
+    The text's beginning is an anchor too. A text without any anchor, or of anchors alone, makes every word one, so that it has more
+    than a single signature; one without a word but not empty has itself as its only signature; an empty or NULL text none.
     """
     body = F.coalesce(text, F.lit(""))
     step = settled(table, keep, F.struct(normalised(text).alias("_n"), body.alias("_raw")))
@@ -61,7 +61,7 @@ def signatures(table: DataFrame, keep: list[str], text: Column, name: str, ancho
         F.array_join(F.slice("_b", i + 1, chain), " "), " ", chain))))
     single = F.transform(alone, lambda s: F.hash(s))
     found = (F.when(F.col("_raw") == "", F.array().cast("array<int>")).when(F.trim("_n") == "", F.array(F.hash("_raw")))
-             .when(F.size("_p") > 1, chained).otherwise(single))
+             .when((F.size("_p") > 1) & (F.size("_f") > 0), chained).otherwise(single))
     return settled(step, keep, F.struct(F.array_sort(F.array_distinct(found)).alias(name)))
 
 

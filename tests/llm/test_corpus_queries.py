@@ -123,6 +123,23 @@ def test_pipeline_stages_match_brute_force(spark, tmp_path):
     assert sorted(map(tuple, final.collect())) == sorted(tuple(r) for r in mixed.values())
 
 
+def test_pipeline_stages_keep_columns_of_any_name(spark):
+    """Own columns with names that operators use inside stay as they are in every stage but the last."""
+    import corpus_pipeline
+
+    extra = ["n_words", "n_hit", "n_items", "spans", "items", "longest", "gone", "_doc", "_version", "n_lines", "n_removed", "score", "lang_pred",
+             "_gone", "component_id", "n_shingles", "k1", "pattern", "size", "taken"]
+    rows = [(i, f"line {i}\nshared line of words\nanother shared line\na third shared line\nword{i} more{i} text{i}", "en", "s", 10, *[100 * i + j for j in range(len(extra))])
+            for i in range(6)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long, " + ", ".join(f"{c} long" for c in extra))
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        kept = stage(spark, docs, FOLDER)
+        assert kept.columns == docs.columns
+        for r in kept.collect():
+            assert [r[c] for c in extra] == [100 * r.doc_id + j for j in range(len(extra))]
+    assert corpus_pipeline.STAGES[-1][1](spark, docs, FOLDER).columns == ["doc_id", "source", "size", "target", "taken"]
+
+
 def test_pipeline_stages_on_odd_tables(spark):
     """NULLs, empty texts, repeated rows, an extra column and an empty table pass through every stage."""
     import corpus_pipeline

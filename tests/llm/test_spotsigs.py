@@ -23,6 +23,8 @@ def _signatures(text):
         else:
             pieces[-1].append(w)
     pieces = [p for p in pieces if len(p) > 1]
+    if not pieces:      # anchors alone
+        return {" ".join(words[i:i + 3]) for i in range(len(words))}
     out = set()
     for i, p in enumerate(pieces):
         content = [w for q in pieces[i:] for w in q[1:]]
@@ -34,7 +36,7 @@ def _case(seed):
     rng = random.Random(seed)
     vocabulary = ["the", "of", "und", "los"] + [f"word{i}" for i in range(30)] + ["Éa", "x1"]
     docs = [(i, " ".join(rng.choice(vocabulary) + rng.choice(["", ",", ".", "!?"]) for _ in range(rng.randint(1, 60)))) for i in range(40)]
-    return docs + [(100, None), (101, ""), (102, "!!"), (103, "The Of"), (104, "one two three four"), (105, docs[3][1]), (105, docs[3][1])]
+    return docs + [(100, None), (101, ""), (102, "!!"), (103, "The Of"), (106, "the of AND"), (107, "is it not"), (104, "one two three four"), (105, docs[3][1]), (105, docs[3][1])]
 
 
 def test_signatures_match_a_plain_restatement(spark):
