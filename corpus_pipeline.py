@@ -11,6 +11,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from plateview.llm import decontaminate, langid, line_runs, minhash, mixing
+from plateview.llm.columns import set_aside
 from plateview.sources.scratch import shared_folder
 
 MIN_SCORE = 0.4     # calibrated probability below which a language is not trusted
@@ -23,17 +24,21 @@ def _columns(table: DataFrame, like: DataFrame) -> DataFrame:
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops texts without a letter and those whose language the model cannot tell."""
     model = langid.fit(docs.filter(~langid.held_out(F.col("doc_id"))))
-    found = langid.identify(docs, model)
-    if not model.languages:     # nothing labelled to learn from: only texts without a letter go
-        return _columns(found.filter(F.col("text").rlike(r"\p{L}")), docs)
-    return _columns(found.filter((F.col("lang_pred") != langid.UNKNOWN) & (F.col("score") >= MIN_SCORE)), docs)
+    plain, back = set_aside(docs, ["lang_pred", "score"])
+    found = langid.identify(plain, model)
+    if model.languages:
+        found = found.filter((F.col("lang_pred") != langid.UNKNOWN) & (F.col("score") >= MIN_SCORE))
+    else:                       # nothing labelled to learn from: only texts without a letter go
+        found = found.filter(F.col("text").rlike(r"\p{L}"))
+    return _columns(found, plain).withColumnsRenamed(back)
 
 
 def remove_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Cuts repeated line runs; a document of which nothing is left goes."""
-    cut = line_runs.without_repeats(docs)
+    plain, back = set_aside(docs, ["n_lines", "n_removed"])
+    cut = line_runs.without_repeats(plain)
     kept = cut.filter((F.col("n_removed") == 0) | (F.col("n_removed") < F.col("n_lines")))
-    return _columns(kept.withColumn("n_chars", F.length("text").cast("long")), docs)
+    return _columns(kept.withColumn("n_chars", F.length("text").cast("long")), plain).withColumnsRenamed(back)
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -48,7 +53,7 @@ def drop_benchmark_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """``(doc_id, source, size, target, taken)`` of the documents that the mix takes."""
-    mix, sizes, targets = mixing.mix_by_weight(docs, F.array("source"))
+    mix, sizes, targets = mixing.mix_by_weight(docs.select("doc_id", "text", "source"), F.array("source"))
     sources = F.broadcast(mixing.source_table(spark, sizes, targets))
     mix = mix.filter(F.col("taken") > 0).withColumn("_source", F.col("pattern")[0])
     return (mix.join(sources, mix["_source"].eqNullSafe(sources["source"]))
