@@ -12,8 +12,10 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from plateview.functions import vectors as vx
 from plateview.functions.rows import each, settled
 from plateview.operators import terms as tm
+from plateview.operators.automaton import MAX_CHARS, detected_terms
+from plateview.operators.boundaries import Boundaries
 from plateview.operators.joins import bounded, lookup_join
-from plateview.schemas import (DEFAULT_ASPECTS, DEFAULT_SYNONYMS, LEXICON, MAX_ASPECTS, MAX_INROW_LEXICON,
+from plateview.schemas import (DEFAULT_ASPECTS, DEFAULT_SYNONYMS, LEXICON, MAX_ASPECTS, MAX_INROW_LEXICON, MAX_INROW_WORDS,
                                SIMILARITY_THRESHOLD)
 from plateview.sources.scratch import stored
 
@@ -65,6 +67,17 @@ def detect_in_row(prepared: DataFrame, lexicon: DataFrame) -> DataFrame:
             .select("review_id", "cleaned", "sentences", F.when(F.size(terms) > 0, found).alias("detected")))
 
 
+def detect_by_automaton(prepared: DataFrame, lexicon: DataFrame, single: bool = False) -> DataFrame:
+    """``(review_id, cleaned, sentences, detected)`` by lexicon only, in one pass that reads each text once; no shuffle of the reviews.
+
+    For lexicons of a measured size that a task can hold, of any number and length of terms; ``single``: terms of one word only.
+    """
+    owned = _one_owner(lexicon)
+    if single:
+        owned = owned.filter(~F.contains("term", F.lit(" ")))
+    return prepared.select("review_id", "cleaned", "sentences", detected_terms(owned, "words").alias("detected"))
+
+
 def each_aspect(detected: DataFrame, *columns: str) -> DataFrame:
     """A row per review and detected aspect: ``columns``, then ``ord, aspect, forms``.
 
@@ -160,19 +173,23 @@ def extract_aspects(reviews: DataFrame, lexicon: DataFrame, text: str = "text",
                     vectors: DataFrame | None = None, lemmas: DataFrame | None = None,
                     nouns: DataFrame | None = None, names: DataFrame | None = None,
                     threshold: float = SIMILARITY_THRESHOLD, stop_words: list[str] | None = None,
-                    normalize_quotes: bool = False, max_words: int = 3, candidates: DataFrame | None = None) -> DataFrame:
+                    normalize_quotes: bool = False, max_words: int = 3, candidates: DataFrame | None = None,
+                    boundaries: Boundaries | None = None) -> DataFrame:
     """``(review_id, cleaned, sentences, detected)``; ``detected`` is an array of ``(ord, aspect, forms)``.
 
     Where no aspect is found ``detected`` is empty, NULL or the review absent. Terms of the lexicon match at any length and with any
-    words in them (in the mode of single words: single words). A lexicon alone, if it is small, is one pass without a shuffle; a large
-    one, vectors, lemmas or nouns add a vocabulary pass, and the text then moves once, to meet its aspects.
+    words in them (in the mode of single words: single words). A lexicon alone is one pass without a shuffle: a small one of short terms
+    inside the row, others up to ``automaton.MAX_CHARS`` characters by an automaton over words. A larger one, vectors, lemmas or nouns
+    add a vocabulary pass, and the text then moves once, to meet its aspects. Sentences are those of ``boundaries``, if given.
     ``candidates`` are own candidate terms ``(review_id, term)`` in place of the n-grams of up to ``max_words`` content words.
     """
     size, longest = lexicon_size(lexicon)
-    prepared = tm.prepare(reviews, text, mode, stop_words, normalize_quotes, max_words, longest if mode == tm.PHRASES else 1)
+    prepared = tm.prepare(reviews, text, mode, stop_words, normalize_quotes, max_words, longest if mode == tm.PHRASES else 1, boundaries)
     if vectors is None and lemmas is None and nouns is None and candidates is None:
-        if size <= MAX_INROW_LEXICON:
+        if size <= MAX_INROW_LEXICON and longest <= MAX_INROW_WORDS:
             return detect_in_row(prepared, lexicon)
+        if size <= MAX_CHARS:
+            return detect_by_automaton(prepared, lexicon, mode != tm.PHRASES)
         mentions = each(prepared, ["review_id"], F.col("phrases"), "term")
         dictionary = _one_owner(lexicon).select(F.col("term").alias("raw"), "term", "ord", "aspect")
     else:
@@ -183,7 +200,7 @@ def extract_aspects(reviews: DataFrame, lexicon: DataFrame, text: str = "text",
     grouped = group_into_aspects(mentions, dictionary)
     per_review = grouped.groupBy("review_id").agg(
         F.sort_array(F.collect_list(F.struct("ord", "aspect", "forms"))).alias("detected"))
-    return prepared.drop("terms").join(per_review, "review_id").select("review_id", "cleaned", "sentences", "detected")
+    return prepared.drop("terms", "words").join(per_review, "review_id").select("review_id", "cleaned", "sentences", "detected")
 
 
 def surface_forms(detected: DataFrame) -> DataFrame:

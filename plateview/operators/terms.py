@@ -2,21 +2,23 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 
 from plateview.functions import text as tx
 from plateview.functions.rows import each, each_placed
+from plateview.operators.boundaries import Boundaries, with_sentences
 from plateview.operators.joins import lookup_join
 
 PHRASES, NOUNS = "phrases", "nouns"
 
 
 def prepare(reviews: DataFrame, text: str = "text", mode: str = PHRASES, stop_words: list[str] | None = None,
-            normalize_quotes: bool = False, max_words: int = 3, longest: int = 1) -> DataFrame:
-    """``(review_id, cleaned, sentences, terms, phrases)``, all inside the row.
+            normalize_quotes: bool = False, max_words: int = 3, longest: int = 1, boundaries: Boundaries | None = None) -> DataFrame:
+    """``(review_id, cleaned, sentences, terms, phrases, words)``, all inside the row.
 
     ``terms`` are candidates of up to ``max_words`` content words. ``phrases`` are all runs of up to ``longest`` words, stop words
-    and numbers included, for a lexicon to be looked up in; what a caller does not read is not computed. Blank reviews keep empty arrays and drop out where these are exploded. A filter here would
+    and numbers included, for a lexicon to be looked up in, ``words`` all words in order with NULL at punctuation; what a caller does not read
+    is not computed. Sentences end at every mark, or as learned ``boundaries`` tell. Blank reviews keep empty arrays and drop out where these are exploded. A filter here would
     be pushed below the cleaning and compute it a second time.
     """
     if mode not in (PHRASES, NOUNS):
@@ -24,11 +26,16 @@ def prepare(reviews: DataFrame, text: str = "text", mode: str = PHRASES, stop_wo
     masked = F.col("_masked")
     terms = tx.phrase_terms(masked, max_words) if mode == PHRASES else tx.single_terms(masked)
     phrases = tx.phrase_terms(F.col("_plain"), longest) if longest > 1 else tx.single_terms(F.col("_plain"))
-    return (reviews.select("review_id", tx.light_clean(F.col(text), normalize_quotes).alias("cleaned"))
-            .select("review_id", "cleaned", tx.split_sentences(F.col("cleaned")).alias("sentences"),
+    cleaned = reviews.select("review_id", tx.light_clean(F.col(text), normalize_quotes).alias("cleaned"))
+    if boundaries is None:
+        cleaned = cleaned.select("review_id", "cleaned", tx.split_sentences(F.col("cleaned")).alias("sentences"))
+    else:
+        cleaned = with_sentences(cleaned, boundaries, ["review_id", "cleaned"])
+    return (cleaned
+            .select("review_id", "cleaned", "sentences",
                     tx.content_words(F.col("cleaned"), stop_words).alias("_masked"),
                     tx.plain_words(tx.term_tokens(F.col("cleaned"))).alias("_plain"))
-            .select("review_id", "cleaned", "sentences", terms.alias("terms"), phrases.alias("phrases")))
+            .select("review_id", "cleaned", "sentences", terms.alias("terms"), phrases.alias("phrases"), F.col("_plain").alias("words")))
 
 
 def term_mentions(prepared: DataFrame) -> DataFrame:
@@ -46,6 +53,37 @@ def vocabulary(mentions: DataFrame) -> DataFrame:
     return mentions.groupBy("term").agg(F.count(F.lit(1)).alias("n_reviews"))
 
 
+def word_degrees(reviews: DataFrame, text: str = "text", stop_words: list[str] | None = None) -> DataFrame:
+    """``(review_id, phrase, place, word, score)``: every word of the phrases between stop words, numbers and punctuation, of any length.
+
+    ``score`` is the word's degree in its review, the words of all phrases that it stands in, itself included, over the number of its
+    occurrences (Rose et al., 2010). One shuffle by review; a review's words are sorted there, not held.
+    """
+    prepared = reviews.select("review_id", tx.light_clean(F.col(text)).alias("_c")).select("review_id", tx.content_words(F.col("_c"), stop_words).alias("_m"))
+    placed = (prepared.select("review_id", F.posexplode_outer("_m").alias("place", "word")).filter(F.col("place").isNotNull() & F.col("word").isNotNull())
+              .repartition("review_id"))
+    own = Window.partitionBy("review_id")
+    runs = placed.withColumn("phrase", F.col("place") - F.row_number().over(own.orderBy("place")))
+    sized = runs.withColumn("_n", F.count(F.lit(1)).over(Window.partitionBy("review_id", "phrase")))
+    word = Window.partitionBy("review_id", "word")
+    return (sized.withColumn("score", F.sum("_n").over(word) / F.count(F.lit(1)).over(word))
+            .select("review_id", "phrase", "place", "word", "score"))
+
+
+def key_phrases(reviews: DataFrame, text: str = "text", top: int = 10, stop_words: list[str] | None = None) -> DataFrame:
+    """``(review_id, rank, phrase, score, n)``: the ``top`` phrases of each review by the sum of their words' scores, and how often they occur.
+
+    Equal scores are in the order of the phrases. Reviews without a content word have no row; rows that repeat a review_id are one review.
+    """
+    words = word_degrees(reviews, text, stop_words)
+    said = words.groupBy("review_id", F.col("phrase").alias("_run")).agg(
+        F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("place", "word"))), lambda x: x["word"]), " ").alias("phrase"),
+        F.round(F.sum("score"), 6).alias("score"))
+    scored = said.groupBy("review_id", "phrase").agg(F.max("score").alias("score"), F.count(F.lit(1)).alias("n"))
+    order = F.row_number().over(Window.partitionBy("review_id").orderBy(F.col("score").desc(), "phrase"))
+    return scored.withColumn("rank", order).filter(F.col("rank") <= top).select("review_id", "rank", "phrase", "score", "n")
+
+
 def plural_lemmas(tokens: DataFrame) -> DataFrame:
     """``(token, lemma)`` for plurals whose singular is itself in the vocabulary ``(token)``.
 

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from plateview.functions import text as tx
 from plateview.functions import vectors as vx
 from plateview.functions.rows import each, each_placed
-from plateview.operators import absa, aspects, classify, features, metrics, ratings, scoring, splits, stems
+from plateview.operators import absa, aspects, boundaries, classify, features, metrics, ratings, scoring, splits, stems
 from plateview.operators import terms as tm
 from plateview.plans import inputs
 from plateview.schemas import LABEL_NAMES, MAX_TOKENS, STOP_WORDS
@@ -56,6 +56,23 @@ def sentences(spark: SparkSession, folder: str) -> DataFrame:
     return split.select("review_id", F.col("sent_idx").cast("bigint").alias("sent_idx"), F.md5("sentence").alias("sentence_md5"))
 
 
+def abbreviation_scores(spark: SparkSession, folder: str) -> DataFrame:
+    scored = boundaries.abbreviation_scores(stored(boundaries.period_counts(inputs.document_reviews(spark, folder)), "periods"))
+    return scored.select("type", "n_period", "n_plain", (F.round("ratio", 6) + 0.0).alias("ratio"), (F.round("score", 6) + 0.0).alias("score"))   # no -0.0
+
+
+def sentence_starters(spark: SparkSession, folder: str) -> DataFrame:
+    reviews = inputs.document_reviews(spark, folder)
+    rated = boundaries.starter_ratios(stored(boundaries.starter_counts(reviews, stored(boundaries.abbreviations(reviews), "abbreviations")), "starters"))
+    return rated.select("type", "n_after", "n", F.round("ratio", 6).alias("ratio"))
+
+
+def sentences_learned(spark: SparkSession, folder: str) -> DataFrame:
+    reviews = inputs.document_reviews(spark, folder)
+    split = each_placed(boundaries.learned_sentences(reviews, boundaries.fit(reviews)), ["review_id"], F.col("sentences"), "sent_idx", "sentence")
+    return split.select("review_id", F.col("sent_idx").cast("bigint").alias("sent_idx"), F.md5("sentence").alias("sentence_md5"))
+
+
 def nonblank_turns(spark: SparkSession, folder: str) -> DataFrame:
     return nonblank(inputs.read(spark, folder, "conversations").select("conv_id", "turn", "text")).select(
         "conv_id", "turn", F.md5("text").alias("text_md5"))
@@ -124,6 +141,17 @@ def terms_phrases(spark: SparkSession, folder: str) -> DataFrame:
     return tm.vocabulary(tm.term_mentions(tm.prepare(inputs.document_reviews(spark, folder))))
 
 
+def terms_key_phrases(spark: SparkSession, folder: str) -> DataFrame:
+    found = tm.key_phrases(inputs.document_reviews(spark, folder))
+    return found.select("review_id", F.col("rank").cast("bigint").alias("rank"), "phrase", "score", "n")
+
+
+def aspects_phrases(spark: SparkSession, folder: str) -> DataFrame:
+    """Phrases of up to 20 words, found by the automaton."""
+    found = aspects.extract_aspects(inputs.document_reviews(spark, folder), inputs.benchmark_lexicon(spark, folder))
+    return _forms(aspects.surface_forms(found))
+
+
 def terms_nouns(spark: SparkSession, folder: str) -> DataFrame:
     words = inputs.document_words(spark, folder)
     lemmas = tm.lemmatize_terms(words.select("term"), inputs.document_lemmas(words))
@@ -487,5 +515,5 @@ QUERIES = {f.__name__: f for f in [
     absa_formatted, absa_full, context_compare, extraction_compare, gold_score, gold_report, gold_confusion,
     confusion_dense, confusion_wide, class_report, f1_present_labels, vocab_topk, tfidf_weights, nb_weights, nb_scores,
     logreg_report, logreg_sweep, model_saved, ratings_csv, gold_csv, results_json, batch_scoring, stream_aspects, stream_absa,
-    stream_distinct,
+    stream_distinct, abbreviation_scores, sentence_starters, sentences_learned, terms_key_phrases, aspects_phrases,
 ]}

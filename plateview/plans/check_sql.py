@@ -276,6 +276,65 @@ def _hash_texts(expression: str) -> str:
                  final="SELECT src, id, md5(t) AS text_md5, CAST(length(t) AS BIGINT) AS n_chars FROM cleaned")
 
 
+# --- learned sentence boundaries --------------------------------------------------------
+
+_FEW, _MANY = "CAST(1e-9 AS DOUBLE)", "(1 - CAST(1e-9 AS DOUBLE))"
+
+
+def _fit(hits: str, misses: str, share: str) -> str:
+    share = f"least(greatest({share}, {_FEW}), {_MANY})"
+    return f"(({hits}) * ln({share}) + ({misses}) * ln(1 - {share}))"
+
+
+TYPED = f"""
+clean_docs AS (SELECT review_id, {_light('text')} AS cleaned FROM reviews WHERE text IS NOT NULL),
+pieces AS (SELECT review_id, unnest(string_split(cleaned, ' ')) AS t, generate_subscripts(string_split(cleaned, ' '), 1) AS pos FROM clean_docs),
+bared AS (SELECT *, regexp_replace(lower(t), '^[^a-z0-9]+|[^a-z0-9.]+$', '', 'g') AS bare, regexp_extract(t, '([.!?])["'')\\]}}]*$', 1) AS mark,
+  regexp_matches(t, '^[^A-Za-z0-9]*[A-Z]') AS up, regexp_matches(t, '^[^A-Za-z0-9]*[a-z]') AS low FROM pieces),
+typed AS (SELECT *, CASE WHEN regexp_full_match(rtrim(bare, '.'), '[a-z]+(?:[.-][a-z]+)*') THEN rtrim(bare, '.') ELSE '' END AS type,
+  bare LIKE '%.' AND bare NOT LIKE '%..' AS period FROM bared),
+period_counts AS (SELECT type, count(*) FILTER (period) AS n_period, count(*) FILTER (NOT period) AS n_plain FROM typed WHERE type <> '' GROUP BY type),
+period_share AS (SELECT CAST(sum(n_period) AS DOUBLE) / CAST(sum(n_period + n_plain) AS DOUBLE) AS share FROM period_counts),
+scores AS (SELECT *, ratio * exp(-CAST(letters AS DOUBLE)) * (length(type) - letters + 1) * pow(CAST(letters AS DOUBLE), -CAST(n_plain AS DOUBLE)) AS score FROM (
+  SELECT type, n_period, n_plain, length(replace(type, '.', '')) AS letters,
+    2 * ({_fit('n_period', 'n_plain', 'CAST(0.99 AS DOUBLE)')} - {_fit('n_period', 'n_plain', 'share')}) AS ratio
+  FROM period_counts, period_share WHERE n_period > 0)),
+short AS (SELECT type FROM scores WHERE score >= 0.3)"""
+
+STARTERS = f"""
+certain AS (SELECT *, mark IN ('!', '?') OR (mark = '.' AND length(type) > 1 AND period AND type NOT IN (SELECT type FROM short)) AS ended FROM typed),
+led AS (SELECT type, coalesce(lag(ended) OVER (PARTITION BY review_id ORDER BY pos), false) AS after FROM certain),
+start_counts AS (SELECT type, count(*) FILTER (after) AS n_after, count(*) AS n FROM led WHERE type <> '' GROUP BY type),
+start_total AS (SELECT CAST(sum(n_after) AS DOUBLE) AS b, CAST(sum(n) AS DOUBLE) AS total FROM start_counts),
+start_ratios AS (SELECT type, n_after, n, 2 * ({_fit('n_after', 'b - n_after', 'n_after / b')} + {_fit('n - n_after', 'total - b - (n - n_after)', '(n - n_after) / greatest(total - b, 1)')}
+    - {_fit('n_after', 'b - n_after', 'n / total')} - {_fit('n - n_after', 'total - b - (n - n_after)', 'n / total')}) AS ratio
+  FROM start_counts, start_total WHERE n_after > 0 AND n_after / b > n / total),
+starters AS (SELECT type FROM start_ratios WHERE ratio >= 30 AND type NOT IN (SELECT type FROM short)
+  QUALIFY row_number() OVER (ORDER BY round(ratio, 6) DESC, type) <= 1000)"""
+
+LEARNED = """
+looked AS (SELECT *, lead(up) OVER w AS n_up, lead(low) OVER w AS n_low, lead(type) OVER w AS n_type FROM typed WINDOW w AS (PARTITION BY review_id ORDER BY pos)),
+cuts AS (SELECT review_id, pos, t, CASE WHEN mark IN ('!', '?') THEN true WHEN mark <> '.' THEN false WHEN NOT period OR type = '' THEN NOT n_low
+    WHEN length(type) = 1 THEN false WHEN type IN (SELECT type FROM short) THEN n_up AND n_type IN (SELECT type FROM starters) ELSE true END AS cut FROM looked),
+parts AS (SELECT review_id, pos, t, coalesce(sum(CAST(cut AS INTEGER)) OVER (PARTITION BY review_id ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS part FROM cuts),
+whole_sentences AS (SELECT review_id, part, trim(string_agg(t, ' ' ORDER BY pos)) AS sentence FROM parts GROUP BY review_id, part)"""
+
+RAKE = """
+runs AS (SELECT review_id, pos, w, sum(CASE WHEN w IS NULL THEN 1 ELSE 0 END) OVER (PARTITION BY review_id ORDER BY pos) AS run FROM masked),
+sized AS (SELECT *, count(*) OVER (PARTITION BY review_id, run) AS n FROM runs WHERE w IS NOT NULL),
+degrees AS (SELECT review_id, w, CAST(sum(n) AS DOUBLE) / count(*) AS score FROM sized GROUP BY review_id, w),
+said AS (SELECT s.review_id, run, string_agg(s.w, ' ' ORDER BY pos) AS phrase, round(sum(d.score), 6) AS score
+  FROM sized s JOIN degrees d ON d.review_id = s.review_id AND d.w = s.w GROUP BY s.review_id, run),
+rated AS (SELECT review_id, phrase, max(score) AS score, count(*) AS n FROM said GROUP BY review_id, phrase)"""
+
+LONG_TERMS = f"""
+item_tokens AS (SELECT regexp_extract_all({_sub("lower(" + _light('text') + ")", _PLAIN_WORD)}, {_q(_TERM_TOKEN)}) AS ts FROM benchmark),
+item_runs AS (SELECT trim(unnest(string_split(array_to_string(list_transform(ts, lambda t: CASE WHEN regexp_matches(t, '^[a-z0-9]') THEN t ELSE '|' END), ' '), '|'))) AS run FROM item_tokens),
+long_terms AS (SELECT DISTINCT array_to_string(string_split(run, ' ')[1:20], ' ') AS term FROM item_runs WHERE run <> ''),
+joined_docs AS (SELECT review_id, ' ' || array_to_string(list_transform(ts, lambda t: CASE WHEN regexp_matches(t, '^[a-z0-9]') THEN t ELSE '|' END), ' ') || ' ' AS j FROM tokens),
+long_found AS (SELECT review_id, length(term) % 7 AS ord, list_sort(list(term)) AS forms FROM joined_docs JOIN long_terms ON contains(j, ' ' || term || ' ') GROUP BY ALL)"""
+
+
 # --- metrics --------------------------------------------------------------------------
 
 def _metric_rows(pairs: str, labels: str | None = None) -> str:
@@ -415,6 +474,14 @@ CHECKS: dict[str, str] = {
                          _split("labelled", "quality", 42, 0.2, "train", "test", "divided"),
                          final="SELECT sha256(text) AS text_key, count(DISTINCT split) AS n_splits, count(*) AS n_rows FROM divided GROUP BY text HAVING count(DISTINCT split) > 1"),
     "terms_phrases": _with(*DOC_TERMS, final="SELECT term, count(*) AS n_reviews FROM phrases GROUP BY term"),
+    "abbreviation_scores": _with(DOCS, TYPED, final="SELECT type, n_period, n_plain, round(ratio, 6) + CAST(0 AS DOUBLE) AS ratio, round(score, 6) + CAST(0 AS DOUBLE) AS score FROM scores"),
+    "sentence_starters": _with(DOCS, TYPED, STARTERS, final="SELECT type, n_after, n, round(ratio, 6) AS ratio FROM start_ratios"),
+    "sentences_learned": _with(DOCS, TYPED, STARTERS, LEARNED, final="""SELECT review_id, row_number() OVER (PARTITION BY review_id ORDER BY part) - 1 AS sent_idx,
+  md5(sentence) AS sentence_md5 FROM whole_sentences WHERE sentence <> ''"""),
+    "terms_key_phrases": _with(DOCS, _masked("reviews"), RAKE, final="""SELECT review_id, row_number() OVER o AS rank, phrase, score, n FROM rated
+  WINDOW o AS (PARTITION BY review_id ORDER BY score DESC, phrase) QUALIFY row_number() OVER o <= 10"""),
+    "aspects_phrases": _with(DOCS, _masked("reviews"), LONG_TERMS, final=f"""SELECT review_id, list_extract({_list(DEFAULT_ASPECTS)}, CAST(ord AS INTEGER) + 1) AS aspect,
+  array_to_string(forms, '|') AS surface_forms FROM long_found"""),
     "terms_nouns": _with(DOCS, _masked("reviews"), LEMMAS, "items AS (SELECT item_id AS review_id, text FROM benchmark)", _masked("items", "b_"),
                          "counted AS (SELECT term AS raw, count(*) AS n_reviews FROM singles GROUP BY term)",
                          final="SELECT l.term AS lemma, count(*) AS n_forms, CAST(sum(n_reviews) AS BIGINT) AS n_mentions FROM lemma_of l JOIN counted USING (raw) WHERE l.term IN (SELECT term FROM b_singles) GROUP BY l.term"),

@@ -9,6 +9,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
+from plateview.functions import text as tx
 from plateview.operators import terms as tm
 from plateview.operators.splits import split_two_way
 from plateview.operators.ratings import clean_ratings
@@ -18,6 +19,7 @@ from plateview.sources.scratch import spread, stored
 # Fixed values of the derived inputs.
 LEXICON_SIZE = 21
 LEXICON_MIN_LENGTH = 4
+PHRASE_WORDS = 20
 SWEEP_THRESHOLDS = [0.3, 0.4, 0.5, 0.6, 0.7, 0.8]
 
 STATUS_SENTENCES = {
@@ -132,6 +134,16 @@ def corpus_lexicon(spark: SparkSession, folder: str, words: DataFrame | None = N
     return stored(ranked.select("term", aspect.alias("aspect"), ord_.alias("ord")), "lexicon")
 
 
+def benchmark_lexicon(spark: SparkSession, folder: str) -> DataFrame:
+    """``(term, aspect, ord)``: the first ``PHRASE_WORDS`` words of each stretch between punctuation marks of the benchmark, dealt out by length."""
+    items = read(spark, folder, "benchmark").select(F.explode(F.split(F.array_join(F.transform(
+        tx.plain_words(tx.term_tokens(tx.light_clean(F.col("text")))), lambda t: F.coalesce(t, F.lit("|"))), " "), r"\|")).alias("run"))
+    term = F.array_join(F.slice(F.split(F.trim("run"), " "), 1, PHRASE_WORDS), " ")
+    terms = items.select(term.alias("term")).filter(F.col("term") != "").distinct()
+    ord_ = (F.length("term") % len(DEFAULT_ASPECTS)).cast("int")
+    return stored(terms.select("term", F.element_at(F.array(*[F.lit(a) for a in DEFAULT_ASPECTS]), ord_ + 1).alias("aspect"), ord_.alias("ord")), "phrases")
+
+
 def aspect_words(lexicon: DataFrame) -> DataFrame:
     """``(aspect, ord)`` with a word of the corpus for each aspect name: the first of its terms."""
     return lexicon.groupBy("ord").agg(F.min("term").alias("aspect")).select("aspect", "ord")

@@ -64,6 +64,7 @@ STOP_WORDS = (
 MAX_CLASSES = 1_000              # labels of one classification task
 MAX_ASPECTS = 1_000              # aspects of one lexicon
 MAX_INROW_LEXICON = 100_000      # characters of a lexicon that is matched inside the row
+MAX_INROW_WORDS = 3              # words of its longest term
 MAX_INROW_BYTES = 2 << 20        # bytes of a stored table of weights that is looked up inside the row
 BLOCK_BYTES = 32 << 20           # bytes of training vectors in a partition
 
