@@ -93,18 +93,26 @@ def split_ratings(raw: DataFrame, test_size: float = TEST_SHARE, seed: int = SPL
     return divided
 
 
-def train_and_evaluate(raw: DataFrame, test_size: float = TEST_SHARE, **fitting) -> dict:
-    """From raw ratings to ``model``, ``report``, ``confusion``, ``headline`` and ``sizes``."""
+def report_on(divided: DataFrame, model: PipelineModel) -> dict[str, DataFrame]:
+    """``report``, ``confusion``, ``headline`` of a model on the test rows of a split, and the ``sizes`` of its parts."""
+    return {**evaluate(predict(model, divided.filter(F.col("split") == "test"))), "sizes": splits.split_sizes(divided)}
+
+
+def _trained(raw: DataFrame, test_size: float, fitting: dict) -> tuple[PipelineModel, DataFrame]:
     divided = split_ratings(raw, test_size)
-    model = fit_classifier(divided.filter(F.col("split") == "train"), **fitting)
-    judged = evaluate(predict(model, divided.filter(F.col("split") == "test")))
-    return {"model": model, **judged, "sizes": splits.split_sizes(divided)}
+    return fit_classifier(divided.filter(F.col("split") == "train"), **fitting), divided
 
 
-def evaluation_report(raw: DataFrame, test_size: float = TEST_SHARE, **fitting) -> dict:
-    """``train_and_evaluate`` without the model."""
-    result = train_and_evaluate(raw, test_size, **fitting)
-    return {name: table for name, table in result.items() if name != "model"}
+def evaluation_report(raw: DataFrame, test_size: float = TEST_SHARE, **fitting) -> dict[str, DataFrame]:
+    """From raw ratings to the tables of ``report_on``."""
+    model, divided = _trained(raw, test_size, fitting)
+    return report_on(divided, model)
+
+
+def train_and_evaluate(raw: DataFrame, test_size: float = TEST_SHARE, **fitting) -> dict:
+    """The same job with its ``model`` beside the tables."""
+    model, divided = _trained(raw, test_size, fitting)
+    return {"model": model} | report_on(divided, model)
 
 
 def sweep(train: DataFrame, validation: DataFrame, strengths: list[float], text: str = "Review", label: str = "label",

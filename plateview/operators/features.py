@@ -15,16 +15,16 @@ def top_terms(counts: DataFrame, k: int) -> DataFrame:
     return counts.orderBy(F.col("tf").desc(), "term").limit(k)
 
 
-def _counted(texts: DataFrame, id_col: str, text: str) -> DataFrame:
-    """``(id, _sorted, _starts)``: the n-grams of a text in order, and where a new one begins."""
-    return (texts.select(id_col, tx.words(F.col(text)).alias("_tokens"))
-            .select(id_col, F.sort_array(tx.unigrams_and_bigrams(F.col("_tokens"))).alias("_sorted"))
-            .select(id_col, "_sorted", tx.run_starts("_sorted").alias("_starts")))
+def _counted(texts: DataFrame, keep: list[str], text: str) -> DataFrame:
+    """``keep`` columns, ``_sorted`` and ``_starts``: the n-grams of a text in order, and where a new one begins."""
+    return (texts.select(*keep, tx.words(F.col(text)).alias("_tokens"))
+            .select(*keep, F.sort_array(tx.unigrams_and_bigrams(F.col("_tokens"))).alias("_sorted"))
+            .select(*keep, "_sorted", tx.run_starts("_sorted").alias("_starts")))
 
 
 def term_frequencies(texts: DataFrame, id_col: str, text: str) -> DataFrame:
     """``(id, term, tf)``: counts per text, made inside the row by sorting its n-grams, without a shuffle."""
-    return (_counted(texts, id_col, text).transform(each, [id_col], tx.run_counts("_sorted", "_starts"), "t")
+    return (_counted(texts, [id_col], text).transform(each, [id_col], tx.run_counts("_sorted", "_starts"), "t")
             .select(id_col, "t.term", "t.tf"))
 
 
@@ -41,13 +41,32 @@ def with_idf(vocab: DataFrame, fitted_on: DataFrame) -> DataFrame:
     return vocab.withColumn("idf", F.log((n + F.lit(1.0)) / (F.col("df") + F.lit(1.0))) + 1.0)
 
 
+def _weighed(texts: DataFrame, keep: list[str], text: str, vocab_idf: DataFrame, value, max_features: int) -> DataFrame:
+    """``keep`` columns, ``_raw``: each term's ``value`` and weight before scaling, and the ``_length`` of the weights."""
+    slots = max(1, max_features // 4)
+    table = _counted(texts, keep, text).withColumn("_held", lookup_value(vocab_idf, "term", F.struct(F.col("idf"), value.alias("value")), slots))
+    weighed = F.transform(F.filter(F.transform(tx.run_counts("_sorted", "_starts"), lambda t: F.struct(
+        t["tf"].alias("tf"), looked_up(F.col("_held"), t["term"], slots).alias("h"))), lambda t: t["h"].isNotNull()),
+        lambda t: F.struct(t["h"]["value"].alias("value"), (t["tf"] * t["h"]["idf"]).alias("raw")))
+    table = settled(table, keep, F.struct(weighed.alias("_raw")))
+    length = F.sqrt(F.aggregate("_raw", F.lit(0.0), lambda s, t: s + t["raw"] * t["raw"]))
+    return settled(table, [*keep, "_raw"], F.struct(length.alias("_length")))
+
+
+def sparse_rows(texts: DataFrame, keep: list[str], text: str, vocab_idf: DataFrame, max_features: int = MAX_FEATURES) -> DataFrame:
+    """``keep`` columns and ``feats``: an array of ``(i, x)`` with unit length, from a vocabulary ``(i, term, idf)``; empty without known terms."""
+    table = _weighed(texts, keep, text, vocab_idf, F.col("i"), max_features)
+    scaled = F.transform("_raw", lambda t: F.struct(t["value"].alias("i"), (t["raw"] / F.col("_length")).alias("x")))
+    return table.select(*keep, F.coalesce(scaled, F.array().cast("array<struct<i:int,x:double>>")).alias("feats"))
+
+
 def tfidf(texts: DataFrame, id_col: str, text: str, vocab_idf: DataFrame, max_features: int = MAX_FEATURES) -> DataFrame:
     """``(id, term, weight)`` with unit length per text. The vocabulary is a top-k of about ``max_features`` rows.
 
     It is looked up inside the row, where the length is taken, too, so nothing is shuffled.
     """
     slots = max(1, max_features // 4)
-    table = _counted(texts, id_col, text).withColumn("_idf", lookup_value(vocab_idf, "term", F.col("idf"), slots))
+    table = _counted(texts, [id_col], text).withColumn("_idf", lookup_value(vocab_idf, "term", F.col("idf"), slots))
     weighed = F.filter(F.transform(tx.run_counts("_sorted", "_starts"), lambda t: F.struct(
         t["term"].alias("term"), (t["tf"] * looked_up(F.col("_idf"), t["term"], slots)).alias("raw"))), lambda t: t["raw"].isNotNull())
     table = settled(table, [id_col], F.struct(weighed.alias("_raw")))

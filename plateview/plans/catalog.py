@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from plateview.functions import text as tx
 from plateview.functions import vectors as vx
 from plateview.functions.rows import each, each_placed
-from plateview.operators import absa, aspects, boundaries, classify, features, metrics, ratings, scoring, splits, stems
+from plateview.operators import absa, aspects, boundaries, classify, features, gradient, lemmas, metrics, ratings, scoring, splits, stems
 from plateview.operators import terms as tm
 from plateview.plans import inputs
 from plateview.schemas import LABEL_NAMES, MAX_TOKENS, STOP_WORDS
@@ -159,6 +159,22 @@ def terms_nouns(spark: SparkSession, folder: str) -> DataFrame:
     return words.join(nouns, "term").groupBy("lemma").agg(F.count(F.lit(1)).alias("n_forms"), F.sum("n_reviews").alias("n_mentions"))
 
 
+def _lemma_examples(words: DataFrame) -> DataFrame:
+    """Three quarters of the words, with their attested singular or themselves."""
+    known = inputs.document_lemmas(words)
+    pairs = words.select(F.col("term").alias("token")).join(known, "token", "left").select("token", F.coalesce("lemma", "token").alias("lemma"))
+    return pairs.filter(~F.substring(F.md5("token"), 1, 1).isin("0", "1", "2", "3"))
+
+
+def lemma_rules(spark: SparkSession, folder: str) -> DataFrame:
+    return lemmas.suffix_rules(_lemma_examples(inputs.document_words(spark, folder)))
+
+
+def lemmas_learned(spark: SparkSession, folder: str) -> DataFrame:
+    words = inputs.document_words(spark, folder)
+    return lemmas.apply_rules(words.select(F.col("term").alias("token")), stored(lemmas.suffix_rules(_lemma_examples(words)), "rules"))
+
+
 def _forms(detected: DataFrame) -> DataFrame:
     return detected.select("review_id", "aspect", F.array_join("forms", "|").alias("surface_forms"))
 
@@ -400,6 +416,20 @@ def logreg_sweep(spark: SparkSession, folder: str) -> DataFrame:
     return classify.best_by_macro_f1(classify.sweep(part["train"], part["validation"], [0.3, 1.0, 3.0]))
 
 
+def steps_report(spark: SparkSession, folder: str) -> DataFrame:
+    """The report of a classifier fitted in a fixed number of steps."""
+    return _rounded(gradient.report_of_steps(stored(inputs.document_split(spark, folder), "split"), steps=8)["report"], "precision", "recall", "f1")
+
+
+def steps_sweep(spark: SparkSession, folder: str) -> DataFrame:
+    """Three penalty strengths in a fixed number of steps; the one with the best macro F1 on the validation rows."""
+    clean = stored(ratings.clean_ratings(inputs.document_ratings(spark, folder)), "ratings")
+    divided = stored(splits.split_three_way(clean, "review_id", "label"), "split")
+    part = {name: divided.filter(F.col("split") == name) for name in ["train", "validation"]}
+    best = classify.best_by_macro_f1(gradient.sweep_of_steps(part["train"], part["validation"], [0.03, 0.3, 3.0], steps=4))
+    return best.select("strength", *[F.round(c, 6).alias(c) for c in ["accuracy", "macro_f1", "weighted_f1"]])
+
+
 def model_saved(spark: SparkSession, folder: str) -> DataFrame:
     """``(review_id, same)``: whether a model that was saved and loaded again judges every test row as before."""
     divided = stored(inputs.document_split(spark, folder), "split")
@@ -516,4 +546,5 @@ QUERIES = {f.__name__: f for f in [
     confusion_dense, confusion_wide, class_report, f1_present_labels, vocab_topk, tfidf_weights, nb_weights, nb_scores,
     logreg_report, logreg_sweep, model_saved, ratings_csv, gold_csv, results_json, batch_scoring, stream_aspects, stream_absa,
     stream_distinct, abbreviation_scores, sentence_starters, sentences_learned, terms_key_phrases, aspects_phrases,
+    lemma_rules, lemmas_learned, steps_report, steps_sweep,
 ]}

@@ -327,6 +327,21 @@ said AS (SELECT s.review_id, run, string_agg(s.w, ' ' ORDER BY pos) AS phrase, r
   FROM sized s JOIN degrees d ON d.review_id = s.review_id AND d.w = s.w GROUP BY s.review_id, run),
 rated AS (SELECT review_id, phrase, max(score) AS score, count(*) AS n FROM said GROUP BY review_id, phrase)"""
 
+RULES = """
+examples AS (SELECT raw AS token, term AS lemma FROM lemma_of WHERE substr(md5(raw), 1, 1) NOT IN ('0', '1', '2', '3')),
+common AS (SELECT token, lemma, max(CASE WHEN left(token, n) = left(lemma, n) THEN n ELSE 0 END) AS same
+  FROM (SELECT token, lemma, unnest(range(0, least(length(token), length(lemma)) + 1)) AS n FROM examples) GROUP BY token, lemma),
+edits AS (SELECT token, length(token) - same AS cut, substr(lemma, same + 1) AS add FROM common),
+ended AS (SELECT cut, add, right('^' || token, n) AS ending FROM (
+  SELECT token, cut, add, unnest(range(greatest(cut, 1), least(length(token) + 1, 6) + 1)) AS n FROM edits)),
+rules AS (SELECT ending, cut, add, n FROM (SELECT ending, cut, add, count(*) AS n FROM ended GROUP BY ending, cut, add) WHERE n >= 2
+  QUALIFY row_number() OVER (PARTITION BY ending ORDER BY n DESC, cut, add DESC) = 1)"""
+
+RULED = """
+tried AS (SELECT b.token, r.cut, r.add, b.n FROM (SELECT token, unnest(range(1, least(length(token) + 1, 6) + 1)) AS n FROM bare) b
+  JOIN rules r ON r.ending = right('^' || b.token, b.n) QUALIFY row_number() OVER (PARTITION BY b.token ORDER BY b.n DESC) = 1),
+ruled AS (SELECT b.token, left(b.token, length(b.token) - cut) || add AS made FROM bare b LEFT JOIN tried t ON t.token = b.token)"""
+
 LONG_TERMS = f"""
 item_tokens AS (SELECT regexp_extract_all({_sub("lower(" + _light('text') + ")", _PLAIN_WORD)}, {_q(_TERM_TOKEN)}) AS ts FROM benchmark),
 item_runs AS (SELECT trim(unnest(string_split(array_to_string(list_transform(ts, lambda t: CASE WHEN regexp_matches(t, '^[a-z0-9]') THEN t ELSE '|' END), ' '), '|'))) AS run FROM item_tokens),
@@ -443,6 +458,56 @@ raw_pairs AS (SELECT review_id, split, t, lead(t) OVER (PARTITION BY review_id O
 grams AS (SELECT review_id, split, t AS term FROM raw_pairs UNION ALL SELECT review_id, split, t || ' ' || nx FROM raw_pairs WHERE nx IS NOT NULL),
 vocab AS (SELECT term, CAST(count(*) AS BIGINT) AS tf, count(DISTINCT review_id) AS df FROM grams WHERE split = 'train' GROUP BY term ORDER BY tf DESC, term LIMIT {MAX_FEATURES})"""
 
+_CLASSES = range(3)
+
+
+def _each(form: str) -> str:
+    return ", ".join(form.format(c=c) for c in _CLASSES)
+
+
+FEATS = """
+fitted AS (SELECT term, ln(CAST(1 + (SELECT count(*) FROM divided WHERE split = 'train') AS DOUBLE) / (1 + df)) + 1 AS idf FROM vocab),
+weighed AS (SELECT review_id, term, count(*) * any_value(idf) AS x FROM grams JOIN fitted USING (term) GROUP BY review_id, term),
+feats AS MATERIALIZED (SELECT d.review_id, split, label, term, x FROM divided d JOIN (
+    SELECT review_id, term, x / sqrt(sum(x * x) OVER (PARTITION BY review_id)) AS x FROM weighed
+    UNION ALL SELECT review_id, '', CAST(1 AS DOUBLE) FROM divided) f ON f.review_id = d.review_id),
+size AS (SELECT CAST(count(*) AS DOUBLE) AS n FROM divided WHERE split = 'train')"""
+
+
+def _step_model(steps: int, strength: float, p: str) -> str:
+    """Relation ``{p}model(term, w0, w1, w2)`` after accelerated gradient steps over the training rows of ``feats``."""
+    out = [f"""{p}rate AS (SELECT n, 1 / (CAST({strength} AS DOUBLE) * n) AS penalty, 1 / (1 + 1 / (CAST({strength} AS DOUBLE) * n)) AS step FROM size),
+{p}m0 AS MATERIALIZED (SELECT term, {_each('CAST(0 AS DOUBLE) AS w{c}')}, {_each('CAST(0 AS DOUBLE) AS v{c}')} FROM (SELECT term FROM vocab UNION ALL SELECT ''))"""]
+    for k in range(steps):
+        ahead = f"(CAST({k} AS DOUBLE) / {k + 3})"
+        out.append(f"""
+{p}z{k} AS MATERIALIZED (SELECT review_id, any_value(label) AS label, {_each('sum(x * v{c}) AS z{c}')} FROM feats JOIN {p}m{k} USING (term) WHERE split = 'train' GROUP BY review_id),
+{p}r{k} AS MATERIALIZED (SELECT review_id, {_each('exp(z{c} - t) / s - CASE WHEN label = {c} THEN 1 ELSE 0 END AS r{c}')} FROM (
+  SELECT *, {' + '.join(f'exp(z{c} - t)' for c in _CLASSES)} AS s FROM (SELECT *, greatest(z0, z1, z2) AS t FROM {p}z{k}))),
+{p}g{k} AS MATERIALIZED (SELECT term, {_each('sum(x * r{c}) AS g{c}')} FROM feats JOIN {p}r{k} USING (review_id) WHERE split = 'train' GROUP BY term),
+{p}m{k + 1} AS MATERIALIZED (SELECT term, {_each('u{c} AS w{c}')}, {_each(f'u{{c}} + {ahead} * (u{{c}} - w{{c}}) AS v{{c}}')} FROM (
+  SELECT m.*, {_each("v{c} - step * (coalesce(g{c}, 0) / n + CASE WHEN term = '' THEN 0 ELSE penalty END * v{c}) AS u{c}")}
+  FROM {p}m{k} m LEFT JOIN {p}g{k} USING (term), {p}rate))""")
+    return ",".join([*out, f"\n{p}model AS (SELECT term, {_each('w{c}')} FROM {p}m{steps})"])
+
+
+def _step_pairs(part: str, p: str) -> str:
+    """Relation ``{p}pairs(y_true, y_pred, n)`` on a part of the split."""
+    return f"""
+{p}judged AS (SELECT review_id, any_value(label) AS y_true, {_each('round(sum(x * w{c}), 9) AS z{c}')} FROM feats JOIN {p}model USING (term) WHERE split = '{part}' GROUP BY review_id),
+{p}pairs AS (SELECT y_true, CASE WHEN z0 >= z1 AND z0 >= z2 THEN 0 WHEN z1 >= z2 THEN 1 ELSE 2 END AS y_pred, count(*) AS n FROM {p}judged GROUP BY ALL)"""
+
+
+def _step_headline(strength: float, p: str) -> str:
+    rows = _metric_rows(f"{p}pairs").replace("spine AS", f"{p}spine AS").replace("FROM spine", f"FROM {p}spine").replace("\nm AS", f"\n{p}m AS")
+    return f"""{rows},
+{p}tried AS (SELECT CAST({strength} AS DOUBLE) AS strength, sum(hits) / sum(support) AS accuracy, avg(f1) AS macro_f1, sum(f1 * support) / sum(support) AS weighted_f1 FROM {p}m)"""
+
+
+_STRENGTHS = {"a": 0.03, "b": 0.3, "c": 3.0}
+THREE_PARTS = THREE_WAY.replace("divided AS", "three_parts AS") + """,
+divided AS (SELECT t.review_id, t.label, t.split, r.review FROM three_parts t JOIN ratings r ON r.review_id = t.review_id)"""
+
 CHECKS: dict[str, str] = {
     "clean_light": _hash_texts(_light("text")),
     "clean_aggressive": _hash_texts(_aggressive("text")),
@@ -482,6 +547,8 @@ CHECKS: dict[str, str] = {
   WINDOW o AS (PARTITION BY review_id ORDER BY score DESC, phrase) QUALIFY row_number() OVER o <= 10"""),
     "aspects_phrases": _with(DOCS, _masked("reviews"), LONG_TERMS, final=f"""SELECT review_id, list_extract({_list(DEFAULT_ASPECTS)}, CAST(ord AS INTEGER) + 1) AS aspect,
   array_to_string(forms, '|') AS surface_forms FROM long_found"""),
+    "lemma_rules": _with(DOCS, _masked("reviews"), LEMMAS, RULES, final="SELECT ending, cut, add, n FROM rules"),
+    "lemmas_learned": _with(DOCS, _masked("reviews"), LEMMAS, RULES, RULED, final="SELECT token, CASE WHEN made <> '' THEN made ELSE token END AS lemma FROM ruled"),
     "terms_nouns": _with(DOCS, _masked("reviews"), LEMMAS, "items AS (SELECT item_id AS review_id, text FROM benchmark)", _masked("items", "b_"),
                          "counted AS (SELECT term AS raw, count(*) AS n_reviews FROM singles GROUP BY term)",
                          final="SELECT l.term AS lemma, count(*) AS n_forms, CAST(sum(n_reviews) AS BIGINT) AS n_mentions FROM lemma_of l JOIN counted USING (raw) WHERE l.term IN (SELECT term FROM b_singles) GROUP BY l.term"),
@@ -531,6 +598,12 @@ means AS (SELECT term, d, sum(x) / any_value(n_words) AS x FROM dims GROUP BY te
 fitted AS (SELECT term, ln(CAST(1 + (SELECT count(*) FROM divided WHERE split = 'train') AS DOUBLE) / (1 + df)) + 1 AS idf FROM vocab),
 weighed AS (SELECT review_id, term, count(*) * any_value(idf) AS x FROM grams JOIN fitted USING (term) GROUP BY review_id, term)""",
                            final="SELECT review_id, term, round(x / sqrt(sum(x * x) OVER (PARTITION BY review_id)), 6) AS weight FROM weighed"),
+    "steps_report": _with(DOC_RAW, RATINGS, TWO_WAY, _TFIDF_TERMS, FEATS, _step_model(8, 1.0, "one_"), _step_pairs("test", "one_"),
+                          _metric_rows("one_pairs", _LABELS), final=_report(_class_name("label"))),
+    "steps_sweep": _with(DOC_RAW, RATINGS, THREE_PARTS, _TFIDF_TERMS, FEATS, *[
+        part for p, strength in _STRENGTHS.items() for part in (_step_model(4, strength, p), _step_pairs("validation", p), _step_headline(strength, p))],
+        final=f"""SELECT strength, round(accuracy, 6) AS accuracy, round(macro_f1, 6) AS macro_f1, round(weighted_f1, 6) AS weighted_f1
+  FROM ({' UNION ALL '.join(f'SELECT * FROM {p}tried' for p in _STRENGTHS)}) ORDER BY macro_f1 DESC, strength LIMIT 1"""),
     "nb_weights": _with(DOC_RAW, RATINGS, _weights("ratings"), final="SELECT term, tf, round(lw0, 6) AS lw_0, round(lw1, 6) AS lw_1, round(lw2, 6) AS lw_2 FROM w"),
     "nb_scores": _with(*BAYES_TEST, final=f"SELECT review_id, y_true, class_id, {_class_name('class_id')} AS label, confidence FROM scored"),
     "batch_scoring": _with(*ORDER_FOUND, _contexts(), """
