@@ -13,7 +13,7 @@ from typing import NamedTuple
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from plateview.functions import vectors as vx
-from plateview.operators import features, metrics
+from plateview.operators import features, metrics, splits
 from plateview.operators.joins import bounded
 from plateview.schemas import LABEL_NAMES, MAX_FEATURES
 from plateview.sources.scratch import stored
@@ -109,19 +109,40 @@ def predict(rows: DataFrame, model: StepModel, max_features: int = MAX_FEATURES)
     return scored.select(*keep, F.get(names, best).alias("y_pred"))
 
 
-def report_of_steps(divided: DataFrame, text: str = "Review", label: str = "label", id_col: str = "review_id", steps: int = STEPS,
-                    strength: float = 1.0, max_features: int = MAX_FEATURES) -> dict[str, DataFrame]:
-    """Features and model fitted on the training rows of a split, judged on its test rows: ``report``, ``confusion``, ``headline``."""
+def _judged(divided: DataFrame, text: str, label: str, id_col: str, steps: int, strength: float, max_features: int) -> DataFrame:
+    """Counts ``(y_true, y_pred, n)`` on the test rows of a split, with features and model fitted on its training rows."""
     train = divided.filter(F.col("split") == "train")
     vocabulary = numbered(train, text, id_col, max_features)
-    classes, keep = sorted(LABEL_NAMES), [id_col, label]
-    model = fit(rows_of(train, vocabulary, text, keep, max_features).withColumnRenamed(label, "label"), vocabulary, classes, steps, strength, max_features)
+    keep = [id_col, label]
+    model = fit(rows_of(train, vocabulary, text, keep, max_features).withColumnRenamed(label, "label"), vocabulary, sorted(LABEL_NAMES),
+                steps, strength, max_features)
     judged = predict(rows_of(divided.filter(F.col("split") == "test"), vocabulary, text, keep, max_features), model, max_features)
-    counts = stored(metrics.pair_counts(judged, label, "y_pred"), "pairs")
+    return stored(metrics.pair_counts(judged, label, "y_pred"), "pairs")
+
+
+def _tables(counts: DataFrame) -> dict[str, DataFrame]:
     return {"report": metrics.report(counts, metrics.ALL_LABELS, LABEL_NAMES), "confusion": metrics.confusion(counts, metrics.ALL_LABELS),
             "headline": metrics.headline(counts)}
 
 
+def report_of_steps(divided: DataFrame, text: str = "Review", label: str = "label", id_col: str = "review_id", steps: int = STEPS,
+                    strength: float = 1.0, max_features: int = MAX_FEATURES) -> dict[str, DataFrame]:
+    """Features and model fitted on the training rows of a split, judged on its test rows: ``report``, ``confusion``, ``headline``."""
+    return _tables(_judged(divided, text, label, id_col, steps, strength, max_features))
+
+
+def cross_validated(rated: DataFrame, k: int = 5, text: str = "Review", label: str = "label", id_col: str = "review_id", steps: int = STEPS,
+                    strength: float = 1.0, max_features: int = MAX_FEATURES) -> dict[str, DataFrame]:
+    """The same tables over all rows, each judged by a model fitted without its fold."""
+    folds = stored(splits.stratified_folds(rated, id_col, label, k), "folds")
+    pooled = None
+    for fold in range(k):
+        divided = folds.withColumn("split", F.when(F.col("fold") == fold, "test").otherwise("train"))
+        counts = _judged(divided, text, label, id_col, steps, strength, max_features)
+        pooled = counts if pooled is None else pooled.unionByName(counts)
+    return _tables(stored(pooled.groupBy("y_true", "y_pred").agg(F.sum("n").alias("n")), "pairs"))
+
+
 def sweep_of_steps(train: DataFrame, validation: DataFrame, strengths: list[float], text: str = "Review", label: str = "label", id_col: str = "review_id",
                    steps: int = STEPS, max_features: int = MAX_FEATURES) -> DataFrame:
     """``(strength, accuracy, macro_f1, weighted_f1)`` on the validation rows; features are fitted once."""

@@ -9,11 +9,15 @@ class id and the confidence.
 
 from __future__ import annotations
 
+import math
+import re
+from collections import Counter
 from collections.abc import Callable
 from dataclasses import dataclass, replace
 
+import numpy as np
 from pyspark.ml.functions import predict_batch_udf
-from pyspark.sql import Column, DataFrame, functions as F, types as T
+from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
 from plateview.functions import text as tx
 from plateview.functions import vectors as vx
@@ -24,6 +28,8 @@ from plateview.operators.ratings import text_key
 from plateview.schemas import LABEL_NAMES, MAX_INROW_BYTES, SCORING_BATCH
 from plateview.sources.scratch import measured_bytes, stored
 
+_WORDS = re.compile(r"[^\W]{2,}")       # letters, digits and the underscore, as in text.WORD
+
 
 def named(class_id: Column, names: list[str]) -> Column:
     return tx.capitalize(F.get(F.array(*[F.lit(n) for n in names]), class_id))
@@ -244,7 +250,7 @@ class BatchScorer:
     distinct_pairs: bool = False
 
     def _logits(self, context: Column, aspect: Column) -> Column:
-        predict = predict_batch_udf(self.make_predict, return_type=T.ArrayType(T.FloatType()), batch_size=self.batch_size)
+        predict = predict_batch_udf(self.make_predict, return_type=T.ArrayType(T.DoubleType()), batch_size=self.batch_size)
         return vx.as_double(predict(context, aspect))
 
     def _decided(self, table: DataFrame) -> DataFrame:
@@ -269,3 +275,30 @@ class BatchScorer:
             keyed.select("_pair", *keys, "context").join(least, ["_pair", *keys], "left_semi")
         scored = self._decided(chosen.withColumn("_logits", self._logits(context, aspect))).select("_pair", "class_id", "confidence", "label")
         return lookup_join(keyed.select(*keys, *carry, "_pair"), scored, ["_pair"]).select(*keys, *carry, "class_id", "confidence", "label")
+
+
+class StepPredictor:
+    """``make_predict`` for ``BatchScorer`` from a ``gradient.StepModel``: the coefficients go to every executor once, as arrays by term.
+
+    A context is scored by its TF-IDF weights of uni- and bigrams, as in training; the aspect plays no part. The model is a top-k of terms.
+    """
+
+    def __init__(self, model):
+        last = F.max("i").over(Window.partitionBy())
+        rows = (model.weights.select("i", "w", (F.col("i") == last).alias("_last")).join(model.vocabulary, "i", "left")
+                .select("_last", "term", "idf", "w").collect())
+        terms = {r.term: (r.idf, np.array(r.w)) for r in rows if not r._last}
+        bias = next((np.array(r.w) for r in rows if r._last), np.zeros(len(model.classes)))
+        self.held = model.weights.sparkSession.sparkContext.broadcast((terms, bias))
+
+    def __call__(self) -> Callable:
+        terms, bias = self.held.value
+
+        def logits(text: str | None) -> np.ndarray:
+            words = _WORDS.findall((text or "").lower())
+            counts = Counter(t for t in [*words, *(f"{a} {b}" for a, b in zip(words, words[1:]))] if t in terms)
+            raw = {t: n * terms[t][0] for t, n in sorted(counts.items())}
+            length = math.sqrt(sum(x * x for x in raw.values()))
+            return bias + sum((x / length * terms[t][1] for t, x in raw.items()), np.zeros(len(bias)))
+
+        return lambda contexts, aspects: np.array([logits(c) for c in contexts], dtype=np.float64)

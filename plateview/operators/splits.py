@@ -89,6 +89,38 @@ def split_three_way(table: DataFrame, id_col: str, label_col: str, test: float =
     return both.withColumn("split", side).select(*table.columns, "split")
 
 
+def stratified_folds(table: DataFrame, id_col: str, label_col: str, k: int, seed: int = SPLIT_SEED) -> DataFrame:
+    """Adds ``fold``, 0 to k - 1: of a class of n rows, fold j holds those from rank n * j // k on, up to n * (j + 1) // k, by the shuffle key.
+
+    All k - 1 cuts of a class come from one histogram over hash buckets; only rows of the buckets that hold a cut are ranked. A class of fewer
+    rows than folds leaves some folds without it. Rows of a NULL label are a class of their own.
+    """
+    if k < 2:
+        raise ValueError("folds: at least two")
+    keyed = table.withColumn("_key", shuffle_key(F.col(id_col), seed))
+    bucketed = keyed.select(F.col(label_col).alias("label"), "_key", F.substring("_key", 1, BUCKET_DIGITS).alias("_bucket"))
+    histogram = bucketed.groupBy("label", "_bucket").agg(F.count(F.lit(1)).alias("n"))
+    by_class = Window.partitionBy("label")
+    upto = histogram.withColumn("upto", F.sum("n").over(by_class.orderBy("_bucket"))).withColumn("_all", F.sum("n").over(by_class))
+    cut = F.transform(F.sequence(F.lit(1), F.lit(k - 1)), lambda j: F.floor(F.col("_all") * j / k).cast("long"))
+    held = F.filter(cut, lambda q: (q <= F.col("upto")) & (q > F.col("upto") - F.col("n")))
+    wanted = upto.select("label", "_bucket", F.transform(held, lambda q: q - F.col("upto") + F.col("n")).alias("_nth")).filter(F.size("_nth") > 0)
+    wanted = bounded(wanted, MAX_CLASSES * (k - 1), "cuts of the folds").withColumnRenamed("label", "_label").withColumnRenamed("_bucket", "_at")
+    inside = bucketed.join(F.broadcast(wanted), F.col("label").eqNullSafe(F.col("_label")) & (F.col("_bucket") == F.col("_at")))
+    ranked = inside.withColumn("_rank", F.row_number().over(Window.partitionBy("label", "_bucket").orderBy("_key")))
+    chosen = ranked.select("label", "_key", F.size(F.filter("_nth", lambda q: q == F.col("_rank"))).alias("_times")).filter(F.col("_times") > 0)
+    cuts = chosen.groupBy("label").agg(F.collect_list(F.struct("_key", "_times")).alias("_cuts")).withColumnRenamed("label", "_label")
+    sizes = histogram.groupBy(F.col("label").alias("_class")).agg(F.sum("n").alias("_all"))
+    whole = sizes.join(cuts, F.col("_class").eqNullSafe(F.col("_label")), "left").drop("_label")
+    # Cuts before the first row are passed by every row.
+    early = F.size(F.filter(F.transform(F.sequence(F.lit(1), F.lit(k - 1)), lambda j: F.floor(F.col("_all") * j / k)), lambda q: q == 0))
+    whole = bounded(whole.select("_class", "_cuts", early.alias("_early")), MAX_CLASSES, "classes of a split")
+    passed = F.aggregate(F.coalesce("_cuts", F.array().cast("array<struct<_key:string,_times:int>>")), F.lit(0),
+                         lambda s, c: s + F.when(F.col("_key") > c["_key"], c["_times"]).otherwise(0))
+    return (keyed.join(F.broadcast(whole), F.col(label_col).eqNullSafe(F.col("_class")), "left")
+            .withColumn("fold", F.col("_early") + passed).select(*table.columns, "fold"))
+
+
 def split_sizes(table: DataFrame) -> DataFrame:
     return table.groupBy("split").agg(F.count(F.lit(1)).alias("n"))
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import uuid
 
+from pyspark.ml import PipelineModel
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from plateview.functions import text as tx
@@ -123,6 +124,11 @@ def split_three_way(spark: SparkSession, folder: str) -> DataFrame:
     return splits.split_three_way(clean, "review_id", "label")
 
 
+def folds_stratified(spark: SparkSession, folder: str) -> DataFrame:
+    clean = stored(ratings.clean_ratings(inputs.order_ratings(spark, folder)), "ratings")
+    return splits.stratified_folds(clean, "review_id", "label", 5).select("review_id", "label", "fold")
+
+
 def split_sizes(spark: SparkSession, folder: str) -> DataFrame:
     return splits.split_sizes(split_three_way(spark, folder))
 
@@ -441,6 +447,28 @@ def model_saved(spark: SparkSession, folder: str) -> DataFrame:
     return again.select("review_id", (F.col("before") == F.col("y_pred")).alias("same"))
 
 
+def scorer_saved(spark: SparkSession, folder: str) -> DataFrame:
+    """``(review_id, aspect, same)``: whether the default scorer, saved and loaded as a pipeline stage, judges every context as before."""
+    scorer = _document_scorer(spark, folder)
+    path = f"{shared_folder(spark)}/scorer-{uuid.uuid4().hex}"
+    PipelineModel([models.BayesSentimentModel(scorer)]).write().save(path)
+    table = stored(absa.contexts(aspects.extract_aspects(inputs.document_reviews(spark, folder), inputs.corpus_lexicon(spark, folder)))
+                   .select("review_id", "ord", "aspect", "forms", "context"), "contexts")
+    before = scorer.score(table, ["review_id", "ord", "aspect"])
+    after = PipelineModel.load(path).transform(table).select("review_id", "ord", F.col("class_id").alias("_c"), F.col("confidence").alias("_p"))
+    return before.join(after, ["review_id", "ord"]).select("review_id", "aspect", ((F.col("class_id") == F.col("_c")) & (F.col("confidence") == F.col("_p"))).alias("same"))
+
+
+def batch_model(spark: SparkSession, folder: str) -> DataFrame:
+    """Aspect contexts judged by a batch model: the classifier fitted in steps, its coefficients loaded once per executor process."""
+    train = inputs.document_split(spark, folder).filter(F.col("split") == "train")
+    vocabulary = gradient.numbered(train, "Review", "review_id")
+    model = gradient.fit(gradient.rows_of(train, vocabulary, "Review", ["label"]), vocabulary, sorted(LABEL_NAMES), steps=4)
+    scorer = scoring.BatchScorer(scoring.StepPredictor(model), CLASS_NAMES)
+    results = absa.analyze_reviews(inputs.document_reviews(spark, folder), inputs.corpus_lexicon(spark, folder), scorer, with_evidence=False)
+    return results.select("review_id", "aspect", "label", F.round("confidence", 2).alias("confidence"))
+
+
 # --- files ----------------------------------------------------------------------------
 
 def _path(spark: SparkSession, name: str) -> str:
@@ -546,5 +574,5 @@ QUERIES = {f.__name__: f for f in [
     confusion_dense, confusion_wide, class_report, f1_present_labels, vocab_topk, tfidf_weights, nb_weights, nb_scores,
     logreg_report, logreg_sweep, model_saved, ratings_csv, gold_csv, results_json, batch_scoring, stream_aspects, stream_absa,
     stream_distinct, abbreviation_scores, sentence_starters, sentences_learned, terms_key_phrases, aspects_phrases,
-    lemma_rules, lemmas_learned, steps_report, steps_sweep,
+    lemma_rules, lemmas_learned, steps_report, steps_sweep, scorer_saved, batch_model, folds_stratified,
 ]}

@@ -534,6 +534,10 @@ CHECKS: dict[str, str] = {
     "split_stratified": _with(DOC_RAW, RATINGS, TWO_WAY, final="SELECT review_id, label, split FROM divided"),
     "split_stratified_orders": _with(ORDER_ROWS, ORDER_RAW, RATINGS, TWO_WAY, final="SELECT review_id, label, split FROM divided"),
     "split_three_way": _with(DOC_RAW, RATINGS, THREE_WAY, final="SELECT review_id, label, split FROM divided"),
+    "folds_stratified": _with(ORDER_ROWS, ORDER_RAW, RATINGS, """
+ranked AS (SELECT review_id, label, count(*) OVER (PARTITION BY label) AS n,
+  row_number() OVER (PARTITION BY label ORDER BY md5('42:' || review_id) || ':' || review_id) AS r FROM ratings)""",
+                              final="SELECT review_id, label, len(list_filter(range(1, 5), lambda j: r > n * j // 5)) AS fold FROM ranked"),
     "split_sizes": _with(DOC_RAW, RATINGS, THREE_WAY, final="SELECT split, count(*) AS n FROM divided GROUP BY ALL"),
     "split_leaks": _with("labelled AS (SELECT doc_id AS review_id, text, quality FROM documents JOIN labels USING (doc_id))",
                          _split("labelled", "quality", 42, 0.2, "train", "test", "divided"),
@@ -604,6 +608,18 @@ weighed AS (SELECT review_id, term, count(*) * any_value(idf) AS x FROM grams JO
         part for p, strength in _STRENGTHS.items() for part in (_step_model(4, strength, p), _step_pairs("validation", p), _step_headline(strength, p))],
         final=f"""SELECT strength, round(accuracy, 6) AS accuracy, round(macro_f1, 6) AS macro_f1, round(weighted_f1, 6) AS weighted_f1
   FROM ({' UNION ALL '.join(f'SELECT * FROM {p}tried' for p in _STRENGTHS)}) ORDER BY macro_f1 DESC, strength LIMIT 1"""),
+    "scorer_saved": _with(*DOC_FOUND, final="SELECT review_id, aspect, true AS same FROM found"),
+    "batch_model": _with(*DOC_FOUND, _contexts(), DOC_RAW, RATINGS, TWO_WAY, _TFIDF_TERMS, FEATS, _step_model(4, 1.0, "fit_"), f"""
+said AS (SELECT review_id, ord, aspect, unnest(ts) AS t, generate_subscripts(ts, 1) AS pos FROM (SELECT review_id, ord, aspect, {_words('context')} AS ts FROM contexts)),
+said_pairs AS (SELECT review_id, ord, aspect, t, lead(t) OVER (PARTITION BY review_id, ord ORDER BY pos) AS nx FROM said),
+said_terms AS (SELECT review_id, ord, aspect, t AS term FROM said_pairs UNION ALL SELECT review_id, ord, aspect, t || ' ' || nx FROM said_pairs WHERE nx IS NOT NULL),
+said_raw AS (SELECT review_id, ord, aspect, term, count(*) * any_value(idf) AS x FROM said_terms JOIN fitted USING (term) GROUP BY ALL),
+said_x AS (SELECT review_id, ord, term, x / sqrt(sum(x * x) OVER (PARTITION BY review_id, ord)) AS x FROM said_raw
+  UNION ALL SELECT review_id, ord, '', CAST(1 AS DOUBLE) FROM contexts),
+said_z AS (SELECT review_id, ord, {_each('sum(x * w{c}) AS z{c}')} FROM said_x JOIN fit_model USING (term) GROUP BY review_id, ord),
+said_p AS (SELECT *, greatest(z0, z1, z2) AS t FROM said_z JOIN contexts USING (review_id, ord))""",
+                         final=f"""SELECT review_id, aspect, {_capital(_class_name("CASE WHEN z0 = t THEN 0 WHEN z1 = t THEN 1 ELSE 2 END"))} AS label,
+  round(round(1 / (exp(z0 - t) + exp(z1 - t) + exp(z2 - t)), 4), 2) AS confidence FROM said_p"""),
     "nb_weights": _with(DOC_RAW, RATINGS, _weights("ratings"), final="SELECT term, tf, round(lw0, 6) AS lw_0, round(lw1, 6) AS lw_1, round(lw2, 6) AS lw_2 FROM w"),
     "nb_scores": _with(*BAYES_TEST, final=f"SELECT review_id, y_true, class_id, {_class_name('class_id')} AS label, confidence FROM scored"),
     "batch_scoring": _with(*ORDER_FOUND, _contexts(), """

@@ -1,4 +1,5 @@
 import pytest
+from pyspark.sql import functions as F
 
 from plateview.operators import ratings
 from plateview.sources import files
@@ -61,3 +62,41 @@ def test_spread_moves_only_tables_with_few_partitions(spark):
     cores = spark.sparkContext.defaultParallelism
     assert spread(spark.range(100).coalesce(1), "id").rdd.getNumPartitions() == cores
     assert "Exchange" not in spread(spark.range(0, 100, 1, cores), "id")._jdf.queryExecution().executedPlan().toString()
+
+
+def test_scorer_as_a_saved_pipeline_stage(spark, scorer, tmp_path):
+    from pyspark.ml import Pipeline, PipelineModel
+
+    from plateview.sources import models
+
+    texts = spark.createDataFrame([(1, "great tasty food", 2), (2, "awful cold food", 0), (3, "okay food", 1)], "review_id long, Review string, label int")
+    contexts = spark.createDataFrame([(1, "great food here", ["food"]), (2, "cold awful service", ["service"]), (3, None, None)],
+                                     "review_id long, context string, forms array<string>")
+    fitted = Pipeline(stages=[models.BayesSentiment("Review", "label")]).fit(texts)
+    before = sorted(map(tuple, fitted.transform(contexts).collect()))
+    fitted.write().save(str(tmp_path / "pipeline"))
+    assert sorted(map(tuple, PipelineModel.load(str(tmp_path / "pipeline")).transform(contexts).collect())) == before
+    path = str(tmp_path / "scorer")
+    for _ in range(2):      # replaces what is there
+        models.save_scorer(scorer, path)
+    again = models.load_scorer(path)
+    assert again.classes == scorer.classes and again.names == scorer.names
+    assert sorted(map(tuple, again.score(contexts, ["review_id"]).collect())) == sorted(map(tuple, scorer.score(contexts, ["review_id"]).collect()))
+
+
+def test_batch_model_scores_as_the_rows_do(spark):
+    """Logits of the predictor in Python equal the relational ones on whole texts."""
+    from plateview.operators import gradient, scoring
+
+    texts = spark.createDataFrame([(1, "great tasty food", 2), (2, "awful cold food", 0), (3, "okay food and food", 1), (4, "great view", 2)],
+                                  "review_id long, Review string, label int")
+    vocabulary = gradient.numbered(texts, "Review", "review_id", 50)
+    rows = gradient.rows_of(texts, vocabulary, "Review", ["review_id", "label"], 50)
+    model = gradient.fit(rows, vocabulary, [0, 1, 2], 5, 1.0, 50)
+    wanted = {r.review_id: r.y_pred for r in gradient.predict(rows, model, 50).collect()}
+    scorer = scoring.BatchScorer(scoring.StepPredictor(model), ["Negative", "Neutral", "Positive"])
+    contexts = texts.select("review_id", F.col("Review").alias("context"), F.lit("food").alias("aspect"))
+    found = {r.review_id: r.class_id for r in scorer.score(contexts, ["review_id"]).collect()}
+    assert found == wanted
+    nothing = scorer.score(spark.createDataFrame([(1, None, None), (2, "", "x")], "review_id long, context string, aspect string"), ["review_id"]).collect()
+    assert len({r.class_id for r in nothing}) == 1

@@ -71,3 +71,25 @@ def test_leaks_are_found(spark):
     assert [(r["n_splits"], r["n_rows"]) for r in leaks] == [(2, 2)]
     with pytest.raises(ValueError, match="1 texts"):
         splits.assert_no_leak(table, "t", ["train", "test"])
+
+
+def test_folds_cut_every_class_exactly(spark):
+    rows = [(i, i % 3 if i < 200 else 3) for i in range(203)] + [(1000 + i, None) for i in range(7)]
+    table = spark.createDataFrame(rows, "review_id long, label int").repartition(5)
+    found = {r.review_id: (r.label, r.fold) for r in splits.stratified_folds(table, "review_id", "label", 5).collect()}
+    assert set(found) == {i for i, _ in rows}
+    for label in (0, 1, 2, 3, None):
+        own = sorted((i for i, x in rows if x == label), key=lambda i: f"{hashlib.md5(f'42:{i}'.encode()).hexdigest()}:{i}")
+        n = len(own)
+        assert {i: found[i][1] for i in own} == {i: sum(r > n * j // 5 for j in range(1, 5)) for r, i in enumerate(own, 1)}
+    assert splits.stratified_folds(table.limit(0), "review_id", "label", 3).collect() == []
+    with pytest.raises(ValueError, match="folds"):
+        splits.stratified_folds(table, "review_id", "label", 1)
+
+
+def test_cross_validation_judges_every_row_once(spark):
+    from plateview.operators import gradient
+
+    rows = [(i, f"{['awful slow', 'okay average', 'great lovely'][i % 3]} food {i % 4}", i % 3) for i in range(48)]
+    tables = gradient.cross_validated(spark.createDataFrame(rows, "review_id long, Review string, label int"), 3, steps=6, max_features=40)
+    assert tables["headline"].first().n == 48 and tables["headline"].first().accuracy > 0.9
