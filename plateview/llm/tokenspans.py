@@ -32,6 +32,7 @@ FOLDER = "/opt/tokenizers"
 BYTE_LEVEL, PIECES = "byte_bpe_50k.json", "piece_bpe_32k.model"
 BLOCK_CHARS = 1 << 23       # text whose id pairs a task counts together
 MOST_ROWS = 50_000
+MOST_STRETCHES = 400_000    # distinct stretches that a task remembers from one block to the next
 TOGETHER = 256              # words that are tokenized as one text
 SPACE = "\u2581"            # stands for a space in pieces
 _IDS = 1 << 20              # an id pair is first * _IDS + second; vocabularies are smaller
@@ -184,10 +185,20 @@ def _unzipped(data: bytes) -> np.ndarray:
 
 
 class _Block:
-    """Documents of a task as places in the distinct stretches of a few MB of text."""
+    """Documents of a task as places in the distinct stretches of a few MB of text. Stretches stay known from block to block, up to a number."""
 
     def __init__(self, tok: Tokenizers):
-        self.tok, self.place, self.links, self.numbers, self.printed, self.rows, self.size = tok, {}, [], [], [], [], 0
+        self.tok = tok
+        self._forget()
+        self._next()
+
+    def _forget(self) -> None:
+        self.place, self.links, self.numbers, self.printed = {}, [], [], []
+
+    def _next(self) -> None:
+        self.rows, self.size = [], 0
+        if len(self.printed) > MOST_STRETCHES:
+            self._forget()
 
     def add(self, ids: list, texts: list) -> None:
         split = [self.tok.words(t) if t else [] for t in texts]
@@ -208,21 +219,30 @@ class _Block:
             self.rows.append((doc_id, digest, np.array(own if whole else [], np.int32)))
 
     def batch(self) -> pa.RecordBatch:
-        n, numbers = len(self.rows), np.concatenate([np.zeros((0, 4), np.int64), *self.numbers])
-        flat = np.concatenate([np.zeros(0, np.int64), *self.links])
+        """The documents since the last one, and the stretches that they use."""
+        n, known = len(self.rows), np.concatenate([np.zeros((0, 4), np.int64), *self.numbers])
+        used, own = np.unique(np.concatenate([np.zeros(0, np.int64), *(r[2] for r in self.rows)]), return_inverse=True)
+        owns = np.split(own, np.cumsum([len(r[2]) for r in self.rows])[:-1])
+        numbers, end = known[used], np.cumsum(known[:, 3])[used]
+        length = numbers[:, 3]
+        links = np.concatenate([np.zeros(0, np.int64), *self.links])
+        flat = links[np.repeat(end - np.cumsum(length), length) + np.arange(length.sum())]
+        self.numbers, self.links = [known], [links]
         pairs, place = np.unique(flat, return_inverse=True)
-        often = np.bincount(np.concatenate([r[2] for r in self.rows]), minlength=len(numbers))
-        counts = np.bincount(place, weights=np.repeat(often, numbers[:, 3]), minlength=len(pairs)).astype(np.int64)
-        sums = np.array([numbers[own].sum(axis=0) for _, _, own in self.rows]).reshape(-1, 4)
-        bags = [_zipped(np.diff(np.sort(own), prepend=0)) for _, _, own in self.rows] + [_zipped(numbers[:, 3], place)]
+        often = np.bincount(own, minlength=len(numbers))
+        counts = np.bincount(place, weights=np.repeat(often, length), minlength=len(pairs)).astype(np.int64)
+        sums = np.array([numbers[x].sum(axis=0) for x in owns]).reshape(-1, 4)
+        bags = [_zipped(np.diff(np.sort(x), prepend=0)) for x in owns] + [_zipped(length, place)]
         name = uuid.uuid4().hex
-        return pa.RecordBatch.from_arrays(
+        made = pa.RecordBatch.from_arrays(
             [pa.array([name] * (n + 1)), pa.array([r[0] for r in self.rows] + [None], pa.int64()),
              *(pa.array([int(x) for x in sums[:, i]] + [None], pa.int64()) for i in range(4)),
              pa.array([r[1] for r in self.rows] + [None], pa.string()), pa.array(bags, pa.binary()),
              pa.array([len(numbers)] * n + [None], pa.int64()),
              pa.array([None] * n + [pairs], pa.list_(pa.int64())), pa.array([None] * n + [counts], pa.list_(pa.int64()))],
             names=[c.split()[0] for c in _DOCS.split(", ")])
+        self._next()
+        return made
 
 
 def _aligned(folder: str, block_chars: int) -> Callable:
@@ -234,7 +254,6 @@ def _aligned(folder: str, block_chars: int) -> Callable:
                 block.add(*(c.slice(low, 64).to_pylist() for c in batch.columns))
                 if block.size >= block_chars or len(block.rows) >= MOST_ROWS:
                     yield block.batch()
-                    block = _Block(tok)
         if block.rows:
             yield block.batch()
     return run
