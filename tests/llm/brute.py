@@ -88,3 +88,25 @@ def substring_dedup(docs, least=50):
                 gone[q:q + least] = b"\x01" * least
         out.append((i, len(b), sum(gone), bytes(gone).count(b"\x00\x01") + gone[:1].count(1), bytes(c for c, g in zip(b, gone) if not g)))
     return sorted(out)
+
+
+def secret_base(text):
+    """``kind:start:end`` of the fixed patterns, restated character by character where that is plain."""
+    text, out = text or "", []
+    kinds = ["assign", "access", "hex"]
+    for m in re.finditer(r"(?ai)(password|passwd|secret|token|api_?key)[\"']?\x20*[:=]\x20*[\"']?([a-z0-9+/_.=-]+)", text):
+        if len(m[2]) >= 12:
+            out.append((m.start(), 0, m.end()))
+    for kind, letters, head, least in ((1, "ABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789", "AKIA", 18), (2, "0123456789abcdef", "", 16)):
+        at = 0
+        while at < len(text):
+            begin = text.find(head, at) if head else at
+            if begin < 0:
+                break
+            end = begin + len(head)
+            while end < len(text) and text[end] in letters:
+                end += 1
+            if end > begin + len(head) and end - begin >= least:
+                out.append((begin, kind, end))
+            at = max(end, begin + 1) if end > begin + len(head) else begin + 1
+    return ",".join(f"{kinds[k]}:{a}:{b}" for a, k, b in sorted(out))

@@ -5,10 +5,10 @@ import html as markup
 import re
 
 import pytest
-from brute import contamination, line_dedup, near_components
+from brute import contamination, line_dedup, near_components, secret_base
 from compare import compare, database
 
-from plateview.llm import langid, secrets
+from plateview.llm import langid
 from plateview.llm.oracle import CHECKS
 from plateview.llm.queries import QUERIES
 
@@ -88,7 +88,8 @@ def test_secret_scan(spark):
     found = QUERIES["op10_secret_scan"](spark, FOLDER).collect()
     assert len(found) == len(texts)
     for r in found:
-        base = ",".join(f"{secrets.KINDS[k]}:{a}:{b}" for a, k, b, _ in secrets.base_spans(texts[r.doc_id] or ""))
+        base = secret_base(texts[r.doc_id])
+        assert (r.n_assign, r.n_access, r.n_hex) == tuple(base.count(f"{k}:") for k in ("assign", "access", "hex"))
         assert r.base_sha256 == hashlib.sha256(base.encode()).hexdigest()
         assert not base or set(base.split(",")) <= set(r.spans.split(","))
     assert sum(r.n_assign + r.n_access + r.n_hex for r in found) > 0
