@@ -20,7 +20,7 @@ HEADLINE = [
     "clean_light", "clean_aggressive", "clean_classical_stemmed", "sentences", "ratings_clean", "dedup_first", "split_stratified_orders",
     "terms_phrases", "aspects_synonym", "aspects_default", "aspects_vector", "aspects_full", "evidence_sentence", "absa_flagship", "absa_orders",
     "context_compare", "gold_score", "class_report", "vocab_topk", "tfidf_weights", "nb_weights", "batch_scoring", "stream_aspects",
-    "logreg_report",
+    "logreg_report", "sentences_learned", "terms_key_phrases", "aspects_phrases", "steps_report",
 ]
 
 
