@@ -54,9 +54,10 @@ def distances(groups: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     own = sets.select("id", F.col("shingles").alias("own"))
     centre = sets.select(F.col("id").alias("hub"), F.col("shingles").alias("centre"))
     met = (groups.join(own, "id").join(centre, "hub")
-           .select("hub", "id", F.size("own").alias("size"), F.size("centre").alias("hub_size"), F.size(F.array_intersect("own", "centre")).alias("both")))
+           .select("hub", "id", F.size("own").alias("size"), F.size("centre").alias("hub_size"), F.size(F.array_intersect("own", "centre")).alias("both"),
+                   (F.size(F.array_except("own", "centre")) + F.size(F.array_except("centre", "own"))).alias("far")))
     total = F.col("size") + F.col("hub_size")
-    return met.select("hub", "id", "size", "hub_size", (total - 2 * F.col("both")).alias("far"), _similar(F.col("both"), total, percent).alias("linked"))
+    return met.select("hub", "id", "size", "hub_size", "far", _similar(F.col("both"), total, percent).alias("linked"))
 
 
 def _ranked_differences(open_rows: DataFrame, sets: DataFrame) -> DataFrame:
