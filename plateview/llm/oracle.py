@@ -60,13 +60,17 @@ FROM p LEFT JOIN last USING (payload_bytes, payload_digest)
 OP8 = """
 WITH raw AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS line_no FROM documents),
 lines AS (SELECT doc_id, line, line_no, row_number() OVER (PARTITION BY doc_id ORDER BY line_no) AS pos FROM raw WHERE regexp_matches(line, '\\S')),
+ahead AS (SELECT doc_id, pos, line AS x, lead(line) OVER w AS y, lead(line, 2) OVER w AS z, lead(pos, 2) OVER w IS NOT NULL AS three,
+    lead(pos) OVER w IS NOT NULL AS two, len(regexp_extract_all(line, '[^\x20\x09-\x0D]+')) AS words FROM lines WINDOW w AS (PARTITION BY doc_id ORDER BY pos)),
+counted AS (SELECT *, lead(words) OVER (PARTITION BY doc_id ORDER BY pos) AS next_words FROM ahead),
 runs AS (
-  SELECT a.doc_id, a.pos, a.line AS x, b.line AS y, c.line AS z FROM lines a
-  JOIN lines b ON b.doc_id = a.doc_id AND b.pos = a.pos + 1 JOIN lines c ON c.doc_id = a.doc_id AND c.pos = a.pos + 2),
-placed AS (SELECT doc_id, pos, first_value(doc_id) OVER w AS first_doc, first_value(pos) OVER w AS first_pos
-  FROM runs WINDOW w AS (PARTITION BY x, y, z ORDER BY doc_id, pos)),
-later AS (SELECT doc_id, pos FROM placed WHERE first_doc <> doc_id OR pos >= first_pos + 3),
-covered AS (SELECT DISTINCT doc_id, unnest(range(pos, pos + 3)) AS pos FROM later),
+  SELECT doc_id, pos, 1 AS n, [x] AS run FROM counted WHERE words >= 50
+  UNION ALL SELECT doc_id, pos, 2, [x, y] FROM counted WHERE two AND words + next_words >= 50
+  UNION ALL SELECT doc_id, pos, 3, [x, y, z] FROM counted WHERE three),
+placed AS (SELECT doc_id, pos, n, first_value(doc_id) OVER w AS first_doc, first_value(pos) OVER w AS first_pos
+  FROM runs WINDOW w AS (PARTITION BY n, run ORDER BY doc_id, pos)),
+later AS (SELECT doc_id, pos, n FROM placed WHERE first_doc <> doc_id OR pos >= first_pos + n),
+covered AS (SELECT DISTINCT doc_id, unnest(range(pos, pos + n)) AS pos FROM later),
 gone AS (SELECT l.doc_id, l.line_no FROM lines l JOIN covered c ON c.doc_id = l.doc_id AND c.pos = l.pos),
 kept AS (SELECT r.doc_id, string_agg(line, chr(10) ORDER BY r.line_no) AS text
   FROM raw r LEFT JOIN gone g ON g.doc_id = r.doc_id AND g.line_no = r.line_no WHERE g.doc_id IS NULL GROUP BY r.doc_id)

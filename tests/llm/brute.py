@@ -53,26 +53,50 @@ def contamination(text, items, window=10):
     return len(words), len(hit), sorted(found)
 
 
-def line_dedup(docs, least=3):
-    """``{id: (lines, removed, kept text)}``; ids are unique."""
+def line_dedup(docs, least=3, words=50):
+    """``{id: (lines, removed, kept text)}``; ids are unique. Windows of ``least`` lines, and shorter ones of ``words`` words."""
     first, lines = {}, {}
+
+    def windows(own):
+        for size in range(1, least + 1):
+            for p in range(len(own) - size + 1):
+                run = tuple(x for _, x in own[p:p + size])
+                if size == least or len(re.findall(r"[^\x20\x09-\x0D]+", "\n".join(run))) >= words:
+                    yield p, size, run
+
     for i, t in sorted(docs):
         lines[i] = [(n, x) for n, x in enumerate((t or "").split("\n")) if re.search(r"[^ \t\n\x0b\f\r]", x)] if t is not None else []
-        own = lines[i]
-        for p in range(len(own) - least + 1):
-            first.setdefault(tuple(x for _, x in own[p:p + least]), (i, p))
+        for p, _, run in windows(lines[i]):
+            first.setdefault(run, (i, p))
     out = {}
     for i, t in docs:
         own, gone = lines[i], set()
-        for p in range(len(own) - least + 1):
-            j, q = first[tuple(x for _, x in own[p:p + least])]
-            if j != i or p >= q + least:
-                gone |= {n for n, _ in own[p:p + least]}
+        for p, size, run in windows(own):
+            j, q = first[run]
+            if j != i or p >= q + size:
+                gone |= {n for n, _ in own[p:p + size]}
         kept = None if t is None else "\n".join(x for n, x in enumerate(t.split("\n")) if n not in gone)
         out[i] = (len(own), len(gone), kept)
     return out
 
 
+def longest_line_runs(docs):
+    """``{(id, place): (lines, first id, first place)}``: the longest run at each place that also begins at an earlier one, without overlap."""
+    first, lines = {}, {i: [x for x in t.split("\n") if x.strip()] for i, t in docs}
+    for i in sorted(lines):
+        for p in range(len(lines[i])):
+            for end in range(p + 1, len(lines[i]) + 1):
+                first.setdefault(tuple(lines[i][p:end]), (i, p))
+    out = {}
+    for i, own in lines.items():
+        for p in range(len(own)):
+            for end in range(p + 1, len(own) + 1):
+                j, q = first[tuple(own[p:end])]
+                if j != i or q + end - p <= p:
+                    out[i, p] = (end - p, j, q)
+    return out
+
+
 def substring_dedup(docs, least=50):
     first = {}
     for i, t in sorted(docs, key=lambda d: d[0]):
