@@ -26,6 +26,8 @@ ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 HEX = re.compile(r"[0-9a-f]{16,}")      # runs are maximal, so shorter ones need no match
 LEAST_VALUE, LEAST_ACCESS = 12, 18
 KEYWORDS = ("password", "passwd", "secret", "token", "apikey", "api_key")
+# What a text with a base span holds, in the syntax of column functions: the same three patterns with their least lengths.
+HOLDS_SECRET = r"""(?i:password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?[A-Za-z0-9+/_.=-]{12}|AKIA[A-Z0-9]{14}|[0-9a-f]{16}"""
 
 FIT_ROWS = 6_000             # documents of the training sample, at most
 FIT_WINDOWS = 6_000          # token windows learned from, at most
@@ -263,12 +265,25 @@ def learn(texts: list[str]) -> Field | None:
     return fit_field(tokens.features[safe], np.where(valid, tags[safe], OUT), valid)
 
 
-def fit(documents: DataFrame, doc_id: str = "doc_id", text: str = "text", rows: int = FIT_ROWS) -> Field | None:
-    """Learn from at most ``rows`` documents, chosen by a hash of id and text; the fit is one bounded task."""
-    n = max(documents.count(), 1)
+def training_sample(documents: DataFrame, doc_id: str = "doc_id", text: str = "text", rows: int = FIT_ROWS) -> DataFrame:
+    """``(text)``: at most ``rows`` texts, half of them with a secret and half without, as far as there are so many.
+
+    Both halves are drawn from the whole table by a hash of id and text, so few secrets among very many documents are found, too.
+    """
     draw = F.pmod(F.xxhash64(F.lit(23), F.col(f"`{doc_id}`"), F.col(f"`{text}`")), F.lit(1 << 40))
-    some = (documents.select(F.col(f"`{text}`").alias("text"), draw.alias("draw")).filter(F.col("text").isNotNull())
-            .filter(F.col("draw") < int(min(1.0, 1.2 * rows / n) * (1 << 40))).orderBy("draw", "text").limit(rows))
+    table = documents.select(F.col(f"`{text}`").alias("text"), draw.alias("draw")).filter(F.col("text").isNotNull())
+    marked = F.col("text").rlike(HOLDS_SECRET)
+    count = {r.marked: r["n"] for r in table.groupBy(marked.alias("marked")).agg(F.count(F.lit(1)).alias("n")).collect()}
+    halves = []
+    for kind, half in ((True, rows // 2), (False, rows - rows // 2)):
+        below = int(min(1.0, 1.2 * half / max(count.get(kind, 0), 1)) * (1 << 40))
+        halves.append(table.filter((F.col("draw") < below) & (marked == F.lit(kind))).orderBy("draw", "text").limit(half))
+    return halves[0].unionByName(halves[1]).select("text")
+
+
+def fit(documents: DataFrame, doc_id: str = "doc_id", text: str = "text", rows: int = FIT_ROWS) -> Field | None:
+    """Learn from ``training_sample``; the fit is one bounded task. None if no document holds a base span."""
+    some = training_sample(documents, doc_id, text, rows)
 
     def train(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         field = learn([t for batch in batches for t in batch.column(0).to_pylist()])
@@ -277,7 +292,7 @@ def fit(documents: DataFrame, doc_id: str = "doc_id", text: str = "text", rows:
             np.savez_compressed(held, weights=field.weights, moves=field.moves)
             yield pa.RecordBatch.from_arrays([pa.array([held.getvalue()])], names=["model"])
 
-    found = some.select("text").repartition(1).mapInArrow(train, "model binary").collect()
+    found = some.repartition(1).sortWithinPartitions("text").mapInArrow(train, "model binary").collect()
     if not found:
         return None
     with np.load(io.BytesIO(bytes(found[0].model))) as saved:

@@ -96,3 +96,18 @@ def test_scan_of_special_rows(spark):
     empty = table.limit(0)
     assert secrets.fit(empty) is None and secrets.scan(empty, None, ["doc_id"]).collect() == []
     assert secrets.scan(table, None, ["doc_id"]).filter("base <> spans").count() == 0
+
+
+def test_sample_finds_few_secrets_among_many_texts(spark):
+    """Texts with a base span are half of the sample, or all there are; the pattern of the draw agrees with the base spans."""
+    secret = [f'note {i} api-less token = "{"0123456789abcdefXYZ"[i % 7:]}{i:09d}" end' for i in range(5)]
+    rows = [(i, secret[i // 1000] if i % 1000 == 7 else f"plain words {i}") for i in range(5000)]
+    table = spark.createDataFrame(rows, "doc_id long, text string")
+    drawn = [r.text for r in secrets.training_sample(table, rows=400).collect()]
+    assert sorted(t for t in drawn if secrets.base_spans(t)) == sorted(secret) and 150 <= len(drawn) - 5 <= 200
+    assert secrets.fit(table, rows=400) is not None
+    texts = _texts(5, 200) + secret + ["Passwd:'abcdefghijkl", "token=short", "AKIA" + "A" * 13, "AKIA" + "A" * 14, "a" * 15, "é API_KEY = abcdefghijkl", "paſſword=abcdefghijkl",
+                                      "token=token=abcdefghijklm", "f" * 16, ""]
+    table = spark.createDataFrame([(t,) for t in texts], "text string")
+    found = [r.m for r in table.select(secrets.F.col("text").rlike(secrets.HOLDS_SECRET).alias("m")).collect()]
+    assert found == [bool(secrets.base_spans(t)) for t in texts]
