@@ -248,21 +248,44 @@ def _windows(tokens: Tokens, tags: np.ndarray, centres: np.ndarray) -> tuple[np.
     return at, at < high[:, None], tags
 
 
+def _text_chunks(texts: list[str]) -> Iterator[tuple[int, int]]:
+    low = 0
+    while low < len(texts):
+        high, size = low + 1, len(texts[low])
+        while high < len(texts) and size + len(texts[high]) <= CHUNK_CHARS:
+            size += len(texts[high])
+            high += 1
+        yield low, high
+        low = high
+
+
 def learn(texts: list[str]) -> Field | None:
-    """A field from texts whose labels are their base spans; None if they hold none."""
-    spans = [base_spans(t) for t in texts]
-    tokens = Tokens(texts)
-    tags = tokens.labels(spans)
+    """A field from texts whose labels are their base spans; None if they hold none.
+
+    Texts are read in chunks. Of the windows around secrets, around other odd tokens and around plain ones, those with the smallest
+    random numbers are held, a third of ``FIT_WINDOWS`` each.
+    """
     rng = np.random.default_rng(5)
-    marked = np.flatnonzero(tags == BEGIN)
-    if not len(marked):
+    held: list[list[np.ndarray] | None] = [None] * 3
+    for low, high in _text_chunks(texts):
+        tokens = Tokens(texts[low:high])
+        tags = tokens.labels([base_spans(t) for t in texts[low:high]])
+        plain = tags == OUT
+        odd = plain & (tokens.end - tokens.start >= 6) & np.isin(tokens.features[:, 1] - _OFFSETS[1], np.arange(6, 30))
+        for kind, centres in enumerate(map(np.flatnonzero, (tags == BEGIN, odd, plain))):
+            draw = rng.random(len(centres))
+            own = np.argsort(draw)[:FIT_WINDOWS // 3]
+            at, valid, _ = _windows(tokens, tags, centres[own])
+            safe = np.clip(at, 0, max(len(tags) - 1, 0))
+            new = [draw[own], tokens.features[safe], np.where(valid, tags[safe], OUT), valid]
+            if held[kind] is not None:
+                new = [np.concatenate(pair) for pair in zip(held[kind], new)]
+                best = np.argsort(new[0])[:FIT_WINDOWS // 3]
+                new = [x[best] for x in new]
+            held[kind] = new
+    if held[0] is None or not len(held[0][0]):
         return None
-    odd = np.flatnonzero((tags == OUT) & (tokens.end - tokens.start >= 6) & np.isin(tokens.features[:, 1] - _OFFSETS[1], np.arange(6, 30)))
-    plain = np.flatnonzero(tags == OUT)
-    centres = np.concatenate([rng.permutation(x)[:FIT_WINDOWS // 3] for x in (marked, odd, plain)])
-    at, valid, _ = _windows(tokens, tags, centres)
-    safe = np.minimum(at, len(tags) - 1)
-    return fit_field(tokens.features[safe], np.where(valid, tags[safe], OUT), valid)
+    return fit_field(*(np.concatenate(x) for x in list(zip(*held))[1:]))
 
 
 def training_sample(documents: DataFrame, doc_id: str = "doc_id", text: str = "text", rows: int = FIT_ROWS) -> DataFrame:
@@ -304,12 +327,7 @@ def added_spans(texts: list[str], base: list[list[tuple]], field: Field | None)
     out: list[list[tuple]] = [[] for _ in texts]
     if field is None:
         return out
-    low = 0
-    while low < len(texts):
-        high, size = low + 1, len(texts[low])
-        while high < len(texts) and size + len(texts[high]) <= CHUNK_CHARS:
-            size += len(texts[high])
-            high += 1
+    for low, high in _text_chunks(texts):
         tokens = Tokens(texts[low:high])
         tags = field.decode(field.scores(tokens.features), tokens.text)
         inside = np.flatnonzero(tags != OUT)
@@ -324,7 +342,6 @@ def added_spans(texts: list[str], base: list[list[tuple]], field: Field | None)
         for t in range(low, high):
             if out[t] and base[t]:
                 out[t] = [s for s in out[t] if all(s[2] <= b[0] or s[0] >= b[2] for b in base[t])]
-        low = high
     return out
 
 
