@@ -223,3 +223,24 @@ def test_metrics_of_logits(spark):
     table = spark.createDataFrame([([0.1, 0.9], 1), ([0.5, 0.5], 0), ([0.2, 0.1], 1)], "z array<double>, y int")
     head = metrics.headline(metrics.pair_counts(table.withColumn("p", vx.argmax(F.col("z"))), "y", "p")).first()
     assert head["accuracy"] == pytest.approx(2 / 3)
+
+
+def test_a_large_table_of_weights_gives_the_rows_of_a_small_one(spark, scorer, monkeypatch):
+    """Blocks of texts meet their terms: bigrams across a gap, no mention, no context, repeated and missing keys, several passes."""
+    said = ["The food was cold. We sat. Great tasty food!", "Service was slow and rude. Lovely atmosphere. The staff was friendly.", "", None, "Nothing here. Okay place."]
+    rows = [(i if i % 5 else None, said[i % len(said)]) for i in range(40)] * 2
+    reviews = spark.createDataFrame(rows, "review_id long, text string").select("review_id", F.split("text", r"\. ").alias("s"))
+    marks = {"some": F.transform("s", lambda s, i: i % 2 == 0), "all": F.lit(None).cast("array<boolean>"), "short": F.array(F.lit(None).cast("boolean"), F.lit(True))}
+    asks = [F.struct(F.lit(n).alias("n"), F.array(*[F.lit(f) for f in forms]).cast("array<string>").alias("forms"), which.alias("which"))
+            for n, which in marks.items() for forms in (["food"], ["great service", "staff"], [])]
+    table = reviews.select("review_id", F.transform("s", lambda s: F.regexp_extract_all(F.lower(s), F.lit("[a-z]{2,}"), 0)).alias("_lists"), F.array(*asks).alias("_asks"))
+
+    def scored():
+        return sorted(map(repr, scorer.score_asks(table, ["review_id"], ["n"], []).select("review_id", "n", "class_id", "confidence").collect()))
+
+    in_row = scored()
+    assert len(in_row) == 9 * len(rows) and len(set(in_row)) > 20
+    monkeypatch.setattr(scoring, "MAX_INROW_BYTES", -1)
+    assert scored() == in_row
+    monkeypatch.setattr(scoring, "BLOCK_TOKENS", 7)
+    assert scored() == in_row
