@@ -100,3 +100,14 @@ def test_batch_model_scores_as_the_rows_do(spark):
     assert found == wanted
     nothing = scorer.score(spark.createDataFrame([(1, None, None), (2, "", "x")], "review_id long, context string, aspect string"), ["review_id"]).collect()
     assert len({r.class_id for r in nothing}) == 1
+
+
+def test_a_table_that_grows_in_few_files_gets_more_partitions(spark, tmp_path):
+    """The work of a task and the file that it writes stay the same size; nothing is lost."""
+    path = str(tmp_path / "orders")
+    spark.range(200_000).selectExpr("id", "uuid() u").coalesce(1).write.parquet(path)
+    table = spark.read.parquet(path)
+    parts = [spread(table, "id", n) for n in (1 << 30, 1 << 19, 1 << 18)]
+    few, more, most = (p.rdd.getNumPartitions() for p in parts)
+    assert few == spark.sparkContext.defaultParallelism < more < most <= 2 * more
+    assert parts[-1].exceptAll(table).isEmpty() and parts[-1].count() == 200_000
