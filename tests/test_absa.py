@@ -244,3 +244,24 @@ def test_a_large_table_of_weights_gives_the_rows_of_a_small_one(spark, scorer, m
     assert scored() == in_row
     monkeypatch.setattr(scoring, "BLOCK_TOKENS", 7)
     assert scored() == in_row
+
+
+def test_copies_of_a_text_are_analysed_once(spark, lexicon, scorer):
+    rows = [(i if i % 6 else None, TEXTS[i % 5] if i % 7 else None) for i in range(60)] * 2
+    reviews = spark.createDataFrame(rows, "review_id long, text string")
+    given = []
+
+    def analyze(texts):
+        given.append(texts.count())
+        return absa.analyze_reviews(texts, lexicon, scorer)
+
+    once = absa.once_per_text(reviews, analyze)
+    each = absa.analyze_reviews(reviews, lexicon, scorer)
+    assert once.columns == each.columns and given == [len({text for _, text in rows})]
+    assert sorted(map(repr, once.collect())) == sorted(map(repr, each.collect()))
+
+
+def test_hashes_of_texts_travel_as_sixteen_bytes(spark):
+    gold = spark.createDataFrame([("Good food.", "food", "Positive"), (None, "food", "Neutral")] * 3, "review string, aspect string, true_label string")
+    found = {r["text"]: r["review_id"] for r in absa.gold_reviews(gold).collect()}
+    assert len(found) == 2 and len(found["Good food."]) == 16 and found[None] is None
