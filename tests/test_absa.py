@@ -265,3 +265,13 @@ def test_hashes_of_texts_travel_as_sixteen_bytes(spark):
     gold = spark.createDataFrame([("Good food.", "food", "Positive"), (None, "food", "Neutral")] * 3, "review string, aspect string, true_label string")
     found = {r["text"]: r["review_id"] for r in absa.gold_reviews(gold).collect()}
     assert len(found) == 2 and len(found["Good food."]) == 16 and found[None] is None
+
+
+def test_texts_travel_to_their_block_as_joined_tokens(spark, scorer, monkeypatch):
+    kept = []
+    monkeypatch.setattr(scoring, "MAX_INROW_BYTES", -1)
+    monkeypatch.setattr(scoring, "stored", lambda table, name: kept.append(table) or table.localCheckpoint())
+    table = spark.createDataFrame([(0, "great food", ["food"]), (1, "", []), (2, None, ["food"])], "id long, context string, forms array<string>")
+    rows = scorer.score(table, ["id"]).orderBy("id").collect()
+    assert [r["id"] for r in rows] == [0, 1, 2] and rows[0]["label"] == "Positive"
+    assert [r["_lists"] for r in kept[0].orderBy("id").collect()] == [["great food"], [""], [None]]
