@@ -76,3 +76,26 @@ def test_too_many_abbreviations_fail(spark, model):
     table = spark.createDataFrame([(1, "Dr. X came.")], "review_id long, cleaned string")
     with pytest.raises(Exception, match="abbreviations: more than 2 rows"):
         boundaries.with_sentences(table, model, ["review_id"], max_abbreviations=2).select(F.size("sentences")).collect()
+
+
+def test_the_texts_are_read_once(spark, reviews):
+    passed = spark.sparkContext.accumulator(0)
+
+    @F.udf("string")
+    def counted(text):
+        passed.add(1)
+        return text
+
+    learned = boundaries.fit(reviews.select("review_id", counted("text").alias("text")))
+    assert passed.value == reviews.count()
+    assert {r.type for r in learned.abbreviations.collect()} == {"dr", "mr", "p.m", "e.g"}
+
+
+def test_counts_by_hand(spark):
+    table = spark.createDataFrame([(1, 'Dr. Tea ran. "Soup fell!" Tea ran (it ran.) Soup 5! Tea J. Soup'), (2, None), (3, ""), (4, "tea... Soup ran")],
+                                  "review_id long, text string")
+    known = spark.createDataFrame([("dr",)], "type string")
+    periods = {r.type: (r.n_period, r.n_plain) for r in boundaries.period_counts(table).collect()}
+    assert periods == {"dr": (1, 0), "tea": (0, 4), "ran": (2, 2), "soup": (0, 4), "fell": (0, 1), "it": (0, 1), "j": (1, 0)}
+    starts = {r.type: (r.n_after, r.n) for r in boundaries.starter_counts(table, known).collect()}
+    assert starts == {"dr": (0, 1), "tea": (2, 4), "ran": (0, 4), "soup": (2, 4), "fell": (0, 1), "it": (0, 1), "j": (0, 1)}

@@ -84,3 +84,15 @@ def test_softmax_and_argmax(spark):
         vx.softmax(F.col("z")).alias("p"), vx.argmax(F.col("z")).alias("i")).first()
     assert row["p"] == pytest.approx([0.5, 0.5, 0.0]) and row["i"] == 0
     assert sum(row["p"]) == pytest.approx(1.0)
+
+
+def test_light_clean_is_its_four_patterns(spark):
+    texts = ["a <b>c</b> d", "x @né漢y z", "see https://a.b/é c and www.q.de\x1fend", "\x0b a\x1c\x1d b \t\r\n", "\x00 a \x7f b", "é", "", " ", None,
+             "a b c\x85d", "x😀😀y", "plain  words", "a < b", "@ @@ http: www"]
+    table = spark.createDataFrame(list(enumerate(texts)), "i int, text string")
+    table = table.union(spark.range(1).selectExpr("100", "cast(unhex('61ff6220c363') as string)"))
+    column = F.col("text")
+    for pattern in (tx.HTML_TAG, tx.URL, tx.MENTION, tx.NON_ASCII):
+        column = F.regexp_replace(column, pattern, " ")
+    found = table.select("i", tx.light_clean(F.col("text")).alias("got"), tx.squeeze(column).alias("want")).collect()
+    assert len(found) == len(texts) + 1 and [r.got for r in found] == [r.want for r in found]
