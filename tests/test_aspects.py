@@ -143,3 +143,21 @@ def test_broadcast_and_shuffled_lookups_agree(spark, how):
     small = lookup_join(facts, F.broadcast(lookup), ["k"], how)
     large = lookup_join(facts, lookup.hint("merge"), ["k"], how)
     assert sorted(map(repr, small.collect())) == sorted(map(repr, large.collect()))
+
+
+def test_full_extraction_reads_the_texts_twice(spark):
+    """Once for the candidates and once to meet the aspects, with lemmas and a lexicon whose terms are no candidates."""
+    passed = spark.sparkContext.accumulator(0)
+
+    @F.udf("string")
+    def counted(text):
+        passed.add(1)
+        return text
+
+    rows = [(1, "The dishes were cold. Not 24 hours open."), (2, "Nothing here"), (3, None), (4, "dish 24 dish")]
+    reviews = spark.createDataFrame(rows, "review_id long, text string").select("review_id", counted("text").alias("text"))
+    lexicon = spark.createDataFrame([("dish", "food", 0), ("24", "hours", 1)], "term string, aspect string, ord int")
+    known = spark.createDataFrame([("dishes", "dish")], "token string, lemma string")
+    found = aspects.surface_forms(aspects.extract_aspects(reviews, lexicon, mode="nouns", lemmas=known)).collect()
+    assert {(r.review_id, r.aspect): r.forms for r in found} == {(1, "food"): ["dish", "dishes"], (1, "hours"): ["24"], (4, "food"): ["dish"], (4, "hours"): ["24"]}
+    assert passed.value <= 2 * len(rows)
