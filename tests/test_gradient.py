@@ -76,3 +76,29 @@ def test_odd_tables(spark, fitted):
     texts = spark.createDataFrame([(1, "great food", 7), (2, None, 8)], "review_id long, Review string, i int")
     made = gradient.rows_of(texts, empty, "Review", ["review_id", "i"], 60)
     assert [(r.review_id, r.i, [(f.i, f.x) for f in r.feats]) for r in made.orderBy("review_id").collect()] == [(1, 7, [(0, 1.0)]), (2, 8, [(0, 1.0)])]
+
+
+def test_strengths_share_their_passes_and_labels_may_be_missing(spark, fitted, monkeypatch):
+    """Every strength's model equals its own fit; a pass over the rows serves them all; blocks of any size give the same sums."""
+    rows, vocabulary = fitted
+    odd = rows.withColumn("label", F.when(F.col("review_id") % 7 == 0, None).when(F.col("review_id") % 7 == 1, 9).otherwise(F.col("label")))
+    x, y = _dense(odd, vocabulary)
+    known = np.array([v is not None for v in y])
+    truth = np.array([[v == c for c in range(3)] for v in y], dtype=float)
+    monkeypatch.setattr(gradient, "BLOCK_ENTRIES", 40)
+    passes = []
+    made = gradient._slopes
+    monkeypatch.setattr(gradient, "_slopes", lambda *a: passes.append(1) or made(*a))
+    models = gradient.fit_each(odd, vocabulary, [0, 1, 2], [0.1, 2.0], 5, 60)
+    assert len(passes) == 5
+    for strength, model in zip([0.1, 2.0], models):
+        pull = np.full((x.shape[1], 1), 1 / (strength * len(y)))
+        step = 1 / (1 + pull[0, 0])
+        pull[-1] = 0
+        w = v = np.zeros((x.shape[1], 3))
+        for k in range(5):
+            p = np.exp(x @ v)
+            p /= p.sum(axis=1, keepdims=True)
+            u = v - step * (x[known].T @ (p - truth)[known] / len(y) + pull * v)
+            w, v = u, u + k / (k + 3) * (u - w)
+        assert np.allclose(np.array([r.w for r in model.weights.orderBy("i").collect()]), w, atol=1e-12)
