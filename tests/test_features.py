@@ -3,6 +3,7 @@ import re
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -92,3 +93,24 @@ def test_sweep_takes_the_best_macro_f1(spark):
     tried = spark.createDataFrame([(0.3, 0.8, 0.5, 0.7), (1.0, 0.7, 0.6, 0.7), (3.0, 0.9, 0.6, 0.9)],
                                   "strength double, accuracy double, macro_f1 double, weighted_f1 double")
     assert classify.best_by_macro_f1(tried).first()["strength"] == 1.0
+
+
+def test_counts_told_in_parts_and_sparse_rows(spark, texts, monkeypatch):
+    """Terms that a task tells several times add up; a row's weights are those of ``tfidf``, numbered in the order of the terms."""
+    odd = texts.unionByName(spark.createDataFrame([(7, None), (8, "?"), (8, "GREAT great-food"), (9, "\u00c9clair caf\u00e9\ttable_1")], "id long, t string")).coalesce(1)
+    whole = {tuple(r) for r in features.vocabulary(odd, "id", "t").collect()}
+    count = features._partial_counts
+    passed = list(count(iter([pa.record_batch({"_said": ["great food great", None, "", "great food"]})])))
+    assert {tuple(r.values()) for b in passed for r in b.to_pylist()} == {("great", 3, 2), ("food", 2, 2), ("great food", 2, 2), ("food great", 1, 1)}
+    monkeypatch.setattr(features, "HELD_TERMS", 2)
+    assert len(list(count(iter([pa.record_batch({"_said": ["great food", "slow food"]})])))) > 1
+    tf = Counter(g for r in odd.collect() if r.t for g in grams(r.t))
+    df = Counter(g for r in odd.collect() if r.t for g in set(grams(r.t)))
+    assert whole == {(g, tf[g], df[g]) for g in tf}
+    vocab = features.with_idf(features.vocabulary(odd, "id", "t", 6), odd).orderBy("term").collect()
+    numbered = spark.createDataFrame([(i, r["term"], r["idf"]) for i, r in enumerate(vocab)], "i int, term string, idf double")
+    found = {(r.id, vocab[f.i]["term"]): f.x for r in features.sparse_rows(texts, ["id"], "t", numbered).collect() for f in r.feats}
+    wanted = {(r.id, r.term): r.weight for r in features.tfidf(texts, "id", "t", numbered).collect()}
+    assert found == {k: pytest.approx(v, abs=1e-12) for k, v in wanted.items()} and wanted
+    empty = {r.id: r.feats for r in features.sparse_rows(odd, ["id"], "t", numbered).collect()}
+    assert empty[7] == []
