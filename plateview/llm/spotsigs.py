@@ -100,7 +100,8 @@ def with_next(documents: DataFrame, bucket_rows: int = BUCKET_ROWS) -> DataFrame
     n = ids.count()
     cuts = min(MAX_BUCKETS, n // bucket_rows)
     bounds = sorted({int(x) for x in ids.agg(F.percentile_approx("_id", [i / (cuts + 1) for i in range(1, cuts + 1)], 20 * (cuts + 1))).first()[0]}) if cuts else []
-    ranged = base.withColumn("_bucket", _bucket(F.col("_id"), bounds))
+    # Settled, or the optimizer would infer from the join on it a filter of the other side by this side's ids, which cannot run.
+    ranged = settled(base, base.columns, F.struct(_bucket(F.col("_id"), bounds).alias("_bucket")))
     # The first row of every range, by id and then by hash, is the next of the last row of the range above it.
     heads = ranged.groupBy("_bucket").agg(F.max(F.struct("_id", "_v")).alias("h"))
     order = Window.partitionBy().orderBy("_bucket")

@@ -95,3 +95,12 @@ def test_plan_has_no_python(spark):
     docs = spark.createDataFrame([(1, "a b"), (2, "c")], "doc_id long, text string")
     plan = spotsigs.with_next(docs)._jdf.queryExecution().toString()
     assert "Python" not in plan and "Arrow" not in plan and "Pandas" not in plan
+
+
+def test_nothing_is_inferred_from_the_range_of_an_id(spark):
+    docs = spark.createDataFrame([(i, f"word{i} of text") for i in range(60)], "doc_id long, text string")
+    found = spotsigs.with_next(docs, 5)
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert "aggregate(" in plan and "lambda" in plan
+    assert not [line for line in plan.splitlines() if "Filter" in line and "aggregate(" in line]
+    assert {r.doc_id: r.next_text for r in found.collect()} == {i: f"word{(i - 1) % 60} of text" for i in range(60)}
