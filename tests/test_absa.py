@@ -261,6 +261,33 @@ def test_copies_of_a_text_are_analysed_once(spark, lexicon, scorer):
     assert sorted(map(repr, once.collect())) == sorted(map(repr, each.collect()))
 
 
+def test_copies_of_a_text_are_compared_once(spark, lexicon, scorer):
+    subset = lexicon.filter("ord < 2")
+    given = []
+
+    def whole(texts):
+        given.append(texts.count())
+        return absa.analyze_reviews(texts, lexicon, scorer, with_evidence=False)
+
+    def part(texts):
+        return absa.analyze_reviews(texts, subset, scorer, absa.FULL_REVIEW, with_evidence=False)
+
+    plain = [(i, TEXTS[i % 5] if i % 7 else None) for i in range(60)]
+    rows = [*plain, *plain[10:20], (3, TEXTS[0]), (None, TEXTS[1]), (None, TEXTS[1]), (None, TEXTS[2])]
+    reviews = spark.createDataFrame(rows, "review_id long, text string")
+    found = absa.compared_once_per_text(reviews, whole, part, "whole", "part")
+    each = absa.compare_results(whole(reviews), part(reviews), "whole", "part")
+    assert found.columns == each.columns and given == [len({text for _, text in rows}), len(rows)]
+    assert sorted(map(repr, found.collect())) == sorted(map(repr, each.collect()))
+
+
+def test_reviews_do_not_meet_their_two_results(spark, lexicon, scorer):
+    reviews = spark.range(60).select(F.col("id").alias("review_id"), F.element_at(F.array(*[F.lit(t) for t in TEXTS]), (F.col("id") % 5 + 1).cast("int")).alias("text"))
+    analyze = lambda texts: absa.analyze_reviews(texts, lexicon, scorer, with_evidence=False)
+    plan = absa.compared_once_per_text(reviews, analyze, analyze, "a", "b")._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Join") == 1 and "FullOuter" not in plan
+
+
 def test_hashes_of_texts_travel_as_sixteen_bytes(spark):
     gold = spark.createDataFrame([("Good food.", "food", "Positive"), (None, "food", "Neutral")] * 3, "review string, aspect string, true_label string")
     found = {r["text"]: r["review_id"] for r in absa.gold_reviews(gold).collect()}
